@@ -73,7 +73,7 @@ def main() -> None:
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    spark = build_session("local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_driver_memory="8g")
+    spark = build_session("local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_ui_showConsoleProgress="false", spark_driver_memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.sf)
     bad = 0

@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from stratalens.plans import q_scores  # noqa: F401
+from stratalens.plans import q_scores, q_segments  # noqa: F401
 from stratalens.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
