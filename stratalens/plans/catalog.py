@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from stratalens.plans import q_design, q_scores, q_segments, q_variance  # noqa: F401
+from stratalens.plans import q_design, q_harmonize, q_scores, q_segments, q_variance  # noqa: F401
 from stratalens.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
