@@ -197,11 +197,10 @@ def alignment_report(survey: DataFrame, benchmark: DataFrame, dims: Sequence[Dim
 
 def overlap(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """Every value of ``column`` on either side with where it occurs: only left, only right, both."""
-    a = left.select(column).where(F.col(column).isNotNull()).distinct()
-    b = right.select(column).where(F.col(column).isNotNull()).distinct()
-    only_a = a.exceptAll(b).withColumn("where", F.lit("only left"))
-    only_b = b.exceptAll(a).withColumn("where", F.lit("only right"))
-    return only_a.unionByName(only_b).unionByName(a.intersect(b).withColumn("where", F.lit("both")))
+    a = left.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_left", F.lit(True))
+    b = right.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_right", F.lit(True))
+    where = F.when(F.col("_right").isNull(), "only left").when(F.col("_left").isNull(), "only right").otherwise("both")
+    return a.join(b, column, "full_outer").select(column, where.alias("where"))
 
 
 def strata_overlap(survey: DataFrame, benchmark: DataFrame, columns: Sequence[str]) -> DataFrame:

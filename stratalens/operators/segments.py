@@ -17,20 +17,18 @@ BALANCED = 0.001
 MIN_BENCHMARK_SHARE = 0.0001
 
 
-def deviations(aligned: DataFrame, by: Sequence[str] = (), denominator: str = "keyed") -> DataFrame:
+def deviations(aligned: DataFrame, denominator: str = "keyed") -> DataFrame:
     """Signed, absolute and relative gap per stratum.
 
-    ``denominator="keyed"`` divides by respondents that have every key of the dimension;
-    ``"rows"`` keeps the shares over all respondents. The relative gap is null where the
+    ``denominator="keyed"`` divides by respondents that have every key of the dimension (needs
+    ``line_up(..., keyed=True)``); ``"rows"`` keeps the shares over all respondents. The relative gap is null where the
     benchmark share is zero.
     """
-    frame = aligned
     if denominator == "keyed":
-        group = [*by, "dimension"]
-        keyed = aligned.groupBy(*group).agg(F.sum("n").alias("_keyed"))
-        frame = frame.join(keyed, group).withColumn("sample_share", F.coalesce(ratio("n", "_keyed"), F.lit(0.0)))
-        frame = frame.drop("_keyed")
-    elif denominator != "rows":
+        frame = aligned.withColumn("sample_share", F.col("keyed_share")).drop("keyed_share")
+    elif denominator == "rows":
+        frame = aligned
+    else:
         raise ValueError("denominator is 'keyed' or 'rows'")
     gap = F.col("sample_share") - F.col("population_share")
     return (

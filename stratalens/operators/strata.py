@@ -107,9 +107,17 @@ def roll_up_shares(benchmark: DataFrame, dims: Sequence[Dimension], share: str =
     return roll_up(benchmark, dims, share)
 
 
+def dimension_name(name: str) -> Column:
+    """A dimension's name as a generated column.
+
+    A plain literal would be folded out of later joins on ``dimension`` and leave them without a key.
+    """
+    return F.explode(F.array(F.lit(name))).alias("dimension")
+
+
 def as_long(benchmark: DataFrame, dim: Dimension) -> DataFrame:
     """Bring a one-dimension benchmark into the long form."""
-    return benchmark.select(F.explode(F.array(F.lit(dim.name))).alias("dimension"), *dim.columns, "population_share")
+    return benchmark.select(dimension_name(dim.name), *dim.columns, "population_share")
 
 
 def route_benchmarks(bases: dict[str, DataFrame], dims: Sequence[Dimension]) -> DataFrame:
@@ -137,34 +145,45 @@ def line_up(
     by: Sequence[str] = (),
     threshold: float | None = None,
     targets: bool = False,
+    keyed: bool = False,
 ) -> DataFrame:
     """Full outer join of sample and population per stratum, for all dimensions and groups at once.
 
-    Both sides are aggregated first, so what is joined are strata, never respondents. Columns:
-    ``n``, ``sample_share`` (count / all respondents), ``population_share``, ``relevant``
-    (population share above ``threshold``, by default above 1 / sample size), ``in_benchmark``,
-    ``sample_size`` and, with ``targets``, the square-root ``target_share``.
+    Both sides are aggregated first, so what is joined are strata, never respondents; all branches
+    start from the same exchange of cells, so respondents are read once. Columns: ``n``,
+    ``sample_share`` (count / all respondents), ``population_share``, ``relevant`` (population
+    share above ``threshold``, by default above 1 / sample size), ``in_benchmark``,
+    ``sample_size``; with ``targets`` the square-root ``target_share``; with ``keyed`` the
+    ``keyed_share`` (count / respondents that have every key of the dimension).
     """
     keys = key_columns(dims)
-    sizes = sample_sizes(cells, dims, by)
-    if targets:
-        roots = benchmark.groupBy("dimension").agg(F.sum(F.sqrt("population_share")).alias("root_sum"))
-        sizes = sizes.join(F.broadcast(roots), "dimension", "left")
-    if not by:
-        sizes = F.broadcast(sizes)  # one row per configured dimension
-    counts = roll_up(cells, dims, "n", by).join(sizes.select(*by, "dimension", "sample_size"), [*by, "dimension"])
+    group = [*by, "dimension"]
+    counts = roll_up(cells, dims, "n", by)
+    expected = benchmark.select("dimension", *keys, "population_share")
+    if by:
+        # Every group is measured against the whole benchmark. The filter is always true; it keeps
+        # the size needed on this side, so that both sides share one exchange of cells. The join
+        # is null-safe: a group without a name is a group.
+        sizes = sample_sizes(cells, dims, by).where("sample_size > 0")
+        expected = expected.join(sizes, "dimension")
+        counts = counts.alias("k").join(sizes.alias("z"), same_keys("k", "z", group)).select("k.*", "z.sample_size")
+    else:
+        size = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("sample_size")).scalar()
+        expected, counts = expected.withColumn("sample_size", size), counts.withColumn("sample_size", size)
     counts = counts.withColumn("sample_share", ratio("n", "sample_size"))
+    if keyed:
+        whole = roll_up(cells, dims, "n", by).groupBy(*group).agg(F.sum("n").alias("keyed_size"))
+        counts = counts.alias("k").join(whole.alias("z"), same_keys("k", "z", group))
+        counts = counts.select("k.*", ratio("n", "keyed_size").alias("keyed_share"))
 
     bar = F.lit(float(threshold)) if threshold is not None else ratio(F.lit(1.0), F.col("sample_size"))
-    expected = benchmark.select("dimension", *keys, "population_share").join(sizes, "dimension")
     expected = expected.withColumn("relevant", F.coalesce(F.col("population_share") > bar, F.lit(False)))
-    extra = ["relevant"]
     if targets:
+        roots = benchmark.groupBy("dimension").agg(F.sum(F.sqrt("population_share")).alias("root_sum"))
+        expected = expected.join(F.broadcast(roots), "dimension", "left")  # one row per dimension
         expected = expected.withColumn("target_share", ratio(F.sqrt("population_share"), F.col("root_sum")))
-        extra.append("target_share")
-    expected = expected.select(*by, "dimension", *keys, "population_share", "sample_size", *extra)
 
-    on = [*by, "dimension", *keys]
+    on = [*group, *keys]
     joined = expected.alias("e").join(counts.alias("c"), same_keys("e", "c", on), "full_outer")
     out = [F.coalesce(f"e.{c}", f"c.{c}").alias(c) for c in on]
     out += [
@@ -177,6 +196,8 @@ def line_up(
     ]
     if targets:
         out.append(F.coalesce("e.target_share", F.lit(0.0)).alias("target_share"))
+    if keyed:
+        out.append(F.coalesce("c.keyed_share", F.lit(0.0)).alias("keyed_share"))
     return joined.select(*out)
 
 

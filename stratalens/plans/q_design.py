@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalens.operators import allocation, reshape, scores
-from stratalens.operators.strata import cell_counts, line_up, sample_sizes
+from stratalens.operators.strata import cell_counts, dimension_name, line_up, sample_sizes
 from stratalens.plans import sqltext as q
 from stratalens.plans.registry import query
 from stratalens.plans.testbed import COUNTRY, STANDARD
@@ -171,7 +171,7 @@ h AS (SELECT *, row_number() OVER (PARTITION BY dimension, size ORDER BY n0 DESC
 def segment_variance(t):
     yes = F.when(F.col("c_acctbal") > 8000, 1.0).otherwise(0.0)
     spread = t.population.groupBy("segment").agg(F.var_samp(yes).alias("variance"))
-    return spread.select(F.lit("Segment").alias("dimension"), F.col("segment").alias("stratum"), "variance")
+    return spread.select(dimension_name("Segment"), F.col("segment").alias("stratum"), "variance")
 
 
 SIZES = (1000, 2500, 5000, 10000)

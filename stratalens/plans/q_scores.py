@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from stratalens.functions.expressions import ratio
 from stratalens.operators import scores
 from stratalens.operators.strata import (
-    as_long,
     benchmark_left,
     cell_counts,
     dimension_label,
+    dimension_name,
     line_up,
-    population_shares,
     stratum_counts,
 )
 from stratalens.plans import sqltext as q
 from stratalens.plans.registry import query
-from stratalens.plans.testbed import COUNTRY, COUNTRY_SEGMENT, DOCUMENT, LANG, REGION, SEGMENT, STANDARD
+from stratalens.plans.testbed import COUNTRY, COUNTRY_SEGMENT, DOCUMENT, REGION, SEGMENT, STANDARD
+from stratalens.session import materialize
 
 ONE = [q.STANDARD[0]]
 ONE_KEYS = ("country", "segment")
@@ -158,8 +158,8 @@ VARIANCE_SQL = """variance AS (
 def _label_variance(t):
     by_lang = t.labelled.groupBy("lang").agg(F.var_samp("quality").alias("variance"))
     by_source = t.labelled.where("source < 'src3'").groupBy("source").agg(F.var_samp("quality").alias("variance"))
-    return by_lang.select(F.lit("Language").alias("dimension"), F.col("lang").alias("stratum"), "variance").unionByName(
-        by_source.select(F.lit("Source").alias("dimension"), F.col("source").alias("stratum"), "variance")
+    return by_lang.select(dimension_name("Language"), F.col("lang").alias("stratum"), "variance").unionByName(
+        by_source.select(dimension_name("Source"), F.col("source").alias("stratum"), "variance")
     )
 
 
@@ -192,7 +192,7 @@ FROM weighted""",
 )
 def weighted_detail(t):
     weighted = scores.with_weights(t.document_aligned(DOCUMENT), DOCUMENT, _label_variance(t))
-    return scores.weighted_detail(weighted, DOCUMENT)
+    return scores.weighted_detail(materialize(weighted), DOCUMENT)
 
 
 @query(
@@ -222,7 +222,7 @@ def match_vs_weighted(t):
     """Supplier countries against customer countries, stratum by stratum, with both scores."""
     cells = cell_counts(t.supplier_survey, ["country"])
     aligned = benchmark_left(line_up(cells, t.benchmark_for(COUNTRY), [COUNTRY]))
-    weighted = scores.with_weights(aligned, [COUNTRY])
+    weighted = materialize(scores.with_weights(aligned, [COUNTRY]))
     gap = F.abs(F.col("sample_share") - F.col("population_share"))
     both = scores.match_beside_weighted(weighted)
     return weighted.join(both, "dimension").select(
@@ -327,8 +327,8 @@ def _agreement(t):
         F.avg(F.when(F.col("price") > 250000, 1.0).otherwise(0.0)).alias("rate")
     )
     variance = rates.groupBy("segment").agg(F.var_samp("rate").alias("variance"))
-    variance = variance.select(F.lit("Segment").alias("dimension"), F.col("segment").alias("stratum"), "variance")
-    return scores.agreement_scores(t.aligned(STANDARD, ["priority"]), STANDARD, variance, ["priority"])
+    variance = materialize(variance.select(dimension_name("Segment"), F.col("segment").alias("stratum"), "variance"))
+    return scores.agreement_scores(materialize(t.aligned(STANDARD, ["priority"])), STANDARD, variance, ["priority"])
 
 
 @query(

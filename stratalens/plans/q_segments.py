@@ -9,6 +9,7 @@ from stratalens.operators.strata import cell_counts, line_up
 from stratalens.plans import sqltext as q
 from stratalens.plans.q_scores import WEIGHTED_DOC, _label_variance, full_card, FULL
 from stratalens.plans.registry import query
+from stratalens.session import materialize
 from stratalens.plans.testbed import COUNTRY, COUNTRY_SEGMENT, DOCUMENT, STANDARD
 
 DOC = f"""{q.LABELLED}, {q.lined_up(q.DOCUMENT, q.DOCUMENT_KEYS, survey="labelled", base="documents")}"""
@@ -20,7 +21,7 @@ STD_LABEL = q.label(q.STANDARD, q.STANDARD_KEYS)
 
 
 def doc_gaps(t):
-    return segments.deviations(t.document_aligned(DOCUMENT))
+    return segments.deviations(t.document_aligned(DOCUMENT, keyed=True))
 
 
 @query(
@@ -49,7 +50,7 @@ def deviations_null_keys(t):
     """With missing keys the two denominators differ: keyed respondents against all respondents."""
     holed = t.survey.withColumn("segment", F.nullif("segment", F.lit("MACHINERY")))
     cells = cell_counts(holed, COUNTRY_SEGMENT.columns)
-    aligned = line_up(cells, t.benchmark_for(COUNTRY_SEGMENT), [COUNTRY_SEGMENT])
+    aligned = line_up(cells, t.benchmark_for(COUNTRY_SEGMENT), [COUNTRY_SEGMENT], keyed=True)
     aligned = aligned.withColumn("row_share", F.col("sample_share"))
     return segments.deviations(aligned).select(
         "dimension", "country", "segment", "n", "sample_share", "row_share", "deviation"
@@ -140,7 +141,7 @@ card AS (SELECT dimension, {q.MATCH} AS m FROM aligned GROUP BY dimension)"""
   {q.r("least(1.0, m + cum)", "cumulative_score")} FROM top JOIN card USING (dimension)""",
 )
 def fix_impact(t):
-    aligned = t.document_aligned(DOCUMENT)
+    aligned = materialize(t.document_aligned(DOCUMENT, keyed=True))
     top = segments.top_contributors(segments.deviations(aligned), DOCUMENT, 10)
     return segments.fix_impact(top, scores.match_and_coverage(aligned))
 
@@ -153,7 +154,7 @@ SELECT dimension, {q.r("m", "current_score")}, {q.r("p", "potential_score")}, {q
   {q.r("(p - m) / nullif(m, 0) * 100", "improvement_pct")} FROM both_scores""",
 )
 def fix_summary(t):
-    aligned = t.document_aligned(DOCUMENT)
+    aligned = materialize(t.document_aligned(DOCUMENT, keyed=True))
     top = segments.top_contributors(segments.deviations(aligned), DOCUMENT, 10)
     return segments.fix_summary(top, scores.match_and_coverage(aligned))
 
@@ -250,7 +251,7 @@ SELECT dimension, stratum, {q.r("w0", "weight_plain")}, {q.r("w1", "weight_infor
   {q.r("pct", "error_share_pct")} FROM both_weights""",
 )
 def weight_shift(t):
-    aligned = t.document_aligned(DOCUMENT)
+    aligned = materialize(t.document_aligned(DOCUMENT))
     plain = scores.weighted_detail(scores.with_weights(aligned, DOCUMENT), DOCUMENT)
     informed = scores.weighted_detail(scores.with_weights(aligned, DOCUMENT, _label_variance(t)), DOCUMENT)
     return segments.weight_shift(plain, informed, DOCUMENT)

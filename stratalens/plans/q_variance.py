@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalens.operators import allocation, variance
+from stratalens.operators.strata import dimension_name
 from stratalens.plans import sqltext as q
 from stratalens.plans.registry import query
 from stratalens.plans.testbed import LANG
@@ -241,7 +242,7 @@ def neyman_from_variance(t):
     measured = variance.within_stratum_variance(
         variance.long_answers(labels, ["stratum"], ["quality", "toxic"], "double"), ["stratum"]
     )
-    measured = measured.withColumn("dimension", F.lit("Language"))
+    measured = measured.select(dimension_name("Language"), "stratum", "variance")
     return allocation.neyman(t.document_shares(LANG), [LANG], [500], measured)
 
 

@@ -90,9 +90,10 @@ def to_date(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cumulative cell counts at the end of every window.
 
     Each window's counts are added to all windows from then on. The calendar has few windows, so
-    it travels as one array; the counts are already aggregated.
+    it travels as one array; the counts are already aggregated. The filter is always true and
+    keeps both uses of ``cells`` on one exchange.
     """
-    calendar = cells.agg(F.sort_array(F.collect_set("window")).alias("calendar"))
+    calendar = cells.where("n > 0").agg(F.sort_array(F.collect_set("window")).alias("calendar"))
     later = F.filter("calendar", lambda w: w >= F.col("window"))
     spread = cells.withColumn("calendar", calendar.scalar()).select(F.explode(later).alias("until"), *keys, "n")
     return spread.groupBy(F.col("until").alias("window"), *keys).agg(F.sum("n").alias("n"))
