@@ -28,10 +28,13 @@ def _numbers(count: int) -> Column:
 
 
 def normalised(benchmark: DataFrame) -> DataFrame:
-    """Shares divided by their sum per dimension."""
+    """Shares divided by their sum per dimension, where that sum is not 1."""
+    # Fixed value: sums within a millionth of 1 are taken as 1.
     sums = benchmark.groupBy("dimension").agg(F.sum("population_share").alias("_sum"))
     joined = benchmark.join(F.broadcast(sums), "dimension")  # one row per dimension
-    return joined.withColumn("population_share", ratio("population_share", "_sum")).drop("_sum")
+    off = F.abs(F.col("_sum") - 1.0) > 1e-6
+    scaled = F.when(off, ratio("population_share", "_sum")).otherwise(F.col("population_share"))
+    return joined.withColumn("population_share", scaled).drop("_sum")
 
 
 def best_allocation(benchmark: DataFrame, dims: Sequence[Dimension], sizes: Sequence[int]) -> DataFrame:

@@ -18,7 +18,7 @@ SIZES = (50, 100, 250, 1000)
 
 def _best(sizes) -> str:
     values = ", ".join(f"({s})" for s in sizes)
-    return f"""ideal AS (SELECT dimension, {STD_LABEL} AS stratum, q / sum(q) OVER (PARTITION BY dimension, size) AS q, CAST(size AS BIGINT) AS size
+    return f"""ideal AS (SELECT dimension, {STD_LABEL} AS stratum, CASE WHEN abs(sum(q) OVER (PARTITION BY dimension, size) - 1) > 1e-6 THEN q / sum(q) OVER (PARTITION BY dimension, size) ELSE q END AS q, CAST(size AS BIGINT) AS size
   FROM bench, (VALUES {values}) z(size)),
 floored AS (SELECT *, CAST(floor(round(size * q, 9)) AS BIGINT) AS f, round(round(size * q, 9) - floor(round(size * q, 9)), 9) AS rest FROM ideal),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY dimension, size ORDER BY rest DESC, stratum) AS k,
@@ -82,7 +82,7 @@ def _uniform(*parts: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-REPLICATED = f"""ideal AS (SELECT dimension, {STD_LABEL} AS stratum, q / sum(q) OVER (PARTITION BY dimension, size) AS q, CAST(size AS BIGINT) AS size
+REPLICATED = f"""ideal AS (SELECT dimension, {STD_LABEL} AS stratum, CASE WHEN abs(sum(q) OVER (PARTITION BY dimension, size) - 1) > 1e-6 THEN q / sum(q) OVER (PARTITION BY dimension, size) ELSE q END AS q, CAST(size AS BIGINT) AS size
   FROM bench, (VALUES (40), (300)) z(size)),
 drawn AS (SELECT ideal.*, replicate, round(size * q, 9) AS i, {_uniform("dimension", "stratum", "size", "replicate")} AS u,
     round({_uniform("dimension", "stratum", "size", "replicate", "'order'")}, 12) AS o FROM ideal, range(20) z(replicate)),

@@ -218,3 +218,10 @@ def test_size_for_target(spark):
     )
     row = replicates.first_size_reaching(curve, 0.7).first()
     assert (row["size_reaching_target"], row["diminishing_after"]) == (20, 20)
+
+
+def test_shares_are_scaled_only_when_they_do_not_add_up(long_benchmark):
+    exact = {r["country"]: r["population_share"] for r in replicates.normalised(long_benchmark(*FIVE)).collect()}
+    assert exact == dict(FIVE)
+    half = {r["country"]: r["population_share"] for r in replicates.normalised(long_benchmark(("A", 0.2), ("B", 0.3))).collect()}
+    assert half == {"A": pytest.approx(0.4), "B": pytest.approx(0.6)}
