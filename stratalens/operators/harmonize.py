@@ -17,10 +17,14 @@ from stratalens.functions.expressions import age_band, town_setting
 BROADCAST_ROWS = 100_000
 
 
+def is_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``rows`` rows; counts no further than that."""
+    return frame.limit(rows + 1).count() <= rows
+
+
 def broadcast_if_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for tables of at most ``rows`` rows; others are left to the optimizer."""
-    few = frame.limit(rows + 1).count() <= rows
-    return F.broadcast(frame) if few else frame
+    return F.broadcast(frame) if is_small(frame, rows) else frame
 
 
 def mapping_table(spark: SparkSession, mappings: Mapping[str, Mapping[str, Mapping[str, Sequence[str]]]]) -> DataFrame:
@@ -66,12 +70,12 @@ def map_columns(survey: DataFrame, mapping: DataFrame, columns: Sequence[str], s
     stays. ``mapping`` has one row per ``attribute, raw_value`` (see ``one_value_each``).
     """
     frame = survey
-    for column in columns:
-        if column not in survey.columns:
-            continue
-        table = broadcast_if_small(
-            mapping.where(F.col("attribute") == column).select(F.col("raw_value").alias("_raw"), F.col("standard_value").alias("_std"))
-        )
+    present = [c for c in columns if c in survey.columns]
+    small = is_small(mapping)
+    for column in present:
+        table = mapping.where(F.col("attribute") == column).select(F.col("raw_value").alias("_raw"), F.col("standard_value").alias("_std"))
+        if small:
+            table = F.broadcast(table)
         frame = frame.join(table, frame[column] == F.col("_raw"), "inner" if strict else "left")
         value = F.col("_std") if strict else F.coalesce("_std", column)
         frame = frame.withColumn(column, value).drop("_raw", "_std")

@@ -232,9 +232,9 @@ def efficiency(score: Column, maximum: Column) -> Column:
     return F.when(maximum > 0, F.least(F.lit(1.0), ratio(score, maximum))).otherwise(F.lit(0.0))
 
 
-def with_percent_of_max(scores: DataFrame, maxima: DataFrame) -> DataFrame:
+def with_percent_of_max(scores: DataFrame, maxima: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Join ``max_match, max_coverage`` by dimension and express the scores in percent of them."""
-    return scores.join(maxima, "dimension", "left").withColumns(
+    return scores.join(maxima, [*by, "dimension"], "left").withColumns(
         {
             "match_pct_of_max": ratio("match_score", "max_match") * 100,
             "coverage_pct_of_max": ratio("coverage_score", "max_coverage") * 100,
@@ -262,6 +262,18 @@ def nearest_maxima(sizes: DataFrame, maxima: DataFrame) -> DataFrame:
     )
 
 
+def attainable(sizes: DataFrame, maxima: DataFrame) -> DataFrame:
+    """Nearest stored maxima, and the fixed stand-ins for dimensions without any."""
+    found = nearest_maxima(sizes, maxima)
+    row = lambda d, m, c: F.struct(F.lit(d).alias("dimension"), F.lit(m).alias("max_match"), F.lit(c).alias("max_coverage"))
+    stand_ins = sizes.select("survey", "sample_size", F.explode(F.array(*[row(*r) for r in DEFAULT_MAXIMA])).alias("d"))
+    stand_ins = stand_ins.select("survey", "sample_size", "d.dimension", F.col("sample_size").alias("size_used"), "d.max_match", "d.max_coverage")
+    lacking = stand_ins.join(found.select("survey", "dimension"), ["survey", "dimension"], "left_anti")
+    return found.select("survey", "dimension", "size_used", "max_match", "max_coverage").unionByName(
+        lacking.select("survey", "dimension", F.col("size_used").cast("long").alias("size_used"), "max_match", "max_coverage")
+    )
+
+
 def rating(score: Column) -> Column:
     return banded(score, QUALITY_CUTS, "Poor")
 
