@@ -136,19 +136,49 @@ def replicate_statistics(scores: DataFrame, group: Sequence[str], value: str) ->
     )
 
 
-def subsamples(survey: DataFrame, respondent: str, columns: Sequence[str], sizes: Sequence[int], replicates: int, spread: int = 256) -> DataFrame:
-    """Random sub-samples without replacement: per replicate the respondents with the smallest hash.
+def _drawn(survey: DataFrame, respondent: str, columns: Sequence[str], replicates: int) -> DataFrame:
+    """Every respondent once per replicate with a random text to order by."""
+    keyed = survey.select(respondent, *columns).withColumn("replicate", F.explode(_numbers(replicates)))
+    return keyed.withColumn("_draw", F.md5(F.concat_ws("|", F.col(respondent).cast("string"), F.col("replicate").cast("string"))))
+
 
-    Each task keeps only its smallest hashes per replicate and slice, so the survey itself is
-    never shuffled; the slices are then merged to the overall smallest.
+def _candidates(drawn: DataFrame, largest: int, replicates: int, respondents: int | None) -> DataFrame | None:
+    """Respondents whose draw is small enough to matter: about four times as many as needed.
+
+    They are found by a plain filter, without sorting or moving the survey. None when the filter
+    would keep everything, or kept too few for some replicate; then all respondents are ranked.
+    """
+    if not respondents or respondents <= 8 * largest:
+        return None
+    border = f"{int(4 * largest / respondents * 16**8):08x}"
+    few = materialize(drawn.where(F.col("_draw") < border))
+    enough = few.groupBy("replicate").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= largest).count()
+    return few if enough == replicates else None
+
+
+def subsamples(
+    survey: DataFrame,
+    respondent: str,
+    columns: Sequence[str],
+    sizes: Sequence[int],
+    replicates: int,
+    respondents: int | None = None,
+    spread: int = 256,
+) -> DataFrame:
+    """Random sub-samples without replacement: per replicate the respondents with the smallest draw.
+
+    With the number of ``respondents`` known, a filter keeps the few that can be among them.
+    Otherwise each task keeps only its smallest draws per replicate and slice. Either way the
+    survey is not shuffled, and the last ranking sees a few times ``max(sizes)`` rows per slice.
     """
     largest = max(sizes)
-    keyed = survey.select(respondent, *columns).withColumn("replicate", F.explode(_numbers(replicates)))
-    keyed = keyed.withColumn("_draw", F.md5(F.concat_ws("|", F.col(respondent).cast("string"), F.col("replicate").cast("string"))))
-    keyed = keyed.withColumn("_slice", F.pmod(F.xxhash64(respondent), F.lit(spread)))
+    drawn = _drawn(survey, respondent, columns, replicates)
     order = [F.col("_draw"), F.col(respondent)]
-    local = F.row_number().over(Window.partitionBy("replicate", "_slice").orderBy(*order))
-    few = keyed.withColumn("_local", local).where(F.col("_local") <= largest).drop("_local", "_slice")
+    few = _candidates(drawn, largest, replicates, respondents)
+    if few is None:
+        sliced = drawn.withColumn("_slice", F.pmod(F.xxhash64(respondent), F.lit(spread)))
+        local = F.row_number().over(Window.partitionBy("replicate", "_slice").orderBy(*order))
+        few = sliced.withColumn("_local", local).where(F.col("_local") <= largest).drop("_local", "_slice")
     place = F.row_number().over(Window.partitionBy("replicate").orderBy(*order))
     placed = few.withColumn("_place", place).where(F.col("_place") <= largest)
     sized = placed.withColumn("size", F.explode(F.array(*[F.lit(int(s)).cast("long") for s in sizes])))
@@ -170,14 +200,16 @@ def subsample_scores(
     """
     columns = key_columns(dims)
     group = ["size", "replicate"]
-    drawn = subsamples(survey, respondent, columns, sizes, replicates)
-    cells = cell_counts(drawn, columns, group)
-    whole = cell_counts(survey, columns).withColumn("size", F.lit(0).cast("long")).withColumn("replicate", F.lit(0).cast("long"))
-    cells = materialize(cells.unionByName(whole))
+    zero = F.lit(0).cast("long")
+    whole = materialize(cell_counts(survey, columns).withColumn("size", zero).withColumn("replicate", zero))
+    respondents = whole.agg(F.sum("n")).first()[0]
+    drawn = subsamples(survey, respondent, columns, sizes, replicates, respondents)
+    cells = materialize(cell_counts(drawn, columns, group).unionByName(whole))
     if mode == "none":
         return scorecard(cells, benchmark, dims, group)
     if mode != "auto":
         raise ValueError("mode is 'none' or 'auto'")
+    benchmark = materialize(benchmark)
     out = None
     for size in [*sizes, 0]:
         part = cells.where(F.col("size") == size)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions.expressions import banded, ratio, standard_error
-from stratalens.operators.strata import Dimension, dimension_label, line_up
+from stratalens.operators.strata import Dimension, as_long, cell_counts, dimension_label, line_up
 
 # Rating cut-offs and their names.
 QUALITY_CUTS = [(0.8, "Excellent"), (0.6, "Good"), (0.4, "Moderate")]
@@ -293,7 +293,5 @@ def per_hundred(score: Column, size: Column) -> Column:
 
 def match_score(survey: DataFrame, benchmark: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Match, coverage and sample size for one list of columns (the everyday entry point)."""
-    from stratalens.operators.strata import as_long, cell_counts
-
     dim = Dimension(" × ".join(columns), tuple(columns))
     return match_and_coverage(line_up(cell_counts(survey, columns), as_long(benchmark, dim), [dim]))

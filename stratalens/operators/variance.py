@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalens.functions.expressions import banded, ratio
+from stratalens.functions.expressions import LABEL_SEPARATOR, banded, ratio
+from stratalens.operators.strata import Dimension
 
 # Fixed value: used where a stratum has too few answers.
 DEFAULT_VARIANCE = 0.25
@@ -229,3 +230,23 @@ def agreement_variance(rates: DataFrame, strata: DataFrame) -> DataFrame:
     return strata.select("stratum").distinct().join(spread, "stratum", "left").select(
         "stratum", F.coalesce("variance", F.lit(DEFAULT_VARIANCE)).alias("variance")
     )
+
+
+def for_dimensions(variance: DataFrame, dims: Sequence[Dimension]) -> DataFrame:
+    """Variances under the names of ``dims``, whatever spelling the lookup uses.
+
+    A dimension is looked up as ``A x B``, then under its own name, then, with a single column,
+    under that column's name in title case; the first spelling found is used alone.
+    """
+    spellings = []
+    for d in dims:
+        names = [d.name.replace(LABEL_SEPARATOR, " x "), d.name]
+        if len(d.columns) == 1:
+            names.append(d.columns[0].title())
+        spellings += [(name, d.name, rank) for rank, name in enumerate(dict.fromkeys(names))]
+    table = F.explode(F.array(*[F.struct(F.lit(s).alias("spelling"), F.lit(d).alias("name"), F.lit(r).alias("rank")) for s, d, r in spellings]))
+    aliases = F.broadcast(variance.sparkSession.range(1).select(table.alias("a")).select("a.*"))  # three rows per dimension at most
+    named = variance.join(aliases, F.col("dimension") == F.col("spelling"))
+    used = named.groupBy("name").agg(F.min("rank").alias("rank"))
+    chosen = named.join(F.broadcast(used), ["name", "rank"])  # one row per dimension
+    return chosen.select(F.col("name").alias("dimension"), "stratum", "variance")

@@ -8,6 +8,7 @@ from stratalens.plans import (
     q_replicates,
     q_scores,
     q_segments,
+    q_sources,
     q_stream,
     q_variance,
 )

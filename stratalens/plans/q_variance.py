@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalens.operators import allocation, variance
-from stratalens.operators.strata import dimension_name
+from stratalens.operators.strata import Dimension, dimension_name
 from stratalens.plans import sqltext as q
 from stratalens.plans.registry import query
-from stratalens.plans.testbed import LANG
+from stratalens.plans.testbed import LANG, LANG_SOURCE
 
 LINES = """long AS (
   SELECT l_returnflag || ' × ' || l_linestatus AS stratum, question, answer FROM (
@@ -255,3 +255,47 @@ UNION ALL SELECT 'text', count(DISTINCT text) FROM documents HAVING count(DISTIN
 )
 def poll_columns(t):
     return variance.poll_columns(t.read("documents"), excluded=["doc_id"])
+
+
+TRUST = """replies AS (SELECT CAST(date_part('day', ts) AS BIGINT) % 7 AS grp,
+    CASE event_type WHEN 'click' THEN 'Strongly Trust' WHEN 'view' THEN 'Somewhat Trust' WHEN 'error' THEN 'Strongly Distrust'
+      WHEN 'signup' THEN 'Neither Trust Nor Distrust' ELSE 'skipped' END AS trust_ai,
+    CASE WHEN value > 20 THEN 'Yes' WHEN value > 5 THEN 'No' ELSE 'Unsure' END AS ai_use FROM events),
+long AS (SELECT grp AS stratum, question, CAST(CASE answer WHEN 'Strongly Trust' THEN 5 WHEN 'Somewhat Trust' THEN 4 WHEN 'Neither Trust Nor Distrust' THEN 3
+    WHEN 'Strongly Distrust' THEN 1 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 WHEN 'Unsure' THEN 0.5 END AS DOUBLE) AS answer
+  FROM replies UNPIVOT (answer FOR question IN (trust_ai, ai_use)))"""
+
+
+@query(
+    "within_variance_text",
+    f"""WITH {TRUST}, {LINE_ONE}
+SELECT stratum AS grp, {q.r("CASE WHEN max(rows_) < 2 THEN 0.25 ELSE coalesce(avg(sv), 0.25) END", "variance")} FROM scaled GROUP BY stratum""",
+)
+def within_variance_text(t):
+    """Text answers on the five-point scale; only indicator questions count."""
+    e, value = F.col("event_type"), F.col("value")
+    trust = (
+        F.when(e == "click", "Strongly Trust").when(e == "view", "Somewhat Trust").when(e == "error", "Strongly Distrust")
+        .when(e == "signup", "Neither Trust Nor Distrust").otherwise("skipped")
+    )
+    use = F.when(value > 20, "Yes").when(value > 5, "No").otherwise("Unsure")
+    replies = t.read("events").select((F.dayofmonth("ts").cast("long") % 7).alias("grp"), trust.alias("trust_ai"), use.alias("ai_use"), "user_id")
+    answers = variance.long_answers(replies, ["grp"], variance.indicator_columns(replies.columns), "string")
+    numeric = answers.withColumn("answer", variance.scaled(F.col("answer"), variance.FIVE_POINT_SCALE))
+    return variance.within_stratum_variance(numeric, ["grp"])
+
+
+@query(
+    "variance_spellings",
+    f"""WITH {q.LABELLED}
+SELECT 'Language × Source' AS dimension, lang || ' × ' || source AS stratum, {q.r("var_samp(quality)", "variance")} FROM labelled GROUP BY lang, source
+UNION ALL SELECT 'Tongue', lang, {q.r("var_samp(quality)", "v")} FROM labelled GROUP BY lang""",
+)
+def variance_spellings(t):
+    """A lookup that writes its dimensions differently from the scorecard."""
+    fine = t.labelled.groupBy("lang", "source").agg(F.var_samp("quality").alias("variance"))
+    coarse = t.labelled.groupBy("lang").agg(F.var_samp("quality").alias("variance"))
+    lookup = fine.select(F.lit("Language x Source").alias("dimension"), F.concat_ws(" × ", "lang", "source").alias("stratum"), "variance").unionByName(
+        coarse.select(F.lit("Lang").alias("dimension"), F.col("lang").alias("stratum"), "variance")
+    )
+    return variance.for_dimensions(lookup, [LANG_SOURCE, Dimension("Tongue", ("lang",))])

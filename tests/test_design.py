@@ -192,9 +192,11 @@ def test_subsamples_pick_the_smallest_hashes(spark):
     import hashlib
 
     survey = spark.range(900).select(F.col("id").alias("respondent"), F.lit("x").alias("country"))
-    got = {r["respondent"] for r in replicates.subsamples(survey, "respondent", ["country"], [30], 1, spread=4).collect()}
     ranked = sorted(range(900), key=lambda i: (hashlib.md5(f"{i}|0".encode()).hexdigest(), i))
-    assert got == set(ranked[:30])
+    # Slices, the filter, and a filter that keeps too few because the survey is smaller than stated.
+    for respondents in (None, 900, 90_000):
+        drawn = replicates.subsamples(survey, "respondent", ["country"], [30], 1, respondents, spread=4)
+        assert {r["respondent"] for r in drawn.collect()} == set(ranked[:30])
 
 
 def test_expected_coverage(long_benchmark):
