@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions.expressions import ratio
-from stratalens.operators.strata import Dimension, dimension_label
+from stratalens.operators.strata import Dimension, dimension_label, few
 
 # Fixed value: variance of a yes/no answer at its largest, used where none is known.
 DEFAULT_VARIANCE = 0.25
@@ -39,7 +39,8 @@ def neyman(
     difference goes to the largest stratum (first by name among equals)."""
     strata = with_variance(benchmark.withColumn("stratum", dimension_label(dims)), variance)
     weighed = with_sizes(strata, sizes).withColumn("_w", F.col("population_share") * F.sqrt("variance"))
-    sums = weighed.groupBy(*GROUP).agg(F.sum("_w").alias("_sum"))
+    pairs = len(dims) * len(sizes)
+    sums = few(weighed.groupBy(*GROUP).agg(F.sum("_w").alias("_sum")), pairs)
     ideal = F.round(F.col("size") * ratio("_w", "_sum"), 9)
     rounded = weighed.join(sums, GROUP).withColumn("n", F.coalesce(F.bround(ideal), F.lit(0)).cast("long"))
     largest = rounded.groupBy(*GROUP).agg(
@@ -47,7 +48,7 @@ def neyman(
         F.min_by("stratum", F.struct((-F.col("n")).alias("n"), F.col("stratum"))).alias("_largest"),
     )
     residue = F.when(F.col("stratum") == F.col("_largest"), F.col("size") - F.col("_given")).otherwise(F.lit(0))
-    return rounded.join(largest, GROUP).select(
+    return rounded.join(few(largest, pairs), GROUP).select(
         *GROUP, "stratum", "population_share", "variance", (F.col("n") + residue).cast("long").alias("optimal_n")
     )
 

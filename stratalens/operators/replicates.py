@@ -17,7 +17,7 @@ from stratalens.operators.allocation import with_sizes
 from stratalens.operators.ordering import running_totals
 from stratalens.operators.reshape import auto_simplify
 from stratalens.operators.scores import coverage_of, match_of, scorecard
-from stratalens.operators.strata import Dimension, cell_counts, dimension_label, key_columns
+from stratalens.operators.strata import Dimension, cell_counts, dimension_label, few, key_columns
 from stratalens.session import materialize
 
 SIZE = ["dimension", "size"]
@@ -45,7 +45,7 @@ def best_allocation(benchmark: DataFrame, dims: Sequence[Dimension], sizes: Sequ
         *SIZE, "stratum", "population_share", F.floor(ideal).alias("_floor"), F.round(ideal - F.floor(ideal), 9).alias("_rest")
     )
     ranked = running_totals(floored, [F.desc("_rest"), F.col("stratum")], by=SIZE)
-    given = ranked.groupBy(*SIZE).agg(F.sum("_floor").alias("_given"))
+    given = few(ranked.groupBy(*SIZE).agg(F.sum("_floor").alias("_given")), len(dims) * len(sizes))
     extra = F.when(F.col("rank") <= F.col("size") - F.col("_given"), 1).otherwise(0)
     return ranked.join(given, SIZE).select(*SIZE, "stratum", "population_share", (F.col("_floor") + extra).cast("long").alias("n"))
 
@@ -108,6 +108,7 @@ def replicate_counts(benchmark: DataFrame, dims: Sequence[Dimension], sizes: Seq
     )
     ordered = running_totals(ordered, [F.col("_draw"), F.col("stratum")], by=group, rank="_added")
     totals = ordered.groupBy(*group).agg(F.sum("n").alias("_sum"), F.count(F.lit(1)).alias("_strata"))
+    totals = few(totals, len(dims) * len(sizes) * replicates)
     gap = F.col("size") - F.col("_sum")
     more = F.floor(gap / F.col("_strata")) + F.when(F.col("_added") <= gap % F.col("_strata"), 1).otherwise(0)
     less = F.when(F.col("_taken") <= -gap, 1).otherwise(0)
@@ -151,9 +152,9 @@ def _candidates(drawn: DataFrame, largest: int, replicates: int, respondents: in
     if not respondents or respondents <= 8 * largest:
         return None
     border = f"{int(4 * largest / respondents * 16**8):08x}"
-    few = materialize(drawn.where(F.col("_draw") < border))
-    enough = few.groupBy("replicate").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= largest).count()
-    return few if enough == replicates else None
+    kept = materialize(drawn.where(F.col("_draw") < border))
+    enough = kept.groupBy("replicate").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= largest).count()
+    return kept if enough == replicates else None
 
 
 def subsamples(
@@ -174,13 +175,13 @@ def subsamples(
     largest = max(sizes)
     drawn = _drawn(survey, respondent, columns, replicates)
     order = [F.col("_draw"), F.col(respondent)]
-    few = _candidates(drawn, largest, replicates, respondents)
-    if few is None:
+    near = _candidates(drawn, largest, replicates, respondents)
+    if near is None:
         sliced = drawn.withColumn("_slice", F.pmod(F.xxhash64(respondent), F.lit(spread)))
         local = F.row_number().over(Window.partitionBy("replicate", "_slice").orderBy(*order))
-        few = sliced.withColumn("_local", local).where(F.col("_local") <= largest).drop("_local", "_slice")
+        near = sliced.withColumn("_local", local).where(F.col("_local") <= largest).drop("_local", "_slice")
     place = F.row_number().over(Window.partitionBy("replicate").orderBy(*order))
-    placed = few.withColumn("_place", place).where(F.col("_place") <= largest)
+    placed = near.withColumn("_place", place).where(F.col("_place") <= largest)
     sized = placed.withColumn("size", F.explode(F.array(*[F.lit(int(s)).cast("long") for s in sizes])))
     return sized.where("_place <= size").select("size", "replicate", respondent, *columns)
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalens.operators.harmonize import broadcast_if_small
 from stratalens.operators.ordering import first_rows, running_totals
 from stratalens.operators.strata import Dimension, dimension_label, key_columns, same_keys
 
@@ -139,9 +140,10 @@ def keep_listed(benchmark: DataFrame, dim: Dimension, listed: DataFrame, label:
 
 
 def relabel_survey(survey: DataFrame, simplified: DataFrame, dim: Dimension, label: str) -> DataFrame:
-    """Give respondents outside the kept strata the name of the summed row."""
+    """Give respondents (or cells) outside the kept strata the name of the summed row."""
     kept = simplified.where(F.col("dimension") == dim.name).select(*dim.columns).distinct()
-    kept = kept.where(reduce(lambda a, b: a | b, [F.col(c) != label for c in dim.columns])).withColumn("_kept", F.lit(True))
+    kept = kept.where(reduce(lambda a, b: a | b, [F.col(c) != label for c in dim.columns]))
+    kept = broadcast_if_small(kept.withColumn("_kept", F.lit(True)))
     whole = reduce(lambda a, b: a & b, [F.col(f"s.{c}").isNotNull() for c in dim.columns])
     joined = survey.alias("s").join(kept.alias("k"), same_keys("s", "k", dim.columns), "left")
     shown = [

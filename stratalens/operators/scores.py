@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions.expressions import banded, ratio, standard_error
-from stratalens.operators.strata import Dimension, as_long, cell_counts, dimension_label, line_up
+from stratalens.operators.strata import Dimension, as_long, cell_counts, dimension_label, few, line_up
 
 # Rating cut-offs and their names.
 QUALITY_CUTS = [(0.8, "Excellent"), (0.6, "Good"), (0.4, "Moderate")]
@@ -178,7 +178,7 @@ def strategic_detail(aligned: DataFrame, dims: Sequence[Dimension], by: Sequence
 def weighted_detail(weighted: DataFrame, dims: Sequence[Dimension], by: Sequence[str] = ()) -> DataFrame:
     """One row per stratum behind the weighted score, with normalised weights."""
     group = [*by, "dimension"]
-    totals = weighted.groupBy(*group).agg(F.sum("weight").alias("weight_sum"))
+    totals = few(weighted.groupBy(*group).agg(F.sum("weight").alias("weight_sum")), len(dims), by)
     gap = F.abs(F.col("sample_share") - F.col("population_share"))
     return weighted.join(totals, group).select(
         *group,

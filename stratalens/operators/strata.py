@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from stratalens.functions.expressions import ratio, stratum_label
 
 
+MOST_BROADCAST_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class Dimension:
     """A named list of key columns; ``requires`` names the hierarchy tables it depends on."""
@@ -50,6 +53,12 @@ def same_keys(left: str, right: str, columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
 
+def few(frame: DataFrame, rows: int, by: Sequence[str] = ()) -> DataFrame:
+    """Broadcast a table whose number of rows is known from parameters (dimensions, sizes,
+    replicates). With groups of unknown number, or too many rows, the optimizer decides."""
+    return F.broadcast(frame) if not by and rows <= MOST_BROADCAST_ROWS else frame
+
+
 def cell_counts(survey: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Respondents per cell. Rows with missing keys keep their own cell, so totals stay whole."""
     return survey.groupBy(*by, *columns).agg(F.count(F.lit(1)).alias("n"))
@@ -172,7 +181,7 @@ def line_up(
         expected, counts = expected.withColumn("sample_size", size), counts.withColumn("sample_size", size)
     counts = counts.withColumn("sample_share", ratio("n", "sample_size"))
     if keyed:
-        whole = roll_up(cells, dims, "n", by).groupBy(*group).agg(F.sum("n").alias("keyed_size"))
+        whole = few(roll_up(cells, dims, "n", by).groupBy(*group).agg(F.sum("n").alias("keyed_size")), len(dims), by)
         counts = counts.alias("k").join(whole.alias("z"), same_keys("k", "z", group))
         counts = counts.select("k.*", ratio("n", "keyed_size").alias("keyed_share"))
 
@@ -180,7 +189,7 @@ def line_up(
     expected = expected.withColumn("relevant", F.coalesce(F.col("population_share") > bar, F.lit(False)))
     if targets:
         roots = benchmark.groupBy("dimension").agg(F.sum(F.sqrt("population_share")).alias("root_sum"))
-        expected = expected.join(F.broadcast(roots), "dimension", "left")  # one row per dimension
+        expected = expected.join(few(roots, len(dims)), "dimension", "left")
         expected = expected.withColumn("target_share", ratio(F.sqrt("population_share"), F.col("root_sum")))
 
     on = [*group, *keys]
