@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratalens.operators import compare, scores, segments
-from stratalens.operators.strata import Dimension, cell_counts
+from stratalens.operators import compare, scores
+from stratalens.operators.strata import Dimension
 from stratalens.plans import sqltext as q
 from stratalens.plans.q_scores import FULL, full_card
 from stratalens.plans.registry import query

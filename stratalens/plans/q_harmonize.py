@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from stratalens.functions import expressions as ex
 from stratalens.functions import fixed
 from stratalens.operators import benchmarks, harmonize
-from stratalens.operators.strata import Dimension, as_long, population_shares, roll_up_shares, route_benchmarks
+from stratalens.operators.scores import match_and_coverage
+from stratalens.operators.strata import Dimension, cell_counts, line_up, population_shares, route_benchmarks
 from stratalens.plans import sqltext as q
 from stratalens.plans.registry import query
-from stratalens.plans.testbed import COUNTRY, COUNTRY_SEGMENT, REGION, REGION_SEGMENT, SEGMENT, STANDARD
+from stratalens.plans.testbed import COUNTRY, COUNTRY_SEGMENT, REGION, REGION_SEGMENT
 from stratalens.sources import readers
 
 MAPPINGS = {
@@ -257,9 +258,6 @@ SELECT dimension, max(size) AS sample_size, {q.r(q.MATCH, "match_score")}, {q.r(
 )
 def region_subset_score(t):
     """Scoring one region against the whole population, as asked for by an analyst."""
-    from stratalens.operators.scores import match_and_coverage
-    from stratalens.operators.strata import cell_counts, line_up
-
     asia = t.survey.where("region = 'ASIA'")
     return match_and_coverage(line_up(cell_counts(asia, ["country"]), t.benchmark_for(COUNTRY), [COUNTRY]))
 

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from stratalens.operators import quality
 from stratalens.operators.harmonize import add_hierarchy, mapping_table
-from stratalens.operators.strata import Dimension, as_long
+from stratalens.operators.strata import Dimension
 from stratalens.plans import sqltext as q
 from stratalens.plans.q_harmonize import MAPPINGS
 from stratalens.plans.registry import query
-from stratalens.plans.testbed import COUNTRY, LANG_SOURCE, STANDARD
+from stratalens.plans.testbed import LANG_SOURCE, STANDARD
 
 ISSUE = 'SELECT {source} AS source, \'{check}\' AS "check", {column} AS "column", {value} AS value, \'{severity}\' AS severity'
 

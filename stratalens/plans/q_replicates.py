@@ -8,11 +8,10 @@ from stratalens.operators import replicates, scores
 from stratalens.operators.strata import cell_counts, line_up
 from stratalens.plans import sqltext as q
 from stratalens.plans.registry import query
-from stratalens.plans.testbed import COUNTRY, COUNTRY_SEGMENT, DOCUMENT, REGION, SEGMENT, STANDARD
+from stratalens.plans.testbed import COUNTRY, COUNTRY_SEGMENT, REGION, SEGMENT, STANDARD
 
 STD = f"{q.PEOPLE}, {q.shares('bench', 'people', q.STANDARD, q.STANDARD_KEYS)}"
 STD_LABEL = q.label(q.STANDARD, q.STANDARD_KEYS)
-DOC_LABEL = q.label(q.DOCUMENT, q.DOCUMENT_KEYS)
 SIZES = (50, 100, 250, 1000)
 
 

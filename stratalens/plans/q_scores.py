@@ -155,7 +155,7 @@ VARIANCE_SQL = """variance AS (
   UNION ALL SELECT 'Source', source, var_samp(quality) FROM labelled WHERE source < 'src3' GROUP BY source)"""
 
 
-def _label_variance(t):
+def label_variance(t):
     by_lang = t.labelled.groupBy("lang").agg(F.var_samp("quality").alias("variance"))
     by_source = t.labelled.where("source < 'src3'").groupBy("source").agg(F.var_samp("quality").alias("variance"))
     return by_lang.select(dimension_name("Language"), F.col("lang").alias("stratum"), "variance").unionByName(
@@ -177,7 +177,7 @@ SELECT dimension, {q.r(q.MATCH, "match_score")}, {q.r(q.WEIGHTED, "weighted_scor
 )
 def weighted_reliability(t):
     """Only some strata have a known variance; the rest count as fully reliable."""
-    weighted = scores.with_weights(t.document_aligned(DOCUMENT), DOCUMENT, _label_variance(t))
+    weighted = scores.with_weights(t.document_aligned(DOCUMENT), DOCUMENT, label_variance(t))
     return scores.match_beside_weighted(weighted)
 
 
@@ -191,7 +191,7 @@ SELECT dimension, stratum, {q.r("q", "population_share")}, {q.r("s", "sample_sha
 FROM weighted""",
 )
 def weighted_detail(t):
-    weighted = scores.with_weights(t.document_aligned(DOCUMENT), DOCUMENT, _label_variance(t))
+    weighted = scores.with_weights(t.document_aligned(DOCUMENT), DOCUMENT, label_variance(t))
     return scores.weighted_detail(materialize(weighted), DOCUMENT)
 
 
@@ -258,7 +258,7 @@ card AS (SELECT priority, dimension, max(size) AS sample_size, count(*) AS strat
 
 
 def full_card(t):
-    cells = cell_counts(t.survey, ["country", "segment", "region"], ["priority"])
+    cells = t.order_cells(["country", "segment", "region"], ["priority"])
     return scores.scorecard(cells, t.benchmark, STANDARD, ["priority"])
 
 
@@ -350,11 +350,6 @@ def agreement_improvement(t):
     return scores.mean_improvement(_agreement(t))
 
 
-MAXIMA = """sized AS (SELECT * FROM (VALUES (1000), (2000), (5000), (20000)) v(size)),
-base AS (SELECT n_name AS country, r_name AS region, c_mktsegment AS segment FROM customer JOIN nation ON c_nationkey = n_nationkey
-  JOIN region ON n_regionkey = r_regionkey)"""
-
-
 @query(
     "nearest_max",
     f"""WITH {q.PEOPLE}, {q.shares("bench", "people", q.STANDARD[2:], q.STANDARD_KEYS)},

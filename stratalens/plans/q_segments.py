@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 from stratalens.operators import scores, segments
 from stratalens.operators.strata import cell_counts, line_up
 from stratalens.plans import sqltext as q
-from stratalens.plans.q_scores import WEIGHTED_DOC, _label_variance, full_card, FULL
+from stratalens.plans.q_scores import FULL, WEIGHTED_DOC, full_card, label_variance
 from stratalens.plans.registry import query
+from stratalens.plans.testbed import COUNTRY, COUNTRY_SEGMENT, DOCUMENT
 from stratalens.session import materialize
-from stratalens.plans.testbed import COUNTRY, COUNTRY_SEGMENT, DOCUMENT, STANDARD
 
 DOC = f"""{q.LABELLED}, {q.lined_up(q.DOCUMENT, q.DOCUMENT_KEYS, survey="labelled", base="documents")}"""
 GAPS = """gaps AS (
   SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY dimension) - q AS dev, n::DOUBLE / sum(n) OVER (PARTITION BY dimension) AS sk
   FROM aligned)"""
 DOC_LABEL = q.label(q.DOCUMENT, q.DOCUMENT_KEYS)
-STD_LABEL = q.label(q.STANDARD, q.STANDARD_KEYS)
 
 
 def doc_gaps(t):
@@ -253,7 +252,7 @@ SELECT dimension, stratum, {q.r("w0", "weight_plain")}, {q.r("w1", "weight_infor
 def weight_shift(t):
     aligned = materialize(t.document_aligned(DOCUMENT))
     plain = scores.weighted_detail(scores.with_weights(aligned, DOCUMENT), DOCUMENT)
-    informed = scores.weighted_detail(scores.with_weights(aligned, DOCUMENT, _label_variance(t)), DOCUMENT)
+    informed = scores.weighted_detail(scores.with_weights(aligned, DOCUMENT, label_variance(t)), DOCUMENT)
     return segments.weight_shift(plain, informed, DOCUMENT)
 
 

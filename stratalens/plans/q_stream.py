@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratalens.operators.scores import match_and_coverage
 from stratalens.operators.strata import Dimension, population_shares
 from stratalens.plans import sqltext as q
 from stratalens.plans.registry import query
@@ -17,7 +16,7 @@ DIMS = (TYPE_LEVEL, TYPE)
 SQL_DIMS = [("Type × Level", ("event_type", "level")), ("Type", ("event_type",))]
 KEYS = ("event_type", "level")
 
-# The population the arriving respondents should mirror: events weighted by nothing, all of them.
+# Arriving respondents are measured against all events.
 EVENTS = """answers AS (SELECT ts, strftime(ts, '%Y-%m-%d') AS "window", event_type, CASE WHEN value > 10 THEN 'high' ELSE 'low' END AS level FROM events)"""
 
 
@@ -36,7 +35,7 @@ def event_benchmark(t):
     return population_shares(answers(t.read("events")), DIMS)
 
 
-BY_WINDOW = q.lined_up(SQL_DIMS, KEYS, survey="answers", base="answers", by=('"window"',)).replace('e."window"', 'e."window"')
+BY_WINDOW = q.lined_up(SQL_DIMS, KEYS, survey="answers", base="answers", by=('"window"',))
 
 
 @query(

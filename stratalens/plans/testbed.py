@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.operators.strata import Dimension, cell_counts, line_up, population_shares
+from stratalens.operators.strata import Dimension, cell_counts, key_columns, line_up, population_shares
 
 COUNTRY_SEGMENT = Dimension("Country × Segment", ("country", "segment"), description="Fine-grained match")
 REGION_SEGMENT = Dimension(
@@ -75,9 +75,21 @@ class Tables:
     def benchmark_for(self, *dims: Dimension) -> DataFrame:
         return population_shares(self.population, dims)
 
+    def order_cells(self, columns, by=()) -> DataFrame:
+        """Cells of the orders survey. Orders are counted per customer before they meet the
+        customer table: a customer with very many orders is a few rows in that join."""
+        known = {
+            "priority": F.col("o_orderpriority"),
+            "status": F.col("o_orderstatus"),
+            "wave": F.year("o_orderdate").cast("long"),
+        }
+        orders = self.read("orders").select("o_custkey", *[known[b].alias(b) for b in by])
+        counted = orders.groupBy("o_custkey", *by).agg(F.count(F.lit(1)).alias("n"))
+        described = counted.join(self.population, F.col("o_custkey") == F.col("c_custkey"))
+        return described.groupBy(*by, *columns).agg(F.sum("n").alias("n"))
+
     def aligned(self, dims, by=(), **options) -> DataFrame:
-        cells = cell_counts(self.survey, list(dict.fromkeys(c for d in dims for c in d.columns)), by)
-        return line_up(cells, self.benchmark_for(*dims), dims, by, **options)
+        return line_up(self.order_cells(key_columns(dims), by), self.benchmark_for(*dims), dims, by, **options)
 
     @cached_property
     def labelled(self) -> DataFrame:
@@ -88,7 +100,7 @@ class Tables:
         return population_shares(self.read("documents").select("lang", "source"), dims)
 
     def document_aligned(self, dims, **options) -> DataFrame:
-        cells = cell_counts(self.labelled, list(dict.fromkeys(c for d in dims for c in d.columns)))
+        cells = cell_counts(self.labelled, key_columns(dims))
         return line_up(cells, self.document_shares(*dims), dims, **options)
 
     @cached_property

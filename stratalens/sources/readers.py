@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from stratalens.functions import fixed
 from stratalens.functions.expressions import clean_text
-from stratalens.operators.harmonize import add_hierarchy, drop_incomplete, map_lenient
+from stratalens.operators.harmonize import add_hierarchy, broadcast_if_small, drop_incomplete, map_lenient
+from stratalens.session import materialize
 
 
 def load_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None, kind: str | None = None, **options) -> DataFrame:
@@ -127,7 +128,7 @@ def load_below_marker(spark: SparkSession, path: str, marker: str, schema: str,
         "value",
     )
     heads = lines.where(F.contains("value", F.lit(marker))).groupBy("file").agg(F.min("place").alias("head"))
-    below = lines.join(F.broadcast(heads), "file").where(F.col("place") > F.col("head"))  # one row per file
+    below = lines.join(broadcast_if_small(materialize(heads)), "file").where(F.col("place") > F.col("head"))
     parsed = below.select(F.from_csv("value", F.lit(schema), {"sep": delimiter, "mode": "PERMISSIVE"}).alias("row"))
     return parsed.select("row.*").na.drop(how="all")
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from stratalens.functions import expressions as ex
 from stratalens.functions import fixed
 from stratalens.operators import benchmarks, harmonize
-from stratalens.operators.strata import Dimension, roll_up, cell_counts
+from stratalens.operators.strata import cell_counts, roll_up
 
 
 def counts(frame, column):

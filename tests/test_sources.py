@@ -1,9 +1,6 @@
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens import Dimension
 from stratalens.operators import harmonize
 from stratalens.sources import readers, writers
 
