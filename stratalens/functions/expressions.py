@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +89,12 @@ def clean_text(text: Column) -> Column:
     return F.when((stripped == "") | (stripped == "nan"), None).otherwise(stripped)
 
 
+def inline_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
+    """A small parameter table inside the plan; its size is known to the optimizer."""
+    structs = [F.struct(*[F.lit(v).alias(c) for v, c in zip(row, columns)]) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
 def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column, leaving the others alone."""
     return frame.select(

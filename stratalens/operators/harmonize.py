@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.functions import fixed
-from stratalens.functions.expressions import age_band, town_setting
+from stratalens.functions.expressions import age_band, inline_table, town_setting
 
 BROADCAST_ROWS = 100_000
 
@@ -36,12 +36,12 @@ def mapping_table(spark: SparkSession, mappings: Mapping[str, Mapping[str, Mappi
         for standard, raws in standards.items()
         for raw in raws
     ]
-    return spark.createDataFrame(rows, "source string, attribute string, raw_value string, standard_value string")
+    return inline_table(spark, rows, ["source", "attribute", "raw_value", "standard_value"])
 
 
 def standard_mappings(spark: SparkSession) -> DataFrame:
     """The built-in mapping table with inheritance resolved."""
-    inherits = spark.createDataFrame(list(fixed.SEGMENT_INHERITS), "source string, attribute string, parent string")
+    inherits = inline_table(spark, fixed.SEGMENT_INHERITS, ["source", "attribute", "parent"])
     return resolve_mappings(mapping_table(spark, fixed.SEGMENT_MAPPINGS), inherits)
 
 

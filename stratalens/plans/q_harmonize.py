@@ -27,7 +27,7 @@ stat AS (SELECT * FROM (VALUES ('F', 'Done'), ('O', 'Open'), ('P', 'Open')) v(ra
 
 def mappings(t):
     table = harmonize.mapping_table(t.spark, MAPPINGS)
-    inherits = t.spark.createDataFrame([("web", "status", "orders")], "source string, attribute string, parent string")
+    inherits = ex.inline_table(t.spark, [("web", "status", "orders")], ["source", "attribute", "parent"])
     return harmonize.resolve_mappings(table, inherits)
 
 

@@ -125,7 +125,7 @@ SUB_KEYS = ("country", "region", "segment")
 
 @query(
     "subsample_stability",
-    f"""WITH {q.ORDERS}, {SUB}, {q.lined_up(SUB_DIMS, SUB_KEYS, survey="sub", by=("size", "replicate")).replace("count(*) AS size FROM", "count(*) AS total FROM").replace("bench.*, size, q > 1.0 / size", "bench.*, total, q > 1.0 / total").replace("counts.*, size, n::DOUBLE / size AS s", "counts.*, total, n::DOUBLE / total AS s").replace("coalesce(e.size, c.size) AS size, q IS NOT NULL", "coalesce(e.total, c.total) AS total, q IS NOT NULL")},
+    f"""WITH {q.ORDERS}, {SUB}, {q.lined_up(SUB_DIMS, SUB_KEYS, survey="sub", by=("size", "replicate"), total="total")},
 weighted AS (SELECT *, q * {q.SE} AS w FROM aligned),
 card AS (SELECT size, replicate, dimension, {q.MATCH} AS m, {q.COVERAGE} AS c, {q.STRATEGIC} AS st, {q.WEIGHTED} AS v FROM weighted GROUP BY ALL)
 SELECT CAST(size AS BIGINT) AS size, dimension, count(*) AS replicates, {q.r("avg(m)", "match_mean")}, {q.r("stddev_pop(m)", "match_std")},

@@ -46,7 +46,7 @@ SELECT "window", dimension, max(size) AS sample_size, {q.r(q.MATCH, "match_score
 def windowed_match(t):
     """Each day's events against all events."""
     cells = live.windowed_cells(answers(t.read("events")), "ts", ["event_type", "level"])
-    return live.windowed_scores(cells, event_benchmark(t), DIMS)
+    return live.windowed_scores(cells, population_shares(cells, DIMS, F.col("n")), DIMS)
 
 
 @query(
@@ -60,7 +60,8 @@ SELECT "window", dimension, max(size) AS sample_size, {q.r(q.MATCH, "match_score
 def cumulative_match(t):
     """Everything up to each day against all events."""
     cells = live.windowed_cells(answers(t.read("events")), "ts", ["event_type", "level"])
-    return live.windowed_scores(live.to_date(cells, ["event_type", "level"]), event_benchmark(t), DIMS)
+    bench = population_shares(cells.where("n > 0"), DIMS, F.col("n"))
+    return live.windowed_scores(live.to_date(cells, ["event_type", "level"]), bench, DIMS)
 
 
 @query(

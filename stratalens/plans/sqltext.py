@@ -56,26 +56,33 @@ def shares(name: str, table: str, dims, keys: Sequence[str]) -> str:
 
 
 def lined_up(
-    dims, keys: Sequence[str], survey: str = "survey", base: str = "people", by: Sequence[str] = (), threshold: str | None = None
+    dims,
+    keys: Sequence[str],
+    survey: str = "survey",
+    base: str = "people",
+    by: Sequence[str] = (),
+    threshold: str | None = None,
+    total: str = "size",
 ) -> str:
-    """CTEs ``counts, bench, sizes, aligned``: full outer alignment with s, q, t, n, relevant."""
+    """CTEs ``counts, bench, sizes, aligned``: full outer alignment with s, q, t, n, relevant and
+    the sample size under the name ``total``."""
     lead = "".join(f"{b}, " for b in by)
     group = f"GROUP BY {', '.join(by)}" if by else ""
-    bar = threshold or "1.0 / size"
+    bar = threshold or f"1.0 / {total}"
     on = " AND ".join(f"e.{c} IS NOT DISTINCT FROM c.{c}" for c in [*by, "dimension", *keys])
     merged = ", ".join(f"coalesce(e.{c}, c.{c}) AS {c}" for c in [*by, "dimension", *keys])
     match = "".join(f" AND sizes.{b} = counts.{b}" for b in by)
     return f"""{counted("counts", survey, dims, keys, by)},
 {shares("bench", base, dims, keys)},
-sizes AS (SELECT {lead}count(*) AS size FROM {survey} {group}),
+sizes AS (SELECT {lead}count(*) AS {total} FROM {survey} {group}),
 expected AS (
-  SELECT {lead}bench.*, size, q > {bar} AS relevant,
+  SELECT {lead}bench.*, {total}, q > {bar} AS relevant,
          sqrt(q) / sum(sqrt(q)) OVER (PARTITION BY {lead}dimension) AS t
   FROM bench, sizes),
-sampled AS (SELECT counts.*, size, n::DOUBLE / size AS s FROM counts JOIN sizes ON true{match}),
+sampled AS (SELECT counts.*, {total}, n::DOUBLE / {total} AS s FROM counts JOIN sizes ON true{match}),
 aligned AS (
   SELECT {merged}, coalesce(n, 0) AS n, coalesce(s, 0) AS s, coalesce(q, 0) AS q, coalesce(t, 0) AS t,
-         coalesce(relevant, false) AS relevant, coalesce(e.size, c.size) AS size, q IS NOT NULL AS in_bench
+         coalesce(relevant, false) AS relevant, coalesce(e.{total}, c.{total}) AS {total}, q IS NOT NULL AS in_bench
   FROM expected e FULL OUTER JOIN sampled c ON {on})"""
 
 

@@ -91,6 +91,8 @@ def full_scorecard(
     size, so it needs a single survey. Dimensions whose columns the survey lacks get an error text.
     """
     able = [d for d in dims if all(c in survey.columns for c in d.columns)]
+    if not able:
+        raise ValueError(f"the survey has the columns of none of {[d.name for d in dims]}")
     cells = materialize(cell_counts(survey, key_columns(able), by))
     shares = benchmark.where(F.col("dimension").isin([d.name for d in able]))
     if simplify == "auto":
