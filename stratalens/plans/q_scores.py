@@ -382,6 +382,41 @@ def nearest_max(t):
     return scores.nearest_maxima(sizes, maxima)
 
 
+STORED_SIZES = (100, 1000, 5000)
+
+
+@query(
+    "scorecard_percent_of_max",
+    f"""WITH {FULL}, stored AS (SELECT dimension, v.size, 1 - 0.5 * sum(abs(floor(q * v.size) / v.size - q)) AS max_match,
+    count(*) FILTER (floor(q * v.size) > 0)::DOUBLE / count(*) AS max_coverage
+  FROM bench, (VALUES (100), (1000), (5000)) v(size) WHERE dimension IN ('Segment', 'Country × Segment') GROUP BY dimension, v.size),
+nearest AS (SELECT priority, size, row_number() OVER (PARTITION BY priority ORDER BY abs(size - sample_size), size) AS k
+  FROM (SELECT DISTINCT priority, sample_size FROM card), (SELECT DISTINCT size FROM stored)),
+reach AS (SELECT priority, dimension, max_match, max_coverage FROM nearest JOIN stored USING (size) WHERE k = 1
+  UNION ALL SELECT DISTINCT priority, d.dimension, d.m, d.c FROM card, (VALUES ('Country', 0.995::DOUBLE, 0.99::DOUBLE), ('Region', 0.98, 0.99)) d(dimension, m, c))
+SELECT card.priority, card.dimension, {q.r("match_score", "match_score")}, {q.r("max_match", "max_match")}, {q.r("match_score / max_match * 100", "match_pct_of_max")},
+  {q.r("coverage_score / max_coverage * 100", "coverage_pct_of_max")}
+FROM card LEFT JOIN reach ON reach.priority = card.priority AND reach.dimension = card.dimension""",
+)
+def scorecard_percent_of_max(t):
+    """Scores in percent of stored maxima, of fixed stand-ins, or of nothing where neither exists."""
+    bench = t.benchmark_for(SEGMENT, COUNTRY_SEGMENT)
+    sized = bench.withColumn("size", F.explode(F.array(*[F.lit(s) for s in STORED_SIZES])))
+    whole = F.floor(F.col("population_share") * F.col("size"))
+    maxima = materialize(
+        sized.groupBy("dimension", "size").agg(
+            (F.lit(1.0) - F.lit(0.5) * F.sum(F.abs(ratio(whole, F.col("size")) - F.col("population_share")))).alias("max_match"),
+            ratio(F.count_if(whole > 0), F.count(F.lit(1))).alias("max_coverage"),
+        )
+    )
+    card = materialize(full_card(t)).withColumnRenamed("priority", "survey")
+    sizes = card.groupBy("survey").agg(F.max("sample_size").alias("sample_size"))
+    reach = scores.attainable(sizes, maxima).drop("size_used")
+    return scores.with_percent_of_max(card, reach, ["survey"]).select(
+        F.col("survey").alias("priority"), "dimension", "match_score", "max_match", "match_pct_of_max", "coverage_pct_of_max"
+    )
+
+
 @query(
     "scorecard_missing_columns",
     f"""WITH {q.ORDERS}, {q.lined_up([q.STANDARD[4]], ("segment",))}

@@ -82,13 +82,15 @@ def full_scorecard(
     variance: DataFrame | None = None,
     maxima: DataFrame | None = None,
     simplify: str = "none",
+    listed: DataFrame | None = None,
     overall: bool = True,
 ) -> DataFrame:
     """All four scores per dimension (and per survey, with ``by``), in percent of the attainable
     score when ``maxima`` is given, with the row of averages.
 
     ``simplify="auto"`` folds small strata of crowded benchmarks first; that depends on the sample
-    size, so it needs a single survey. Dimensions whose columns the survey lacks get an error text.
+    size, so it needs a single survey. ``simplify="listed"`` keeps the countries of ``listed`` in
+    the country dimension and folds the others. Dimensions whose columns the survey lacks get an error text.
     """
     able = [d for d in dims if all(c in survey.columns for c in d.columns)]
     if not able:
@@ -99,8 +101,14 @@ def full_scorecard(
         if by:
             raise ValueError("simplify one survey at a time")
         shares = reshape.auto_simplify(shares, able, sample_sizes(cells, able))
+    elif simplify == "listed":
+        if listed is None:
+            raise ValueError("name the countries to keep")
+        for d in (d for d in able if d.columns == ("country",)):
+            kept = reshape.keep_listed(shares, d, listed, "Other Countries")
+            shares = shares.where(F.col("dimension") != d.name).unionByName(kept, allowMissingColumns=True)
     elif simplify != "none":
-        raise ValueError("simplify is 'none' or 'auto'")
+        raise ValueError("simplify is 'none', 'auto' or 'listed'")
     card = scores.scorecard(cells, shares, able, by, variance)
     if maxima is not None:
         sizes = sample_sizes(cells, able[:1], by).select(*by, "sample_size")

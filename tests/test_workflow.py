@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from stratalens.functions import fixed
 from stratalens.operators import harmonize
@@ -97,3 +98,17 @@ def test_coarser_dimensions(spark, hierarchy):
     fine = spark.createDataFrame([("A", 0.5), ("B", 0.3), ("Z", 0.2)], "country string, population_share double")
     region = [d for d in fixed.STANDARD_DIMENSIONS if d.name == "Region"]
     assert [(r["region"], round(r["population_share"], 9)) for r in workflow.coarser(fine, region, hierarchy).collect()] == [("North", 0.8)]
+
+
+def test_listed_countries_are_kept_and_the_rest_folded(spark, benchmark):
+    frame = spark.createDataFrame([("A", "Male"), ("B", "Female")], "country string, gender string")
+    listed = spark.createDataFrame([("A",)], "country string")
+    card = {r["dimension"]: r for r in workflow.full_scorecard(frame, benchmark, simplify="listed", listed=listed).collect()}
+    share = benchmark.where("dimension = 'Country' AND country = 'A'").first()["population_share"]
+    # B matches nothing any more: half of the sample and the folded share are both lost.
+    assert card["Country"]["match_score"] == pytest.approx(1 - 0.5 * (abs(0.5 - share) + 0.5 + (1 - share)))
+    assert card["Gender"]["match_score"] == pytest.approx(workflow.full_scorecard(frame, benchmark).where("dimension = 'Gender'").first()["match_score"])
+    with pytest.raises(ValueError):
+        workflow.full_scorecard(frame, benchmark, simplify="listed")
+    with pytest.raises(ValueError):
+        workflow.full_scorecard(frame.select(F.lit(1).alias("x")), benchmark)
