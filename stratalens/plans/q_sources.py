@@ -148,16 +148,16 @@ def source_waves(t):
 SELECT 'json' AS kind, * FROM v UNION ALL SELECT 'parquet', * FROM v""",
 )
 def source_variances(t):
-    """Variance lookup as nested json and as long parquet."""
+    """Variance lookup as json records and as parquet."""
     def spread(column, name):
         found = t.labelled.groupBy(F.col(column).alias("stratum")).agg(F.round(F.var_samp("quality"), 6).alias("variance"))
         return found.select(F.lit("docs").alias("survey"), F.lit(name).alias("dimension"), "stratum", "variance")
 
     variances = spread("lang", "Language").unionByName(spread("source", "Source"))
     out = None
-    for kind, ending in (("json", ".json"), ("parquet", "")):
-        path = scratch_path(t.spark, "variances") + ending
+    for kind in ("json", "parquet"):
+        path = scratch_path(t.spark, "variances")
         writers.write_variances(variances, path, kind)
-        back = readers.load_variances(t.spark, path).select(F.lit(kind).alias("kind"), "survey", "dimension", "stratum", "variance")
+        back = readers.load_variances(t.spark, path, kind).select(F.lit(kind).alias("kind"), "survey", "dimension", "stratum", "variance")
         out = back if out is None else out.unionByName(back)
     return out

@@ -157,10 +157,13 @@ def load_population_tables(spark: SparkSession, paths: Mapping[str, str]) -> dic
     return {name: load_table(spark, path, kind="csv", multiLine=True, escape='"') for name, path in paths.items()}
 
 
-def load_variances(spark: SparkSession, path: str) -> DataFrame:
-    """Variance lookup: long parquet, or nested json ``{dimension: {stratum: variance}}`` per line."""
-    if not path.endswith(".json"):
-        return load_table(spark, path, kind="parquet")
-    nested = spark.read.schema("survey string, variances map<string, map<string, double>>").json(path)
-    outer = nested.select("survey", F.explode("variances").alias("dimension", "strata"))
-    return outer.select("survey", "dimension", F.explode("strata").alias("stratum", "variance"))
+def load_variances(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """Variance lookup as written by ``write_variances``."""
+    return load_table(spark, path, "survey string, dimension string, stratum string, variance double", kind)
+
+
+def load_nested_variances(spark: SparkSession, path: str, survey: str) -> DataFrame:
+    """Variance lookup of one survey from nested json ``{dimension: {stratum: variance}}``."""
+    nested = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, map<string, double>>").alias("m"))
+    outer = nested.select(F.explode("m").alias("dimension", "strata"))
+    return outer.select(F.lit(survey).alias("survey"), "dimension", F.explode("strata").alias("stratum", "variance"))

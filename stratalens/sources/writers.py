@@ -37,15 +37,7 @@ def write_by(frame: DataFrame, path: str, columns: Sequence[str] = ("dimension",
 
 
 def write_variances(variances: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite") -> None:
-    """Variance lookup ``survey, dimension, stratum, variance``: long parquet, or one nested json
-    object per survey (strata of one survey and dimension then have to fit one row)."""
-    if kind == "parquet":
-        variances.select("survey", "dimension", "stratum", "variance").write.mode(mode).partitionBy("survey").parquet(path)
-        return
-    if kind != "json":
+    """Variance lookup ``survey, dimension, stratum, variance``: one row or json record per stratum."""
+    if kind not in ("parquet", "json"):
         raise ValueError("format must be parquet or json")
-    inner = variances.groupBy("survey", "dimension").agg(
-        F.map_from_entries(F.collect_list(F.struct("stratum", "variance"))).alias("strata")
-    )
-    nested = inner.groupBy("survey").agg(F.map_from_entries(F.collect_list(F.struct("dimension", "strata"))).alias("variances"))
-    nested.write.mode(mode).json(path)
+    write_by(variances.select("survey", "dimension", "stratum", "variance"), path, ["survey"], kind, mode)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -89,14 +89,21 @@ def windowed_cells(table: DataFrame, ts: str, keys: Sequence[str], unit: str = "
 def to_date(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cumulative cell counts at the end of every window.
 
-    Each window's counts are added to all windows from then on. The calendar has few windows, so
-    it travels as one array; the counts are already aggregated. The filter is always true and
-    keeps both uses of ``cells`` on one exchange.
+    A stratum's running count holds from its window until its next one, so it is written to just
+    those windows of the calendar. The calendar has few windows and travels as one array; the
+    counts are already aggregated. The filter is always true and keeps both uses of ``cells`` on
+    one exchange.
     """
     calendar = cells.where("n > 0").agg(F.sort_array(F.collect_set("window")).alias("calendar"))
-    later = F.filter("calendar", lambda w: w >= F.col("window"))
-    spread = cells.withColumn("calendar", calendar.scalar()).select(F.explode(later).alias("until"), *keys, "n")
-    return spread.groupBy(F.col("until").alias("window"), *keys).agg(F.sum("n").alias("n"))
+    order = Window.partitionBy(*keys).orderBy("window")
+    running = cells.select(
+        "window",
+        *keys,
+        F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("n"),
+        F.lead("window").over(order).alias("next"),
+    )
+    held = F.filter("calendar", lambda w: (w >= F.col("window")) & (F.col("next").isNull() | (w < F.col("next"))))
+    return running.withColumn("calendar", calendar.scalar()).select(F.explode(held).alias("window"), *keys, "n")
 
 
 def windowed_scores(cells: DataFrame, benchmark: DataFrame, dims: Sequence[Dimension]) -> DataFrame:

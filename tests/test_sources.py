@@ -128,13 +128,19 @@ def test_multi_line_headers(spark, tmp_path):
     assert tables["urban"].columns[1] == "Country\ncode" and tables["urban"].first()["Urban"] == "4 219 817"
 
 
-def test_variance_lookup_both_ways(spark, tmp_path):
+@pytest.mark.parametrize("kind", ["parquet", "json"])
+def test_variance_lookup(spark, tmp_path, kind):
     rows = [("s1", "Gender", "Male", 0.1), ("s1", "Country", "A", 0.2), ("s2", "Gender", "Male", 0.3)]
     frame = spark.createDataFrame(rows, "survey string, dimension string, stratum string, variance double")
-    writers.write_variances(frame, str(tmp_path / "v"))
-    writers.write_variances(frame, str(tmp_path / "v.json"), "json")
-    for path in ("v", "v.json"):
-        back = readers.load_variances(spark, str(tmp_path / path))
-        assert sorted((r["survey"], r["dimension"], r["stratum"], r["variance"]) for r in back.collect()) == sorted(rows)
+    writers.write_variances(frame, str(tmp_path / "v"), kind)
+    back = readers.load_variances(spark, str(tmp_path / "v"), kind)
+    assert sorted((r["survey"], r["dimension"], r["stratum"], r["variance"]) for r in back.collect()) == sorted(rows)
     with pytest.raises(ValueError):
         writers.write_variances(frame, str(tmp_path / "w"), "yaml")
+
+
+def test_nested_variance_lookup(spark, tmp_path):
+    path = tmp_path / "lookup.json"
+    path.write_text('{"Gender": {"Male": 0.1,\n "Female": 0.2}, "Country": {"A": 0.3}}')
+    got = {(r["survey"], r["dimension"], r["stratum"]): r["variance"] for r in readers.load_nested_variances(spark, str(path), "s1").collect()}
+    assert got == {("s1", "Gender", "Male"): 0.1, ("s1", "Gender", "Female"): 0.2, ("s1", "Country", "A"): 0.3}
