@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
+from stratalens.llm import langid, quality, toxicity
+from stratalens.llm.decontaminate import find_contamination
 from stratalens.llm.exact_dedup import exact_duplicates
 from stratalens.llm.line_dedup import dedup_lines
+from stratalens.llm.packing import pack
+from stratalens.llm.pii import BASE_KINDS, find_pii
+from stratalens.llm.text import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def query(name: str, sql: str | None = None):
     def keep(fn):
         QUERIES[name] = fn
@@ -59,3 +70,64 @@ FROM norm JOIN grouped ON norm.t = grouped.t""",
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document with the id that stays in its group of equal texts."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, tokenised and packed into sequences of at most 1024 tokens."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024)
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data per document; the base kinds are counted and hashed apart."""
+    found = find_pii(table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(of(*BASE_KINDS)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside passages of ten words of a test item."""
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def held_out(modulus: int, fold: int) -> Column:
+    """Whether the crc32 of the id leaves ``fold``; a null id is not held out."""
+    return F.coalesce(remainder(F.col("doc_id"), modulus) == fold, F.lit(False)).alias("held_out")
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of the known ones."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, learn=remainder(F.col("doc_id"), 3) != 1)
+    return langid.predict(docs, model).select("doc_id", held_out(3, 1), "lang_pred", "score")
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, ranked by pairs of labelled ones of two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), learn=remainder(F.col("doc_id"), 3) != 1)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled ones of three quarters of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=remainder(F.col("doc_id"), 4) != 2)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
