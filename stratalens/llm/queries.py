@@ -11,6 +11,7 @@ from stratalens.llm import langid, quality, toxicity
 from stratalens.llm.decontaminate import find_contamination
 from stratalens.llm.exact_dedup import exact_duplicates
 from stratalens.llm.line_dedup import dedup_lines
+from stratalens.llm.ngram_join import near_duplicates
 from stratalens.llm.packing import pack
 from stratalens.llm.pii import BASE_KINDS, find_pii
 from stratalens.llm.text import remainder
@@ -131,3 +132,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=remainder(F.col("doc_id"), 4) != 2)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op5_ngram_jaccard")
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share nine tenths of their three-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -16,24 +17,29 @@ from stratalens.llm.labels import labelled_sample
 from stratalens.llm.text import only
 
 #: Length of the common subsequences, how far one may stretch, and the weight of each character of its span.
-LENGTH, REACH, DECAY = 4, 6, 0.6
+LENGTH, REACH, DECAY = 4, 6, 0.7
+#: What a class of training words costs when it is misjudged altogether.
+COST = 20000.0
 #: Labelled documents in the training sample at most (in expectation); landmarks; words a worker remembers.
 SAMPLE = 5000
 LANDMARKS = 500
+#: Likelihood ratio (natural log) from which a subsequence tells the classes apart: by chance, less than
+#: one in a million does.
+SURE = 14.0
 CACHE_WORDS = 300_000
 
 _ALPHABET = 32
 _CODE_OF = np.zeros(0x250, np.int64)
-_CODE_OF[ord("^")] = 1
+_CODE_OF[ord("^")], _CODE_OF[ord("$")] = 1, 28
 for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz"):
     _CODE_OF[ord(_c)] = _i + 2
-#: Letters beyond ASCII by their base letter, the rest of the Latin block in four codes.
+#: Letters beyond ASCII by their base letter, the rest of the Latin block in two codes.
 for _letters, _base in (("àáâãäå", "a"), ("ç", "c"), ("èéêë", "e"), ("ìíîï", "i"), ("ñ", "n"), ("òóôõö", "o"), ("ùúûü", "u"), ("ýÿ", "y")):
     for _c in _letters:
         _CODE_OF[ord(_c)] = _CODE_OF[ord(_base)]
 for _c in range(0xC0, 0x250):
     if not _CODE_OF[_c]:
-        _CODE_OF[_c] = 28 + _c % 4
+        _CODE_OF[_c] = 29 + _c % 2
 
 #: Digits and signs that stand for letters inside words.
 _LEET = str.maketrans("013457@$!", "oieastasi")
@@ -71,7 +77,8 @@ def _offsets() -> list[tuple[tuple[int, ...], float]]:
 
 
 OFFSETS = _offsets()
-_MOST = REACH
+#: A word has this many signs besides its letters.
+SIGNS = 2
 
 
 def _norms(longest: int) -> np.ndarray:
@@ -83,19 +90,19 @@ def _norms(longest: int) -> np.ndarray:
 
 
 def _encoded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Character codes of all words one after another, each led by a start sign and followed by zeros, and
-    the number of characters of each."""
-    text = "".join([f"^{w}\0" + "\0" * (_MOST - 1) for w in words])
+    """Character codes of all words one after another, each between a start and an end sign and followed by
+    zeros, and the number of characters of each."""
+    text = "".join([f"^{w}$" + "\0" * REACH for w in words])
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     codes = np.where(points < len(_CODE_OF), _CODE_OF[np.minimum(points, len(_CODE_OF) - 1)], 31)
     codes[points == 0] = 0
-    return codes, np.fromiter(map(len, words), np.int64, len(words)) + 1
+    return codes, np.fromiter(map(len, words), np.int64, len(words)) + SIGNS
 
 
 def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each shape of subsequence: number of the word, code of the subsequence, weight."""
     codes, sizes = _encoded(words)
-    owner = np.repeat(np.arange(len(words)), sizes + _MOST)
+    owner = np.repeat(np.arange(len(words)), sizes + REACH)
     for places, weight in OFFSETS:
         n = len(codes) - places[-1]
         code = codes[:n].copy()
@@ -121,8 +128,8 @@ class Kernel(NamedTuple):
     def of(cls, words: list[str]) -> Kernel:
         parts = [(o, c, np.full(len(o), w)) for o, c, w in subsequences(words)]
         owner, code, value = (np.concatenate(x) for x in zip(*parts))
-        norms = _norms(max([1, *map(len, words)]) + 1)
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + SIGNS
+        norms = _norms(int(sizes.max(initial=1)))
         return cls(owner, code, value / norms[sizes[owner]], len(words))
 
     def against(self, other: Kernel) -> np.ndarray:
@@ -144,6 +151,7 @@ class Kernel(NamedTuple):
 class Model(NamedTuple):
     table: np.ndarray  # weight of every subsequence: the landmarks' part in the decision, added up
     bias: float
+    pair: float  # bonus of two words, each below one strong word
     slope: float
     shift: float
 
@@ -152,17 +160,18 @@ class Model(NamedTuple):
         out = np.zeros(len(words))
         for owner, code, weight in subsequences(words):
             out += np.bincount(owner, self.table[code] * weight, minlength=len(words))
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + SIGNS
         return out / _norms(int(sizes.max(initial=1)))[sizes] + self.bias
 
 
 class Scorer:
-    """Scores texts, remembering the words seen: the worst unit of a text makes its score."""
+    """Scores texts, remembering the words seen: the two worst units of a text make its score."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.cache = model, {}
 
-    def decide(self, texts: list[str | None]) -> list[float]:
+    def decide(self, texts: list[str | None]) -> np.ndarray:
+        """The two highest decisions among each text's units."""
         found = [units(t) for t in texts]
         new = list(set().union(*found).difference(self.cache))
         for start in range(0, len(new), 20000):
@@ -175,78 +184,115 @@ class Scorer:
                     pieces = [word[k : k + 16] for k in range(0, len(word) - 8, 8)]
                     values[i] = self.model.decisions(pieces).max()
             self.cache.update(zip(part, values.tolist()))
-        get = self.cache.__getitem__
-        out = [max(map(get, f), default=self.model.bias) for f in found]
+        get, low = self.cache.__getitem__, self.model.bias
+        out = [heapq.nlargest(2, map(get, f)) for f in found]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        return out
+        return np.array([[*top, low, low][:2] for top in out]).reshape(-1, 2)
 
     def score(self, texts: list[str | None]) -> list[float]:
-        z = np.array(self.decide(texts)) * self.model.slope + self.model.shift
+        top = self.decide(texts)
+        z = np.maximum(top[:, 0], top.mean(axis=1) + self.model.pair) * self.model.slope + self.model.shift
         return (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
 
-def _witnesses(toxic: list[set[str]], clean_words: set[str], clean: list[set[str]], each: int = 2) -> Counter:
-    """Words that stand for the label of their document: those whose subsequences are common in toxic
-    documents and rare in clean ones."""
+#: Unbroken pieces of words that witnesses are chosen by, and buckets to count them in.
+PIECES, PIECE_BUCKETS = (5, 6, 7, 8), 1 << 21
+
+
+def _pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the word and bucket of each of its unbroken pieces, signs at its ends included."""
+    codes, sizes = _encoded(words)
+    owner = np.repeat(np.arange(len(words)), sizes + REACH)
+    owners, buckets = [], []
+    for length in PIECES:
+        n = len(codes) - length + 1
+        mixed, inside = np.full(n, length, np.uint64), np.ones(n, bool)
+        for k in range(length):
+            mixed = mixed * np.uint64(0x100000001B3) + codes[k : k + n].astype(np.uint64)
+            inside &= codes[k : k + n] > 0
+        mixed ^= mixed >> np.uint64(29)
+        at = np.flatnonzero(inside)
+        owners.append(owner[at])
+        buckets.append((mixed[at] % np.uint64(PIECE_BUCKETS)).astype(np.int64))
+    return np.concatenate(owners), np.concatenate(buckets)
+
+
+def _witnesses(toxic: list[set[str]], clean_words: set[str], clean: list[set[str]], each: int = 3) -> Counter:
+    """Words that stand for the label of their document: those with a piece that tells toxic documents
+    from clean ones, by the likelihood ratio of its counts in both."""
 
     def presence(docs: list[set[str]]) -> np.ndarray:
-        found = np.zeros(_ALPHABET**LENGTH, np.float32)
+        found = np.zeros(PIECE_BUCKETS, np.float32)
         for words in docs:
-            parts = [c for _, c, w in subsequences(sorted(words)) if w >= DECAY**LENGTH]
-            found[np.unique(np.concatenate(parts))] += 1
+            found[np.unique(_pieces(sorted(words))[1])] += 1
         return found
 
-    bad, good = presence(toxic) / max(1, len(toxic)), presence(clean) / max(1, len(clean))
-    floor = 1.0 / max(1, len(clean))
-    odds = np.log((bad + floor / 4) / (good + floor / 2)) * (bad >= 3.0 / max(1, len(toxic)))
+    bad, good = presence(toxic), presence(clean)
+    share = len(toxic) / (len(toxic) + len(clean))
+    total = np.maximum(bad + good, 1)
+    ratio = bad * np.log(np.maximum(bad, 1) / (total * share)) + good * np.log(np.maximum(good, 1) / (total * (1 - share)))
+    ratio[(bad / len(toxic) < 5 * good / len(clean)) | (ratio < SURE)] = 0
     chosen: Counter = Counter()
     for words in toxic:
         known = sorted(words - clean_words)
         if not known:
             continue
-        best = np.full(len(known), -np.inf)
-        for owner, code, w in subsequences(known):
-            if w >= DECAY**LENGTH:
-                np.maximum.at(best, owner, odds[code])
+        best = np.zeros(len(known))
+        owner, bucket = _pieces(known)
+        np.maximum.at(best, owner, ratio[bucket])
         top = np.argsort(-best, kind="stable")[:each]
-        chosen.update(known[i] for i in top if best[i] > 1.0 and best[i] >= best[top[0]] - 1.0)
+        chosen.update(known[i] for i in top if best[i] > 0 and best[i] >= best[top[0]] / 2)
     return chosen
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 50.0, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine by accelerated gradient steps."""
+def _varied(words: list[str], draw: np.random.Generator) -> list[str]:
+    """The words with one letter put in, doubled or left out, as people write around filters."""
+    out = []
+    for word in words:
+        at = int(draw.integers(1, len(word))) if len(word) > 1 else 1
+        kind = int(draw.integers(3))
+        letter = chr(97 + int(draw.integers(26))) if kind == 0 else word[at - 1]
+        out.append(word[:at] + letter + word[at:] if kind < 2 or len(word) < 6 else word[:at] + word[at + 1 :])
+    return out
+
+
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear machine by Newton steps on the rows inside the margin."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    limit = 2.0 * c * float((weight[:, None] * x1 * x1).sum()) / len(x1) + 1.0
-    w = v = np.zeros(x1.shape[1])
-    t = 1.0
+    w = np.zeros(x1.shape[1])
+    ridge = np.ones(len(w))
+    ridge[-1] = 1e-3
+    inside = np.ones(len(x1), bool)
     for _ in range(steps):
-        slack = np.maximum(0.0, 1.0 - y * (x1 @ v))
-        g = np.append(v[:-1], 0.0) - 2.0 * c / len(x1) * (x1.T @ (weight * y * slack))
-        new = v - g / limit
-        grown = (1.0 + (1.0 + 4.0 * t * t) ** 0.5) / 2.0
-        v = new + (t - 1.0) / grown * (new - w)
-        w, t = new, grown
+        part = x1[inside]
+        weighted = part * cost[inside, None]
+        w = np.linalg.solve(np.diag(ridge) + weighted.T @ part, weighted.T @ y[inside])
+        now = y * (x1 @ w) < 1
+        if (now == inside).all():
+            break
+        inside = now
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Model:
+def fit(texts: list[str], labels: list[int], prior: float = 0.5, landmarks: int = LANDMARKS) -> Model:
     """Learn from documents and their labels.
 
     A document is toxic because of one of its words, so witnesses are chosen first; then the machine
     separates witnesses from words of clean documents, and the clean words that it misjudges join
     the training words, twice. The decision is a sum of kernels with the landmarks, hence linear in the
-    subsequences: their weights are added up once into a table.
+    subsequences: their weights are added up once into a table. ``prior`` is the share of toxic ones.
     """
     docs = [{w for u in units(t) if (w := plain_word(u)[:24])} for t in texts]
     toxic, clean = ([d for d, y in zip(docs, labels) if y == k] for k in (1, 0))
     clean_counts = Counter(w for d in clean for w in d)
     chosen = _witnesses(toxic, set(clean_counts), clean)
-    empty = Model(np.zeros(_ALPHABET**LENGTH, np.float32), -1.0, 1.0, -4.0)
+    empty = Model(np.zeros(_ALPHABET**LENGTH, np.float32), -1.0, 0.0, 1.0, -4.0)
     if not chosen or not clean_counts:
         return empty
     draw = np.random.default_rng(3)
     positives = [w for w, _ in chosen.most_common(1500)]
+    varied = [w for k in range(8) for w in _varied(positives[:150], draw) if w not in clean_counts]
     all_clean = sorted(clean_counts)
     negatives = [all_clean[i] for i in draw.permutation(len(all_clean))[:3000]]
     model = empty
@@ -254,27 +300,46 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mode
         marks = positives[: landmarks // 2] + negatives[-(landmarks - landmarks // 2) :]
         k_marks = Kernel.of(marks)
         values, vectors = np.linalg.eigh(k_marks.against(k_marks).astype(np.float64))
-        kept = values > 1e-3 * values.max()
+        kept = values > 1e-4 * values.max()
         root = vectors[:, kept] / np.sqrt(values[kept])
-        words = positives + negatives
+        words = positives + varied + negatives
         x = Kernel.of(words).against(k_marks) @ root
-        y = np.repeat([1.0, -1.0], [len(positives), len(negatives)])
-        weight = np.where(y > 0, len(words) / (2.0 * len(positives)), len(words) / (2.0 * len(negatives)))
-        w, bias = _svm(x, y, weight)
+        y = np.repeat([1.0, -1.0], [len(positives) + len(varied), len(negatives)])
+        often = np.sqrt([chosen[w] for w in positives])
+        share = np.concatenate(
+            [often / often.sum(), np.full(len(varied), 1 / max(1, len(varied))), np.full(len(negatives), 2 / len(negatives))]
+        )
+        w, bias = _svm(x, y, share * COST)
         part = root @ w
         table = np.zeros(_ALPHABET**LENGTH)
         np.add.at(table, k_marks.code, part[k_marks.owner] * k_marks.value)
-        model = Model(table.astype(np.float32), bias, 1.0, 0.0)
+        model = Model(table.astype(np.float32), bias, 0.0, 1.0, 0.0)
         judged = model.decisions(all_clean)
-        hard = [all_clean[i] for i in np.argsort(-judged, kind="stable")[:600]]
-        negatives += [h for h in hard if h not in set(negatives)]
-    decided = np.array(Scorer(model).decide(texts))
-    y = np.array(labels)
-    # The score is 0.3 halfway between the two classes' typical decisions.
-    low, high = np.quantile(decided[y == 0], 0.995), np.quantile(decided[y == 1], 0.05)
-    middle = (low + max(low + 0.05, high)) / 2
-    slope = 6.0 / max(0.1, float(np.median(decided[y == 1])) - middle)
-    return Model(model.table, model.bias, slope, float(np.log(0.3 / 0.7)) - slope * middle)
+        known = set(negatives)
+        negatives += [h for i in np.argsort(-judged, kind="stable")[:600] if (h := all_clean[i]) not in known]
+    return _calibrated(model, Scorer(model).decide(texts), np.array(labels), prior)
+
+
+def _calibrated(model: Model, top: np.ndarray, y: np.ndarray, prior: float) -> Model:
+    """Logistic scores with the classes in their true shares: one strong word makes a text toxic, or
+    two that are weaker by ``pair``, the bonus under which the classes are told apart best."""
+    weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
+    best = None
+    for pair in np.arange(0.0, 2.01, 0.25):
+        x = np.maximum(top[:, 0], top.mean(axis=1) + pair).clip(-4, 4)
+        x1, w, ridge = np.stack([x, np.ones(len(x))], axis=1), np.zeros(2), np.array([0.5, 0.005])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+            h = (x1 * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x1 + np.diag(ridge)
+            step = np.linalg.solve(h, x1.T @ (weight * (p - y)) + ridge * w)
+            w = w - step
+            if np.abs(step).max() < 1e-6:
+                break
+        p = np.clip(1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30))), 1e-9, 1 - 1e-9)
+        loss = -float((weight * np.where(y == 1, np.log(p), np.log(1 - p))).sum()) + float((ridge * w * w).sum()) / 2
+        if best is None or loss < best[0] - 1e-9:
+            best = (loss, float(pair), float(w[0]), float(w[1]))
+    return Model(model.table, model.bias, *best[1:])
 
 
 def train(
@@ -289,10 +354,11 @@ def train(
 ) -> Model:
     """Learn from about ``sample`` labelled documents for which ``learn`` (on ``doc_id``) holds; both
     classes are drawn by a hash of the id, each up to half of the sample."""
-    chosen, _ = labelled_sample(labels, learn, label_id_col, label_col, sample)
+    chosen, sizes = labelled_sample(labels, learn, label_id_col, label_col, sample)
+    prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
     base = only(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id")
     rows = base.where("text IS NOT NULL").select("doc_id", "label", "text").orderBy("doc_id").toArrow()
-    return fit(rows.column("text").to_pylist(), rows.column("label").to_pylist())
+    return fit(rows.column("text").to_pylist(), rows.column("label").to_pylist(), prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
