@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from stratalens.llm.text import only
 
@@ -159,9 +160,8 @@ _FOUND = "n_words bigint, spans array<struct<first: bigint, past: bigint>>, item
 
 
 def _matches(base: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    """``base`` (doc_id, text) with ``n_words, spans, items`` of one block of test items."""
+    """``base`` (text last) with ``n_words, spans, items`` of one block of test items."""
     shared = base.sparkSession.sparkContext.broadcast(items)
-    schema = base.select("doc_id", "text").schema
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = SuffixAutomaton(shared.value, window)
@@ -175,17 +175,15 @@ def _matches(base: DataFrame, items: list[tuple[str, str]], window: int) -> Data
                 found.append(sorted(names))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
-                    batch.column("text"),
+                    *batch.columns,
                     pa.array(counts, pa.int64()),
                     pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))),
                     pa.array(found, pa.list_(pa.string())),
                 ],
-                ["doc_id", "text", "n_words", "spans", "items"],
+                [*batch.schema.names, "n_words", "spans", "items"],
             )
 
-    kind = schema["doc_id"].dataType.simpleString()
-    return base.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, text string, {_FOUND}")
+    return base.mapInArrow(scan, StructType(base.schema.fields + StructType.fromDDL(_FOUND).fields))
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -219,10 +217,12 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     automaton_chars: int = AUTOMATON_CHARS,
+    carry: bool = False,
 ) -> DataFrame:
     """Every row of ``docs`` with what it shares with ``benchmark`` and its text without that.
 
-    ``doc_id, n_words, n_hit, spans, items, clean_text, dropped``. A span is a run of words covered
+    ``doc_id, n_words, n_hit, spans, items, clean_text, dropped``, and with ``carry`` the whole row of ``docs`` as the struct
+    ``row``. A span is a run of words covered
     by occurrences of ``window`` consecutive words of an item, or of whole shorter items. Spans of more
     than ``max_words`` words are cut out of ``clean_text``; where spans cover more than
     ``max_coverage`` of the words, the document is ``dropped``.
@@ -236,7 +236,9 @@ def find_contamination(
     id are judged each by their own text; empty tables give empty or clean results; other columns
     are ignored.
     """
-    base = only(docs, doc_id=id_col, text=text_col)
+    named = {"doc_id": F.col(f"`{id_col}`"), "text": F.col(f"`{text_col}`")}
+    others = {"row": F.struct(*[F.col(f"`{c}`") for c in docs.columns])} if carry else {}
+    base = docs.select(*[c.alias(name) for name, c in {**others, **named}.items()])
     items = only(benchmark, item=item_col, text=item_text_col)
     items = items.select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), "text").where("text IS NOT NULL")
     parts = [_matches(base, block, window) for block in _blocks(items, automaton_chars)]
@@ -244,14 +246,15 @@ def find_contamination(
     if len(parts) > 1:
         for part in parts[1:]:
             found = found.unionByName(part)
-        found = found.withColumn("version", F.xxhash64("text")).groupBy("doc_id", "version").agg(
+        found = found.select("doc_id", F.xxhash64("text").alias("version"), "n_words", "spans", "items")
+        found = found.groupBy("doc_id", "version").agg(
             F.flatten(F.collect_list("spans")).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.max("n_words").alias("n_words"),
         )
         texts = base.withColumn("version", F.xxhash64("text"))
         same = texts["doc_id"].eqNullSafe(found["doc_id"]) & (texts["version"] == found["version"])
-        found = texts.join(found, same).select(texts["doc_id"], "text", "n_words", "spans", "items")
+        found = texts.join(found, same).select(*[texts[c] for c in base.columns], "n_words", "spans", "items")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,8 +268,10 @@ def find_contamination(
                 texts.append(without_spans(text.as_py(), cut) if cut else text.as_py())
                 drops.append(hit > max_coverage * n.as_py())
             span = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
+            row = [batch.column("row")] if carry else []
             yield pa.RecordBatch.from_arrays(
                 [
+                    *row,
                     batch.column("doc_id"),
                     batch.column("n_words"),
                     pa.array(hits, pa.int64()),
@@ -275,12 +280,12 @@ def find_contamination(
                     pa.array(texts, pa.string()),
                     pa.array(drops, pa.bool_()),
                 ],
-                ["doc_id", "n_words", "n_hit", "spans", "items", "clean_text", "dropped"],
+                [*(["row"] if carry else []), "doc_id", "n_words", "n_hit", "spans", "items", "clean_text", "dropped"],
             )
 
-    kind = base.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "text", "n_words", "spans", "items").mapInArrow(
-        clean,
-        f"doc_id {kind}, n_words bigint, n_hit bigint, spans array<struct<first: bigint, past: bigint>>, "
-        "items array<string>, clean_text string, dropped boolean",
-    )
+    fields = StructType.fromDDL(
+        "n_words bigint, n_hit bigint, spans array<struct<first: bigint, past: bigint>>, items array<string>, "
+        "clean_text string, dropped boolean"
+    ).fields
+    kept = [f for f in base.schema.fields if f.name != "text"]
+    return found.mapInArrow(clean, StructType(kept + fields))

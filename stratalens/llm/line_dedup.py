@@ -61,8 +61,10 @@ def dedup_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     salts: int = SALTS,
+    carry: bool = False,
 ) -> DataFrame:
-    """Every row of ``docs`` with its kept lines: ``doc_id, kept_text, n_lines, n_dropped``.
+    """Every row of ``docs`` with its kept lines: ``doc_id, kept_text, n_lines, n_dropped``, and with ``carry`` the whole
+    row of ``docs`` but its text as the struct ``row``.
 
     Texts are split at line feeds; the kept lines are put together again in their order. Between
     two dropped positions lies one slice of the lines, so the work grows with the text alone.
@@ -71,14 +73,19 @@ def dedup_lines(
     its lines; rows that repeat an id count as one document; an empty table gives an empty result;
     other columns are ignored.
     """
-    base = only(docs, doc_id=id_col, text=text_col).withColumn("version", F.xxhash64("text"))
+    named = {"doc_id": F.col(f"`{id_col}`"), "text": F.col(f"`{text_col}`"), "version": F.xxhash64(F.col(f"`{text_col}`"))}
+    if carry:
+        named["row"] = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    base = docs.select(*[c.alias(name) for name, c in named.items()])
     found = base.join(repeated_lines(docs, min_docs, min_chars, id_col, text_col, salts), ["doc_id", "version"], "left")
-    split = found.select("doc_id", "text", "positions", _lines(F.col("text")).alias("lines"))
+    others = ["row"] if carry else []
+    split = found.select(*others, "doc_id", "text", "positions", _lines(F.col("text")).alias("lines"))
     starts = F.concat(F.array(F.lit(0)), F.transform("positions", lambda p: p + 1))
     ends = F.concat(F.col("positions"), F.array(F.size("lines")))
     slices = F.zip_with(starts, ends, lambda start, end: F.slice("lines", start + 1, end - start))
     kept = F.array_join(F.flatten(slices), "\n")
     return split.select(
+        *others,
         "doc_id",
         F.when(F.col("positions").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("kept_text"),
         F.size("lines").cast("long").alias("n_lines"),

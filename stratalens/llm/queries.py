@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from stratalens.llm import langid, quality, toxicity
 from stratalens.llm.decontaminate import find_contamination
 from stratalens.llm.exact_dedup import exact_duplicates
+from stratalens.llm.licenses import scan_licenses
 from stratalens.llm.line_dedup import dedup_lines
 from stratalens.llm.ngram_join import near_duplicates
 from stratalens.llm.packing import pack
@@ -42,6 +43,20 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that each whole document states or quotes, and the closest match."""
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    best = F.array_max(F.transform("matches", lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license"))))
+    return found.select(
+        "doc_id",
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
+        F.size("matches").cast("long").alias("n_matches"),
+        best["license"].alias("best_license"),
+        F.coalesce(best["dice"], F.lit(0.0)).alias("best_dice"),
+    )
+
+
 @query(
     "op2_line_dedup",
     f"""WITH lines AS (

@@ -1,0 +1,92 @@
+import hashlib
+import random
+import re
+import time
+
+from conftest import by_id
+
+from stratalens.llm.pii import BASE_KINDS, KINDS, find_pii, find_spans, luhn, masked, mod97
+
+# The base patterns as the contract has them.
+PATTERNS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def plain(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card" and not (12 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
+
+
+def base(text):
+    return [(s.kind, s.start, s.end) for s in find_spans(text) if s.kind in BASE_KINDS]
+
+
+def test_check_sums():
+    assert luhn("4111111111111111") and not luhn("4111111111111112") and luhn("0")
+    assert mod97("GB82WEST12345698765432") and not mod97("GB82WEST12345698765433")
+
+
+def test_base_spans_against_the_patterns():
+    draw = random.Random(9)
+    pieces = ["a", "@", ".", "-", "1", "25", "256", "+", " ", "(", ")", "4111 1111-1111 1111", "x@y.z", "1.2.3.4", "é", "\n", "_%", "001"]
+    for _ in range(5000):
+        text = "".join(draw.choice(pieces) for _ in range(draw.randint(0, 30)))
+        assert base(text) == plain(text), text
+
+
+def test_time_grows_with_the_text_alone():
+    start = time.perf_counter()
+    for text in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "+1" + "(" * 400_000, "a@" * 200_000, "1 " * 200_000, "+1 " * 100_000):
+        find_spans(text)
+    assert time.perf_counter() - start < 20
+
+
+def test_added_kinds_need_their_check_or_context():
+    kinds = lambda text: [s.kind for s in find_spans(text)]
+    assert kinds("IBAN: GB82 WEST 1234 5698 7654 32.") == ["iban"]
+    assert "iban" not in kinds("GB82 WEST 1234 5698 7654 33")
+    assert kinds("my social security number is 219-09-9999") == ["ssn"]
+    assert kinds("part 219-09-9999") == []
+
+
+def test_context_moves_the_score():
+    near = find_spans("my credit card 4111111111111111")[0].score
+    far = find_spans("order 4111111111111111")[0].score
+    assert near > 0.8 > far
+
+
+def test_rows(docs_of):
+    found = by_id(find_pii(docs_of([(1, None), (2, ""), (3, "mail a@b.co now"), (3, "none")])), "masked_text")
+    assert found[1] == ("",) and found[2] == ("",)
+    rows = find_pii(docs_of([(3, "mail a@b.co now"), (3, "none"), (None, "1.2.3.4")])).collect()
+    assert {(r.doc_id, r.masked_text) for r in rows} == {(3, "mail <email> now"), (3, "none"), (None, "<ip>")}
+    assert find_pii(docs_of([])).count() == 0
+    assert masked("a 1.2.3.4 b", find_spans("a 1.2.3.4 b")) == "a <ip> b"
+
+
+def test_query_against_the_patterns(spark, small):
+    from stratalens.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    found = by_id(QUERIES["op7_pii"](spark, small), *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans")
+    assert set(found) == set(texts)
+    for doc, text in texts.items():
+        want = plain(text)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        counts = tuple(sum(s[0] == k for s in want) for k in BASE_KINDS)
+        assert found[doc][:5] == (*counts, hashlib.sha256(joined.encode()).hexdigest())
+        assert found[doc][5] == ",".join(f"{s.kind}:{s.start}:{s.end}" for s in find_spans(text))
