@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions.expressions import ratio
-from stratalens.operators.strata import Dimension, dimension_label, few
+from stratalens.operators.strata import Dimension, dimension_label, few, look_up_variance
 
 # Fixed value: variance of a yes/no answer at its largest, used where none is known.
 DEFAULT_VARIANCE = 0.25
@@ -25,10 +25,10 @@ def with_sizes(benchmark: DataFrame, sizes: Sequence[int]) -> DataFrame:
 
 
 def with_variance(strata: DataFrame, variance: DataFrame | None, default: float = DEFAULT_VARIANCE) -> DataFrame:
-    """Variance per stratum from a lookup ``dimension, stratum, variance``, else the default."""
+    """Variance per stratum from a lookup (``look_up_variance``), else the default."""
     if variance is None:
         return strata.withColumn("variance", F.lit(default))
-    looked_up = strata.join(variance.select("dimension", "stratum", F.col("variance").alias("_known")), ["dimension", "stratum"], "left")
+    looked_up = look_up_variance(strata, variance, "_known")
     return looked_up.withColumn("variance", F.coalesce("_known", F.lit(default))).drop("_known")
 
 

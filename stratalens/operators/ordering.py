@@ -13,9 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalens.operators.strata import join_groups
 from stratalens.session import materialize
 
 
+#: Slices of a group whose first rows are too many for Spark's own limit.
+SLICES = 256
+
+
 def running_totals(
     frame: DataFrame,
     order: Sequence[Column],
@@ -42,7 +47,7 @@ def running_totals(
     )
     inside = Window.partitionBy(*by, "_slice").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = sliced.join(starts, [*by, "_slice"]).withColumn(rank, (F.row_number().over(inside) + F.col("_rows_before")).cast("long"))
+    counted = join_groups(sliced, starts, [*by, "_slice"]).withColumn(rank, (F.row_number().over(inside) + F.col("_rows_before")).cast("long"))
     if value:
         counted = counted.withColumn(total, F.sum(measured).over(upto) + F.col("_mass_before"))
     return counted.drop("_slice", "_rows_before", "_mass_before")
@@ -52,9 +57,16 @@ def first_rows(frame: DataFrame, order: Sequence[Column], count: int, by: Sequen
     """The first ``count`` rows per group with their rank.
 
     Without groups this is a sorted limit, which keeps ``count`` rows per task before anything
-    moves; with groups Spark limits every group per task before its shuffle.
+    moves; with groups Spark limits every group per task before its shuffle. It does so up to a
+    count set in the session; beyond it, the first rows are picked within slices of each group first, so
+    that no task sorts a whole group.
     """
     if not by:
         frame = frame.orderBy(*order).limit(count)
+    elif count > int(frame.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        slices = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in frame.columns]), F.lit(SLICES))
+        local = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*order))
+        frame = frame.withColumn("_slice", slices).withColumn("_local", local).where(F.col("_local") <= count)
+        frame = frame.drop("_slice", "_local")
     window = Window.partitionBy(*by).orderBy(*order)
     return frame.withColumn(rank, F.row_number().over(window).cast("long")).where(F.col(rank) <= count)

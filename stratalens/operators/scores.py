@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions.expressions import banded, ratio, standard_error
-from stratalens.operators.strata import Dimension, as_long, cell_counts, dimension_label, few, line_up
+from stratalens.operators.strata import Dimension, as_long, cell_counts, dimension_label, few, join_groups, line_up, look_up_variance
 
 # Rating cut-offs and their names.
 QUALITY_CUTS = [(0.8, "Excellent"), (0.6, "Good"), (0.4, "Moderate")]
@@ -64,8 +64,9 @@ def with_weights(
 ) -> DataFrame:
     """Add ``standard_error``, ``reliability`` and ``weight``.
 
-    ``variance`` has ``dimension, stratum, variance``; strata it does not list get reliability
-    1, or 1 - ``default_variance`` when that is given.
+    ``variance`` has ``dimension, stratum, variance`` and may name the survey by the group columns of
+    ``aligned``; strata it does not list get reliability 1, or 1 - ``default_variance`` when that
+    is given.
     """
     frame = aligned
     missing = F.lit(1.0 if default_variance is None else 1.0 - default_variance)
@@ -73,9 +74,9 @@ def with_weights(
         frame = frame.withColumn("reliability", missing)
     else:
         frame = frame.withColumn("stratum", dimension_label(dims))
-        frame = frame.join(variance.select("dimension", "stratum", "variance"), ["dimension", "stratum"], "left")
-        frame = frame.withColumn("reliability", F.coalesce(F.lit(1.0) - F.col("variance"), missing))
-        frame = frame.drop("variance", "stratum")
+        frame = look_up_variance(frame, variance, "_variance")
+        frame = frame.withColumn("reliability", F.coalesce(F.lit(1.0) - F.col("_variance"), missing))
+        frame = frame.drop("_variance", "stratum")
     frame = frame.withColumn("standard_error", standard_error(F.col("sample_share"), F.col("n"), unsampled_se))
     return frame.withColumn("weight", F.col("population_share") * F.col("standard_error") * F.col("reliability"))
 
@@ -125,11 +126,26 @@ def describe(scores: DataFrame, dims: Sequence[Dimension]) -> DataFrame:
     return scores.withColumn("dimension_columns", name).withColumn("description", text)
 
 
-def with_overall(scores: DataFrame, columns: Sequence[str], by: Sequence[str] = (), label: str = "Overall (Average)") -> DataFrame:
-    """Append the row of averages; missing scores do not count."""
-    wanted = [*by, "dimension", *columns]
-    overall = scores.groupBy(*by).agg(*[F.avg(c).alias(c) for c in columns])
-    return scores.select(*wanted).unionByName(overall.withColumn("dimension", F.lit(label)).select(*wanted))
+def with_overall(
+    scores: DataFrame,
+    columns: Sequence[str],
+    by: Sequence[str] = (),
+    label: str = "Overall (Average)",
+    largest: Sequence[str] | None = None,
+) -> DataFrame:
+    """Append the row of averages; missing scores do not count.
+
+    Every row stands for its own dimension and for the average, so the scores are computed once. With ``largest``,
+    the other columns stay, and the average row gets the maximum of those named and null for the rest.
+    """
+    others = [c for c in scores.columns if c not in (*by, "dimension", *columns)] if largest is not None else []
+    doubled = scores.select(
+        *by, F.explode(F.array(F.col("dimension"), F.lit(label))).alias("_row"), "dimension", *columns, *others
+    )
+    own = F.col("_row") == F.col("dimension")
+    kept = [F.max(F.col(c) if c in largest else F.when(own, F.col(c))).alias(c) for c in others]
+    found = doubled.groupBy(*by, F.col("_row").alias("_row")).agg(*[F.avg(c).alias(c) for c in columns], *kept)
+    return found.withColumnRenamed("_row", "dimension").select(*by, "dimension", *columns, *others)
 
 
 def unavailable(dims: Sequence[Dimension], survey_columns: Sequence[str], scores: DataFrame) -> DataFrame:
@@ -180,7 +196,7 @@ def weighted_detail(weighted: DataFrame, dims: Sequence[Dimension], by: Sequence
     group = [*by, "dimension"]
     totals = few(weighted.groupBy(*group).agg(F.sum("weight").alias("weight_sum")), len(dims), by)
     gap = F.abs(F.col("sample_share") - F.col("population_share"))
-    return weighted.join(totals, group).select(
+    return join_groups(weighted, totals, group).select(
         *group,
         dimension_label(dims).alias("stratum"),
         "population_share",
@@ -216,7 +232,7 @@ def agreement_scores(
     sampled = aligned.groupBy(*by, "dimension").agg(F.count_if(F.col("n") > 0).alias("sampled_strata"))
     spread = variance.groupBy("dimension").agg(F.avg("variance").alias("mean_agreement_variance"))
     return (
-        scores.join(sampled, [*by, "dimension"])
+        join_groups(scores, sampled, [*by, "dimension"])
         .join(spread, "dimension", "left")
         .withColumn("difference", F.col("weighted_score") - F.col("match_score"))
     )
@@ -234,7 +250,7 @@ def efficiency(score: Column, maximum: Column) -> Column:
 
 def with_percent_of_max(scores: DataFrame, maxima: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Join ``max_match, max_coverage`` by dimension and express the scores in percent of them."""
-    return scores.join(maxima, [*by, "dimension"], "left").withColumns(
+    return join_groups(scores, maxima, [*by, "dimension"], "left").withColumns(
         {
             "match_pct_of_max": ratio("match_score", "max_match") * 100,
             "coverage_pct_of_max": ratio("coverage_score", "max_coverage") * 100,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalens.functions.expressions import ratio, tagged_label
 from stratalens.operators.ordering import first_rows, running_totals
-from stratalens.operators.strata import Dimension, dimension_label
+from stratalens.operators.strata import Dimension, dimension_label, join_groups
 
 # Deviations within this distance of zero count as balanced.
 BALANCED = 0.001
@@ -111,7 +111,7 @@ def dimension_totals(categories: DataFrame, top: int = 10, by: Sequence[str] = (
     group = [*by, "dimension"]
     order = [F.desc(F.round("contribution_points", 9)), F.col("stratum")]
     best = first_rows(categories, order, top, group).groupBy(*group).agg(F.sum("contribution_points").alias("top_contribution"))
-    return (
+    totals = (
         categories.groupBy(*group)
         .agg(
             F.count(F.lit(1)).alias("segments"),
@@ -119,14 +119,14 @@ def dimension_totals(categories: DataFrame, top: int = 10, by: Sequence[str] = (
             F.count_if(F.col("sample_count") == 0).alias("missing"),
             F.sum("contribution_points").alias("total_contribution"),
         )
-        .join(best, group)
     )
+    return join_groups(totals, best, group)
 
 
 def fix_impact(top: DataFrame, scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Score after fixing the listed segments one after the other; never above 1."""
     group = [*by, "dimension"]
-    return top.join(scores.select(*group, "match_score"), group).select(
+    return join_groups(top, scores.select(*group, "match_score"), group).select(
         *group,
         "rank",
         "segment",
@@ -140,7 +140,7 @@ def fix_summary(top: DataFrame, scores: DataFrame, by: Sequence[str] = ()) -> Da
     group = [*by, "dimension"]
     gain = top.groupBy(*group).agg(F.sum("tvd_share").alias("gain"))
     potential = F.least(F.lit(1.0), F.col("match_score") + F.coalesce("gain", F.lit(0.0)))
-    return scores.join(gain, group, "left").select(
+    return join_groups(scores, gain, group, "left").select(
         *group,
         F.col("match_score").alias("current_score"),
         potential.alias("potential_score"),
@@ -218,17 +218,14 @@ def weight_shift(plain: DataFrame, informed: DataFrame, dims: Sequence[Dimension
     """Normalised weights without and with variance, and each stratum's part of the weighted error."""
     on = [*by, "dimension", "stratum"]
     errors = informed.groupBy(*by, "dimension").agg(F.sum("weighted_contribution").alias("_error"))
-    return (
-        plain.select(*on, F.col("normalized_weight").alias("weight_plain"))
-        .join(informed.select(*on, F.col("normalized_weight").alias("weight_informed"), "weighted_contribution"), on)
-        .join(errors, [*by, "dimension"])
-        .select(
-            *on,
-            "weight_plain",
-            "weight_informed",
-            (F.col("weight_informed") - F.col("weight_plain")).alias("weight_change"),
-            (F.coalesce(ratio("weighted_contribution", "_error"), F.lit(0.0)) * 100).alias("error_share_pct"),
-        )
+    with_variance = informed.select(*on, F.col("normalized_weight").alias("weight_informed"), "weighted_contribution")
+    both = join_groups(plain.select(*on, F.col("normalized_weight").alias("weight_plain")), with_variance, on)
+    return join_groups(both, errors, [*by, "dimension"]).select(
+        *on,
+        "weight_plain",
+        "weight_informed",
+        (F.col("weight_informed") - F.col("weight_plain")).alias("weight_change"),
+        (F.coalesce(ratio("weighted_contribution", "_error"), F.lit(0.0)) * 100).alias("error_share_pct"),
     )
 
 

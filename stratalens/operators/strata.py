@@ -53,6 +53,31 @@ def same_keys(left: str, right: str, columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
 
+def join_groups(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``, joined on ``columns``; nulls match nulls, since a
+    group without a name is a group."""
+    joined = left.alias("_l").join(right.alias("_r"), same_keys("_l", "_r", columns), how)
+    others = [c for c in right.columns if c not in columns]
+    return joined.select(*[F.col(f"_l.`{c}`") for c in left.columns], *[F.col(f"_r.`{c}`") for c in others])
+
+
+def look_up_variance(strata: DataFrame, variance: DataFrame, name: str) -> DataFrame:
+    """Add the variance of each stratum as ``name``; null where the lookup has none.
+
+    The lookup has ``dimension, stratum, variance`` and, for several surveys, the columns that name
+    the survey, which are join keys where ``strata`` has them too. Two variances for one stratum are
+    an error when the rows are read, not two strata.
+    """
+    keys = [c for c in variance.columns if c != "variance" and c in strata.columns]
+    if not {"dimension", "stratum"} <= set(keys):
+        raise ValueError(f"a variance lookup needs dimension and stratum, found {variance.columns}")
+    where = F.concat_ws(" / ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    twice = F.raise_error(F.concat(F.lit("more than one variance for "), where)).cast("double")
+    known = variance.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"), F.max("variance").alias("_one"))
+    known = known.select(*keys, F.when(F.col("_times") > 1, twice).otherwise(F.col("_one")).alias(name))
+    return join_groups(strata, known, keys, "left")
+
+
 def few(frame: DataFrame, rows: int, by: Sequence[str] = ()) -> DataFrame:
     """Broadcast a table whose number of rows is known from parameters (dimensions, sizes,
     replicates). With groups of unknown number, or too many rows, the optimizer decides."""
@@ -163,18 +188,20 @@ def line_up(
     ``sample_share`` (count / all respondents), ``population_share``, ``relevant`` (population
     share above ``threshold``, by default above 1 / sample size), ``in_benchmark``,
     ``sample_size``; with ``targets`` the square-root ``target_share``; with ``keyed`` the
-    ``keyed_share`` (count / respondents that have every key of the dimension).
+    ``keyed_share`` (count / respondents that have every key of the dimension). A benchmark that has
+    group columns of its own is the benchmark of those groups.
     """
     keys = key_columns(dims)
     group = [*by, "dimension"]
+    own = [*(c for c in by if c in benchmark.columns), "dimension"]
     counts = roll_up(cells, dims, "n", by)
-    expected = benchmark.select("dimension", *keys, "population_share")
+    expected = benchmark.select(*own, *keys, "population_share")
     if by:
-        # Every group is measured against the whole benchmark. The filter is always true; it keeps
+        # Every group is measured against its whole benchmark. The filter is always true; it keeps
         # the size needed on this side, so that both sides share one exchange of cells. The join
         # is null-safe: a group without a name is a group.
         sizes = sample_sizes(cells, dims, by).where("sample_size > 0")
-        expected = expected.join(sizes, "dimension")
+        expected = join_groups(expected, sizes, own).select(*group, *keys, "population_share", "sample_size")
         counts = counts.alias("k").join(sizes.alias("z"), same_keys("k", "z", group)).select("k.*", "z.sample_size")
     else:
         size = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("sample_size")).scalar()
@@ -188,8 +215,8 @@ def line_up(
     bar = F.lit(float(threshold)) if threshold is not None else ratio(F.lit(1.0), F.col("sample_size"))
     expected = expected.withColumn("relevant", F.coalesce(F.col("population_share") > bar, F.lit(False)))
     if targets:
-        roots = benchmark.groupBy("dimension").agg(F.sum(F.sqrt("population_share")).alias("root_sum"))
-        expected = expected.join(few(roots, len(dims)), "dimension", "left")
+        roots = benchmark.groupBy(*own).agg(F.sum(F.sqrt("population_share")).alias("root_sum"))
+        expected = join_groups(expected, few(roots, len(dims), own[:-1]), own, "left")
         expected = expected.withColumn("target_share", ratio(F.sqrt("population_share"), F.col("root_sum")))
 
     on = [*group, *keys]

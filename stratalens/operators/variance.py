@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.functions.expressions import LABEL_SEPARATOR, banded, ratio
-from stratalens.operators.strata import Dimension
+from stratalens.operators.strata import Dimension, join_groups
 
 # Fixed value: used where a stratum has too few answers.
 DEFAULT_VARIANCE = 0.25
@@ -236,7 +236,8 @@ def for_dimensions(variance: DataFrame, dims: Sequence[Dimension]) -> DataFrame:
     """Variances under the names of ``dims``, whatever spelling the lookup uses.
 
     A dimension is looked up as ``A x B``, then under its own name, then, with a single column,
-    under that column's name in title case; the first spelling found is used alone.
+    under that column's name in title case; the first spelling found is used alone, in each survey
+    where the lookup names surveys.
     """
     spellings = []
     for d in dims:
@@ -246,7 +247,10 @@ def for_dimensions(variance: DataFrame, dims: Sequence[Dimension]) -> DataFrame:
         spellings += [(name, d.name, rank) for rank, name in enumerate(dict.fromkeys(names))]
     table = F.explode(F.array(*[F.struct(F.lit(s).alias("spelling"), F.lit(d).alias("name"), F.lit(r).alias("rank")) for s, d, r in spellings]))
     aliases = F.broadcast(variance.sparkSession.range(1).select(table.alias("a")).select("a.*"))  # three rows per dimension at most
+    surveys = [c for c in variance.columns if c not in ("dimension", "stratum", "variance")]
     named = variance.join(aliases, F.col("dimension") == F.col("spelling"))
-    used = named.groupBy("name").agg(F.min("rank").alias("rank"))
-    chosen = named.join(F.broadcast(used), ["name", "rank"])  # one row per dimension
-    return chosen.select(F.col("name").alias("dimension"), "stratum", "variance")
+    used = named.groupBy(*surveys, "name").agg(F.min("rank").alias("rank"))
+    if not surveys:
+        used = F.broadcast(used)  # one row per dimension
+    chosen = join_groups(named, used, [*surveys, "name", "rank"])
+    return chosen.select(*surveys, F.col("name").alias("dimension"), "stratum", "variance")

@@ -3,6 +3,7 @@
 from stratalens.plans import (
     q_compare,
     q_design,
+    q_groups,
     q_harmonize,
     q_quality,
     q_replicates,

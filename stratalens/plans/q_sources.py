@@ -111,6 +111,34 @@ def source_below_marker(t):
     return coded.groupBy("q266").agg(total(), F.count("q260").alias("readable"))
 
 
+@query(
+    "source_marker_missing",
+    """SELECT c_nationkey AS q266, count(*) AS n, count(CASE WHEN c_custkey % 3 <> 0 THEN 1 END) AS named,
+  count(CASE WHEN c_acctbal >= 0 THEN 1 END) AS readable FROM customer GROUP BY c_nationkey""",
+)
+def source_marker_missing(t):
+    """One file lacks the marker and takes the line that is agreed on as its header, one has its columns in another
+    order; columns are found by their names in each file's own header."""
+    place = F.col("c_custkey")
+    part = F.pmod(place, F.lit(3)).cast("int")
+    answer = F.when(F.col("c_acctbal") >= 0, "1").otherwise("n/a")
+    cells = [place.cast("string"), F.col("c_nationkey").cast("string"), answer]
+    line = F.when(part == 1, F.concat_ws(",", *reversed(cells))).otherwise(F.concat_ws(",", *cells))
+    rows = t.read("customer").select(part.alias("part"), place.alias("place"), line.alias("value"))
+    heads = [(0, "ID,Q266,Q260"), (1, 'Q260,"Q266",D_INTERVIEW'), (2, "D_INTERVIEW,Q266,Q260")]
+    above = [F.struct(F.lit(k).alias("part"), F.lit(at).cast("long").alias("place"), F.lit(text).alias("value"))
+             for k, head in heads for at, text in ((-3, "Some survey"), (-2, "notes, below"), (-1, head))]
+    notes = t.spark.range(1).select(F.explode(F.array(*above)).alias("h")).select("h.*")
+    path = scratch_path(t.spark, "unmarked")
+    whole = rows.unionByName(notes).repartition("part").sortWithinPartitions("part", "place")
+    whole.select("part", "value").write.partitionBy("part").text(path)
+    coded = readers.load_below_marker(
+        t.spark, f"{path}/part=*", "D_INTERVIEW", "id BIGINT, q266 INT, q260 INT",
+        names={"id": "D_INTERVIEW", "q266": "Q266", "q260": "Q260"}, fallback=2,
+    )
+    return coded.groupBy("q266").agg(total(), F.count("id").alias("named"), F.count("q260").alias("readable"))
+
+
 WAVES = """waves AS (SELECT CASE WHEN o_orderpriority < '3' THEN 6 ELSE 7 END AS wave, o_orderstatus FROM orders)"""
 
 

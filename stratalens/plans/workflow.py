@@ -88,8 +88,8 @@ def full_scorecard(
     """All four scores per dimension (and per survey, with ``by``), in percent of the attainable
     score when ``maxima`` is given, with the row of averages.
 
-    ``simplify="auto"`` folds small strata of crowded benchmarks first; that depends on the sample
-    size, so it needs a single survey. ``simplify="listed"`` keeps the countries of ``listed`` in
+    ``simplify="auto"`` folds small strata of crowded benchmarks first, for each survey by its own sample
+    size. ``simplify="listed"`` keeps the countries of ``listed`` in
     the country dimension and folds the others. Dimensions whose columns the survey lacks get an error text.
     """
     able = [d for d in dims if all(c in survey.columns for c in d.columns)]
@@ -98,28 +98,24 @@ def full_scorecard(
     cells = materialize(cell_counts(survey, key_columns(able), by))
     shares = benchmark.where(F.col("dimension").isin([d.name for d in able]))
     if simplify == "auto":
-        if by:
-            raise ValueError("simplify one survey at a time")
-        shares = reshape.auto_simplify(shares, able, sample_sizes(cells, able))
+        shares = reshape.auto_simplify(shares, able, sample_sizes(cells, able, by), by)
     elif simplify == "listed":
         if listed is None:
             raise ValueError("name the countries to keep")
-        for d in (d for d in able if d.columns == ("country",)):
-            kept = reshape.keep_listed(shares, d, listed, "Other Countries")
-            shares = shares.where(F.col("dimension") != d.name).unionByName(kept, allowMissingColumns=True)
+        shares = reshape.keep_listed_countries(shares, able, listed)
     elif simplify != "none":
         raise ValueError("simplify is 'none', 'auto' or 'listed'")
     card = scores.scorecard(cells, shares, able, by, variance)
     if maxima is not None:
         sizes = sample_sizes(cells, able[:1], by).select(*by, "sample_size")
-        named = sizes.withColumn("survey", F.concat_ws("|", *by) if by else F.lit("survey"))
-        reach = scores.attainable(named.select("survey", "sample_size"), maxima).drop("size_used")
-        card = card.withColumn("survey", F.concat_ws("|", *by) if by else F.lit("survey"))
+        # As json, a missing group name differs from every name.
+        named = F.to_json(F.struct(*by)) if by else F.lit("survey")
+        reach = scores.attainable(sizes.select(named.alias("survey"), "sample_size"), maxima).drop("size_used")
+        card = card.withColumn("survey", named)
         card = scores.with_percent_of_max(card, reach, ["survey"]).drop("survey")
     if overall:
         extra = ["max_match", "max_coverage", "match_pct_of_max", "coverage_pct_of_max"] if maxima is not None else []
-        mean = card.groupBy(*by).agg(*[F.avg(c).alias(c) for c in [*SCORES, *extra]], F.max("sample_size").alias("sample_size"))
-        card = card.unionByName(mean.withColumn("dimension", F.lit("Overall (Average)")), allowMissingColumns=True)
+        card = scores.with_overall(card, [*SCORES, *extra], by, largest=["sample_size"])
     return scores.unavailable(dims, survey.columns, scores.describe(card, dims))
 
 

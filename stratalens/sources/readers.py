@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalens.functions import fixed
 from stratalens.functions.expressions import clean_text
-from stratalens.operators.harmonize import add_hierarchy, broadcast_if_small, drop_incomplete, map_lenient
+from stratalens.operators.harmonize import add_hierarchy, drop_incomplete, map_lenient
+from stratalens.operators.ordering import first_rows
+from stratalens.operators.strata import join_groups
 from stratalens.session import materialize
 
 
@@ -71,7 +74,8 @@ def by_position(raw: DataFrame, positions: Mapping[str, int] = fixed.EXPORT_POSI
     absent = [name for name, i in positions.items() if i >= len(columns)]
     if absent:
         raise ValueError(f"export has only {len(columns)} columns, missing {absent}")
-    picked = raw.select(*[clean_text(F.col(f"`{columns[i]}`")).alias(name) for name, i in positions.items()])
+    wave = ["wave"] if "wave" in columns else []
+    picked = raw.select(*[clean_text(F.col(f"`{columns[i]}`")).alias(name) for name, i in positions.items()], *wave)
     titles = [text for text in fixed.QUESTION_COLUMNS]
     return picked.where("participant_id IS NOT NULL").where(~F.col("participant_id").isin(titles))
 
@@ -82,12 +86,24 @@ def load_participants(
     mappings: DataFrame | None = None,
     regions: DataFrame | None = None,
     continents: DataFrame | None = None,
+    layout: str = "positions",
+    wave: str | None = None,
 ) -> DataFrame:
-    """Participant export by position: cleaned, mapped leniently, with hierarchy, core columns present.
+    """Participant export: cleaned, mapped leniently, with hierarchy, core columns present.
 
-    The survey's wave number is taken from the path (``wave 3``, ``wave_3``, ``wave3``).
+    ``layout="positions"`` takes columns of a quoted csv by place, ``"words"`` an unquoted single-column
+    export. With ``wave``, a pattern for the file path such as ``(?i)wave[_ ]?(\\d+)``, the
+    survey's number is added as ``wave``.
     """
-    frame = by_position(load_table(spark, path, kind="csv", header=False, escape='"'))
+    raw = spark.read.text(path) if layout == "words" else load_table(spark, path, kind="csv", header=False, escape='"')
+    if wave is not None:
+        raw = with_wave(raw, wave)
+    if layout == "words":
+        frame = by_words(skip_title_line(raw))
+    elif layout == "positions":
+        frame = by_position(raw)
+    else:
+        raise ValueError("layout is 'positions' or 'words'")
     if mappings is not None:
         frame = map_lenient(frame, mappings, "participants", ["age_group", "gender", "religion", "environment", "country"])
     if regions is not None:
@@ -110,27 +126,64 @@ def by_words(
     lines: DataFrame, positions: Mapping[str, int] = fixed.WORD_POSITIONS, needed: int = fixed.WORDS_NEEDED, value: str = "value"
 ) -> DataFrame:
     """Unquoted single-column export: lines split on blanks, short lines left out, fields by place."""
-    parts = lines.select(F.split(F.trim(value), r"\s+").alias("parts")).where(F.size("parts") >= needed)
-    picked = parts.select(*[F.get("parts", F.lit(i)).alias(name) for name, i in positions.items()])
+    wave = ["wave"] if "wave" in lines.columns else []
+    parts = lines.select(F.split(F.trim(value), r"\s+").alias("parts"), *wave).where(F.size("parts") >= needed)
+    picked = parts.select(*[F.get("parts", F.lit(i)).alias(name) for name, i in positions.items()], *wave)
     return picked.where(F.col("participant_id") != "Participant")
 
 
-def load_below_marker(spark: SparkSession, path: str, marker: str, schema: str, delimiter: str = ",") -> DataFrame:
+def _cells(line: str, delimiter: str) -> Column:
+    """The fields of a csv line as text, without blanks and quotes around them."""
+    plain = re.escape(delimiter)
+    quoted = F.split(line, plain + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    parts = F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, plain, -1))
+    bare = lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"'))
+    return F.transform(parts, bare)
+
+
+def load_below_marker(
+    spark: SparkSession,
+    path: str,
+    marker: str,
+    schema: str,
+    delimiter: str = ",",
+    names: Mapping[str, str] | None = None,
+    fallback: int | None = None,
+) -> DataFrame:
     """Csv whose real header line, recognised by ``marker``, stands below free-form notes.
 
-    Lines are ordered by their place in the file (block start, then order within the block), so
-    files may be split over tasks. Numbers that cannot be read become null. ``schema`` names the
-    columns in the order of the file.
+    ``schema`` names the columns in the order of the file, or, with ``names`` (column -> its name in the
+    header), in any order: each file's own header is searched, and a name it lacks gives null. Numbers that cannot be
+    read become null. In a file without the marker, line ``fallback`` (from 0, every line counted) is
+    the header; without ``fallback`` such a file is an error when its rows are read, never left out.
+
+    Lines are numbered once, by block and order within the block, and written to the shared folder, so that the
+    header and the lines below it see the same numbers; large files may be split over tasks.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"),
-        "value",
+    lines = materialize(
+        spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("file"),
+            F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"),
+            "value",
+        )
     )
-    heads = lines.where(F.contains("value", F.lit(marker))).groupBy("file").agg(F.min("place").alias("head"))
-    below = lines.join(broadcast_if_small(materialize(heads)), "file").where(F.col("place") > F.col("head"))
-    parsed = below.select(F.from_csv("value", F.lit(schema), {"sep": delimiter, "mode": "PERMISSIVE"}).alias("row"))
-    return parsed.select("row.*").na.drop(how="all")
+    head = F.struct("place", "value")
+    heads = lines.groupBy("file").agg(F.min(F.when(F.contains("value", F.lit(marker)), head)).alias("head"))
+    if fallback is not None:
+        numbered = first_rows(lines, [F.col("place")], fallback + 1, ["file"])
+        stated = numbered.where(F.col("rank") == fallback + 1).select("file", head.alias("stated"))
+        heads = join_groups(heads, stated, ["file"], "left").select("file", F.coalesce("head", "stated").alias("head"))
+    absent = F.raise_error(F.concat(F.lit(f"no line with {marker!r} in "), F.col("file"))).cast("boolean")
+    inside = F.when(F.col("head").isNull(), absent).otherwise(F.col("place") > F.col("head.place"))
+    below = join_groups(lines, heads, ["file"]).where(inside)
+    if names is None:
+        row = F.from_csv("value", F.lit(schema), {"sep": delimiter, "mode": "PERMISSIVE"})
+        return below.select(row.alias("row")).select("row.*").na.drop(how="all")
+    fields = T.StructType.fromDDL(schema).fields
+    found = below.select(_cells("head.value", delimiter).alias("names"), _cells("value", delimiter).alias("cells"))
+    at = {f.name: F.array_position("names", names.get(f.name, f.name)) for f in fields}
+    value = {n: F.when(p > 0, F.nullif(F.get("cells", (p - 1).cast("int")), F.lit(""))) for n, p in at.items()}
+    return found.select(*[value[f.name].try_cast(f.dataType).alias(f.name) for f in fields]).na.drop(how="all")
 
 
 def with_wave(frame: DataFrame, pattern: str = r"(?i)wave[_ ]?(\d+)") -> DataFrame:
