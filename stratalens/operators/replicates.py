@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from stratalens.functions.expressions import hash_uniform, ratio, standard_error
 from stratalens.operators.allocation import with_sizes
-from stratalens.operators.ordering import running_totals
-from stratalens.operators.reshape import auto_simplify
+from stratalens.operators.ordering import first_rows, running_totals
+from stratalens.operators.reshape import auto_simplify, keep_listed_countries
 from stratalens.operators.scores import coverage_of, match_of, scorecard
 from stratalens.operators.strata import Dimension, cell_counts, dimension_label, few, key_columns
 from stratalens.session import materialize
@@ -143,45 +143,21 @@ def _drawn(survey: DataFrame, respondent: str, columns: Sequence[str], replicate
     return keyed.withColumn("_draw", F.md5(F.concat_ws("|", F.col(respondent).cast("string"), F.col("replicate").cast("string"))))
 
 
-def _candidates(drawn: DataFrame, largest: int, replicates: int, respondents: int | None) -> DataFrame | None:
-    """Respondents whose draw is small enough to matter: about four times as many as needed.
-
-    They are found by a plain filter, without sorting or moving the survey. None when the filter
-    would keep everything, or kept too few for some replicate; then all respondents are ranked.
-    """
-    if not respondents or respondents <= 8 * largest:
-        return None
-    border = f"{int(4 * largest / respondents * 16**8):08x}"
-    kept = materialize(drawn.where(F.col("_draw") < border))
-    enough = kept.groupBy("replicate").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= largest).count()
-    return kept if enough == replicates else None
-
-
 def subsamples(
-    survey: DataFrame,
-    respondent: str,
-    columns: Sequence[str],
-    sizes: Sequence[int],
-    replicates: int,
-    respondents: int | None = None,
-    spread: int = 256,
+    survey: DataFrame, respondent: str, columns: Sequence[str], sizes: Sequence[int], replicates: int, spread: int = 256
 ) -> DataFrame:
     """Random sub-samples without replacement: per replicate the respondents with the smallest draw.
 
-    With the number of ``respondents`` known, a filter keeps the few that can be among them.
-    Otherwise each task keeps only its smallest draws per replicate and slice. Either way the
-    survey is not shuffled, and the last ranking sees a few times ``max(sizes)`` rows per slice.
+    The draws are ranked in ``spread`` parts of each replicate first and the firsts of the parts
+    after, so no task ranks a replicate as a whole; up to Spark's limit for groups, every task keeps only its
+    smallest draws before anything is shuffled.
     """
     largest = max(sizes)
-    drawn = _drawn(survey, respondent, columns, replicates)
     order = [F.col("_draw"), F.col(respondent)]
-    near = _candidates(drawn, largest, replicates, respondents)
-    if near is None:
-        sliced = drawn.withColumn("_slice", F.pmod(F.xxhash64(respondent), F.lit(spread)))
-        local = F.row_number().over(Window.partitionBy("replicate", "_slice").orderBy(*order))
-        near = sliced.withColumn("_local", local).where(F.col("_local") <= largest).drop("_local", "_slice")
-    place = F.row_number().over(Window.partitionBy("replicate").orderBy(*order))
-    placed = near.withColumn("_place", place).where(F.col("_place") <= largest)
+    drawn = _drawn(survey, respondent, columns, replicates)
+    parts = drawn.withColumn("_part", F.pmod(F.xxhash64(respondent), F.lit(spread)))
+    near = first_rows(parts, order, largest, ["replicate", "_part"], "_place")
+    placed = first_rows(near.drop("_part", "_place"), order, largest, ["replicate"], "_place")
     sized = placed.withColumn("size", F.explode(F.array(*[F.lit(int(s)).cast("long") for s in sizes])))
     return sized.where("_place <= size").select("size", "replicate", respondent, *columns)
 
@@ -194,31 +170,31 @@ def subsample_scores(
     sizes: Sequence[int],
     replicates: int,
     mode: str = "none",
+    listed: DataFrame | None = None,
 ) -> DataFrame:
     """Scorecards of replicated sub-samples of several sizes, and of the whole survey once (size 0).
 
-    With ``mode="auto"`` the benchmark is simplified for each sub-sample size first.
+    With ``mode="auto"`` the benchmark is simplified for each sub-sample size first; with ``mode="listed"`` the
+    country dimension keeps the countries of ``listed`` and folds the others. All sizes and
+    replicates are groups of one job.
     """
     columns = key_columns(dims)
     group = ["size", "replicate"]
     zero = F.lit(0).cast("long")
-    whole = materialize(cell_counts(survey, columns).withColumn("size", zero).withColumn("replicate", zero))
-    respondents = whole.agg(F.sum("n")).first()[0]
-    drawn = subsamples(survey, respondent, columns, sizes, replicates, respondents)
+    whole = cell_counts(survey, columns).withColumn("size", zero).withColumn("replicate", zero)
+    drawn = subsamples(survey, respondent, columns, sizes, replicates)
     cells = materialize(cell_counts(drawn, columns, group).unionByName(whole))
-    if mode == "none":
-        return scorecard(cells, benchmark, dims, group)
-    if mode != "auto":
-        raise ValueError("mode is 'none' or 'auto'")
-    benchmark = materialize(benchmark)
-    out = None
-    for size in [*sizes, 0]:
-        part = cells.where(F.col("size") == size)
-        taken = part.groupBy(*group).agg(F.sum("n").alias("sample_size")).agg(F.max("sample_size").alias("sample_size"))
-        bars = taken.select(F.explode(F.array(*[F.lit(d.name) for d in dims])).alias("dimension"), "sample_size")
-        card = scorecard(part, auto_simplify(benchmark, dims, bars), dims, group)
-        out = card if out is None else out.unionByName(card)
-    return out
+    if mode == "auto":
+        totals = cells.groupBy(*group).agg(F.sum("n").alias("sample_size")).groupBy("size").agg(F.max("sample_size").alias("sample_size"))
+        bars = totals.select("size", F.explode(F.array(*[F.lit(d.name) for d in dims])).alias("dimension"), "sample_size")
+        benchmark = auto_simplify(benchmark, dims, bars, ["size"])
+    elif mode == "listed":
+        if listed is None:
+            raise ValueError("name the countries to keep")
+        benchmark = keep_listed_countries(benchmark, dims, listed)
+    elif mode != "none":
+        raise ValueError("mode is 'none', 'auto' or 'listed'")
+    return scorecard(cells, benchmark, dims, group)
 
 
 def expected_coverage(benchmark: DataFrame, sizes: Sequence[int], counts: Sequence[int] = (1, 2)) -> DataFrame:

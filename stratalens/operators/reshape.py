@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.operators.harmonize import broadcast_if_small
 from stratalens.operators.ordering import first_rows, running_totals
 from stratalens.operators.strata import Dimension, dimension_label, key_columns, same_keys
 
@@ -35,11 +34,13 @@ def _by_share() -> list[Column]:
     return [F.desc(F.round("population_share", 15)), F.col("_label")]
 
 
-def fold(marked: DataFrame, dims: Sequence[Dimension], label: str | Mapping[str, str] = OTHERS) -> DataFrame:
-    """Keep rows with ``keep`` true, sum the others into one row, added only when it is above zero."""
+def fold(
+    marked: DataFrame, dims: Sequence[Dimension], label: str | Mapping[str, str] = OTHERS, by: Sequence[str] = ()
+) -> DataFrame:
+    """Keep rows with ``keep`` true, sum the others into one row (per group), added only when it is above zero."""
     keys = key_columns(dims)
-    kept = marked.where("keep").select("dimension", *keys, "population_share")
-    rest = marked.where("NOT keep").groupBy("dimension").agg(F.sum("population_share").alias("population_share"))
+    kept = marked.where("keep").select(*by, "dimension", *keys, "population_share")
+    rest = marked.where("NOT keep").groupBy(*by, "dimension").agg(F.sum("population_share").alias("population_share"))
     filled = []
     for key in keys:
         value = F.lit(None).cast("string")
@@ -48,7 +49,7 @@ def fold(marked: DataFrame, dims: Sequence[Dimension], label: str | Mapping[str,
                 name = label if isinstance(label, str) else label[d.name]
                 value = F.when(F.col("dimension") == d.name, name).otherwise(value)
         filled.append(value.alias(key))
-    return kept.unionByName(rest.where("population_share > 0").select("dimension", *filled, "population_share"))
+    return kept.unionByName(rest.where("population_share > 0").select(*by, "dimension", *filled, "population_share"))
 
 
 def mark(
@@ -98,10 +99,11 @@ def simplify_occupations(benchmark: DataFrame, dim: Dimension, coverage: float =
     return simplify(benchmark, [dim], coverage=coverage, label="Other Occupations")
 
 
-def auto_simplify(benchmark: DataFrame, dims: Sequence[Dimension], sizes: DataFrame) -> DataFrame:
+def auto_simplify(benchmark: DataFrame, dims: Sequence[Dimension], sizes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Fold strata that expect less than one respondent, in crowded dimensions only.
 
-    ``sizes`` has ``dimension, sample_size``. The threshold is max(1 / sample size, 0.001).
+    ``sizes`` has ``dimension, sample_size`` and the group columns ``by``; every group gets a
+    benchmark of its own. The threshold is max(1 / sample size, 0.001).
     """
     strata = benchmark.groupBy("dimension").agg(F.count(F.lit(1)).alias("_strata"))
     limit = F.lit(CROWDED_ANYWHERE)
@@ -109,14 +111,15 @@ def auto_simplify(benchmark: DataFrame, dims: Sequence[Dimension], sizes: DataFr
         limits = [CROWDED[c] for c in d.columns if c in CROWDED]
         if limits:
             limit = F.when(F.col("dimension") == d.name, F.lit(min([*limits, CROWDED_ANYWHERE]))).otherwise(limit)
-    bars = strata.join(sizes.select("dimension", "sample_size"), "dimension").select(
+    bars = strata.join(sizes.select(*by, "dimension", "sample_size"), "dimension").select(
+        *by,
         "dimension",
         (F.col("_strata") > limit).alias("_crowded"),
         F.greatest(F.try_divide(F.lit(1.0), F.col("sample_size")), F.lit(SMALLEST_THRESHOLD)).alias("_bar"),
     )
-    marked = benchmark.join(F.broadcast(bars), "dimension")  # one row per dimension
+    marked = benchmark.join(bars if by else F.broadcast(bars), "dimension")  # one row per dimension and group
     marked = marked.withColumn("keep", ~F.col("_crowded") | (F.col("population_share") >= F.col("_bar")))
-    return fold(marked, dims, others_labels(dims))
+    return fold(marked, dims, others_labels(dims), by)
 
 
 def adaptive_simplify(aligned: DataFrame, dims: Sequence[Dimension], target: float = 0.95) -> DataFrame:
@@ -139,11 +142,19 @@ def keep_listed(benchmark: DataFrame, dim: Dimension, listed: DataFrame, label:
     return kept.unionByName(rest.select("dimension", *[F.lit(label).alias(c) for c in dim.columns], "population_share"))
 
 
+def keep_listed_countries(benchmark: DataFrame, dims: Sequence[Dimension], listed: DataFrame) -> DataFrame:
+    """The benchmark with only the listed countries in its country dimension and one row for the others."""
+    for d in (d for d in dims if d.columns == ("country",)):
+        kept = keep_listed(benchmark, d, listed, OTHERS_BY_COLUMN["country"])
+        benchmark = benchmark.where(F.col("dimension") != d.name).unionByName(kept, allowMissingColumns=True)
+    return benchmark
+
+
 def relabel_survey(survey: DataFrame, simplified: DataFrame, dim: Dimension, label: str) -> DataFrame:
     """Give respondents (or cells) outside the kept strata the name of the summed row."""
     kept = simplified.where(F.col("dimension") == dim.name).select(*dim.columns).distinct()
     kept = kept.where(reduce(lambda a, b: a | b, [F.col(c) != label for c in dim.columns]))
-    kept = broadcast_if_small(kept.withColumn("_kept", F.lit(True)))
+    kept = kept.withColumn("_kept", F.lit(True))
     whole = reduce(lambda a, b: a & b, [F.col(f"s.{c}").isNotNull() for c in dim.columns])
     joined = survey.alias("s").join(kept.alias("k"), same_keys("s", "k", dim.columns), "left")
     shown = [

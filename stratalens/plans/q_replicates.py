@@ -171,6 +171,44 @@ def subsample_stability_auto(t):
     )
 
 
+LISTED = "country IN ('NATION_1', 'NATION_5', 'NATION_9')"
+
+
+@query(
+    "subsample_stability_listed",
+    f"""WITH {q.ORDERS}, {SUB}, {q.shares("bench", "people", [q.STANDARD[2]], ("country",))},
+folded AS (SELECT country, q FROM bench WHERE {LISTED} UNION ALL SELECT 'Other Countries', 1 - sum(q) FROM bench WHERE {LISTED}),
+totals AS (SELECT size, replicate, count(*) AS total FROM sub GROUP BY ALL),
+e AS (SELECT totals.*, country, q FROM folded, totals),
+c AS (SELECT size, replicate, country, count(*)::DOUBLE / max(total) AS s FROM sub JOIN totals USING (size, replicate) GROUP BY ALL),
+card AS (SELECT coalesce(e.size, c.size) AS size, coalesce(e.replicate, c.replicate) AS replicate, 1 - 0.5 * sum(abs(coalesce(s, 0) - coalesce(q, 0))) AS m
+  FROM e FULL OUTER JOIN c ON e.size = c.size AND e.replicate = c.replicate AND e.country = c.country GROUP BY ALL)
+SELECT CAST(size AS BIGINT) AS size, count(*) AS replicates, {q.r("avg(m)", "match_mean")}, {q.r("stddev_pop(m)", "match_std")} FROM card GROUP BY size""",
+)
+def subsample_stability_listed(t):
+    """The same against a benchmark that keeps three countries."""
+    kept = t.population.where(LISTED).select("country").distinct()
+    cards = replicates.subsample_scores(t.survey, "respondent", t.benchmark_for(COUNTRY), (COUNTRY,), [50, 200], 5, "listed", kept)
+    return cards.groupBy("size").agg(
+        F.count(F.lit(1)).alias("replicates"), F.avg("match_score").alias("match_mean"), F.stddev_pop("match_score").alias("match_std")
+    )
+
+
+@query(
+    "subsample_statistics",
+    f"""WITH {q.ORDERS}, {SUB}, {q.lined_up(SUB_DIMS, SUB_KEYS, survey="sub", by=("size", "replicate"), total="total")},
+card AS (SELECT size, replicate, dimension, {q.MATCH} AS m FROM aligned GROUP BY ALL)
+SELECT CAST(size AS BIGINT) AS size, dimension, count(*) AS replicates, {q.r("avg(m)", "mean")}, {q.r("stddev_pop(m)", "std")}, {q.r("min(m)", "min")},
+  {q.r("max(m)", "max")}, {q.r("median(m)", "median")}, {q.r("quantile_cont(m, 0.25)", "q25")}, {q.r("quantile_cont(m, 0.75)", "q75")}
+FROM card GROUP BY size, dimension""",
+)
+def subsample_statistics(t):
+    """Spread of the match score over real sub-samples."""
+    dims = (COUNTRY, REGION, SEGMENT)
+    cards = replicates.subsample_scores(t.survey, "respondent", t.benchmark_for(*dims), dims, [50, 200], 5)
+    return replicates.replicate_statistics(cards, ["size", "dimension"], "match_score")
+
+
 @query(
     "expected_coverage",
     f"""WITH {STD}, hits AS (SELECT dimension, CAST(size AS BIGINT) AS size, CAST(k AS BIGINT) AS at_least,

@@ -193,12 +193,35 @@ def test_subsamples_pick_the_smallest_hashes(spark):
 
     survey = spark.range(900).select(F.col("id").alias("respondent"), F.lit("x").alias("country"))
     ranked = sorted(range(900), key=lambda i: (hashlib.md5(f"{i}|0".encode()).hexdigest(), i))
-    # Slices, the filter, and a filter that keeps too few because the survey is smaller than stated.
-    for respondents in (None, 900, 90_000):
-        drawn = replicates.subsamples(survey, "respondent", ["country"], [30], 1, respondents, spread=4)
+    for spread in (1, 4, 300):
+        drawn = replicates.subsamples(survey, "respondent", ["country"], [30], 1, spread=spread)
         assert {r["respondent"] for r in drawn.collect()} == set(ranked[:30])
 
 
+def test_samples_beyond_the_group_limit(spark):
+    """Counts above Spark's own limit are cut in slices, not in one sort of the whole group."""
+    from stratalens.operators.ordering import first_rows
+
+    frame = spark.range(6000).select(F.col("id"), (F.col("id") % 2).alias("g"))
+    top = first_rows(frame, [F.col("id")], 2000, ["g"])
+    assert "_slice" in top._jdf.queryExecution().executedPlan().toString()
+    assert top.groupBy("g").agg(F.max("id").alias("m"), F.count(F.lit(1)).alias("n")).orderBy("g").collect() == [(0, 3998, 2000), (1, 3999, 2000)]
+    drawn = replicates.subsamples(frame.withColumnRenamed("id", "respondent"), "respondent", ["g"], [2000], 2)
+    assert drawn.groupBy("replicate").count().orderBy("replicate").collect() == [(0, 2000), (1, 2000)]
+
+
+def test_auto_simplify_by_group(spark):
+    """Every group folds by its own sample size."""
+    from stratalens.operators.reshape import auto_simplify
+
+    rows = [("D", f"c{i}", 0.01 if i else 0.4) for i in range(61)]
+    bench = spark.createDataFrame(rows, "dimension string, country string, population_share double")
+    sizes = spark.createDataFrame([(1, "D", 50), (2, "D", 1000)], "wave int, dimension string, sample_size long")
+    dims = [Dimension("D", ("country",))]
+    got = {r["wave"]: r["n"] for r in auto_simplify(bench, dims, sizes, ["wave"]).groupBy("wave").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {1: 2, 2: 61}
+
+
 def test_expected_coverage(long_benchmark):
     rows = replicates.expected_coverage(long_benchmark(("A", 0.5), ("B", 0.5)), [2]).collect()
     got = {r["at_least"]: r["expected_strata"] for r in rows}

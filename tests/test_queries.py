@@ -80,7 +80,7 @@ def test_respondents_are_read_once(spark, name, survey, population):
         assert bad not in text
 
 
-@pytest.mark.parametrize("name", ["fix_impact", "agreement_scores", "neyman", "replicate_scores", "subsample_stability_auto", "cumulative_match", "weight_shift"])
+@pytest.mark.parametrize("name", ["fix_impact", "agreement_scores", "neyman", "replicate_scores", "subsample_stability_auto", "subsample_stability_listed", "cumulative_match", "weight_shift"])
 def test_no_keyless_join_or_python(spark, name):
     frame = QUERIES[name](spark, SMALL)
     frame.collect()

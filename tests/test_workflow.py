@@ -68,11 +68,14 @@ def test_scorecard_per_survey_and_missing_columns(spark, benchmark):
     assert sum(r["error"] is not None for r in card) == 11
 
 
-def test_auto_simplification_needs_one_survey(spark, benchmark):
-    frame = spark.createDataFrame([("w1", "A")], "wave string, country string")
-    with pytest.raises(ValueError):
-        workflow.full_scorecard(frame, benchmark, by=["wave"], simplify="auto")
-    assert workflow.full_scorecard(frame, benchmark, simplify="auto").where("dimension = 'Country'").count() == 1
+def test_auto_simplification_of_several_surveys(spark, benchmark):
+    """Every survey is simplified by its own size, as if it were scored alone."""
+    frame = spark.createDataFrame([("w1", "A"), ("w2", "A"), ("w2", "B")], "wave string, country string")
+    together = workflow.full_scorecard(frame, benchmark, by=["wave"], simplify="auto").where("dimension = 'Country'").collect()
+    for row in together:
+        alone = workflow.full_scorecard(frame.where(F.col("wave") == row["wave"]), benchmark, simplify="auto").where("dimension = 'Country'").first()
+        assert row["match_score"] == pytest.approx(alone["match_score"]) and row["strata"] == alone["strata"]
+    assert len(together) == 2
 
 
 def test_strict_mapping_drops_unlisted_countries(spark, hierarchy):
