@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.functions import fixed
@@ -51,24 +51,40 @@ def age_population(
     raw: DataFrame, country: str, label: str, groups: Mapping[str, Sequence[str]] = fixed.AGE_COLUMNS
 ) -> DataFrame:
     """One row per country and age group out of wide age columns; ``label`` names the gender."""
-    wanted = {column: group for group, columns in groups.items() for column in columns if column in raw.columns}
-    text = raw.select(_quoted(country).alias("country"), *[_quoted(c).cast("string").alias(c) for c in wanted])
-    long = text.unpivot(["country"], [_quoted(c) for c in wanted], "column", "text")
+    found = _age_groups(_age_rows(raw, country, label, groups), groups)
+    return found.where("population > 0")
+
+
+def _age_rows(raw: DataFrame, country: str, label: str, groups: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Country and gender with the age columns of the table as text."""
+    wanted = [c for columns in groups.values() for c in columns if c in raw.columns]
+    text = [_quoted(c).cast("string").alias(c) for c in wanted]
+    return raw.select(_quoted(country).alias("country"), F.lit(label).alias("gender"), *text)
+
+
+def _age_groups(rows: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Population per country, gender and age group; unreadable numbers count as none.
+
+    The table is unpivoted once, whatever genders it holds."""
+    wanted = {column: group for group, columns in groups.items() for column in columns if column in rows.columns}
+    long = rows.unpivot(["country", "gender"], [_quoted(c) for c in wanted], "column", "text")
     pairs = [part for column, group in wanted.items() for part in (F.lit(column), F.lit(group))]
     whole = F.regexp_replace("text", "[ ,]", "").try_cast("long")
     return (
-        long.groupBy("country", F.try_element_at(F.create_map(*pairs), F.col("column")).alias("age_group"))
+        long.groupBy("country", "gender", F.try_element_at(F.create_map(*pairs), F.col("column")).alias("age_group"))
         .agg(F.coalesce(F.sum(whole), F.lit(0)).alias("population"))
-        .where("population > 0")
-        .select("country", F.lit(label).alias("gender"), "age_group", "population")
+        .select("country", "gender", "age_group", "population")
     )
 
 
 def both_sexes(male: DataFrame, female: DataFrame, country: str) -> DataFrame:
-    """Age rows of both tables for the men's countries that the women's table has too."""
-    paired_men = male.join(female.select(_quoted(country)).distinct(), country, "left_semi")
-    paired_women = female.join(male.select(_quoted(country)).distinct(), country, "left_semi")
-    return age_population(paired_men, country, "Male").unionByName(age_population(paired_women, country, "Female"))
+    """Age rows of both tables for the countries that both have. Each table is read once; the rows that are
+    compared are one per country, gender and age group."""
+    both = [_age_rows(table, country, label, fixed.AGE_COLUMNS) for table, label in ((male, "Male"), (female, "Female"))]
+    found = _age_groups(both[0].unionByName(both[1], allowMissingColumns=True), fixed.AGE_COLUMNS)
+    in_country = Window.partitionBy("country")
+    sexes = F.max(F.col("gender") == "Male").over(in_country) & F.max(F.col("gender") == "Female").over(in_country)
+    return found.where("country IS NOT NULL").withColumn("_both", sexes).where("_both AND population > 0").drop("_both")
 
 
 def age_gender_benchmark(male: DataFrame, female: DataFrame, country: str, kind: str) -> DataFrame:

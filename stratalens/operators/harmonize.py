@@ -1,7 +1,7 @@
 """Bringing messy category labels to standard ones through mapping tables.
 
-A mapping table has ``source, attribute, raw_value, standard_value``. It is broadcast only after
-its size was checked; larger tables join the ordinary way.
+A mapping table has ``source, attribute, raw_value, standard_value``. Whether a table is broadcast is left to the
+optimizer, which knows its size at run time and splits skewed keys of larger joins; no job runs while a frame is built.
 """
 
 from __future__ import annotations
@@ -14,19 +14,6 @@ from pyspark.sql import functions as F
 from stratalens.functions import fixed
 from stratalens.functions.expressions import age_band, inline_table, town_setting
 
-BROADCAST_ROWS = 100_000
-
-
-def is_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows; counts no further than that."""
-    return frame.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for tables of at most ``rows`` rows; others are left to the optimizer."""
-    return F.broadcast(frame) if is_small(frame, rows) else frame
-
-
 def mapping_table(spark: SparkSession, mappings: Mapping[str, Mapping[str, Mapping[str, Sequence[str]]]]) -> DataFrame:
     """Nested ``source -> attribute -> standard -> raw values`` as a table."""
     rows = [
@@ -71,11 +58,8 @@ def map_columns(survey: DataFrame, mapping: DataFrame, columns: Sequence[str], s
     """
     frame = survey
     present = [c for c in columns if c in survey.columns]
-    small = is_small(mapping)
     for column in present:
         table = mapping.where(F.col("attribute") == column).select(F.col("raw_value").alias("_raw"), F.col("standard_value").alias("_std"))
-        if small:
-            table = F.broadcast(table)
         frame = frame.join(table, frame[column] == F.col("_raw"), "inner" if strict else "left")
         value = F.col("_std") if strict else F.coalesce("_std", column)
         frame = frame.withColumn(column, value).drop("_raw", "_std")
@@ -100,9 +84,9 @@ def suburban_as_urban(frame: DataFrame, column: str = "environment") -> DataFram
 
 def add_hierarchy(frame: DataFrame, regions: DataFrame, continents: DataFrame | None = None) -> DataFrame:
     """Add ``region`` (from ``country, region``) and ``continent`` (from ``region, continent``); unmapped gives null."""
-    out = frame.drop("region", "continent").join(broadcast_if_small(regions.select("country", "region")), "country", "left")
+    out = frame.drop("region", "continent").join(regions.select("country", "region"), "country", "left")
     if continents is not None:
-        out = out.join(broadcast_if_small(continents.select("region", "continent")), "region", "left")
+        out = out.join(continents.select("region", "continent"), "region", "left")
     return out
 
 
@@ -135,13 +119,13 @@ def drop_incomplete(frame: DataFrame, columns: Sequence[str] | None = None, how:
 
 def keep_known(survey: DataFrame, benchmark: DataFrame, column: str) -> DataFrame:
     """Respondents whose category the benchmark knows."""
-    return survey.join(broadcast_if_small(benchmark.select(column).distinct()), column, "left_semi")
+    return survey.join(benchmark.select(column).distinct(), column, "left_semi")
 
 
 def label_codes(frame: DataFrame, column: str, codes: DataFrame | Mapping[int, str], name: str) -> DataFrame:
     """Label for a numeric code, from a small dict or from a ``code, label`` table; unknown gives null."""
     if isinstance(codes, DataFrame):
-        table = broadcast_if_small(codes.select(F.col("code").alias("_code"), F.col("label").alias(name)))
+        table = codes.select(F.col("code").alias("_code"), F.col("label").alias(name))
         return frame.join(table, F.col(column) == F.col("_code"), "left").drop("_code")
     return frame.withColumn(name, _looked_up(column, {int(k): v for k, v in codes.items()}))
 

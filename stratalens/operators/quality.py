@@ -3,7 +3,7 @@ means nothing was found."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,8 +88,10 @@ def check_survey_deep(survey: DataFrame, required: Sequence[str] = (), source: s
             aggs.append(F.count_if((age < AGE_RANGE[0]) | (age > AGE_RANGE[1])).alias(f"age_{i}"))
             candidates.append(_issue(F.col(f"age_{i}") > 0, "implausible_age", c, F.col(f"age_{i}")))
     found = _issues(survey.agg(*aggs), source, candidates)
-    # Equal rows are combined in the task that reads them before anything is shuffled.
-    copies = survey.groupBy(*[F.col(f"`{c}`") for c in survey.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    # Rows are told apart by 128 bits of hash, combined in the task that reads them; whole rows are never shuffled. Hashes
+    # skip nulls, so the places of the nulls are hashed too.
+    every = [F.array(*[F.col(f"`{c}`").isNull() for c in survey.columns]), *[F.col(f"`{c}`") for c in survey.columns]]
+    copies = survey.groupBy(F.xxhash64(*every).alias("_a"), F.xxhash64(F.lit(1), *every).alias("_b")).agg(F.count(F.lit(1)).alias("_copies"))
     doubled = copies.agg(F.sum("_copies").alias("rows"), F.sum(F.col("_copies") - 1).alias("extra"))
     pct = ratio(F.col("extra") * 100, F.col("rows"))
     found = found.unionByName(_issues(doubled, source, [_issue(pct > DUPLICATE_ERROR, "duplicate_rows", None, pct)]))
@@ -174,10 +176,23 @@ def check_mappings(mappings: DataFrame, regions: DataFrame, continents: DataFram
     )
 
 
-def check_requirements(spark: SparkSession, dims: Sequence[Dimension], tables: Sequence[str]) -> DataFrame:
-    """Dimensions that need a hierarchy table which is not there."""
-    rows = [(d.name, "missing_requirement", r, None, "error") for d in dims for r in d.requires if r not in tables]
-    return spark.createDataFrame(rows, ISSUE_SCHEMA) if rows else no_issues(spark)
+def check_requirements(survey: DataFrame, dims: Sequence[Dimension], hierarchies: Mapping[str, DataFrame]) -> DataFrame:
+    """Dimensions that need a hierarchy table which is not there, or which lacks keys that the survey has.
+
+    The first column of a hierarchy table is its key; ``value`` is the number of keys it lacks.
+    """
+    spark = survey.sparkSession
+    absent = [(d.name, "missing_requirement", r, None, "error") for d in dims for r in d.requires if r not in hierarchies]
+    found = spark.createDataFrame(absent, ISSUE_SCHEMA) if absent else no_issues(spark)
+    for name, table in hierarchies.items():
+        users = [d.name for d in dims if name in d.requires]
+        key = table.columns[0]
+        if users and key in survey.columns:
+            keys = survey.select(key).where(F.col(key).isNotNull()).distinct()
+            lost = keys.join(table.select(key).distinct(), key, "left_anti").agg(F.count(F.lit(1)).alias("n"))
+            lost = lost.select("n", F.explode(F.array(*[F.lit(u) for u in users])).alias("user"))
+            found = found.unionByName(_issues(lost, F.col("user"), [_issue(F.col("n") > 0, "unmapped_keys", name, F.col("n"))]))
+    return found
 
 
 def check_completed(benchmark: DataFrame, dims: Sequence[Dimension]) -> DataFrame:

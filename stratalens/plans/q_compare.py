@@ -200,24 +200,26 @@ def alignment_report(t):
 
 @query(
     "overlap_sets",
-    """WITH a AS (SELECT DISTINCT p_size AS v FROM part), b AS (SELECT DISTINCT n_nationkey AS v FROM nation)
+    """WITH a AS (SELECT DISTINCT n_name AS v FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'),
+b AS (SELECT DISTINCT n_name AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT coalesce(a.v, b.v) AS value, CASE WHEN b.v IS NULL THEN 'only left' WHEN a.v IS NULL THEN 'only right' ELSE 'both' END AS "where"
 FROM a FULL OUTER JOIN b ON a.v = b.v""",
 )
 def overlap_sets(t):
-    sizes = t.read("part").select(F.col("p_size").alias("value"))
-    return compare.overlap(sizes, t.read("nation").select(F.col("n_nationkey").alias("value")), "value")
+    """Countries of the customers of one segment against countries of the suppliers."""
+    builders = t.population.where("segment = 'BUILDING'").select(F.col("country").alias("value"))
+    return compare.overlap(builders, t.supplier_survey.select(F.col("country").alias("value")), "value")
 
 
 @query(
     "strata_overlap",
-    f"""WITH {q.LABELLED}, a AS (SELECT DISTINCT lang, source FROM labelled), b AS (SELECT DISTINCT lang, source FROM documents WHERE n_chars > 2000),
+    f"""WITH {q.LABELLED}, a AS (SELECT DISTINCT lang, source FROM labelled), b AS (SELECT DISTINCT lang, source FROM documents),
 j AS (SELECT a.lang AS al, b.lang AS bl FROM a FULL OUTER JOIN b ON a.lang = b.lang AND a.source = b.source)
 SELECT count(al) AS survey_strata, count(bl) AS benchmark_strata, count(*) FILTER (al IS NOT NULL AND bl IS NOT NULL) AS common_strata,
   {q.r("count(*) FILTER (al IS NOT NULL AND bl IS NOT NULL)::DOUBLE / count(al)", "overlap")} FROM j""",
 )
 def strata_overlap(t):
-    return compare.strata_overlap(t.labelled, t.read("documents").where("n_chars > 2000"), ["lang", "source"])
+    return compare.strata_overlap(t.labelled, t.read("documents"), ["lang", "source"])
 
 
 GAP = f"""{q.PEOPLE}, fine AS (SELECT country, segment, count(*)::DOUBLE / (SELECT count(*) FROM people) AS q FROM people GROUP BY ALL),

@@ -149,14 +149,18 @@ def validate_mapping(t):
 
 @query(
     "dimension_requirements",
-    f"""WITH {ODD_BENCH}, {BENCH_ISSUES} {issue("'Region × Segment'", "missing_requirement", "'country_to_region'", "NULL")}
-UNION ALL {issue("'Region'", "missing_requirement", "'country_to_region'", "NULL")}
-UNION ALL SELECT * FROM bench_issues WHERE severity = 'warning'""",
+    f"""WITH {q.PEOPLE}, known AS (SELECT DISTINCT n_name AS country FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'),
+lost AS (SELECT count(DISTINCT country) AS n FROM people WHERE country NOT IN (SELECT country FROM known))
+{issue("'Segment'", "missing_requirement", "'segment_to_group'", "NULL")}
+UNION ALL SELECT source, "check", "column", value, severity FROM ({issue("'Region'", "unmapped_keys", "'country_to_region'", "(SELECT n FROM lost)")}) WHERE value > 0
+UNION ALL SELECT source, "check", "column", value, severity FROM ({issue("'Region × Segment'", "unmapped_keys", "'country_to_region'", "(SELECT n FROM lost)")}) WHERE value > 0""",
 )
 def dimension_requirements(t):
-    """Dimensions that lack their hierarchy table, next to the warnings about the benchmark."""
-    warnings = quality.check_benchmark(odd_benchmark(t), [KEYED]).where("severity = 'warning'")
-    return quality.check_requirements(t.spark, STANDARD, ["country_to_continent"]).unionByName(warnings)
+    """Dimensions whose hierarchy table is missing or does not know all keys of the population."""
+    grouped = Dimension("Segment", ("segment",), ("segment_to_group",))
+    regions = t.places.where("region <> 'ASIA'").select("country", "region")
+    dims = [d for d in STANDARD if d.name != "Segment"] + [grouped]
+    return quality.check_requirements(t.population, dims, {"country_to_region": regions})
 
 
 @query(

@@ -126,8 +126,12 @@ def test_pair_check(spark, known, found):
 
 def test_mapping_requirement_and_completeness(spark):
     dims = [Dimension("A", ("a",)), Dimension("R", ("r",), ("country_to_region",))]
-    assert issues(quality.check_requirements(spark, dims, [])) == {("R", "missing_requirement", "country_to_region"): (None, "error")}
-    assert issues(quality.check_requirements(spark, dims, ["country_to_region"])) == {}
+    survey = spark.createDataFrame([("A",), ("B",), (None,)], "country string")
+    regions = spark.createDataFrame([("A", "X"), ("B", "Y")], "country string, region string")
+    assert issues(quality.check_requirements(survey, dims, {})) == {("R", "missing_requirement", "country_to_region"): (None, "error")}
+    assert issues(quality.check_requirements(survey, dims, {"country_to_region": regions})) == {}
+    part = {"country_to_region": regions.where("country = 'A'")}
+    assert issues(quality.check_requirements(survey, dims, part)) == {("R", "unmapped_keys", "country_to_region"): (1.0, "error")}
     bench = spark.createDataFrame([("A",)], "dimension string")
     row = quality.check_completed(bench, dims).first()
     assert (row["completed"], row["coverage"], row["sufficient"]) == (1, 0.5, False)
@@ -144,3 +148,9 @@ def test_profile(spark):
     frame = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "c string")
     row = quality.profile(quality.value_counts(frame, ["c"])).first()
     assert (row["rows"], row["distinct_values"], row["missing_share"], row["top_value"]) == (4, 2, 0.25, "a")
+
+
+def test_rows_that_differ_in_the_place_of_a_null_are_no_duplicates(spark):
+    rows = spark.createDataFrame([(None, "a"), ("a", None)] * 1 + [("b", "c")] * 8, "x string, y string")
+    found = {r["check"]: r["value"] for r in quality.check_survey_deep(rows).collect()}
+    assert found["duplicate_rows"] == pytest.approx(70.0)

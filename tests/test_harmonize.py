@@ -39,11 +39,18 @@ def test_inherited_countries(spark):
 
 
 def test_mapping_joins_either_way(spark):
-    """Above the size bound the mapping joins without a broadcast, with the same result."""
-    small = harmonize.broadcast_if_small(spark.range(5), 5)
-    large = harmonize.broadcast_if_small(spark.range(6), 5)
-    hint = lambda frame: "ResolvedHint" in frame._jdf.queryExecution().analyzed().toString()
-    assert hint(small) and not hint(large)
+    """Whether the optimizer broadcasts the mapping or not, the result is the same and no job runs before."""
+    survey = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "country string")
+    mapping = spark.createDataFrame([("country", "a", "A"), ("country", "b", "B")], "attribute string, raw_value string, standard_value string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (old, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            strict = harmonize.map_columns(survey, mapping, ["country"], strict=True)
+            assert {r[0] for r in strict.collect()} == {"A", "B"}
+            assert {r[0] for r in harmonize.map_columns(survey, mapping, ["country"], strict=False).collect()} == {"A", "B", "c", None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_hierarchy(spark):
