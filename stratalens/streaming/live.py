@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stratalens.operators.scores import match_and_coverage
 from stratalens.operators.strata import Dimension, cell_counts, key_columns, line_up
+from stratalens.session import materialize
 
 
 def windowed_counts(stream: DataFrame, ts: str, keys: Sequence[str], width: str = "1 day", delay: str = "1 hour") -> DataFrame:
@@ -32,23 +33,37 @@ def run_windowed_counts(counts: DataFrame, out: str, checkpoint: str, available_
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def snapshot(spark: SparkSession, state: str, benchmark: DataFrame, dims: Sequence[Dimension]) -> DataFrame:
-    """Scores over everything counted so far."""
-    keys = key_columns(dims)
-    cells = spark.read.parquet(state).groupBy(*keys).agg(F.sum("n").alias("n"))
-    return match_and_coverage(line_up(cells, benchmark, dims))
+def counts_so_far(spark: SparkSession, state: str, batch: int | None = None) -> DataFrame:
+    """Cell counts after ``batch``, by default after the last one; only that batch's files are read."""
+    if batch is not None:
+        return spark.read.parquet(f"{state}/batch={batch}")
+    every = spark.read.parquet(state)
+    return every.where(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
+
+
+def snapshot(
+    spark: SparkSession, state: str, benchmark: DataFrame, dims: Sequence[Dimension], batch: int | None = None
+) -> DataFrame:
+    """Scores over everything counted so far (or up to ``batch``)."""
+    return match_and_coverage(line_up(counts_so_far(spark, state, batch).select(*key_columns(dims), "n"), benchmark, dims))
 
 
 def keep_counts(dims: Sequence[Dimension], state: str, after: Callable[[SparkSession, int], None] | None = None):
-    """A micro-batch sink that stores each batch's cell counts in a folder of its own.
+    """A micro-batch sink that stores the running cell counts after each batch in a folder of its own.
 
-    A batch that is run again overwrites its own folder, so nothing is counted twice. ``after`` is
-    called when the counts are stored, for example to write a snapshot.
+    Batch k adds its counts to those after batch k - 1, so each batch reads one folder however long the stream
+    has run. A batch that is run again overwrites its own folder, so nothing is counted twice.
+    ``after`` is called when the counts are stored, for example to write a snapshot.
     """
     keys = key_columns(dims)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        cell_counts(batch, keys).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        spark = batch.sparkSession
+        counts = cell_counts(batch, keys)
+        if batch_id > 0:
+            before = counts_so_far(spark, state, batch_id - 1).select(*keys, "n")
+            counts = counts.unionByName(before).groupBy(*keys).agg(F.sum("n").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
         if after is not None:
             after(batch.sparkSession, batch_id)
 
@@ -64,20 +79,22 @@ def follow_scores(
     checkpoint: str,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Write a score snapshot after every micro-batch, from counts accumulated in ``state``."""
+    """Write a score snapshot after every micro-batch, from counts accumulated in ``state``.
+
+    The benchmark is computed once and written to the shared folder.
+    """
+    benchmark = materialize(benchmark)
 
     def publish(spark: SparkSession, batch_id: int) -> None:
-        snapshot(spark, state, benchmark, dims).write.mode("overwrite").parquet(f"{scores}/batch={batch_id}")
+        snapshot(spark, state, benchmark, dims, batch_id).write.mode("overwrite").parquet(f"{scores}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(keep_counts(dims, state, publish)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def compact_counts(spark: SparkSession, state: str, out: str, dims: Sequence[Dimension]) -> None:
-    """Sum the stored batches of a long-running stream into one folder."""
-    keys = key_columns(dims)
-    summed = spark.read.parquet(state).groupBy(*keys).agg(F.sum("n").alias("n"))
-    summed.write.mode("overwrite").parquet(f"{out}/batch=0")
+    """Keep only the last running counts of a long stream, in another folder."""
+    counts_so_far(spark, state).select(*key_columns(dims), "n").write.mode("overwrite").parquet(f"{out}/batch=0")
 
 
 def windowed_cells(table: DataFrame, ts: str, keys: Sequence[str], unit: str = "day") -> DataFrame:
@@ -90,20 +107,24 @@ def to_date(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cumulative cell counts at the end of every window.
 
     A stratum's running count holds from its window until its next one, so it is written to just
-    those windows of the calendar. The calendar has few windows and travels as one array; the
-    counts are already aggregated. The filter is always true and keeps both uses of ``cells`` on
-    one exchange.
+    those windows of the calendar: windows are numbered once, and each row's range of numbers is
+    cut out of the calendar, so the work grows with the rows written. The calendar has one entry a
+    window (a day, say), whatever the number of respondents, and travels as one array. The filter is always true and keeps
+    both uses of ``cells`` on one exchange.
     """
-    calendar = cells.where("n > 0").agg(F.sort_array(F.collect_set("window")).alias("calendar"))
+    calendar = cells.where("n > 0").agg(F.sort_array(F.collect_set("window")).alias("calendar")).scalar()
+    place = F.map_from_arrays("calendar", F.sequence(F.lit(1), F.size("calendar")))
+    numbered = cells.withColumn("calendar", calendar).withColumn("_at", F.element_at(place, F.col("window")))
     order = Window.partitionBy(*keys).orderBy("window")
-    running = cells.select(
-        "window",
+    running = numbered.select(
+        "calendar",
+        "_at",
         *keys,
         F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("n"),
-        F.lead("window").over(order).alias("next"),
+        F.lead("_at").over(order).alias("_next"),
     )
-    held = F.filter("calendar", lambda w: (w >= F.col("window")) & (F.col("next").isNull() | (w < F.col("next"))))
-    return running.withColumn("calendar", calendar.scalar()).select(F.explode(held).alias("window"), *keys, "n")
+    past = F.coalesce("_next", F.size("calendar") + 1)
+    return running.select(F.explode(F.slice("calendar", F.col("_at"), past - F.col("_at"))).alias("window"), *keys, "n")
 
 
 def windowed_scores(cells: DataFrame, benchmark: DataFrame, dims: Sequence[Dimension]) -> DataFrame:

@@ -66,8 +66,15 @@ def test_snapshots_follow_the_stream(spark, tmp_path, arrivals, benchmark_of):
     assert run() == {0: (2, pytest.approx(0.5))}
     arrivals.add(at(2, "B"), at(3, "B"))
     assert run() == {0: (2, pytest.approx(0.5)), 1: (4, pytest.approx(1.0))}
+    arrivals.add(at(4, "A"))
+    assert run()[2] == (5, pytest.approx(0.9))
+    arrivals.add(at(5, "B"), at(6, "B"))
+    assert run()[3][0] == 7
+    # Each batch holds the running counts: reading one folder is enough, and none grows with the stream.
+    assert live.counts_so_far(spark, state, 1).agg(F.sum("n")).first()[0] == 4
+    assert live.counts_so_far(spark, state).agg(F.sum("n")).first()[0] == 7
     live.compact_counts(spark, state, str(tmp_path / "compact"), [DIM])
-    assert live.snapshot(spark, str(tmp_path / "compact"), bench, [DIM]).first()["sample_size"] == 4
+    assert live.snapshot(spark, str(tmp_path / "compact"), bench, [DIM]).first()["sample_size"] == 7
 
 
 def test_repeated_batch_counts_once(spark, tmp_path):
