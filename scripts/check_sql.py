@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -73,7 +74,7 @@ def main() -> None:
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    spark = build_session("local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_ui_showConsoleProgress="false", spark_driver_memory="8g")
+    spark = build_session("local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_ui_showConsoleProgress="false", spark_driver_memory="8g", spark_checkpoint_dir=tempfile.mkdtemp(prefix="spark-check-"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.sf)
     bad = 0
