@@ -3,6 +3,7 @@
 from stratalens.plans import (
     q_compare,
     q_design,
+    q_flow,
     q_groups,
     q_harmonize,
     q_quality,
