@@ -18,6 +18,8 @@ from stratalens.session import materialize
 #: Bits of the signature of a set, and sets on one side of a tile (in expectation).
 BITS = 2048
 BLOCK = 512
+#: Rows (of a key or an id) up to which a side that was counted is broadcast; beyond it, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Words that a worker remembers the hashes of.
 CACHE_WORDS = 300_000
 
@@ -177,6 +179,11 @@ def _signed(texts: DataFrame, size: int) -> DataFrame:
     )
 
 
+def _bounded(written: DataFrame) -> DataFrame:
+    """Broadcast a written table that was counted and is small enough; leave any other to be shuffled."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def links_of(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (``a, b``) of nodes whose sets really reach the similarity, by intersection of their
     sorted arrays. Pairs lie sorted by ``a``, whose set is kept for the next pair."""
@@ -287,13 +294,14 @@ def near_duplicates(
     sets = materialize(_sets(base, size, percent))
     keyed = sets.where(F.size("keys") > 0).select("short", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("short").alias("hub"), F.max("short").alias("last"))
-    shared = shared.where("hub <> last").select("key")
-    rows = materialize(keyed.join(shared, "key").distinct())
+    shared = materialize(shared.where("hub <> last").select("key"))
+    rows = materialize(keyed.join(_bounded(shared), "key").distinct())
 
     # One text for each node that shares a key.
     wanted = rows.select("short").distinct()
     holders = sets.where("node IS NOT NULL").groupBy("short", "node").agg(F.min(F.struct("doc_id")).alias("holder"))
     holders = holders.join(wanted, "short").select("short", "node", F.col("holder.doc_id").alias("doc_id"))
+    holders = _bounded(materialize(holders))
     known = base.withColumnRenamed("doc_id", "id").join(holders, F.col("id").eqNullSafe(F.col("doc_id")))
     texts = materialize(_signed(known, size).dropDuplicates(["node"]))
 
