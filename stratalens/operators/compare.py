@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stratalens.functions.expressions import banded, ratio
 from stratalens.operators.ordering import first_rows
-from stratalens.operators.strata import Dimension
+from stratalens.operators.strata import Dimension, join_groups
 
 # Alignment cut-offs with the advice given for each.
 ALIGNMENT_ADVICE = [
@@ -72,11 +72,19 @@ def consistency(scores: DataFrame, score: str = "match_score") -> DataFrame:
 
 
 def comparison_table(
-    scores: DataFrame, dims: Sequence[Dimension], survey: str = "survey", score: str = "match_score", coverage: str = "coverage_score"
+    scores: DataFrame,
+    dims: Sequence[Dimension],
+    survey: str = "survey",
+    score: str = "match_score",
+    coverage: str = "coverage_score",
+    countries: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per survey: participants, averages, gap to a perfect score, score of every dimension."""
-    per_dim = [F.max(F.when(F.col("dimension") == d.name, F.col(score))).alias(f"{score}: {d.name}") for d in dims]
-    return scores.groupBy(survey).agg(
+    """One row per survey: participants, averages, gap to a perfect score, score and coverage of every
+    dimension, and the number of ``countries`` when a table ``survey, country`` of answers or cells is given."""
+    per_dim = [
+        F.max(F.when(F.col("dimension") == d.name, F.col(c))).alias(f"{c}: {d.name}") for c in (score, coverage) for d in dims
+    ]
+    table = scores.groupBy(survey).agg(
         F.max("sample_size").alias("participants"),
         F.avg(score).alias("average_score"),
         F.avg(coverage).alias("average_coverage"),
@@ -84,6 +92,10 @@ def comparison_table(
         (ratio(F.avg(score), F.max("sample_size")) * 100).alias("score_per_hundred"),
         *per_dim,
     )
+    if countries is None:
+        return table
+    counted = countries.groupBy(survey).agg(F.countDistinct("country").alias("countries"))
+    return join_groups(table, counted, [survey], "left")
 
 
 def comparison_summary(scores: DataFrame, survey: str = "survey", score: str = "match_score") -> DataFrame:

@@ -75,17 +75,22 @@ def consistency(t):
     return compare.consistency(wave_card(t))
 
 
-PIVOT = ", ".join(q.r(f"max(match_score) FILTER (dimension = '{d}')", f'"match_score: {d}"') for d, _ in q.STANDARD)
+PIVOT = ", ".join(
+    q.r(f"max({c}) FILTER (dimension = '{d}')", f'"{c}: {d}"') for c in ("match_score", "coverage_score") for d, _ in q.STANDARD
+)
 
 
 @query(
     "compare_pivot",
     f"""WITH {FULL} SELECT priority AS survey, max(sample_size) AS participants, {q.r("avg(match_score)", "average_score")},
   {q.r("avg(coverage_score)", "average_coverage")}, {q.r("1 - avg(match_score)", "gap_to_perfect")},
-  {q.r("avg(match_score) / max(sample_size) * 100", "score_per_hundred")}, {PIVOT} FROM card GROUP BY priority""",
+  {q.r("avg(match_score) / max(sample_size) * 100", "score_per_hundred")}, {PIVOT},
+  (SELECT count(DISTINCT country) FROM survey WHERE survey.priority = card.priority) AS countries FROM card GROUP BY priority""",
 )
 def compare_pivot(t):
-    return compare.comparison_table(survey_card(t), STANDARD)
+    """Surveys side by side, with the countries that answered and score and coverage of every dimension."""
+    countries = t.order_cells(["country"], ["priority"]).withColumnRenamed("priority", "survey")
+    return compare.comparison_table(survey_card(t), STANDARD, countries=countries)
 
 
 @query(
