@@ -75,6 +75,39 @@ def source_question_texts(t):
     return named.groupBy("country", F.nullif(F.trim("age_group"), F.lit("")).alias("age_group")).agg(total())
 
 
+@query(
+    "source_titled_texts",
+    f"""WITH {EXPORTED} SELECT country, trim(age_group) AS age_group, count(*) AS n FROM exported GROUP BY ALL""",
+)
+def source_titled_texts(t):
+    """The export with a line of empty names above the question texts."""
+    lines = t.spark.read.text(written_export(t, True)).select("value", F.lit(1).alias("place"))
+    titles = t.read("region").select(F.lit(",,,,,,,,,,").alias("value"), F.lit(0).alias("place")).distinct()
+    heads = lines.where(F.contains("value", F.lit("How old are you?"))).limit(1).withColumn("place", F.lit(0))
+    body = lines.where(~F.contains("value", F.lit("How old are you?")))
+    path = scratch_path(t.spark, "titled")
+    for part in (titles.unionByName(heads).coalesce(1).orderBy("place", F.length("value")), body):
+        part.select("value").write.mode("append").text(path)
+    named = readers.load_question_texts(t.spark, path)
+    return named.groupBy("country", F.nullif(F.trim("age_group"), F.lit("")).alias("age_group")).agg(total())
+
+
+@query(
+    "source_participant_waves",
+    """SELECT CASE WHEN c_acctbal < 0 THEN 1 ELSE 2 END AS wave, n_name AS country, count(*) AS n
+FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""",
+)
+def source_participant_waves(t):
+    """Word exports of two waves; the wave comes from each file's path."""
+    words = [F.col("c_custkey").cast("string"), F.lit("a b c d 18-25 Male Urban e Islam"), F.col("country")]
+    people = t.population.select("c_acctbal", F.concat_ws(" ", *words).alias("value"))
+    path = scratch_path(t.spark, "participants")
+    for wave, part in ((1, people.where("c_acctbal < 0")), (2, people.where("c_acctbal >= 0"))):
+        part.select("value").write.text(f"{path}/wave_{wave}")
+    loaded = readers.load_participants(t.spark, f"{path}/*", layout="words", wave=r"wave_(\d+)")
+    return loaded.groupBy("wave", "country").agg(total())
+
+
 @query(
     "source_words",
     """SELECT 'c' || c_nationkey AS country, c_mktsegment AS religion, count(*) AS n FROM customer GROUP BY ALL""",
@@ -189,3 +222,20 @@ def source_variances(t):
         back = readers.load_variances(t.spark, path, kind).select(F.lit(kind).alias("kind"), "survey", "dimension", "stratum", "variance")
         out = back if out is None else out.unionByName(back)
     return out
+
+
+@query(
+    "source_nested_variances",
+    f"""WITH {q.LABELLED} SELECT 'docs' AS survey, 'Language' AS dimension, lang AS stratum, round(var_samp(quality), 6) + 0.0 AS variance FROM labelled GROUP BY lang
+  UNION ALL SELECT 'docs', 'Source', source, round(var_samp(quality), 6) + 0.0 FROM labelled GROUP BY source""",
+)
+def source_nested_variances(t):
+    """Variance lookup of one survey from one nested json object."""
+    parts = []
+    for column, name in (("lang", "Language"), ("source", "Source")):
+        spread = t.labelled.groupBy(F.col(column).alias("stratum")).agg(F.round(F.var_samp("quality"), 6).alias("variance"))
+        parts.append(spread.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "variance"))).alias("strata")).withColumn("dimension", F.lit(name)))
+    whole = parts[0].unionByName(parts[1]).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("dimension", "strata")))).alias("value"))
+    path = scratch_path(t.spark, "nested")
+    whole.write.text(path)
+    return readers.load_nested_variances(t.spark, f"{path}/part-*", "docs")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,6 +124,23 @@ def skip_title_line(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.where(~F.rlike(F.trim(value), F.lit(r'^[,"\s]*$')))
 
 
+def load_question_texts(spark: SparkSession, path: str, questions: Mapping[str, str] = fixed.QUESTION_COLUMNS) -> DataFrame:
+    """Export with question texts as its header, with or without a line of empty names above it.
+
+    The header is a line with one of the question texts; where several files repeat it, each copy is left out. Fields
+    hold no line breaks.
+    """
+    lines = skip_title_line(spark.read.text(path))
+    head = lines.where(reduce(lambda a, b: a | b, [F.contains("value", F.lit(text)) for text in questions])).first()
+    if head is None:
+        return spark.createDataFrame([], text_schema(list(questions.values())))
+    names = next(csv.reader([head["value"]]))
+    columns = text_schema([f"c{i}" for i in range(len(names))])
+    row = F.from_csv("value", F.lit(columns.simpleString()[7:-1].replace(":", " ")), {"quote": '"', "escape": '"'})
+    raw = lines.where(F.col("value") != head["value"]).select(row.alias("row")).select("row.*")
+    return by_question_text(raw.toDF(*names), questions)
+
+
 def by_words(
     lines: DataFrame, positions: Mapping[str, int] = fixed.WORD_POSITIONS, needed: int = fixed.WORDS_NEEDED, value: str = "value"
 ) -> DataFrame:

@@ -132,3 +132,13 @@ def test_participants_with_wave_and_layout(spark, tmp_path):
     assert [r["wave"] for r in frame.collect()] == [3]
     with pytest.raises(ValueError):
         readers.load_participants(spark, str(folder), layout="sideways")
+
+
+def test_question_texts_below_a_title_line(spark, tmp_path):
+    head = '"How old are you?","What is your gender?",Other\n'
+    written(tmp_path / "q", "a.csv", ",,\n" + head + '"18-25, about","Male",x\n')
+    written(tmp_path / "q", "b.csv", head + "65+,Female,y\n")
+    rows = readers.load_question_texts(spark, str(tmp_path / "q")).collect()
+    assert sorted((r["age_group"], r["gender"]) for r in rows) == [("18-25, about", "Male"), ("65+", "Female")]
+    written(tmp_path / "e", "a.csv", ",,\n")
+    assert readers.load_question_texts(spark, str(tmp_path / "e")).count() == 0
