@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 from stratalens.llm.text import BLANKS, ascii_lower, only, salt_of
+from stratalens.session import materialize
 
 SALTS = 64
 
@@ -36,11 +37,15 @@ def repeated_lines(
         F.xxhash64("text").alias("version"),
         F.posexplode(_lines(F.col("text"))).alias("position", "line"),
     )
-    keyed = lines.select("doc_id", "version", "position", ascii_lower(F.btrim("line", F.lit(BLANKS))).alias("key"))
-    hashed = keyed.where(F.char_length("key") >= min_chars).select(
-        "doc_id", "version", "position", F.unhex(F.md5("key")).alias("hash"), salt_of(F.col("doc_id"), salts).alias("salt")
+    trimmed = lines.withColumn("line", F.btrim("line", F.lit(BLANKS))).where(F.char_length("line") >= min_chars)
+    hashed = trimmed.select(
+        "doc_id",
+        "version",
+        "position",
+        F.unhex(F.md5(ascii_lower(F.col("line")))).alias("hash"),
+        salt_of(F.col("doc_id"), salts).alias("salt"),
     )
-    rows = hashed.repartition("hash", "salt")
+    rows = materialize(hashed).repartition("hash", "salt")
     parts = rows.groupBy("hash", "salt").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last"))
     same = Window.partitionBy("hash")
     verdicts = (
