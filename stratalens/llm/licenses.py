@@ -120,7 +120,7 @@ class Templates:
                 self.holders[pair].append(i)
         self.firsts = frozenset(first for first, _ in self.holders)
         # Two sets whose sizes are further apart than this cannot reach the similarity.
-        self.reach = (2 - min_dice) / min_dice
+        self.reach = (2 - min_dice) / min_dice + 1e-9
         self.largest = max((len(s) for s in self.sets), default=0) * self.reach
 
     def best(self, unit: frozenset) -> tuple[str, float] | None:
@@ -147,7 +147,7 @@ class Templates:
     def scan(self, text: str | None) -> list[Match]:
         """Matches among the lines, the runs of lines that look like parts of templates, and the whole text.
 
-        Of matches whose lines overlap, the one over more lines stays, then the more similar one.
+        Of matches whose lines overlap, the more similar one stays, then the one over more lines.
         """
         lines = (text or "").split("\n")
         found, run, known = [], [], False
@@ -177,7 +177,7 @@ class Templates:
             if whole:
                 found.append(Match(*whole, 0, len(lines) - 1))
         chosen: list[Match] = []
-        for match in sorted(found, key=lambda m: (m.first_line - m.last_line, -m.dice, m.first_line)):
+        for match in sorted(found, key=lambda m: (-m.dice, m.first_line - m.last_line, m.first_line)):
             if all(match.last_line < m.first_line or match.first_line > m.last_line for m in chosen):
                 chosen.append(match)
         return sorted(chosen, key=lambda m: m.first_line)

@@ -6,7 +6,7 @@ from stratalens.llm.exact_dedup import exact_duplicates
 def result(frame):
     return sorted(
         ((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in frame.collect()),
-        key=lambda r: (r[0] is None, r[0] or 0, r[3]),
+        key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[3]),
     )
 
 
