@@ -224,7 +224,7 @@ def _witnesses(toxic: list[set[str]], clean_words: set[str], clean: list[set[str
 
     def presence(docs: list[set[str]]) -> np.ndarray:
         found = np.zeros(PIECE_BUCKETS, np.float32)
-        for words in docs:
+        for words in filter(None, docs):
             found[np.unique(_pieces(sorted(words))[1])] += 1
         return found
 
@@ -286,9 +286,11 @@ def fit(texts: list[str], labels: list[int], prior: float = 0.5, landmarks: int
     docs = [{w for u in units(t) if (w := plain_word(u)[:24])} for t in texts]
     toxic, clean = ([d for d, y in zip(docs, labels) if y == k] for k in (1, 0))
     clean_counts = Counter(w for d in clean for w in d)
-    chosen = _witnesses(toxic, set(clean_counts), clean)
     empty = Model(np.zeros(_ALPHABET**LENGTH, np.float32), -1.0, 0.0, 1.0, -4.0)
-    if not chosen or not clean_counts:
+    if not toxic or not clean_counts:
+        return empty
+    chosen = _witnesses(toxic, set(clean_counts), clean)
+    if not chosen:
         return empty
     draw = np.random.default_rng(3)
     positives = [w for w, _ in chosen.most_common(1500)]

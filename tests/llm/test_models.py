@@ -13,7 +13,11 @@ from stratalens.llm.queries import QUERIES
 from stratalens.llm.text import remainder
 
 MEDIUM = "/root/testdata/sf0.01"
-EVERY = F.lit(True)
+
+
+@pytest.fixture
+def every(spark):
+    return F.lit(True)
 
 
 def learned(doc_id, modulus, fold):
@@ -33,17 +37,17 @@ def test_language_accuracy_on_held_out_documents(spark, small):
     assert all(0 <= v[2] <= 1 for v in rows.values())
 
 
-def test_language_edge_cases(spark):
+def test_language_edge_cases(spark, every):
     docs = spark.createDataFrame(
         [(i, t, lang, "x") for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 30)]
         + [(100, None, None, "x"), (101, "", "en", "x"), (102, "12 34 !?", "en", "x"), (103, "the dog", None, "x"), (103, "le chien", None, "x")],
         "doc_id bigint, text string, lang string, score string",
     )
-    model = langid.train(docs, EVERY)
+    model = langid.train(docs, every)
     rows = [(r.doc_id, r.lang_pred, r.score) for r in langid.predict(docs, model).collect() if r.doc_id >= 100]
     assert {r[:2] for r in rows} == {(100, "und"), (101, "und"), (102, "und"), (103, "en"), (103, "fr")}
     assert all(r[2] == 0 for r in rows if r[1] == "und")
-    none = langid.train(docs.where("doc_id < 0"), EVERY)
+    none = langid.train(docs.where("doc_id < 0"), every)
     assert {r.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}
     assert langid.predict(docs.where("doc_id < 0"), model).count() == 0
 
@@ -91,24 +95,24 @@ def test_pairs_order_and_quantile_threshold():
     assert ((z > threshold) == (y == 1)).mean() > 0.95
 
 
-def test_quality_edge_cases(spark, docs_of):
+def test_quality_edge_cases(spark, docs_of, every):
     docs = docs_of([(1, "A calm line of words."), (2, "JUNK!! JUNK!! JUNK!!"), (3, None), (4, ""), (4, "two rows"), (None, "x")])
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (4, 1), (4, 0), (None, 1), (9, 1), (5, None)], "doc_id bigint, quality int")
-    model = quality.train(docs, labels, EVERY)
+    model = quality.train(docs, labels, every)
     rows = quality.score(docs, model).collect()
     assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows)
     scores = {r.doc_id: r.score for r in rows}
     assert scores[1] > 0.5 > scores[2]
-    assert {r.score for r in quality.score(docs, quality.train(docs, labels.where("quality = 1"), EVERY)).collect()} == {1.0}
+    assert {r.score for r in quality.score(docs, quality.train(docs, labels.where("quality = 1"), every)).collect()} == {1.0}
     assert quality.score(docs_of([]), model).count() == 0
 
 
-def test_labels_that_disagree_are_left_out(spark):
+def test_labels_that_disagree_are_left_out(spark, every):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 0), (3, 0), (4, None), (5, 7)], "doc_id bigint, quality int")
-    chosen, sizes = labelled_sample(labels, EVERY, "doc_id", "quality", 100)
+    chosen, sizes = labelled_sample(labels, every, "doc_id", "quality", 100)
     assert {(r.doc_id, r.label) for r in chosen.collect()} == {(1, 1), (3, 0)} and sizes == {0: 1, 1: 1}
     many = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
-    n = labelled_sample(many, EVERY, "doc_id", "quality", 1000)[0].count()
+    n = labelled_sample(many, every, "doc_id", "quality", 1000)[0].count()
     assert 800 < n < 1200
 
 
@@ -172,12 +176,21 @@ def test_toxicity_query(spark, small):
     assert all(v[0] == (not learned(k, 4, 2)) and v[2] == (v[1] >= 0.3) and 0 <= v[1] <= 1 for k, v in rows.items())
 
 
-def test_toxicity_without_labels_and_empty_table(spark, docs_of):
+def test_toxicity_without_labels_and_empty_table(spark, docs_of, every):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     docs = docs_of([(1, "any words"), (2, None), (None, "x")])
-    model = toxicity.train(docs, labels, EVERY)
+    model = toxicity.train(docs, labels, every)
     assert max(r.score for r in toxicity.score(docs, model).collect()) < 0.3
     assert toxicity.score(docs_of([]), model).count() == 0
+    one_sided = spark.createDataFrame([(1, 0), (2, 0)], "doc_id bigint, toxic int")
+    assert max(r.score for r in toxicity.score(docs, toxicity.train(docs, one_sided, every)).collect()) < 0.3
+
+
+def test_toxicity_of_empty_and_repeated_texts():
+    """Texts without words and repeated rows may be labelled, too."""
+    texts = ["", "...", "the dimwit", "the dimwit", "calm words here"] * 20
+    model = toxicity.fit(texts, [1, 1, 1, 1, 0] * 20)
+    assert len(toxicity.Scorer(model).score(texts)) == 100
 
 
 def test_remainders(spark):
