@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyspark.sql.functions as F
@@ -156,11 +157,17 @@ def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
         yield [(r["item"], r["text"]) for r in part.collect()]
 
 
-_FOUND = "n_words bigint, spans array<struct<first: bigint, past: bigint>>, items array<string>"
+_SPANS = "array<struct<first: bigint, past: bigint>>"
+_ARROW_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
 
 
-def _matches(base: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    """``base`` (text last) with ``n_words, spans, items`` of one block of test items."""
+def _as_structs(spans: list[list[int]]) -> list[dict[str, int]]:
+    return [{"first": a, "past": b} for a, b in spans]
+
+
+def _scan(base: DataFrame, items: list[tuple[str, str]], window: int, judge: Judge | None) -> DataFrame:
+    """``base`` (text last) with ``n_words, spans, items`` of one block of test items; with ``judge``, judged in the
+    same pass and without the text."""
     shared = base.sparkSession.sparkContext.broadcast(items)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,19 +178,50 @@ def _matches(base: DataFrame, items: list[tuple[str, str]], window: int) -> Data
                 words = plain_words(text.as_py())
                 hit, names = automaton.follow(words)
                 counts.append(len(words))
-                spans.append([{"first": a, "past": b} for a, b in hit])
+                spans.append(hit)
                 found.append(sorted(names))
+            counts, named = pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.string()))
+            if judge is not None:
+                yield judge.batch(batch, counts, spans, named)
+                continue
             yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.array(counts, pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))),
-                    pa.array(found, pa.list_(pa.string())),
-                ],
+                [*batch.columns, counts, pa.array(map(_as_structs, spans), _ARROW_SPANS), named],
                 [*batch.schema.names, "n_words", "spans", "items"],
             )
 
-    return base.mapInArrow(scan, StructType(base.schema.fields + StructType.fromDDL(_FOUND).fields))
+    if judge is not None:
+        return base.mapInArrow(scan, judge.schema(base))
+    fields = StructType.fromDDL(f"n_words bigint, spans {_SPANS}, items array<string>").fields
+    return base.mapInArrow(scan, StructType(base.schema.fields + fields))
+
+
+class Judge(NamedTuple):
+    """What happens to documents with spans: those of more than ``max_words`` words are cut out, and documents
+    covered by more than ``max_coverage`` are dropped."""
+
+    max_words: int
+    max_coverage: float
+
+    def batch(self, batch: pa.RecordBatch, counts: pa.Array, spans: list[list[list[int]]], items: pa.Array) -> pa.RecordBatch:
+        hits, texts, drops = [], [], []
+        for text, n, found in zip(batch.column("text"), counts, spans):
+            hit = sum(past - first for first, past in found)
+            cut = [s for s in found if s[1] - s[0] > self.max_words]
+            hits.append(hit)
+            texts.append(without_spans(text.as_py(), cut) if cut else text.as_py())
+            drops.append(hit > self.max_coverage * n.as_py())
+        kept = [name for name in batch.schema.names if name in ("row", "doc_id")]
+        columns = [counts, pa.array(hits, pa.int64()), pa.array(map(_as_structs, spans), _ARROW_SPANS), items]
+        columns += [pa.array(texts, pa.string()), pa.array(drops, pa.bool_())]
+        names = ["n_words", "n_hit", "spans", "items", "clean_text", "dropped"]
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *columns], [*kept, *names])
+
+    @staticmethod
+    def schema(base: DataFrame) -> StructType:
+        fields = StructType.fromDDL(
+            f"n_words bigint, n_hit bigint, spans {_SPANS}, items array<string>, clean_text string, dropped boolean"
+        ).fields
+        return StructType([f for f in base.schema.fields if f.name in ("row", "doc_id")] + fields)
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -241,51 +279,27 @@ def find_contamination(
     base = docs.select(*[c.alias(name) for name, c in {**others, **named}.items()])
     items = only(benchmark, item=item_col, text=item_text_col)
     items = items.select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), "text").where("text IS NOT NULL")
-    parts = [_matches(base, block, window) for block in _blocks(items, automaton_chars)]
-    found = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        found = found.select("doc_id", F.xxhash64("text").alias("version"), "n_words", "spans", "items")
-        found = found.groupBy("doc_id", "version").agg(
-            F.flatten(F.collect_list("spans")).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.max("n_words").alias("n_words"),
-        )
-        texts = base.withColumn("version", F.xxhash64("text"))
-        same = texts["doc_id"].eqNullSafe(found["doc_id"]) & (texts["version"] == found["version"])
-        found = texts.join(found, same).select(*[texts[c] for c in base.columns], "n_words", "spans", "items")
+    judge = Judge(max_words, max_coverage)
+    blocks = _blocks(items, automaton_chars)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _scan(base, first, window, judge)
+    found = _scan(base, first, window, None)
+    while second is not None:
+        found, second = found.unionByName(_scan(base, second, window, None)), next(blocks, None)
+    found = found.select("doc_id", F.xxhash64("text").alias("version"), "n_words", "spans", "items")
+    found = found.groupBy("doc_id", "version").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.max("n_words").alias("n_words"),
+    )
+    texts = base.withColumn("version", F.xxhash64("text"))
+    same = texts["doc_id"].eqNullSafe(found["doc_id"]) & (texts["version"] == found["version"])
+    found = texts.join(found, same).select(*[texts[c] for c in base.columns], "n_words", "spans", "items")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits, texts, spans, drops = [], [], [], []
-            for text, n, found in zip(batch.column("text"), batch.column("n_words"), batch.column("spans")):
-                joined = _joined([(s["first"], s["past"]) for s in found.as_py()])
-                hit = sum(past - first for first, past in joined)
-                cut = [s for s in joined if s[1] - s[0] > max_words]
-                hits.append(hit)
-                spans.append([{"first": a, "past": b} for a, b in joined])
-                texts.append(without_spans(text.as_py(), cut) if cut else text.as_py())
-                drops.append(hit > max_coverage * n.as_py())
-            span = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
-            row = [batch.column("row")] if carry else []
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *row,
-                    batch.column("doc_id"),
-                    batch.column("n_words"),
-                    pa.array(hits, pa.int64()),
-                    pa.array(spans, span),
-                    batch.column("items"),
-                    pa.array(texts, pa.string()),
-                    pa.array(drops, pa.bool_()),
-                ],
-                [*(["row"] if carry else []), "doc_id", "n_words", "n_hit", "spans", "items", "clean_text", "dropped"],
-            )
+            spans = [_joined([(s["first"], s["past"]) for s in found]) for found in batch.column("spans").to_pylist()]
+            yield judge.batch(batch, batch.column("n_words"), spans, batch.column("items"))
 
-    fields = StructType.fromDDL(
-        "n_words bigint, n_hit bigint, spans array<struct<first: bigint, past: bigint>>, items array<string>, "
-        "clean_text string, dropped boolean"
-    ).fields
-    kept = [f for f in base.schema.fields if f.name != "text"]
-    return found.mapInArrow(clean, StructType(kept + fields))
+    return found.mapInArrow(clean, judge.schema(base))

@@ -15,13 +15,13 @@ from stratalens.llm.components import components, with_least
 from stratalens.llm.text import only, words
 from stratalens.session import materialize
 
-#: Bits of the signature of a set, and sets on one side of a tile (in expectation).
-BITS = 2048
+#: Fewest and most bits of the signature of a set, and sets on one side of a tile (in expectation).
+BITS = (256, 8192)
 BLOCK = 512
 #: Rows (of a key or an id) up to which a side that was counted is broadcast; beyond it, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Words that a worker remembers the hashes of.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 _U = np.uint64
 
@@ -104,12 +104,26 @@ class Bands:
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def bitmap(hashes: np.ndarray, bits: int = BITS) -> bytes:
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A signature with about as many bits as the set has hashes: bit number is the hash modulo the size,
+    a power of two, so a longer signature can be folded to a shorter one."""
+    bits = min(max(BITS[0], 1 << max(0, len(hashes) - 1).bit_length()), BITS[1])
     on = np.zeros(bits, np.uint8)
-    on[(hashes % _U(bits)).astype(np.int64)] = 1
+    on[(hashes & _U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(on).tobytes()
 
 
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """The signature with ``size`` bytes, as 64-bit numbers."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def near_enough(total: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with ``total`` hashes together can reach the similarity. Each bit that two signatures don't
+    share stands for a hash in one of the sets only, which bounds the overlap from above."""
+    return 100 * (total - differ) >= percent * (total + differ)
+
+
 def node_of(hashes: np.ndarray, mixed: np.ndarray) -> bytes | None:
     """128 bits that stand for the set: two sums over its hashes."""
     if not len(hashes):
@@ -119,16 +133,16 @@ def node_of(hashes: np.ndarray, mixed: np.ndarray) -> bytes | None:
 
 
 def _sets(base: DataFrame, size: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, node, short, keys``: equal sets share the node, a 128-bit hash of the set.
+    """``doc_id, n_shingles, node, short, bits, keys``: equal sets share the node, a 128-bit hash of the set.
 
-    In each task, only the first row of a node carries keys, so copies are combined before the shuffle.
+    In each task, only the first row of a node carries keys and bits, so copies are combined before the shuffle.
     """
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for batch in batches:
-            sizes, nodes, shorts, keys = [], [], [], []
+            sizes, nodes, shorts, bits, keys = [], [], [], [], []
             for text in batch.column("text"):
                 hashes = shingle_set(text.as_py(), size)
                 mixed = _mix(hashes)
@@ -136,10 +150,12 @@ def _sets(base: DataFrame, size: int, percent: int) -> DataFrame:
                 sizes.append(len(hashes))
                 nodes.append(node)
                 shorts.append(node and int.from_bytes(node[:8], "big", signed=True))
-                if node is None:
+                if node is None or node in seen:
                     keys.append([])
+                    bits.append(None)
                     continue
-                keys.append([] if node in seen else bands.keys(hashes, mixed))
+                keys.append(bands.keys(hashes, mixed))
+                bits.append(bitmap(hashes))
                 seen.add(node)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -147,39 +163,61 @@ def _sets(base: DataFrame, size: int, percent: int) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.binary()),
                     pa.array(shorts, pa.int64()),
+                    pa.array(bits, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "node", "short", "keys"],
+                ["doc_id", "n_shingles", "node", "short", "bits", "keys"],
             )
+        _hash_of.clear()  # the worker may serve other operators next
 
     return base.mapInArrow(
-        build, f"doc_id {kind}, n_shingles bigint, node binary, short bigint, keys array<bigint>"
+        build, f"doc_id {kind}, n_shingles bigint, node binary, short bigint, bits binary, keys array<bigint>"
     )
 
 
-def _signed(texts: DataFrame, size: int) -> DataFrame:
-    """``node, text`` with the bitmap and the size of the set; rows whose text has another node go."""
+def _own_texts(known: DataFrame, size: int) -> DataFrame:
+    """``node, text``; rows whose text has another node than the one that is asked for go."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text.as_py(), size) for text in batch.column("text")]
-            same = [node_of(s, _mix(s)) == node.as_py() for s, node in zip(sets, batch.column("node"))]
-            out = pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in ("short", "node", "text")),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([bitmap(s) for s in sets], pa.binary()),
-                ],
-                ["short", "node", "text", "n", "bits"],
-            )
-            yield out.filter(pa.array(same, pa.bool_()))
+            same = []
+            for text, node in zip(batch.column("text"), batch.column("node")):
+                hashes = shingle_set(text.as_py(), size)
+                same.append(node_of(hashes, _mix(hashes)) == node.as_py())
+            yield batch.filter(pa.array(same, pa.bool_()))
 
-    return texts.select("short", "node", "text").mapInArrow(
-        build, "short bigint, node binary, text string, n bigint, bits binary"
-    )
+    return known.select("node", "text").mapInArrow(check, "node binary, text string")
 
 
-def _bounded(written: DataFrame) -> DataFrame:
+def _texts_of(pairs: DataFrame, base: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """``node, text`` of the nodes that the pairs mention, one row a node."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    holders = sets.where("bits IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id")).alias("holder"))
+    holders = bounded(materialize(holders.join(wanted, "node").select("node", F.col("holder.doc_id").alias("holder"))))
+    known = base.join(holders, F.col("doc_id").eqNullSafe(F.col("holder")))
+    return materialize(_own_texts(known, size).dropDuplicates(["node"]))
+
+
+def _possible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the signatures don't rule out."""
+    left = signed.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"))
+    right = signed.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits"))
+    both = pairs.join(right, "b").join(left, "a")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch.column("a_bits").to_pylist(), batch.column("b_bits").to_pylist()):
+                shorter = min(len(a), len(b))
+                kept.append(int(np.bitwise_count(folded(a, shorter) ^ folded(b, shorter)).sum()))
+            total = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
+            chosen = near_enough(total, np.array(kept, np.int64), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(chosen, pa.bool_()))
+
+    return both.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(bound, "a binary, b binary")
+
+
+def bounded(written: DataFrame) -> DataFrame:
     """Broadcast a written table that was counted and is small enough; leave any other to be shuffled."""
     return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
@@ -205,16 +243,16 @@ def links_of(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             chosen = batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
             if chosen.num_rows:
                 yield chosen
+        _hash_of.clear()
 
     return both.select("a", "b", "a_text", "b_text").mapInArrow(verify, "a binary, b binary")
 
 
 def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different labels within each tile that the bitmaps don't rule out.
+    """Pairs of nodes of different labels within each tile that the signatures don't rule out.
 
-    ``rows``: ``key, i, j`` (the tile), ``side`` (0 for rows of block i), ``node, label, n, bits``. Each bit
-    that two bitmaps don't share stands for a hash in one of the sets only, which bounds the
-    overlap from above. Tiles follow one another in a task; one tile is held at a time.
+    ``rows``: ``key, i, j`` (the tile), ``side`` (0 for rows of block i), ``node, label, n, bits``. Tiles
+    follow one another in a task; one tile is held at a time.
     """
 
     def compare(tile: list[dict]) -> Iterator[tuple[bytes, bytes]]:
@@ -223,7 +261,8 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
         left, right = sides[0], sides[0] if inner else sides[1]
         if not left or not right:
             return
-        bits = [np.frombuffer(b"".join(r["bits"] for r in s), np.uint64).reshape(len(s), -1) for s in (left, right)]
+        shortest = min(len(r["bits"]) for r in tile)
+        bits = [np.stack([folded(r["bits"], shortest) for r in s]) for s in (left, right)]
         sizes = [np.array([r["n"] for r in s], np.int64) for s in (left, right)]
         names: dict[bytes, int] = {}
         labels = [np.array([names.setdefault(r["label"], len(names)) for r in s]) for s in (left, right)]
@@ -231,7 +270,7 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
             rest = slice(k + 1, None) if inner else slice(None)
             total = sizes[1][rest] + sizes[0][k]
             differ = np.bitwise_count(bits[1][rest] ^ bits[0][k]).sum(axis=1, dtype=np.int64)
-            near = 100 * (total - differ) >= percent * (total + differ)
+            near = near_enough(total, differ, percent)
             for m in np.flatnonzero(near & (labels[1][rest] != labels[0][k])):
                 a, b = left[k]["node"], right[m + (k + 1 if inner else 0)]["node"]
                 if a != b:
@@ -278,13 +317,16 @@ def near_duplicates(
     named by the smallest id that links reach. No link is lost: every pair that can link shares a key
     (``Bands``).
 
-    1. Sets are hashed; equal sets are one node. Each set gives keys for the tiles of two size bands.
+    1. Sets are hashed; equal sets are one node. Each set gives keys for the tiles of two size bands, and a
+       bitmap signature.
     2. Keys of one node only are dropped, by a combined minimum and maximum.
-    3. Each node is compared with the first node of each of its keys; what links is joined, so a large
-       group of near copies is mostly one component after as many comparisons as it has members.
+    3. Each node is compared with the first node of each of its keys, by signatures, then exactly; what links is
+       joined, so a large group of near copies is mostly one component after as many comparisons as
+       it has members.
     4. Keys that still hold nodes of several components are cut into blocks of about ``block`` nodes; each
-       pair of blocks is a tile, in which bitmaps rule out most pairs of different components at once.
-    5. The rest are intersected exactly, and the components of all links are formed.
+       pair of blocks is a tile, in which signatures rule out most pairs of different components at once.
+    5. The rest are intersected exactly, and the components of all links are formed. Texts are read again only
+       for nodes that the signatures leave in question.
 
     Edge cases: texts without words have an empty set and are linked with nothing; null ids take part in
     links but name no component; rows that repeat an id are judged each by their own text; an empty table gives
@@ -295,20 +337,17 @@ def near_duplicates(
     keyed = sets.where(F.size("keys") > 0).select("short", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("short").alias("hub"), F.max("short").alias("last"))
     shared = materialize(shared.where("hub <> last").select("key"))
-    rows = materialize(keyed.join(_bounded(shared), "key").distinct())
-
-    # One text for each node that shares a key.
-    wanted = rows.select("short").distinct()
-    holders = sets.where("node IS NOT NULL").groupBy("short", "node").agg(F.min(F.struct("doc_id")).alias("holder"))
-    holders = holders.join(wanted, "short").select("short", "node", F.col("holder.doc_id").alias("doc_id"))
-    holders = _bounded(materialize(holders))
-    known = base.withColumnRenamed("doc_id", "id").join(holders, F.col("id").eqNullSafe(F.col("doc_id")))
-    texts = materialize(_signed(known, size).dropDuplicates(["node"]))
+    rows = materialize(keyed.join(bounded(shared), "key").distinct())
 
-    rows = rows.join(texts.select("short", "node"), "short").select("key", "node")
+    # One signature a node; tasks have deduplicated their own rows.
+    signed = sets.where("bits IS NOT NULL").select("node", "short", F.col("n_shingles").alias("n"), "bits")
+    signed = signed.join(bounded(materialize(rows.select("short").distinct())), "short").dropDuplicates(["node"])
+    signed = materialize(signed)
+    rows = rows.join(signed.select("short", "node"), "short").select("key", "node")
     hubs = rows.groupBy("key").agg(F.min("node").alias("a"))
     stars = rows.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = materialize(links_of(stars, texts, size, percent))
+    stars = materialize(_possible(stars, signed, percent))
+    links = materialize(links_of(stars, _texts_of(stars, base, sets, size), size, percent))
 
     labels = components(links)
     labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -318,7 +357,7 @@ def near_duplicates(
     )
     open_keys = open_keys.where("one <> other").select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
     members = labelled.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.join(texts.select("node", "n", "bits"), "node")
+    members = members.join(signed.select("node", "n", "bits"), "node")
     spread = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = spread.select(
         "key",
@@ -330,7 +369,8 @@ def near_duplicates(
         "n",
         "bits",
     )
-    more = links_of(_tile_pairs(tiles, percent), texts, size, percent)
+    pairs = materialize(_tile_pairs(tiles, percent))
+    more = links_of(pairs, _texts_of(pairs, base, sets, size), size, percent)
     final = components(links.union(more))
     named = sets.select("doc_id", "n_shingles", "node").join(final, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))

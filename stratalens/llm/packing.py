@@ -18,7 +18,7 @@ from stratalens.session import materialize
 
 #: Characters encoded at a time, and words remembered by a worker between such groups.
 GROUP_CHARS = 1_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 _BLANK_BEFORE_BLANK = re.compile(r" (?!\S)")
 
@@ -34,26 +34,31 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
-            self.spec = json.load(file)
-        self.special = [t["content"] for t in self.spec.get("added_tokens", [])]
+            spec = json.load(file)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.cache: dict[str, bytes] = {}
         self.fast = None
-        ranks = self._ranks()
+        ranks = self._ranks(spec)
         if ranks:
             pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
             self.fast = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
             self.leads = np.zeros(max(ranks.values()) + 1, dtype=bool)
             self.leads[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
 
-    def _ranks(self) -> dict[bytes, int] | None:
+    @functools.cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _ranks(self, spec: dict) -> dict[bytes, int] | None:
         """Bytes to id, if this is a plain byte-level BPE whose ids follow the order of its merges."""
-        model, before = self.spec["model"], self.spec.get("pre_tokenizer") or {}
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
         plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
-        if not plain or self.spec.get("normalizer") or not before.get("use_regex", True):
+        if not plain or spec.get("normalizer") or not before.get("use_regex", True):
             return None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in shown}
@@ -145,6 +150,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, i
                 ],
                 ["doc_id", "doc_tokens", "full_crcs", "tail_crc", "part_crcs"],
             )
+        encoder.cache.clear()  # the worker may serve other operators next
 
     return base.mapInArrow(
         encode,
