@@ -41,7 +41,8 @@ def _bench_sql() -> str:
 
 
 BENCH = f"""{TRAITS},
-base_age_gender AS (SELECT country, region, continent, gender, age_group, count(*)::DOUBLE / (SELECT count(*) FROM people) AS q FROM people GROUP BY country, region, continent, gender, age_group),
+paired AS (SELECT * FROM people WHERE country IN (SELECT country FROM people GROUP BY country HAVING count(DISTINCT gender) = 2)),
+base_age_gender AS (SELECT country, region, continent, gender, age_group, count(*)::DOUBLE / (SELECT count(*) FROM paired) AS q FROM paired GROUP BY country, region, continent, gender, age_group),
 faiths AS (SELECT country, region, continent, religion, count(*) AS n FROM people GROUP BY country, region, continent, religion),
 totals AS (SELECT country, count(*) AS total FROM people GROUP BY country),
 followers AS (SELECT faiths.*, total * (round(100.0::DOUBLE * n / total, 1) / 100) AS pop FROM faiths JOIN totals USING (country)),
