@@ -23,7 +23,3 @@ def small():
     if not Path(SMALL).exists():
         pytest.skip("test tables are not here")
     return SMALL
-
-
-def by_id(frame, *columns):
-    return {row["doc_id"]: tuple(row[c] for c in columns) for row in frame.collect()}

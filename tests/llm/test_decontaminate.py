@@ -1,7 +1,7 @@
 import random
 import re
 
-from conftest import by_id
+from corpus_checks import by_id
 
 from stratalens.llm.decontaminate import SuffixAutomaton, find_contamination, plain_words, without_spans
 

@@ -1,4 +1,4 @@
-from conftest import by_id
+from corpus_checks import by_id
 
 from stratalens.llm.licenses import TEMPLATES, Templates, bigrams, dice, scan_licenses
 

@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-from conftest import by_id
+from corpus_checks import by_id
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

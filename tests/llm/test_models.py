@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import by_id
+from corpus_checks import by_id
 from pyspark.sql import functions as F
 
 from stratalens.llm import langid, quality, toxicity

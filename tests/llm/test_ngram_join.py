@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import by_id
+from corpus_checks import by_id
 
 from stratalens.llm import ngram_join
 from stratalens.llm.components import components, with_least

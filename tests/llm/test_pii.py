@@ -3,7 +3,7 @@ import random
 import re
 import time
 
-from conftest import by_id
+from corpus_checks import by_id
 
 from stratalens.llm.pii import BASE_KINDS, KINDS, find_pii, find_spans, luhn, masked, mod97
 
