@@ -18,8 +18,9 @@ from stratalens.session import materialize
 #: Fewest and most bits of the signature of a set, and sets on one side of a tile (in expectation).
 BITS = (256, 8192)
 BLOCK = 512
-#: Rows (of a key or an id) up to which a side that was counted is broadcast; beyond it, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows (of a key or an id, about 40 bytes each) up to which a side that was counted is broadcast; beyond it, both
+#: sides are shuffled.
+BROADCAST_ROWS = 3_000_000
 #: Words that a worker remembers the hashes of.
 CACHE_WORDS = 150_000
 
@@ -189,11 +190,11 @@ def _own_texts(known: DataFrame, size: int) -> DataFrame:
     return known.select("node", "text").mapInArrow(check, "node binary, text string")
 
 
-def _texts_of(pairs: DataFrame, base: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+def _texts_of(pairs: DataFrame, base: DataFrame, carriers: DataFrame, size: int) -> DataFrame:
     """``node, text`` of the nodes that the pairs mention, one row a node."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    holders = sets.where("bits IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id")).alias("holder"))
-    holders = bounded(materialize(holders.join(wanted, "node").select("node", F.col("holder.doc_id").alias("holder"))))
+    holders = carriers.select("node", F.col("doc_id").alias("holder")).join(wanted, "node")
+    holders = bounded(materialize(holders.select("node", "holder")))
     known = base.join(holders, F.col("doc_id").eqNullSafe(F.col("holder")))
     return materialize(_own_texts(known, size).dropDuplicates(["node"]))
 
@@ -319,7 +320,7 @@ def near_duplicates(
 
     1. Sets are hashed; equal sets are one node. Each set gives keys for the tiles of two size bands, and a
        bitmap signature.
-    2. Keys of one node only are dropped, by a combined minimum and maximum.
+    2. Keys of one node only are dropped, by counts that are combined before the shuffle.
     3. Each node is compared with the first node of each of its keys, by signatures, then exactly; what links is
        joined, so a large group of near copies is mostly one component after as many comparisons as
        it has members.
@@ -333,21 +334,21 @@ def near_duplicates(
     an empty result; other columns are ignored.
     """
     base = only(docs, doc_id=id_col, text=text_col)
-    sets = materialize(_sets(base, size, percent))
-    keyed = sets.where(F.size("keys") > 0).select("short", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("short").alias("hub"), F.max("short").alias("last"))
-    shared = materialize(shared.where("hub <> last").select("key"))
-    rows = materialize(keyed.join(bounded(shared), "key").distinct())
-
-    # One signature a node; tasks have deduplicated their own rows.
-    signed = sets.where("bits IS NOT NULL").select("node", "short", F.col("n_shingles").alias("n"), "bits")
-    signed = signed.join(bounded(materialize(rows.select("short").distinct())), "short").dropDuplicates(["node"])
-    signed = materialize(signed)
+    sets = materialize(_sets(base, size, percent)).withColumn("row", F.monotonically_increasing_id())
+    # Tasks have deduplicated their own rows; of the rest, one row stands for each node.
+    first = sets.where("bits IS NOT NULL").groupBy("node").agg(F.min("row").alias("row")).select("row")
+    carriers = sets.join(bounded(materialize(first)), "row", "left_semi")
+    keyed = carriers.select("short", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    rows = materialize(keyed.join(bounded(materialize(shared)), "key"))
+
+    signed = carriers.select("node", "short", F.col("n_shingles").alias("n"), "bits")
+    signed = materialize(signed.join(bounded(materialize(rows.select("short").distinct())), "short"))
     rows = rows.join(signed.select("short", "node"), "short").select("key", "node")
     hubs = rows.groupBy("key").agg(F.min("node").alias("a"))
     stars = rows.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     stars = materialize(_possible(stars, signed, percent))
-    links = materialize(links_of(stars, _texts_of(stars, base, sets, size), size, percent))
+    links = materialize(links_of(stars, _texts_of(stars, base, carriers, size), size, percent))
 
     labels = components(links)
     labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -370,7 +371,7 @@ def near_duplicates(
         "bits",
     )
     pairs = materialize(_tile_pairs(tiles, percent))
-    more = links_of(pairs, _texts_of(pairs, base, sets, size), size, percent)
+    more = links_of(pairs, _texts_of(pairs, base, carriers, size), size, percent)
     final = components(links.union(more))
     named = sets.select("doc_id", "n_shingles", "node").join(final, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
