@@ -13,12 +13,15 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
+from stratalens.llm.ngram_join import bounded
 from stratalens.llm.text import only
 from stratalens.session import materialize
 
 #: Characters encoded at a time, and words remembered by a worker between such groups.
 GROUP_CHARS = 1_000_000
 CACHE_WORDS = 100_000
+#: Pieces whose ids are handed on at a time.
+PIECES = 2000
 
 _BLANK_BEFORE_BLANK = re.compile(r" (?!\S)")
 
@@ -108,53 +111,73 @@ def binary_parts(length: int) -> list[int]:
     return [1 << k for k in reversed(range(length.bit_length())) if length >> k & 1]
 
 
-def token_lengths(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: its number of tokens, and check sums of all the pieces it may be cut into.
+def token_ids(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: its token ids, and how many rows of its task before it have a tail of the same length.
 
-    ``full_crcs`` are those of the leading pieces of ``capacity`` tokens; ``tail_crc`` and
-    ``part_crcs`` those of the tail, whole and as descending powers of two.
+    ``full`` are the leading pieces of ``capacity`` tokens and ``rest`` is the tail, as little-endian
+    unsigned 32-bit bytes. Rows are sorted within their tasks, so ``inside`` does not hang on their order.
     """
-    base = only(docs, doc_id=id_col, text=text_col)
+    base = only(docs, doc_id=id_col, text=text_col).sortWithinPartitions("doc_id", "text")
     kind = base.schema["doc_id"].dataType.simpleString()
     step = 4 * capacity
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
+        seen: dict[int, int] = {}
         for batch in batches:
-            rows, group, chars = [], [], 0
+            first, group, chars = 0, [], 0
             values = batch.column("text")
             for i in range(batch.num_rows):
                 group.append(values[i].as_py() or "")
                 chars += len(group[-1])
                 if chars < GROUP_CHARS and i + 1 < batch.num_rows:
                     continue
+                tokens, full, rest, inside = [], [], [], []
                 for ids in encoder.encode(group):
-                    data = memoryview(ids + end)
+                    data = ids + end
                     cut = len(data) // step * step
-                    parts, at = [], cut
-                    for size in binary_parts((len(data) - cut) // 4):
-                        parts.append(zlib.crc32(data[at : at + 4 * size]))
-                        at += 4 * size
-                    full = [zlib.crc32(data[k : k + step]) for k in range(0, cut, step)]
-                    rows.append((len(data) // 4, full, zlib.crc32(data[cut:]), parts))
-                group, chars = [], 0
-            tokens, full, tail, parts = zip(*rows) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(tokens, pa.int64()),
-                    pa.array(full, pa.list_(pa.int64())),
-                    pa.array(tail, pa.int64()),
-                    pa.array(parts, pa.list_(pa.int64())),
-                ],
-                ["doc_id", "doc_tokens", "full_crcs", "tail_crc", "part_crcs"],
-            )
+                    tail = (len(data) - cut) // 4
+                    tokens.append(len(data) // 4)
+                    full.append([data[k : k + step] for k in range(0, cut, step)])
+                    rest.append(data[cut:])
+                    inside.append(seen.get(tail, 0))
+                    seen[tail] = inside[-1] + 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(first, len(group)),
+                        pa.array(tokens, pa.int64()),
+                        pa.array(full, pa.list_(pa.binary())),
+                        pa.array(rest, pa.binary()),
+                        pa.array(inside, pa.int64()),
+                    ],
+                    ["doc_id", "doc_tokens", "full", "rest", "inside"],
+                )
+                first, group, chars = i + 1, [], 0
         encoder.cache.clear()  # the worker may serve other operators next
 
-    return base.mapInArrow(
-        encode,
-        f"doc_id {kind}, doc_tokens bigint, full_crcs array<bigint>, tail_crc bigint, part_crcs array<bigint>",
+    return base.mapInArrow(encode, f"doc_id {kind}, doc_tokens bigint, full array<binary>, rest binary, inside bigint")
+
+
+def with_ids(pieces: DataFrame) -> DataFrame:
+    """``data`` of every piece as ``ids``, and their check sum."""
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECES):
+                some = batch.slice(at, PIECES)
+                data = some.column("data").to_pylist()
+                ids = pa.array(np.frombuffer(b"".join(data), "<u4").astype(np.int32))
+                ends = np.cumsum([0, *(len(d) // 4 for d in data)]).astype(np.int32)
+                made = {"ids_crc32": pa.array([zlib.crc32(d) for d in data], pa.int64()), "ids": pa.ListArray.from_arrays(ends, ids)}
+                yield pa.RecordBatch.from_arrays([made[n] if n in made else some.column(n) for n in names], names)
+
+    return pieces.mapInArrow(
+        read,
+        f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
+        "offset bigint, ids array<int>",
     )
 
 
@@ -250,8 +273,9 @@ def pack(
 ) -> DataFrame:
     """Pieces of tokenised documents and their places in sequences of at most ``capacity`` tokens.
 
-    ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, one row a piece. A
-    document's ids end with ``end_id``. Leading pieces of ``capacity`` tokens are sequences of their
+    ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``, one row a piece: the
+    ``ids`` of a sequence's pieces, put together by ``offset``, are its training row, and ``ids_crc32`` is
+    the check sum of those ids as 32-bit numbers. A document's ids end with ``end_id``. Leading pieces of ``capacity`` tokens are sequences of their
     own. The tails are counted by length, at most ``capacity - 1`` numbers whatever the size of
     the corpus, and windows are planned on these counts by minimum bin slack. Lengths that fit no window
     are cut into powers of two, which fill windows exactly; what remains at the very end is dealt to
@@ -259,16 +283,17 @@ def pack(
     windows may stay short by that much instead of cutting).
 
     The documents get their places by rank within their length: ranks are counted within the
-    tasks of the written table of lengths and shifted by the counts of the tasks before, so no length
-    is gathered in one task, however many copies share it.
+    tasks that tokenise and shifted by the counts of the tasks before, so no length is gathered in one
+    task, however many copies share it. Texts are tokenised once; the ids are written once and cut
+    where they lie, without a shuffle as long as the counts by length and task can be broadcast.
 
     Edge cases: null and empty texts are the end id alone; every row is packed, repeated ones too;
     a null id is carried along; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = materialize(token_lengths(docs, tokenizer, capacity, end_id, id_col, text_col))
+    rows = materialize(token_ids(docs, tokenizer, capacity, end_id, id_col, text_col))
     rows = rows.withColumn("task", F.spark_partition_id()).withColumn("tail", (F.col("doc_tokens") % capacity).cast("int"))
-    tails = rows.where("tail > 0").drop("full_crcs")
+    tails = rows.where("tail > 0").drop("full")
     per_task = materialize(tails.groupBy("tail", "task").agg(F.count(F.lit(1)).alias("n")))
     counts = {r["tail"]: r["n"] for r in per_task.groupBy("tail").agg(F.sum("n").alias("n")).collect()}
     windows, over = plan_windows(counts, capacity, max_slack)
@@ -281,12 +306,7 @@ def pack(
 
     before = Window.partitionBy("tail").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     shifted = per_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("tail", "task").orderBy("doc_id", "tail_crc")
-    ranked = (
-        tails.withColumn("inside", F.row_number().over(inside) - 1)
-        .join(shifted, ["tail", "task"])
-        .withColumn("rank", F.col("before") + F.col("inside"))
-    )
+    ranked = tails.join(bounded(materialize(shifted)), ["tail", "task"]).withColumn("rank", F.col("before") + F.col("inside"))
     # At most one row a length and window shape, both bounded by the capacity.
     plan = spark.createDataFrame(
         slots,
@@ -307,7 +327,7 @@ def pack(
         "doc_id",
         (F.col("doc_tokens") - F.col("tail") + F.col("at")).alias("start"),
         F.col("size").alias("length"),
-        F.when(uncut, F.col("tail_crc")).otherwise(F.get("part_crcs", F.col("part"))).alias("ids_crc32"),
+        F.substring("rest", F.col("at").cast("int") * 4 + 1, F.col("size").cast("int") * 4).alias("data"),
         "doc_tokens",
         F.when(uncut, F.col("sequence") + F.floor(turn / F.col("each")))
         .when(number < whole, F.col("sequence") + number)
@@ -320,14 +340,14 @@ def pack(
         .cast("long")
         .alias("offset"),
     )
-    full = rows.where(F.size("full_crcs") > 0).select("doc_id", "doc_tokens", F.posexplode("full_crcs").alias("k", "crc"))
+    full = rows.where(F.size("full") > 0).select("doc_id", "doc_tokens", F.posexplode("full").alias("k", "data"))
     full_pieces = full.select(
         "doc_id",
         (F.col("k").cast("long") * capacity).alias("start"),
         F.lit(capacity).cast("long").alias("length"),
-        F.col("crc").alias("ids_crc32"),
+        "data",
         "doc_tokens",
         (F.lit(sequences + whole + len(ends)) + F.monotonically_increasing_id()).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
     )
-    return tail_pieces.unionByName(full_pieces)
+    return with_ids(tail_pieces.unionByName(full_pieces))

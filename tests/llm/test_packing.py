@@ -82,6 +82,21 @@ def test_every_token_has_one_place(docs_of, path, tokenizer):
     assert check_packed(rows, texts, tokenizer, 64) == 0
 
 
+def test_sequences_can_be_built(docs_of, path, tokenizer):
+    """The pieces carry the ids: documents and sequences come out of the rows alone."""
+    texts = [(i, (TEXTS * 3)[i]) for i in range(27)] + [(100, None)]
+    rows = pack(docs_of(texts).repartition(3), path, capacity=64).collect()
+    built, sequences = defaultdict(list), defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        built[r.doc_id] += r.ids
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert len(sequences[r.sequence_id]) == r.offset and len(r.ids) == r.length
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        sequences[r.sequence_id] += r.ids
+    assert dict(built) == {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for d, t in texts}
+    assert max(map(len, sequences.values())) == 64 and sum(map(len, sequences.values())) == sum(map(len, built.values()))
+
+
 def test_capacity_that_is_no_power_of_two(docs_of, path, tokenizer):
     texts = [(i, "one two three " * (i % 17)) for i in range(60)]
     rows = pack(docs_of(texts), path, capacity=100).collect()
