@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stratalens.llm.text import only
 
-#: Lowest similarity of a match, and of a line that may be one of several of a longer text.
+#: Lowest similarity of a match.
 MIN_DICE = 0.8
-PART_SHARE = 0.6
 
 # Wording of public licences and of the notices that name them.
 TEMPLATES: list[tuple[str, str]] = [
@@ -86,8 +88,6 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 _WORD = re.compile(r"[^\W_]+")
-#: Lines that differ from copy to copy: the holder and the years.
-_HOLDER = re.compile(r"^[^\w]*(?:copyright|\(c\)|©).*$", re.I | re.M)
 
 
 class Match(NamedTuple):
@@ -98,8 +98,8 @@ class Match(NamedTuple):
 
 
 def bigrams(text: str) -> frozenset[tuple[str, str]]:
-    """Pairs of neighbouring words of the normalised text: lower case, words only, no holder lines."""
-    found = _WORD.findall(_HOLDER.sub(" ", text).lower())
+    """Pairs of neighbouring words of the normalised text: lower case, words only."""
+    found = _WORD.findall(text.lower())
     return frozenset(zip(found, found[1:]))
 
 
@@ -118,7 +118,8 @@ class Templates:
         for i, pairs in enumerate(self.sets):
             for pair in pairs:
                 self.holders[pair].append(i)
-        self.firsts = frozenset(first for first, _ in self.holders)
+        # Fewer common bigrams than this cannot reach the similarity, however tight the window.
+        self.needs = [max(1, math.ceil(min_dice / (2 - min_dice) * len(s) - 1e-9)) for s in self.sets]
         # Two sets whose sizes are further apart than this cannot reach the similarity.
         self.reach = (2 - min_dice) / min_dice + 1e-9
         self.largest = max((len(s) for s in self.sets), default=0) * self.reach
@@ -137,50 +138,90 @@ class Templates:
         top, place = max(scored, default=(0.0, 0))
         return (self.names[-place], top) if top >= self.min_dice else None
 
-    def part(self, unit: frozenset) -> bool:
-        """Whether a line may belong to a longer template: most of its bigrams are in one."""
-        shared: Counter[int] = Counter()
-        for pair in unit & self.holders.keys():
-            shared.update(self.holders[pair])
-        return bool(shared) and max(shared.values()) >= PART_SHARE * len(unit)
+    def windows(self, i: int, pairs: list[tuple[str, str]]) -> list[tuple[float, int, int, list[int]]]:
+        """The windows of ``pairs`` that are most like template ``i``, none overlapping another: (similarity,
+        first, last, places of bigrams of the template)."""
+        size, need = len(self.sets[i]), self.needs[i]
+        number = {pair: k for k, pair in enumerate(dict.fromkeys(pairs))}
+        at = [number[pair] for pair in pairs]
+        mine = np.array([pair in self.sets[i] for pair in pairs])
+        found, ranges = [], [(0, len(pairs))]
+        while ranges:
+            low, high = ranges.pop()
+            places = np.flatnonzero(mine[low:high]) + low
+            if len({at[p] for p in places.tolist()}) < need:
+                continue
+            best = sorted(self._from_each(at, mine, places, high, size), key=lambda w: (-w[0], w[1]))
+            taken: list[tuple[int, int]] = []
+            for score, first, last in best:
+                k = bisect.bisect(taken, (first, last))
+                if (k == 0 or taken[k - 1][1] < first) and (k == len(taken) or taken[k][0] > last):
+                    taken.insert(k, (first, last))
+                    found.append((score, first, last, (np.flatnonzero(mine[first : last + 1]) + first).tolist()))
+            if taken:  # a window that gave way may leave a shorter one beside the better
+                ranges += zip([low, *(last + 1 for _, last in taken)], [*(first for first, _ in taken), high])
+        return found
+
+    def _from_each(self, at: list[int], mine: np.ndarray, places: np.ndarray, high: int, size: int) -> Iterator[tuple[float, int, int]]:
+        """The best window that begins at each of ``places``. A bigram counts once in a window: where its
+        first occurrence leaves, the next one starts to count."""
+        low = int(places[0])
+        after: dict[int, int] = {}
+        follows = [0] * (high - low)
+        for p in range(high - 1, low - 1, -1):
+            follows[p - low] = after.get(at[p], -1)
+            after[at[p]] = p
+        new = np.zeros(high - low)
+        new[[p - low for p in after.values()]] = 1
+        hits = new * mine[low:high]
+        gone = low
+        for first in places.tolist():
+            for p in range(gone - low, first - low):
+                if follows[p] >= 0:
+                    new[follows[p] - low] = 1
+                    hits[follows[p] - low] = mine[follows[p]]
+            gone = first
+            reach = int(size * self.reach) + 2
+            while True:
+                here = slice(first - low, first - low + reach)
+                within = np.cumsum(new[here])
+                # Windows of more different bigrams than fit the size bound cannot match.
+                if within[-1] > size * self.reach or first + reach >= high:
+                    break
+                reach *= 2
+            shared = np.cumsum(hits[here])
+            scores = 2 * shared / (within + size)
+            top = int(np.argmax(scores))
+            if scores[top] >= self.min_dice - 1e-12:
+                yield float(scores[top]), first, first + top
 
     def scan(self, text: str | None) -> list[Match]:
-        """Matches among the lines, the runs of lines that look like parts of templates, and the whole text.
+        """Matches of the windows over the words of the whole text that are most like each template.
 
-        Of matches whose lines overlap, the more similar one stays, then the one over more lines.
+        A window may begin and end at any word, in the middle of a line or of a paragraph. Of matches on
+        the same words, the one with more common bigrams stays, then the more similar one.
         """
-        lines = (text or "").split("\n")
-        found, run, known = [], [], False
-
-        def close() -> None:
-            if len(run) > 1:
-                name = self.best(bigrams("\n".join(lines[run[0] : run[-1] + 1])))
-                if name:
-                    found.append(Match(*name, run[0], run[-1]))
-            run.clear()
-
-        for i, line in enumerate(lines):
-            unit = frozenset()
-            if not self.firsts.isdisjoint(_WORD.findall(line.lower())):
-                unit = bigrams(line)
-                known = known or not unit.isdisjoint(self.holders)
-                name = self.best(unit)
-                if name:
-                    found.append(Match(*name, i, i))
-            if unit and self.part(unit):
-                run.append(i)
-            elif line.strip() and not _HOLDER.match(line):
-                close()
-        close()
-        if len(lines) > 1 and known:
-            whole = self.best(bigrams(text or ""))
-            if whole:
-                found.append(Match(*whole, 0, len(lines) - 1))
-        chosen: list[Match] = []
-        for match in sorted(found, key=lambda m: (-m.dice, m.first_line - m.last_line, m.first_line)):
-            if all(match.last_line < m.first_line or match.first_line > m.last_line for m in chosen):
-                chosen.append(match)
-        return sorted(chosen, key=lambda m: m.first_line)
+        lower = (text or "").lower()
+        found = _WORD.findall(lower)
+        common: Counter[int] = Counter()
+        for pair in set(zip(found, found[1:])) & self.holders.keys():
+            common.update(self.holders[pair])
+        likely = [i for i, n in common.items() if n >= self.needs[i]]
+        if not likely:
+            return []
+        pairs = list(zip(found, found[1:]))
+        windows = [(len({pairs[p] for p in places}), *w, places, i) for i in likely for *w, places in self.windows(i, pairs)]
+        if not windows:
+            return []
+        starts = [m.start() for m in _WORD.finditer(lower)]
+        breaks = [m.start() for m in re.finditer("\n", lower)]
+        line = lambda word: bisect.bisect(breaks, starts[word])
+        chosen, used = [], set()
+        for _, score, first, last, places, i in sorted(windows, key=lambda w: (-w[0], -w[1], w[2], w[-1])):
+            if 2 * len(used.intersection(places)) <= len(places):
+                used.update(places)
+                chosen.append((first, Match(self.names[i], score, line(first), line(last + 1))))
+        return [match for _, match in sorted(chosen)]
 
 
 def scan_licenses(
@@ -193,8 +234,8 @@ def scan_licenses(
     """``doc_id, matches`` for every row of ``docs``: structs of license, dice, first and last line.
 
     The templates are a parameter of fixed size that every task holds. Rows are read where they lie;
-    nothing is shuffled. Units are compared by the Dice coefficient of their sets of word bigrams; a template
-    whose size is not within the bounds that ``min_dice`` sets is never compared.
+    nothing is shuffled. Windows over the words of the whole text are compared by the Dice coefficient of their
+    sets of word bigrams; a template of which the text has fewer bigrams than ``min_dice`` asks for is never compared.
 
     Edge cases: null, empty and one-word texts match nothing; ties between templates go to the first one;
     every row is judged by its own text; an empty table gives an empty result; other columns are ignored.

@@ -39,6 +39,36 @@ def test_lines_runs_and_holders():
     assert names("no notice\nof any kind") == []
 
 
+def test_notices_inside_lines():
+    assert names("Copyright 2024 Acme. All rights reserved.") == [("proprietary", 0, 0)]
+    assert names("Copyright (c) 2020 X, licensed under the MIT License.") == [("MIT", 0, 0)]
+    assert names("Some long prose about a thing. Released under the MIT License. And more prose, on and on.") == [("MIT", 0, 0)]
+    one_line = " ".join(MIT.split())
+    assert names("Copyright (c) 2020 Somebody " + one_line) == [("MIT", 0, 0)]
+    assert names(f"First line.\nWords before it. {one_line} Then other words follow.\nLast line.") == [("MIT", 1, 1)]
+    two = "Text is licensed under CC BY 4.0. The code, though, is licensed under the Apache License, Version 2.0. Enjoy."
+    assert [m for m, *_ in names(two)] == ["CC-BY-4.0", "Apache-2.0"]
+    assert names("All rights reserved. " * 3) == [("proprietary", 0, 0)] * 3
+
+
+def test_windows_are_the_best_of_all():
+    """The best window found is the best of all pairs of first and last word, repeated bigrams included."""
+    import random
+
+    draw = random.Random(5)
+    known = Templates([("t", "a b c a d b c"), ("u", "b a b d")], 0.6)
+    for _ in range(200):
+        text = [draw.choice("abcd") for _ in range(draw.randrange(2, 14))]
+        pairs = list(zip(text, text[1:]))
+        for i, mine in enumerate(known.sets):
+            every = [dice(frozenset(pairs[p:q]), mine) for p in range(len(pairs)) for q in range(p + 1, len(pairs) + 1)]
+            got = known.windows(i, pairs)
+            want = max(every)
+            assert (round(max(w[0] for w in got), 9) if got else None) == (round(want, 9) if want >= 0.6 else None)
+            spans = sorted((w[1], w[2]) for w in got)
+            assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_rows(docs_of):
     found = scan_licenses(docs_of([(1, None), (2, ""), (3, "word"), (4, "All rights reserved."), (4, "x"), (None, "Released under the MIT License")]))
     got = sorted(((r.doc_id, [m.license for m in r.matches]) for r in found.collect()), key=str)
