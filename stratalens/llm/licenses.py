@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import pkgutil
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
@@ -87,6 +88,12 @@ TEMPLATES: list[tuple[str, str]] = [
     ("proprietary", "This document is confidential and proprietary. All rights reserved."),
 ]
 
+#: Licences whose whole text is a file in ``license_texts``, beside the notices above.
+WHOLE_TEXTS = (
+    "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "CC0-1.0",
+)
+TEMPLATES += [(name, pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode("utf-8")) for name in WHOLE_TEXTS]
+
 _WORD = re.compile(r"[^\W_]+")
 
 

@@ -1,6 +1,6 @@
 from corpus_checks import by_id
 
-from stratalens.llm.licenses import TEMPLATES, Templates, bigrams, dice, scan_licenses
+from stratalens.llm.licenses import TEMPLATES, WHOLE_TEXTS, Templates, bigrams, dice, scan_licenses
 
 MIT = next(text for name, text in TEMPLATES if name == "MIT" and len(text) > 500)
 
@@ -69,6 +69,18 @@ def test_windows_are_the_best_of_all():
             assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_whole_texts_inside_prose():
+    """Each licence text, wrapped and on one line, is that licence and no other."""
+    known, texts = Templates(TEMPLATES, 0.8), dict(TEMPLATES[-len(WHOLE_TEXTS) :])
+    assert list(texts) == list(WHOLE_TEXTS)
+    for name, text in texts.items():
+        for body in (text, " ".join(text.split())):
+            found = known.scan(f"Prose stands before it. Copyright (c) 2020 Somebody\n{body} More prose of another kind.")
+            assert [(m.license, round(m.dice, 2)) for m in found] == [(name, 1.0)]
+    bsd = texts["BSD-3-Clause"].replace("the copyright holder nor", "Acme Inc. nor")
+    assert [m.license for m in known.scan(bsd)] == ["BSD-3-Clause"]
+
+
 def test_rows(docs_of):
     found = scan_licenses(docs_of([(1, None), (2, ""), (3, "word"), (4, "All rights reserved."), (4, "x"), (None, "Released under the MIT License")]))
     got = sorted(((r.doc_id, [m.license for m in r.matches]) for r in found.collect()), key=str)
