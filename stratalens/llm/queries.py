@@ -8,6 +8,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from stratalens.llm import langid, quality, toxicity
+from stratalens.llm.bpe import decode_ids, encode_texts
 from stratalens.llm.decontaminate import find_contamination
 from stratalens.llm.exact_dedup import exact_duplicates
 from stratalens.llm.licenses import scan_licenses
@@ -153,3 +154,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share nine tenths of their three-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+@query("op11_bpe")
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, and the text decoded from them, as digests."""
+    path = tokenizer_path("word_bpe_49k.json")
+    found = decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
