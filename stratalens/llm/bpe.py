@@ -16,8 +16,8 @@ from stratalens.llm.text import only
 
 #: Words of more symbols than this are merged with a heap; scanning is quadratic in the length.
 SHORT = 96
-#: Blank-separated chunks that a worker remembers, and the longest one worth remembering.
-CACHE_CHUNKS = 200_000
+#: Blank-separated chunks and words (each) that a worker remembers, at most twice as many, and the longest one worth remembering.
+CACHE_PIECES = 200_000
 CACHE_CHARS = 64
 #: Characters (or ids) handled before a batch is handed on.
 GROUP_CHARS = 1_000_000
@@ -26,6 +26,9 @@ GROUP_CHARS = 1_000_000
 _NO_BLANKS = re.compile(r"[\x1c-\x1f]")
 _BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
+#: Chunks that normalising leaves alone but for A-Z.
+_SHOWN = re.compile(r"[!-~]+")
+
 #: No adjacent pair at this place can merge.
 _NEVER = 1 << 62
 
@@ -87,19 +90,23 @@ class MergeTable:
         return [i for i in ids if i >= 0]
 
 
-class _Chunks(dict):
-    """Ids of blank-separated chunks as bytes; missing ones are encoded, short ones remembered."""
+class _Remembered(dict):
+    """Ids by piece of text as bytes. Missing ones are encoded and short ones remembered: when it is full, only those used
+    since it was full before are kept."""
 
     def __init__(self, encode) -> None:
         super().__init__()
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_CHUNKS:
+        self.encode, self.former = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.former.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.former = dict(self)
                 self.clear()
-            self[chunk] = ids
+            self[piece] = ids
         return ids
 
 
@@ -136,25 +143,23 @@ class WordBpe:
         self.pieces: list[str | None] = [None] * (max(known.values()) + 1)
         for piece, i in known.items():
             self.pieces[i] = piece
-        self.chunks = _Chunks(self._chunk)
+        self.chunks, self.merged = _Remembered(self._chunk), _Remembered(self._word)
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a text without blanks and special tokens."""
-        if chunk.isascii():
+        if _SHOWN.fullmatch(chunk):
             words = self.words.findall(chunk.lower())
-            shown = all("!" <= c <= "~" for c in chunk)
         else:
-            shown = False
-        if not shown:
             steps = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
             words = [word for word, _ in steps]
-        ids: list[int] = []
-        for word in words:
-            symbols = [self.inner[c] for c in word[:-1] if c in self.inner]
-            if word and word[-1] in self.last:
-                symbols.append(self.last[word[-1]])
-            ids += self.table.merge(symbols)
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(map(self.merged.__getitem__, words))
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word, whose characters stand for its bytes."""
+        symbols = [self.inner[c] for c in word[:-1] if c in self.inner]
+        if word and word[-1] in self.last:
+            symbols.append(self.last[word[-1]])
+        return np.array(self.table.merge(symbols), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Token ids of a whole text as little-endian unsigned 32-bit numbers."""

@@ -74,7 +74,7 @@ def test_very_long_word_and_cache_limits(library, monkeypatch):
     rng = random.Random(1)
     word = "".join(rng.choice("etaoinshr") for _ in range(60_000))
     assert np.frombuffer(word_bpe(PATH).encode(word), "<u4").tolist() == truth(library, word)[0]
-    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 3)
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 3)
     small = bpe.WordBpe(PATH)
     text = "one two three four five six one two"
     assert np.frombuffer(small.encode(text), "<u4").tolist() == truth(library, text)[0]
