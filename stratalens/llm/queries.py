@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from stratalens.llm import langid, quality, toxicity
+from stratalens.llm import langid, quality, toxicity, whitening
 from stratalens.llm.bpe import decode_ids, encode_texts
 from stratalens.llm.decontaminate import find_contamination
 from stratalens.llm.exact_dedup import exact_duplicates
@@ -162,3 +162,22 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
     found = decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projection of every usable vector on the leading 32 components, one row a component."""
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows, components=32)
+    error = whitening.identity_error(rows, model)
+    shares = F.array(*[F.lit(float(v / model.trace) if model.trace > 0 else None).cast("double") for v in model.values])
+    found = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    return found.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("place")).alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"),
+    )
