@@ -13,6 +13,7 @@ from stratalens.llm.decontaminate import find_contamination
 from stratalens.llm.exact_dedup import exact_duplicates
 from stratalens.llm.licenses import scan_licenses
 from stratalens.llm.line_dedup import dedup_lines
+from stratalens.llm.merkle import fold, leaf_digest, manifest, proof_text
 from stratalens.llm.ngram_join import near_duplicates
 from stratalens.llm.packing import pack
 from stratalens.llm.pii import BASE_KINDS, find_pii
@@ -181,3 +182,67 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(shares, F.col("place")).alias("explained"),
         F.lit(error).cast("double").alias("identity_error"),
     )
+
+
+def _hashed(text: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
+
+
+def _tree_sql(name: str, start: str) -> str:
+    """Recursive levels ``(tree, level, pos, n, h)`` above ``start``, and the text beside every node that is not a root."""
+    run = "PARTITION BY tree, level, pos // 3 ORDER BY pos"
+    near = ["coalesce({}(h, {}) OVER ({}), '')".format(f, k, run) for f, k in (("lag", 2), ("lag", 1), ("lead", 1), ("lead", 2))]
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, pos, n, h FROM {start}
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 3, n),
+{name}_near AS (SELECT tree, level, pos, {near[0]} || {near[1]} AS l, {near[2]} || {near[3]} AS r FROM {name} WHERE n > 1)"""
+
+
+def _path_sql(name: str, start: str) -> str:
+    """Every row of ``start`` on its way up the levels of ``name``."""
+    return f"""{name}_path AS (
+  SELECT id, tree, 0 AS level, pos, n, node, proof FROM {start}
+  UNION ALL
+  SELECT id, p.tree, p.level + 1, p.pos // 3, (n + 2) // 3, sha256(l || node || r), proof || l || r
+  FROM {name}_path p JOIN {name}_near s ON p.tree = s.tree AND p.level = s.level AND p.pos = s.pos WHERE n > 1)"""
+
+
+@query(
+    "op13_merkle",
+    f"""WITH RECURSIVE bits AS (
+  SELECT *, list_transform(range(8 * length(doc_id::VARCHAR)), lambda k: (ascii(substr(doc_id::VARCHAR, (k // 8 + 1)::INT, 1)) >> (k % 8)::INT) & 1) AS b FROM documents),
+crc AS (SELECT *, list_reduce(list_concat([4294967295::BIGINT], list_transform(b, lambda x: x::BIGINT)),
+  lambda c, x: xor(c >> 1, CASE WHEN xor(c, x) & 1 = 1 THEN 3988292384 ELSE 0 END)) & 1 = 1 AS even FROM bits),
+leaves AS (SELECT doc_id, coalesce('g' || source, '') AS tree, {_hashed("text")} AS h,
+  CASE WHEN even THEN {_hashed("replace(text, chr(10), '')")} END AS tampered FROM crc),
+placed AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos,
+  count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+{_tree_sql("up", "placed")},
+subroots AS (SELECT '' AS tree, tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+{_tree_sql("top", "subroots")},
+begun AS (SELECT id, tree, pos, n, coalesce(tampered, h) AS node, '' AS proof FROM placed),
+{_path_sql("up", "begun")},
+lifted AS (SELECT id, s.tree, s.pos, s.n, node, proof FROM up_path p JOIN subroots s ON p.tree = s.name WHERE p.n = 1),
+{_path_sql("top", "lifted")}
+SELECT d.doc_id, d.h AS leaf, s.h AS subroot, t.h AS root, sha256(p.proof) AS proof_sha256, p.node AS folded_root, p.node = t.h AS verified
+FROM placed d JOIN subroots s ON d.tree = s.name JOIN top t ON t.n = 1 JOIN top_path p ON p.id = d.id AND p.n = 1""",
+)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root that a copy without line ends leads to."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    changed = leaf_digest(*[F.col(f) for f in fields[:-1]], F.replace("text", F.lit("\n"), F.lit("")))
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even & F.contains("text", F.lit("\n")), changed)
+    found = manifest(table(spark, sf_dir, "documents"), fields, carry={"tampered": tampered})
+    found = found.withColumn("folded_root", fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(proof_text(F.col("proof")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
