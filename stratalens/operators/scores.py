@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions.expressions import banded, ratio, standard_error
+from stratalens.operators.sparse import group_scores
 from stratalens.operators.strata import Dimension, as_long, cell_counts, dimension_label, few, join_groups, line_up, look_up_variance
 
 # Rating cut-offs and their names.
@@ -111,7 +112,10 @@ def scorecard(
     variance: DataFrame | None = None,
     unsampled_se: float = 1.0,
 ) -> DataFrame:
-    """Every score for every dimension and group: one scan, one join, one aggregate."""
+    """Every score for every dimension and group. Groups are scored from the strata they sampled (see ``sparse``);
+    without groups, one join lines up all strata."""
+    if by:
+        return group_scores(cells, benchmark, dims, by, variance, unsampled_se)
     aligned = line_up(cells, benchmark, dims, by, targets=True)
     return all_scores(with_weights(aligned, dims, variance, unsampled_se), by)
 

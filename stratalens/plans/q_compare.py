@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalens.operators import compare, scores
-from stratalens.operators.strata import Dimension
+from stratalens.operators.sparse import group_scores
+from stratalens.operators.strata import Dimension, key_columns
 from stratalens.plans import sqltext as q
 from stratalens.plans.q_scores import FULL, full_card
 from stratalens.plans.registry import query
@@ -16,7 +17,9 @@ card AS (SELECT wave, dimension, max(size) AS size, {q.MATCH} AS m, {q.COVERAGE}
 
 
 def wave_card(t):
-    return scores.match_and_coverage(t.aligned(STANDARD, ["wave"]), ["wave"])
+    cells = t.order_cells(key_columns(STANDARD), ["wave"])
+    card = group_scores(cells, t.benchmark, STANDARD, ["wave"], weighted=False)
+    return card.select("wave", "dimension", "sample_size", "match_score", "coverage_score")
 
 
 def survey_card(t):

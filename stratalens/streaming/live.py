@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stratalens.operators.scores import match_and_coverage
+from stratalens.operators.sparse import group_scores
 from stratalens.operators.strata import Dimension, cell_counts, key_columns, line_up
 from stratalens.session import materialize
 
@@ -129,4 +130,5 @@ def to_date(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def windowed_scores(cells: DataFrame, benchmark: DataFrame, dims: Sequence[Dimension]) -> DataFrame:
     """Match and coverage per window, for plain or cumulative cells."""
-    return match_and_coverage(line_up(cells, benchmark, dims, ["window"]), ["window"])
+    card = group_scores(cells, benchmark, dims, ["window"], weighted=False)
+    return card.select("window", "dimension", "sample_size", "match_score", "coverage_score")
