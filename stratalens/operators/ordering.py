@@ -9,6 +9,7 @@ folder first, so slice borders stay what they were even if executors are lost.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,3 +71,22 @@ def first_rows(frame: DataFrame, order: Sequence[Column], count: int, by: Sequen
         frame = frame.drop("_slice", "_local")
     window = Window.partitionBy(*by).orderBy(*order)
     return frame.withColumn(rank, F.row_number().over(window).cast("long")).where(F.col(rank) <= count)
+
+
+def quantiles(frame: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """``by`` and the exact, linearly interpolated quantiles ``wanted`` (name: part of 1) of each group; nulls do not count.
+
+    Equal values are counted first, in the tasks that read them. Running counts over the slices of all values give each
+    value the places it takes, so at most two rows a quantile are picked and no task meets all values of a group.
+    """
+    counted = frame.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_totals(counted, [F.col("_value")], "_n", by, rank="_rank", total="_upto")
+    sizes = placed.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    placed = join_groups(placed, sizes, by) if by else placed.withColumn("_size", placed.agg(F.sum("_n")).scalar())
+    here = lambda at: (F.col("_upto") > at) & (F.col("_upto") - F.col("_n") <= at)
+    at = {name: F.lit(float(part)) * (F.col("_size") - 1) for name, part in wanted.items()}
+    picked = placed.where(reduce(lambda a, b: a | b, [here(f(a)) for a in at.values() for f in (F.floor, F.ceil)]))
+    ends = [F.max(F.when(here(f(a)), F.col("_value"))).alias(f"_{end}_{name}") for name, a in at.items() for end, f in (("low", F.floor), ("high", F.ceil))]
+    found = picked.groupBy(*by, "_size").agg(*ends)
+    between = {n: F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * (a - F.floor(a)) for n, a in at.items()}
+    return found.select(*by, *[column.alias(name) for name, column in between.items()])

@@ -12,12 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalens.functions.expressions import hash_uniform, ratio, standard_error
+from stratalens.functions.expressions import ratio, standard_error
 from stratalens.operators.allocation import with_sizes
-from stratalens.operators.ordering import first_rows, running_totals
+from stratalens.operators.ordering import quantiles, running_totals
 from stratalens.operators.reshape import auto_simplify, keep_listed_countries
 from stratalens.operators.scores import coverage_of, match_of, scorecard
-from stratalens.operators.strata import Dimension, cell_counts, dimension_label, few, key_columns
+from stratalens.operators.strata import Dimension, cell_counts, dimension_label, few, join_groups, key_columns
 from stratalens.session import materialize
 
 SIZE = ["dimension", "size"]
@@ -84,82 +84,52 @@ def first_size_reaching(curve: DataFrame, target: float) -> DataFrame:
     )
 
 
-def replicate_counts(benchmark: DataFrame, dims: Sequence[Dimension], sizes: Sequence[int], replicates: int) -> DataFrame:
-    """Replicated near-proportional samples.
-
-    A stratum gets its rounded expectation; where that is zero, one respondent with the expected
-    probability. What is then missing to the size is added to all strata evenly and the rest to
-    those first in a random order; what is too much is taken from sampled strata in that order.
-    """
-    strata = with_sizes(normalised(benchmark).withColumn("stratum", dimension_label(dims)), sizes)
-    drawn = strata.withColumn("replicate", F.explode(_numbers(replicates)))
-    ideal = F.round(F.col("size") * F.col("population_share"), 9)
-    key = ["dimension", "stratum", "size", "replicate"]
-    small = F.when(hash_uniform(*key) < ideal, 1).otherwise(0)
-    first = drawn.select(
-        *key,
-        "population_share",
-        F.when(F.bround(ideal) > 0, F.bround(ideal)).otherwise(small).cast("long").alias("n"),
-        F.round(hash_uniform(*key, F.lit("order")), 12).alias("_draw"),
-    )
-    group = [*SIZE, "replicate"]
-    ordered = running_totals(
-        first.withColumn("_empty", F.col("n") == 0), [F.col("_empty"), F.col("_draw"), F.col("stratum")], by=group, rank="_taken"
-    )
-    ordered = running_totals(ordered, [F.col("_draw"), F.col("stratum")], by=group, rank="_added")
-    totals = ordered.groupBy(*group).agg(F.sum("n").alias("_sum"), F.count(F.lit(1)).alias("_strata"))
-    totals = few(totals, len(dims) * len(sizes) * replicates)
-    gap = F.col("size") - F.col("_sum")
-    more = F.floor(gap / F.col("_strata")) + F.when(F.col("_added") <= gap % F.col("_strata"), 1).otherwise(0)
-    less = F.when(F.col("_taken") <= -gap, 1).otherwise(0)
-    final = F.col("n") + F.when(gap > 0, more).when(gap < 0, -less).otherwise(0)
-    return ordered.join(totals, group).select(*group, "stratum", "population_share", final.cast("long").alias("n"))
-
-
-def replicate_scores(counts: DataFrame) -> DataFrame:
-    """Match and coverage per replicate; without relevant strata coverage is 0 here."""
-    relevant = F.count_if("relevant")
-    covered = F.coalesce(ratio(F.count_if(F.col("relevant") & (F.col("n") > 0)), relevant), F.lit(0.0))
-    return _relevance(counts).groupBy(*SIZE, "replicate").agg(match_of().alias("match_score"), covered.alias("coverage_score"))
-
-
 def replicate_statistics(scores: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Mean, population deviation, range and linearly interpolated quartiles over replicates."""
-    return scores.groupBy(*group).agg(
+    moments = scores.groupBy(*group).agg(
         F.count(F.lit(1)).alias("replicates"),
         F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-        F.median(value).alias("median"),
-        F.percentile(value, 0.25).alias("q25"),
-        F.percentile(value, 0.75).alias("q75"),
     )
+    middle = quantiles(scores, group, value, {"median": 0.5, "q25": 0.25, "q75": 0.75})
+    return join_groups(moments, middle, group, "left")
 
 
 def _drawn(survey: DataFrame, respondent: str, columns: Sequence[str], replicates: int) -> DataFrame:
-    """Every respondent once per replicate with a random text to order by."""
+    """Every respondent once per replicate with a random text to order by, and the bucket of that text: 16 for
+    each doubling of its first 48 bits, so that few draws lie beyond any wanted number in its bucket."""
     keyed = survey.select(respondent, *columns).withColumn("replicate", F.explode(_numbers(replicates)))
-    return keyed.withColumn("_draw", F.md5(F.concat_ws("|", F.col(respondent).cast("string"), F.col("replicate").cast("string"))))
+    keyed = keyed.withColumn("_draw", F.md5(F.concat_ws("|", F.col(respondent).cast("string"), F.col("replicate").cast("string"))))
+    lead = F.conv(F.substring("_draw", 1, 12), 16, 10).cast("double")
+    return keyed.withColumn("_bucket", F.floor(F.log2(lead + 1) * 16).cast("int"))
 
 
-def subsamples(
-    survey: DataFrame, respondent: str, columns: Sequence[str], sizes: Sequence[int], replicates: int, spread: int = 256
-) -> DataFrame:
+def subsamples(survey: DataFrame, respondent: str, columns: Sequence[str], sizes: Sequence[int], replicates: int) -> DataFrame:
     """Random sub-samples without replacement: per replicate the respondents with the smallest draw.
 
-    The draws are ranked in ``spread`` parts of each replicate first and the firsts of the parts
-    after, so no task ranks a replicate as a whole; up to Spark's limit for groups, every task keeps only its
-    smallest draws before anything is shuffled.
+    The k-th smallest draw is found by counting. Draws are counted by bucket in the tasks (some hundred numbers a
+    replicate), running counts name the bucket that holds the k-th draw and how many of it are wanted, and only draws up to that bucket are
+    kept: little more than ``size`` a replicate, however many respondents there are. Ranks are given within buckets,
+    which hold a small part of a replicate each. A survey smaller than a size is taken whole.
     """
-    largest = max(sizes)
-    order = [F.col("_draw"), F.col(respondent)]
     drawn = _drawn(survey, respondent, columns, replicates)
-    parts = drawn.withColumn("_part", F.pmod(F.xxhash64(respondent), F.lit(spread)))
-    near = first_rows(parts, order, largest, ["replicate", "_part"], "_place")
-    placed = first_rows(near.drop("_part", "_place"), order, largest, ["replicate"], "_place")
-    sized = placed.withColumn("size", F.explode(F.array(*[F.lit(int(s)).cast("long") for s in sizes])))
-    return sized.where("_place <= size").select("size", "replicate", respondent, *columns)
+    counts = drawn.groupBy("replicate", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("replicate").orderBy("_bucket"))  # at most 769 buckets
+    wanted = F.explode(F.array(*[F.lit(int(s)).cast("long") for s in sizes]))
+    reached = counts.withColumn("_upto", upto).withColumn("size", wanted)
+    # The bucket that reaches the size; without one, all of them.
+    edge = F.coalesce(F.min(F.when(F.col("_upto") >= F.col("size"), F.col("_bucket"))), F.max("_bucket"))
+    before = F.coalesce(F.max(F.when(F.col("_upto") < F.col("size"), F.col("_upto"))), F.lit(0))
+    edges = reached.groupBy("replicate", "size").agg(edge.alias("edge"), (F.col("size") - before).alias("wanted"))
+    edges = edges.groupBy("replicate").agg(F.collect_list(F.struct("size", "edge", "wanted")).alias("_edges"))  # one entry a size
+    near = drawn.join(few(edges, replicates), "replicate").where(F.col("_bucket") <= F.array_max(F.transform("_edges", lambda e: e["edge"])))
+    place = F.row_number().over(Window.partitionBy("replicate", "_bucket").orderBy("_draw", respondent))
+    sized = near.withColumn("_place", place).withColumn("_edge", F.explode("_edges"))
+    inside = F.col("_bucket") < F.col("_edge.edge")
+    last = (F.col("_bucket") == F.col("_edge.edge")) & (F.col("_place") <= F.col("_edge.wanted"))
+    return sized.where(inside | last).select(F.col("_edge.size").alias("size"), "replicate", respondent, *columns)
 
 
 def subsample_scores(

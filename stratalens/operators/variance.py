@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.functions.expressions import LABEL_SEPARATOR, banded, ratio
+from stratalens.operators.ordering import quantiles
 from stratalens.operators.strata import Dimension, join_groups
 
 # Fixed value: used where a stratum has too few answers.
@@ -182,15 +183,15 @@ def stratum_variance(scores: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def variance_summary(variances: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean, median, spread and consensus (1 - mean variance) per stratum over its questions."""
-    return variances.groupBy(*by).agg(
+    moments = variances.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_questions"),
         F.avg("variance").alias("mean_variance"),
-        F.median("variance").alias("median_variance"),
         F.stddev_pop("variance").alias("std_variance"),
         F.min("variance").alias("min_variance"),
         F.max("variance").alias("max_variance"),
         (F.lit(1.0) - F.avg("variance")).alias("consensus_score"),
     )
+    return join_groups(moments, quantiles(variances, by, "variance", {"median_variance": 0.5}), by, "left")
 
 
 def consensus_comparison(summaries: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -77,50 +77,43 @@ def efficiency(t):
     )
 
 
-def _uniform(*parts: str) -> str:
-    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+SUB_DIMS = [q.STANDARD[2], q.STANDARD[3], q.STANDARD[4]]
+SUB = f"""drawn AS (SELECT respondent, country, region, segment, replicate, md5(concat_ws('|', respondent, replicate)) AS o FROM survey, range(5) z(replicate)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY o, respondent) AS place FROM drawn),
+sub AS (SELECT size, replicate, country, region, segment FROM placed, (VALUES (50), (200)) z(size) WHERE place <= size
+  UNION ALL SELECT 0, 0, country, region, segment FROM survey)"""
+SUB_KEYS = ("country", "region", "segment")
+
 
+SUB_CARD = f"""{SUB}, {q.lined_up(SUB_DIMS, SUB_KEYS, survey="sub", by=("size", "replicate"), total="total")},
+card AS (SELECT size, replicate, dimension, {q.MATCH} AS m, {q.COVERAGE} AS c FROM aligned GROUP BY ALL)"""
 
-REPLICATED = f"""ideal AS (SELECT dimension, {STD_LABEL} AS stratum, CASE WHEN abs(sum(q) OVER (PARTITION BY dimension, size) - 1) > 1e-6 THEN q / sum(q) OVER (PARTITION BY dimension, size) ELSE q END AS q, CAST(size AS BIGINT) AS size
-  FROM bench, (VALUES (40), (300)) z(size)),
-drawn AS (SELECT ideal.*, replicate, round(size * q, 9) AS i, {_uniform("dimension", "stratum", "size", "replicate")} AS u,
-    round({_uniform("dimension", "stratum", "size", "replicate", "'order'")}, 12) AS o FROM ideal, range(20) z(replicate)),
-first AS (SELECT *, CAST(CASE WHEN round_even(CAST(i AS DOUBLE), 0) > 0 THEN round_even(CAST(i AS DOUBLE), 0) WHEN u < i THEN 1 ELSE 0 END AS BIGINT) AS n0 FROM drawn),
-ordered AS (SELECT *, row_number() OVER (PARTITION BY dimension, size, replicate ORDER BY n0 = 0, o, stratum) AS taken,
-    row_number() OVER (PARTITION BY dimension, size, replicate ORDER BY o, stratum) AS added,
-    size - sum(n0) OVER (PARTITION BY dimension, size, replicate) AS gap, count(*) OVER (PARTITION BY dimension, size, replicate) AS strata FROM first),
-rep AS (SELECT dimension, size, replicate, stratum, q, CAST(n0 + CASE WHEN gap > 0 THEN gap // strata + CASE WHEN added <= gap % strata THEN 1 ELSE 0 END
-    WHEN gap < 0 THEN CASE WHEN taken <= -gap THEN -1 ELSE 0 END ELSE 0 END AS BIGINT) AS n FROM ordered),
-rep_scores AS (SELECT dimension, size, replicate, 1 - 0.5 * sum(abs(n::DOUBLE / size - q)) AS m,
-    coalesce(count(*) FILTER (q > 1.0::DOUBLE / size AND n > 0)::DOUBLE / nullif(count(*) FILTER (q > 1.0::DOUBLE / size), 0), 0) AS c
-  FROM rep GROUP BY dimension, size, replicate)"""
+
+def _cards(t):
+    """Scores of five random sub-samples of 50 and 200 respondents, and of the whole survey (size 0)."""
+    dims = (COUNTRY, REGION, SEGMENT)
+    return replicates.subsample_scores(t.survey, "respondent", t.benchmark_for(*dims), dims, [50, 200], 5)
 
 
 @query(
     "replicate_scores",
-    f"""WITH {STD}, {REPLICATED} SELECT dimension, size, replicate, {q.r("m", "match_score")}, {q.r("c", "coverage_score")} FROM rep_scores""",
+    f"""WITH {q.ORDERS}, {SUB_CARD}
+SELECT dimension, CAST(size AS BIGINT) AS size, replicate, {q.r("m", "match_score")}, {q.r("c", "coverage_score")} FROM card WHERE size > 0""",
 )
 def replicate_scores(t):
-    return replicates.replicate_scores(replicates.replicate_counts(t.benchmark, STANDARD, [40, 300], 20))
+    """Match and coverage of every real sub-sample."""
+    return _cards(t).where("size > 0").select("dimension", "size", "replicate", "match_score", "coverage_score")
 
 
 @query(
     "replicate_statistics",
-    f"""WITH {STD}, {REPLICATED}
-SELECT dimension, size, count(*) AS replicates, {q.r("avg(m)", "mean")}, {q.r("stddev_pop(m)", "std")}, {q.r("min(m)", "min")}, {q.r("max(m)", "max")},
-  {q.r("median(m)", "median")}, {q.r("quantile_cont(m, 0.25)", "q25")}, {q.r("quantile_cont(m, 0.75)", "q75")} FROM rep_scores GROUP BY dimension, size""",
+    f"""WITH {q.ORDERS}, {SUB_CARD}
+SELECT dimension, CAST(size AS BIGINT) AS size, count(*) AS replicates, {q.r("avg(c)", "mean")}, {q.r("stddev_pop(c)", "std")}, {q.r("min(c)", "min")}, {q.r("max(c)", "max")},
+  {q.r("median(c)", "median")}, {q.r("quantile_cont(c, 0.25)", "q25")}, {q.r("quantile_cont(c, 0.75)", "q75")} FROM card WHERE size > 0 GROUP BY dimension, size""",
 )
 def replicate_statistics(t):
-    drawn = replicates.replicate_scores(replicates.replicate_counts(t.benchmark, STANDARD, [40, 300], 20))
-    return replicates.replicate_statistics(drawn, ["dimension", "size"], "match_score")
-
-
-SUB_DIMS = [q.STANDARD[2], q.STANDARD[3], q.STANDARD[4]]
-SUB = f"""drawn AS (SELECT respondent, country, region, segment, replicate, md5(concat_ws('|', respondent, replicate)) AS o FROM survey, range(5) z(replicate)),
-placed AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY o, respondent) AS place FROM drawn),
-sub AS (SELECT size, replicate, country, region, segment FROM placed, (VALUES (50), (200)) z(size) WHERE place <= size
-  UNION ALL SELECT 0, 0, country, region, segment FROM survey)"""
-SUB_KEYS = ("country", "region", "segment")
+    """Spread of the coverage over real sub-samples."""
+    return replicates.replicate_statistics(_cards(t).where("size > 0"), ["dimension", "size"], "coverage_score")
 
 
 @query(
@@ -133,9 +126,7 @@ SELECT CAST(size AS BIGINT) AS size, dimension, count(*) AS replicates, {q.r("av
 )
 def subsample_stability(t):
     """Five random sub-samples of 50 and 200 respondents next to the whole survey (size 0)."""
-    dims = (COUNTRY, REGION, SEGMENT)
-    cards = replicates.subsample_scores(t.survey, "respondent", t.benchmark_for(*dims), dims, [50, 200], 5)
-    return cards.groupBy("size", "dimension").agg(
+    return _cards(t).groupBy("size", "dimension").agg(
         F.count(F.lit(1)).alias("replicates"),
         F.avg("match_score").alias("match_mean"),
         F.stddev_pop("match_score").alias("match_std"),
@@ -204,9 +195,7 @@ FROM card GROUP BY size, dimension""",
 )
 def subsample_statistics(t):
     """Spread of the match score over real sub-samples."""
-    dims = (COUNTRY, REGION, SEGMENT)
-    cards = replicates.subsample_scores(t.survey, "respondent", t.benchmark_for(*dims), dims, [50, 200], 5)
-    return replicates.replicate_statistics(cards, ["size", "dimension"], "match_score")
+    return replicates.replicate_statistics(_cards(t), ["size", "dimension"], "match_score")
 
 
 @query(

@@ -5,10 +5,11 @@ import math
 import random
 
 import pytest
+from plan_rows import metric_of
 from pyspark.sql import functions as F
 
 from stratalens import Dimension
-from stratalens.operators import allocation, replicates, reshape, scores
+from stratalens.operators import allocation, ordering, replicates, reshape, scores
 from stratalens.operators.strata import as_long, cell_counts, line_up
 
 DIM = Dimension("Country", ("country",))
@@ -147,27 +148,13 @@ def test_best_allocation_against_all_allocations(long_benchmark, seed):
     assert replicates.max_scores(counts).first()["max_match"] == pytest.approx(best_by_force(q, size))
 
 
-def test_replicates_add_up_and_stay_below_the_maximum(long_benchmark):
+def test_subsample_scores_stay_below_the_maximum(spark, long_benchmark):
+    """Scores of real sub-samples, none better than the best allocation of its size."""
     bench = long_benchmark(*[(f"c{i}", 0.02 if i < 40 else 0.05) for i in range(44)])
-    sizes = [15, 60]
-    counts = replicates.replicate_counts(bench, [DIM], sizes, 12)
-    sums = counts.groupBy("size", "replicate").agg(F.sum("n").alias("n"), F.min("n").alias("low")).collect()
-    assert len(sums) == 24 and all(r["n"] == r["size"] and r["low"] >= 0 for r in sums)
-    drawn = replicates.replicate_scores(counts)
-    top = {r["size"]: r["max_match"] for r in replicates.size_curve(bench, [DIM], sizes).collect()}
-    assert all(r["match_score"] <= top[r["size"]] + 1e-9 for r in drawn.collect())
-
-
-def test_replicates_of_even_strata(long_benchmark):
-    bench = long_benchmark(*[(c, 0.25) for c in "ABCD"])
-    counts = replicates.replicate_counts(bench, [DIM], [100], 3).collect()
-    assert all(r["n"] == 25 for r in counts)
-
-
-def test_replicates_repeat(long_benchmark):
-    bench = long_benchmark(*FIVE)
-    once, again = (replicates.replicate_counts(bench, [DIM], [10], 5).orderBy("replicate", "stratum").collect() for _ in range(2))
-    assert once == again
+    survey = spark.range(2000).select(F.col("id").alias("respondent"), F.concat(F.lit("c"), F.col("id") % 44).alias("country"))
+    drawn = replicates.subsample_scores(survey, "respondent", bench, [DIM], [15, 60], 12).where("size > 0").collect()
+    top = {r["size"]: r["max_match"] for r in replicates.size_curve(bench, [DIM], [15, 60]).collect()}
+    assert len(drawn) == 24 and all(r["sample_size"] == r["size"] and r["match_score"] <= top[r["size"]] + 1e-9 for r in drawn)
 
 
 def test_statistics_interpolate(spark):
@@ -193,9 +180,43 @@ def test_subsamples_pick_the_smallest_hashes(spark):
 
     survey = spark.range(900).select(F.col("id").alias("respondent"), F.lit("x").alias("country"))
     ranked = sorted(range(900), key=lambda i: (hashlib.md5(f"{i}|0".encode()).hexdigest(), i))
-    for spread in (1, 4, 300):
-        drawn = replicates.subsamples(survey, "respondent", ["country"], [30], 1, spread=spread)
-        assert {r["respondent"] for r in drawn.collect()} == set(ranked[:30])
+    drawn = replicates.subsamples(survey, "respondent", ["country"], [1, 30, 899, 900, 5000], 1).collect()
+    for size in (1, 30, 899, 900, 5000):
+        assert {r["respondent"] for r in drawn if r["size"] == size} == set(ranked[:size])
+    assert len(drawn) == 1 + 30 + 899 + 900 + 900
+
+
+def test_subsamples_shuffle_little_more_than_they_keep(spark):
+    """Two replicates of 2000 out of 60,000 respondents: what moves is near 4000 rows, not 120,000."""
+    survey = spark.range(60_000).select(F.col("id").alias("respondent"), (F.col("id") % 9).alias("country"))
+    drawn = replicates.subsamples(survey, "respondent", ["country"], [2000], 2)
+    assert sorted((r["size"], r["replicate"]) for r in drawn.collect()) == [(2000, 0)] * 2000 + [(2000, 1)] * 2000
+    moved = metric_of(drawn, "ShuffleExchange", "shuffleRecordsWritten")
+    buckets = 2 * 769 * 8  # counts by bucket of each of eight tasks at most
+    assert 4000 <= sum(moved) <= 4000 * 1.1 + buckets
+
+
+def test_repeated_respondents_are_drawn_like_others(spark):
+    survey = spark.createDataFrame([(1, "x")] * 40 + [(i, "y") for i in range(2, 30)], "respondent int, country string")
+    drawn = replicates.subsamples(survey, "respondent", ["country"], [10], 3)
+    assert drawn.groupBy("replicate").count().orderBy("replicate").collect() == [(0, 10), (1, 10), (2, 10)]
+    assert replicates.subsamples(survey.where("false"), "respondent", ["country"], [10], 3).count() == 0
+
+
+def test_quantiles_against_plain_interpolation(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    rows = [(g, rng.choice([rng.random(), 0.5, -3.0])) for g, n in (("a", 400), ("b", 7), (None, 12), ("one", 1)) for _ in range(n)]
+    rows += [("a", None), ("nothing", None)]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    wanted = {"least": 0.0, "q10": 0.1, "middle": 0.5, "most": 1.0}
+    got = {r["g"]: [r[n] for n in wanted] for r in ordering.quantiles(frame, ["g"], "v", wanted).collect()}
+    known = {g: [v for h, v in rows if h == g and v is not None] for g in ("a", "b", None, "one")}
+    assert set(got) == set(known)
+    assert all(got[g] == pytest.approx([float(np.quantile(known[g], p)) for p in wanted.values()]) for g in known)
+    whole = ordering.quantiles(frame, [], "v", {"middle": 0.5}).collect()
+    assert [r["middle"] for r in whole] == [pytest.approx(float(np.median([v for _, v in rows if v is not None])))]
 
 
 def test_samples_beyond_the_group_limit(spark):
@@ -206,8 +227,6 @@ def test_samples_beyond_the_group_limit(spark):
     top = first_rows(frame, [F.col("id")], 2000, ["g"])
     assert "_slice" in top._jdf.queryExecution().executedPlan().toString()
     assert top.groupBy("g").agg(F.max("id").alias("m"), F.count(F.lit(1)).alias("n")).orderBy("g").collect() == [(0, 3998, 2000), (1, 3999, 2000)]
-    drawn = replicates.subsamples(frame.withColumnRenamed("id", "respondent"), "respondent", ["g"], [2000], 2)
-    assert drawn.groupBy("replicate").count().orderBy("replicate").collect() == [(0, 2000), (1, 2000)]
 
 
 def test_auto_simplify_by_group(spark):

@@ -89,14 +89,6 @@ def test_no_keyless_join_or_python(spark, name):
         assert bad not in text
 
 
-def test_subsample_ranks_are_limited_before_the_shuffle(spark):
-    from stratalens.operators.replicates import subsamples
-    from stratalens.plans.testbed import Tables
-
-    drawn = subsamples(Tables(spark, SMALL).survey, "respondent", ["country"], [5], 2)
-    assert "WindowGroupLimit" in drawn._jdf.queryExecution().executedPlan().toString()
-
-
 def test_scans_read_only_what_they_need(spark):
     frame = QUERIES["scorecard_all"](spark, SMALL)
     text = frame._jdf.queryExecution().executedPlan().toString()

@@ -1,9 +1,9 @@
 """Groups scored from their sampled strata against every stratum lined up with every group."""
 
 import random
-import re
 
 import pytest
+from plan_rows import metric_of
 from pyspark.sql import functions as F
 
 from stratalens.operators.scores import all_scores, scorecard, with_weights
@@ -101,33 +101,14 @@ def test_count_above(spark):
     assert {(r["g"], r["bar"]): r["above"] for r in got.collect()} == {(g, b): sum(h == g and v > b for h, v in values) for g, b in bars}
 
 
-def rows_of_joins(frame):
-    """Rows that each join of the executed plan gave."""
-    found, todo = [], [frame._jdf.queryExecution().executedPlan()]
-    while todo:
-        node = todo.pop()
-        name = node.getClass().getSimpleName()
-        if name == "AdaptiveSparkPlanExec":
-            todo.append(node.executedPlan())
-            continue
-        if name.endswith("QueryStageExec"):
-            todo.append(node.plan())
-            continue
-        if "Join" in name and node.metrics().contains("numOutputRows"):
-            found.append(node.metrics().apply("numOutputRows").value())
-        children = node.children()
-        todo += [children.apply(i) for i in range(children.size())]
-    return found
-
-
 def test_joins_give_sampled_strata_not_strata_times_groups(spark):
     """400 groups of two respondents against 500 strata: every join stays near the 800 sampled strata."""
     bench = spark.range(500).selectExpr("'A' AS dimension", "cast(id AS string) AS a", "1.0D / 500 AS population_share")
     people = spark.range(800).selectExpr("id % 400 AS wave", "cast((id * 7) % 500 AS string) AS a")
     card = scorecard(cell_counts(people, ["a"], ["wave"]), bench, [A], ["wave"])
     assert len(card.collect()) == 400
-    joined = rows_of_joins(card)
+    joined = metric_of(card, "Join")
     assert joined and max(joined) <= 800
     lined = line_up(cell_counts(people, ["a"], ["wave"]), bench, [A], ["wave"])
     lined.collect()
-    assert max(rows_of_joins(lined)) > 100_000
+    assert max(metric_of(lined, "Join")) > 100_000
