@@ -90,3 +90,37 @@ def quantiles(frame: DataFrame, by: Sequence[str], value: str, wanted: dict[str,
     found = picked.groupBy(*by, "_size").agg(*ends)
     between = {n: F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * (a - F.floor(a)) for n, a in at.items()}
     return found.select(*by, *[column.alias(name) for name, column in between.items()])
+
+
+def nearest(asked: DataFrame, known: DataFrame, key: str, name: str = "nearest", fine: int = 16) -> DataFrame:
+    """Every different ``key`` of ``asked`` with the closest one of ``known``, the smaller of two equally close. Keys are whole
+    numbers from 0 up; null has none.
+
+    Both sides' keys meet in buckets of their order. Within a bucket, windows carry the last smaller and the next larger known key; the
+    first and last known key of each bucket are handed over to the buckets around it (a bounded number: ``fine`` for each doubling).
+    """
+    bucket = F.floor(F.log2(F.col(key).cast("double") + 1) * fine).cast("int").alias("_bucket")
+    mark = lambda frame, flag: frame.where(F.col(key).isNotNull()).select(key, bucket, F.lit(flag).alias("_known"))
+    points = mark(asked, False).unionByName(mark(known, True)).groupBy("_bucket", key).agg(
+        F.bool_or("_known").alias("_known"), F.bool_or(~F.col("_known")).alias("_asked")
+    )
+    borders = points.groupBy("_bucket").agg(F.min(F.when(F.col("_known"), F.col(key))).alias("_first"), F.max(F.when(F.col("_known"), F.col(key))).alias("_last"))
+    order = Window.orderBy("_bucket")  # one row a bucket
+    borders = borders.select(
+        "_bucket",
+        F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.min("_first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    inside = Window.partitionBy("_bucket").orderBy(key)
+    here = F.when(F.col("_known"), F.col(key))
+    carried = points.select(
+        "_bucket",
+        key,
+        "_asked",
+        F.max(here).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_smaller"),
+        F.min(here).over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("_larger"),
+    )
+    met = carried.where("_asked").join(borders, "_bucket")
+    below, above = F.coalesce("_smaller", "_before"), F.coalesce("_larger", "_after")
+    close = F.when(above.isNull() | (F.col(key) - below <= above - F.col(key)), below).otherwise(above)
+    return met.select(key, close.alias(name))

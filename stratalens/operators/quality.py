@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from stratalens.functions.expressions import ratio
 from stratalens.functions.fixed import CORE_COLUMNS
-from stratalens.operators.compare import strata_overlap
 from stratalens.operators.ordering import first_rows
 from stratalens.operators.strata import Dimension, key_columns
 
@@ -29,8 +28,9 @@ LEAST_OVERLAP, LARGEST_REGION, LEAST_COVERED = 10.0, 100, 0.8
 ISSUE_SCHEMA = "source string, check string, column string, value double, severity string"
 
 
-def _issue(found: Column, check: str, column: str | None, value: Column, severity: str = "error") -> Column:
+def _issue(found: Column, check: str, column: str | None, value: Column, severity: str = "error", source: str | None = None) -> Column:
     row = F.struct(
+        F.lit(source).cast("string").alias("source"),
         F.lit(check).alias("check"),
         F.lit(column).cast("string").alias("column"),
         value.cast("double").alias("value"),
@@ -40,10 +40,11 @@ def _issue(found: Column, check: str, column: str | None, value: Column, severit
 
 
 def _issues(stats: DataFrame, source: Column | str, candidates: Sequence[Column]) -> DataFrame:
-    """Candidate findings of an aggregated row as issue rows."""
+    """Candidate findings of an aggregated row as issue rows; a finding may name a source of its own."""
     name = F.lit(source) if isinstance(source, str) else source
     kept = F.array_compact(F.array(*candidates))
-    return stats.select(name.alias("source"), F.explode(kept).alias("i")).select("source", "i.check", "i.column", "i.value", "i.severity")
+    found = stats.select(name.alias("source"), F.explode(kept).alias("i"))
+    return found.select(F.coalesce("i.source", "source").alias("source"), "i.check", "i.column", "i.value", "i.severity")
 
 
 def no_issues(spark: SparkSession) -> DataFrame:
@@ -67,34 +68,63 @@ def check_survey(survey: DataFrame, required: Sequence[str] = CORE_COLUMNS, sour
     return found.unionByName(_absent(survey.sparkSession, source, [c for c in required if c not in survey.columns]))
 
 
-def check_survey_deep(survey: DataFrame, required: Sequence[str] = (), source: str = "survey") -> DataFrame:
-    """All-null columns, unusual characters, implausible ages, missing values and duplicate rows."""
-    aggs, candidates = [F.count(F.lit(1)).alias("rows")], []
-    rows = F.col("rows")
-    candidates.append(_issue(rows == 0, "empty", None, rows))
+def row_classes(survey: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, list[tuple[str, int, str]]]:
+    """Classes of equal rows with their number of ``_copies``, the ``keys`` of their stratum and what is wrong with each of their rows.
+
+    Rows are told apart by 128 bits of hash, combined in the task that reads them; whole rows are never shuffled. Hashes
+    skip nulls, so the places of the nulls are hashed too. What is wrong with a row follows from its values, so it is the same
+    for a class and travels as bits, 60 in a number; the list says which (finding, column) each bit stands for.
+    """
+    flags, bits = [], []
     for i, field in enumerate(survey.schema.fields):
-        c, col = field.name, F.col(f"`{field.name}`")
-        aggs.append(F.count_if(col.isNull()).alias(f"null_{i}"))
-        nulls = F.col(f"null_{i}")
-        pct = ratio(nulls * 100, rows)
-        candidates.append(_issue((rows > 0) & (nulls == rows), "all_null", c, nulls))
-        candidates.append(_issue(pct > MISSING_ERROR, "missing_values", c, pct))
-        candidates.append(_issue((pct > MISSING_WARNING) & (pct <= MISSING_ERROR), "missing_values", c, pct, "warning"))
+        col = F.col(f"`{field.name}`")
+        flags.append((("null", i, field.name), col.isNull()))
         if isinstance(field.dataType, T.StringType):
-            aggs.append(F.count_if(~F.rlike(col, F.lit(USUAL_TEXT))).alias(f"odd_{i}"))
-            candidates.append(_issue(F.col(f"odd_{i}") > 0, "unusual_characters", c, F.col(f"odd_{i}")))
-        if "age" in c.lower():
+            flags.append((("odd", i, field.name), ~F.rlike(col, F.lit(USUAL_TEXT))))
+        if "age" in field.name.lower():
             age = col.cast("string").try_cast("double")
-            aggs.append(F.count_if((age < AGE_RANGE[0]) | (age > AGE_RANGE[1])).alias(f"age_{i}"))
-            candidates.append(_issue(F.col(f"age_{i}") > 0, "implausible_age", c, F.col(f"age_{i}")))
-    found = _issues(survey.agg(*aggs), source, candidates)
-    # Rows are told apart by 128 bits of hash, combined in the task that reads them; whole rows are never shuffled. Hashes
-    # skip nulls, so the places of the nulls are hashed too.
+            flags.append((("age", i, field.name), (age < AGE_RANGE[0]) | (age > AGE_RANGE[1])))
+    for at in range(0, len(flags), 60):
+        ones = [F.when(test, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, (_, test) in enumerate(flags[at : at + 60])]
+        bits.append(reduce(lambda a, b: a.bitwiseOR(b), ones))
     every = [F.array(*[F.col(f"`{c}`").isNull() for c in survey.columns]), *[F.col(f"`{c}`") for c in survey.columns]]
-    copies = survey.groupBy(F.xxhash64(*every).alias("_a"), F.xxhash64(F.lit(1), *every).alias("_b")).agg(F.count(F.lit(1)).alias("_copies"))
-    doubled = copies.agg(F.sum("_copies").alias("rows"), F.sum(F.col("_copies") - 1).alias("extra"))
-    pct = ratio(F.col("extra") * 100, F.col("rows"))
-    found = found.unionByName(_issues(doubled, source, [_issue(pct > DUPLICATE_ERROR, "duplicate_rows", None, pct)]))
+    named = [F.col(f"`{c}`").alias(f"_key_{k}") for k, c in enumerate(keys)]
+    classes = survey.groupBy(F.xxhash64(*every).alias("_a"), F.xxhash64(F.lit(1), *every).alias("_b"), *named).agg(
+        F.count(F.lit(1)).alias("_copies"), *[F.max(b).alias(f"_bits_{k}") for k, b in enumerate(bits)]
+    )
+    return classes, [name for name, _ in flags]
+
+
+def _class_sums(flags: Sequence[tuple[str, int, str]]) -> list[Column]:
+    """Rows, rows that repeat an earlier one, and rows with each finding, summed over classes."""
+    copies = F.col("_copies")
+    sums = [F.sum(copies).alias("rows"), F.sum(copies - 1).alias("extra")]
+    for k, (kind, i, _) in enumerate(flags):
+        here = F.col(f"_bits_{k // 60}").bitwiseAND(F.lit(1 << k % 60).cast("long")) != 0
+        sums.append(F.sum(F.when(here, copies).otherwise(0)).alias(f"{kind}_{i}"))
+    return sums
+
+
+def _survey_candidates(flags: Sequence[tuple[str, int, str]]) -> list[Column]:
+    rows = F.coalesce("rows", F.lit(0))
+    candidates = [_issue(rows == 0, "empty", None, rows)]
+    for kind, i, c in flags:
+        n = F.col(f"{kind}_{i}")
+        if kind == "null":
+            pct = ratio(n * 100, rows)
+            candidates.append(_issue((rows > 0) & (n == rows), "all_null", c, n))
+            candidates.append(_issue(pct > MISSING_ERROR, "missing_values", c, pct))
+            candidates.append(_issue((pct > MISSING_WARNING) & (pct <= MISSING_ERROR), "missing_values", c, pct, "warning"))
+        else:
+            candidates.append(_issue(n > 0, "unusual_characters" if kind == "odd" else "implausible_age", c, n))
+    doubled = ratio(F.col("extra") * 100, rows)
+    return [*candidates, _issue(doubled > DUPLICATE_ERROR, "duplicate_rows", None, doubled)]
+
+
+def check_survey_deep(survey: DataFrame, required: Sequence[str] = (), source: str = "survey") -> DataFrame:
+    """All-null columns, unusual characters, implausible ages, missing values and duplicate rows, in one scan."""
+    classes, flags = row_classes(survey)
+    found = _issues(classes.agg(*_class_sums(flags)), source, _survey_candidates(flags))
     return found.unionByName(_absent(survey.sparkSession, source, [c for c in required if c not in survey.columns]))
 
 
@@ -134,19 +164,36 @@ def check_benchmark(benchmark: DataFrame, dims: Sequence[Dimension], share: str
 
 
 def check_pair(survey: DataFrame, benchmark: DataFrame, dim: Dimension) -> DataFrame:
-    """Survey and benchmark checks together, key columns on both sides and enough common strata."""
+    """Survey and benchmark checks together, key columns on both sides and enough common strata.
+
+    The survey is scanned once: its classes of equal rows are summed by stratum, the strata meet those of the benchmark,
+    and one row of sums holds the survey's findings and the overlap.
+    """
     spark = survey.sparkSession
     lost = [(side, c) for side, frame in (("survey", survey), ("benchmark", benchmark)) for c in dim.columns if c not in frame.columns]
-    found = check_survey_deep(survey)
+    if lost:
+        found = check_survey_deep(survey)
+    else:
+        keys = [f"_key_{k}" for k in range(len(dim.columns))]
+        classes, flags = row_classes(survey, dim.columns)
+        strata = classes.groupBy(*keys).agg(*_class_sums(flags))
+        theirs = benchmark.select(*[F.col(c).alias(k) for c, k in zip(dim.columns, keys)]).na.drop().distinct()
+        met = strata.withColumn("_mine", F.lit(1)).join(theirs.withColumn("_theirs", F.lit(1)), keys, "full_outer")
+        whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.col("_mine").isNotNull())
+        sums = [c for c in strata.columns if c not in keys]
+        stats = met.agg(
+            *[F.sum(c).alias(c) for c in sums],
+            F.count_if(whole).alias("survey_strata"),
+            F.count_if(whole & F.col("_theirs").isNotNull()).alias("common_strata"),
+        )
+        pct = F.coalesce(ratio("common_strata", "survey_strata"), F.lit(0.0)) * 100
+        few = _issue((F.col("common_strata") > 0) & (pct < LEAST_OVERLAP), "low_overlap", None, pct, source="pair")
+        none = _issue(F.col("common_strata") == 0, "no_overlap", None, pct, source="pair")
+        found = _issues(stats, "survey", [*_survey_candidates(flags), none, few])
     if not any(side == "benchmark" for side, _ in lost):
         found = found.unionByName(check_benchmark(benchmark.withColumn("dimension", F.lit(dim.name)), [dim]))
     for side in ("survey", "benchmark"):
         found = found.unionByName(_absent(spark, side, [c for s, c in lost if s == side]))
-    if not lost:
-        pct = F.col("overlap") * 100
-        few = _issue((F.col("common_strata") > 0) & (pct < LEAST_OVERLAP), "low_overlap", None, pct)
-        none = _issue(F.col("common_strata") == 0, "no_overlap", None, pct)
-        found = found.unionByName(_issues(strata_overlap(survey, benchmark, dim.columns), "pair", [none, few]))
     return found
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions.expressions import banded, ratio, standard_error
+from stratalens.operators.ordering import nearest
 from stratalens.operators.sparse import group_scores
 from stratalens.operators.strata import Dimension, as_long, cell_counts, dimension_label, few, join_groups, line_up, look_up_variance
 
@@ -65,8 +66,8 @@ def with_weights(
 ) -> DataFrame:
     """Add ``standard_error``, ``reliability`` and ``weight``.
 
-    ``variance`` has ``dimension, stratum, variance`` and may name the survey by the group columns of
-    ``aligned``; strata it does not list get reliability 1, or 1 - ``default_variance`` when that
+    ``variance`` has ``dimension, variance`` and the strata's key columns (or their readable name as ``stratum``), and
+    may name the survey by the group columns of ``aligned``; strata it does not list get reliability 1, or 1 - ``default_variance`` when that
     is given.
     """
     frame = aligned
@@ -266,18 +267,10 @@ def nearest_maxima(sizes: DataFrame, maxima: DataFrame) -> DataFrame:
     """For each survey the stored maxima of the sample size closest to its own.
 
     ``sizes`` has ``survey, sample_size``; ``maxima`` has ``dimension, size, max_match,
-    max_coverage``. The candidate sizes are few, so they travel as one array per survey row
-    instead of a join without keys. Ties go to the smaller size.
+    max_coverage``. Ties go to the smaller size.
     """
-    ladder = maxima.agg(F.sort_array(F.collect_set("size")).alias("ladder"))
-    ranked = sizes.withColumn("ladder", ladder.scalar()).select(
-        "survey",
-        "sample_size",
-        F.array_min(
-            F.transform("ladder", lambda s: F.struct(F.abs(s - F.col("sample_size")).alias("gap"), s.alias("size")))
-        )["size"].alias("size"),
-    )
-    return ranked.join(maxima, "size").select(
+    close = nearest(sizes, maxima.select(F.col("size").alias("sample_size")), "sample_size", "size")
+    return sizes.join(close, "sample_size").join(maxima, "size").select(
         "survey", "sample_size", "dimension", F.col("size").alias("size_used"), "max_match", "max_coverage"
     )
 

@@ -64,13 +64,15 @@ def join_groups(left: DataFrame, right: DataFrame, columns: Sequence[str], how:
 def look_up_variance(strata: DataFrame, variance: DataFrame, name: str) -> DataFrame:
     """Add the variance of each stratum as ``name``; null where the lookup has none.
 
-    The lookup has ``dimension, stratum, variance`` and, for several surveys, the columns that name
-    the survey, which are join keys where ``strata`` has them too. Two variances for one stratum are
+    The lookup has ``dimension, variance`` and names strata by their key columns (all that ``strata`` has of them, null outside the
+    dimension), which tells any two strata apart. A lookup that only knows readable names has ``stratum`` instead; two strata
+    whose values run together to one name share its variance then. Columns that name the survey
+    are join keys where ``strata`` has them too. Two variances for one stratum are
     an error when the rows are read, not two strata.
     """
     keys = [c for c in variance.columns if c != "variance" and c in strata.columns]
-    if not {"dimension", "stratum"} <= set(keys):
-        raise ValueError(f"a variance lookup needs dimension and stratum, found {variance.columns}")
+    if "dimension" not in keys or len(keys) < 2:
+        raise ValueError(f"a variance lookup needs dimension and the strata's keys or names, found {variance.columns}")
     where = F.concat_ws(" / ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
     twice = F.raise_error(F.concat(F.lit("more than one variance for "), where)).cast("double")
     known = variance.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"), F.max("variance").alias("_one"))

@@ -8,13 +8,14 @@ is shuffled grows with the number of different answers, not with the respondents
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.functions.expressions import LABEL_SEPARATOR, banded, ratio
 from stratalens.operators.ordering import quantiles
-from stratalens.operators.strata import Dimension, join_groups
+from stratalens.operators.strata import Dimension, dimension_name, few, join_groups, key_columns
 
 # Fixed value: used where a stratum has too few answers.
 DEFAULT_VARIANCE = 0.25
@@ -55,6 +56,9 @@ EXCLUDED_NAME_PARTS = ("(English)", "(Original)", "(%agree)")
 INDICATOR_PREFIXES = ("ai_", "trust_", "impact_", "job_", "automation_")
 OPINION_TYPE = "Ask Opinion"
 
+#: Classes of hashes by which columns with many different values are told from closed questions.
+SLOTS = 256
+
 
 def scaled(answer, scale: dict[str, float]):
     """Number for an answer text; null when the scale does not list it."""
@@ -75,18 +79,19 @@ def poll_columns(
 ) -> DataFrame:
     """Columns that look like closed questions: between ``least`` and ``most`` different answers.
 
-    A sketch per column, one pass without moving values, drops free text and identifiers. With
-    at most ``most`` different values a sketch cannot report twice as many, so no question is
-    lost. What is left is counted exactly; each task sends every different value once.
+    Exact, and a column of free text never sends its texts. Values are told apart by 64 bits of hash. Each task first says which of
+    ``SLOTS`` classes of hashes a column meets; more classes than ``most`` mean more answers, and those columns are out. In the columns
+    left, few values fall into few classes: each task sends every different one once, and they are counted.
     """
     names = [c for c in frame.columns if c and c not in excluded and not any(p in c for p in excluded_parts)]
-    text = frame.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names])
-    sketch = text.agg(*[F.approx_count_distinct(f"`{c}`", 0.02).alias(c) for c in names]).first()
-    closed = [c for c in names if sketch[c] <= 2 * most]
-    if not closed:
+    if not names:
         return frame.sparkSession.createDataFrame([], "column string, answers long")
-    long = text.select(*[F.col(f"`{c}`") for c in closed]).unpivot([], [F.col(f"`{c}`") for c in closed], "column", "value")
-    seen = long.where("value IS NOT NULL").groupBy("column", "value").agg(F.lit(1).alias("_"))
+    hashed = frame.select(*[F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.col(f"`{c}`").cast("string"))).alias(c) for c in names])
+    long = hashed.unpivot([], [F.col(f"`{c}`") for c in names], "column", "value").where("value IS NOT NULL")
+    met = long.groupBy("column", F.pmod("value", F.lit(SLOTS)).alias("_slot")).agg(F.lit(1).alias("_"))
+    closed = met.groupBy("column").agg(F.count(F.lit(1)).alias("_slots")).where(F.col("_slots") <= most).select("column")
+    left = long.join(few(closed, len(names)), "column", "left_semi")
+    seen = left.groupBy("column", "value").agg(F.lit(1).alias("_"))
     return seen.groupBy("column").agg(F.count(F.lit(1)).alias("answers")).where(F.col("answers").between(least, most))
 
 
@@ -248,10 +253,25 @@ def for_dimensions(variance: DataFrame, dims: Sequence[Dimension]) -> DataFrame:
         spellings += [(name, d.name, rank) for rank, name in enumerate(dict.fromkeys(names))]
     table = F.explode(F.array(*[F.struct(F.lit(s).alias("spelling"), F.lit(d).alias("name"), F.lit(r).alias("rank")) for s, d, r in spellings]))
     aliases = F.broadcast(variance.sparkSession.range(1).select(table.alias("a")).select("a.*"))  # three rows per dimension at most
-    surveys = [c for c in variance.columns if c not in ("dimension", "stratum", "variance")]
+    strata = [c for c in variance.columns if c == "stratum" or c in key_columns(dims)]
+    surveys = [c for c in variance.columns if c not in ("dimension", "variance", *strata)]
     named = variance.join(aliases, F.col("dimension") == F.col("spelling"))
     used = named.groupBy(*surveys, "name").agg(F.min("rank").alias("rank"))
     if not surveys:
         used = F.broadcast(used)  # one row per dimension
     chosen = join_groups(named, used, [*surveys, "name", "rank"])
-    return chosen.select(*surveys, F.col("name").alias("dimension"), "stratum", "variance")
+    return chosen.select(*surveys, F.col("name").alias("dimension"), *strata, "variance")
+
+
+def keyed_lookup(parts: Sequence[tuple[Dimension, DataFrame]]) -> DataFrame:
+    """One lookup out of each dimension's own table of key columns and ``variance``; keys outside a dimension are null."""
+    keys = key_columns([dim for dim, _ in parts])
+    rows = [
+        frame.select(
+            dimension_name(dim.name),
+            *[F.col(k).cast("string").alias(k) if k in dim.columns else F.lit(None).cast("string").alias(k) for k in keys],
+            F.col("variance").cast("double").alias("variance"),
+        )
+        for dim, frame in parts
+    ]
+    return reduce(DataFrame.unionByName, rows)

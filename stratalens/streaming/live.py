@@ -34,12 +34,37 @@ def run_windowed_counts(counts: DataFrame, out: str, checkpoint: str, available_
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def runs_until(batch: int) -> list[tuple[int, int]]:
+    """First and last batch of the runs that hold batches 0 to ``batch``: the powers of two that make up their number."""
+    runs, first = [], 0
+    for size in (1 << k for k in reversed(range((batch + 1).bit_length()))):
+        if (batch + 1) & size:
+            runs.append((first, first + size - 1))
+            first += size
+    return runs
+
+
+def _run_path(state: str, run: tuple[int, int]) -> str:
+    return f"{state}/run={run[0]}-{run[1]}"
+
+
+def _stored_runs(spark: SparkSession, state: str) -> list[tuple[int, int]]:
+    """The fewest stored runs that cover all batches so far."""
+    names = spark.read.parquet(state).select(F.col("run").cast("string")).distinct().collect()  # one row a run
+    stored = [tuple(map(int, row["run"].split("-"))) for row in names]
+    chosen, first = [], 0
+    while following := [run for run in stored if run[0] == first]:
+        chosen.append(max(following, key=lambda run: run[1]))
+        first = chosen[-1][1] + 1
+    return chosen
+
+
 def counts_so_far(spark: SparkSession, state: str, batch: int | None = None) -> DataFrame:
-    """Cell counts after ``batch``, by default after the last one; only that batch's files are read."""
-    if batch is not None:
-        return spark.read.parquet(f"{state}/batch={batch}")
-    every = spark.read.parquet(state)
-    return every.where(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
+    """Cell counts after ``batch``, by default after the last one. At most one run for each binary digit of the
+    number of batches is read."""
+    runs = _stored_runs(spark, state) if batch is None else runs_until(batch)
+    rows = spark.read.parquet(*[_run_path(state, run) for run in runs])
+    return rows.groupBy(*[c for c in rows.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
 
 def snapshot(
@@ -50,10 +75,12 @@ def snapshot(
 
 
 def keep_counts(dims: Sequence[Dimension], state: str, after: Callable[[SparkSession, int], None] | None = None):
-    """A micro-batch sink that stores the running cell counts after each batch in a folder of its own.
+    """A micro-batch sink that keeps cell counts as runs of batches which are merged when they double.
 
-    Batch k adds its counts to those after batch k - 1, so each batch reads one folder however long the stream
-    has run. A batch that is run again overwrites its own folder, so nothing is counted twice.
+    Batch k writes its own counts only, unless the runs before it are as long as it would become: those are merged into it. So a count
+    is written again no more often than the number of batches doubles, and what a batch writes follows the batch, not all that was
+    counted. Runs are named by their batches and the runs they were made of stay: a batch that is run again overwrites
+    its own run from the same sources, nothing is counted twice, and the counts after any earlier batch can still be read.
     ``after`` is called when the counts are stored, for example to write a snapshot.
     """
     keys = key_columns(dims)
@@ -61,12 +88,14 @@ def keep_counts(dims: Sequence[Dimension], state: str, after: Callable[[SparkSes
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         counts = cell_counts(batch, keys)
-        if batch_id > 0:
-            before = counts_so_far(spark, state, batch_id - 1).select(*keys, "n")
+        own = runs_until(batch_id)[-1]
+        parts = [run for run in (runs_until(batch_id - 1) if batch_id else []) if run[0] >= own[0]]
+        if parts:
+            before = spark.read.parquet(*[_run_path(state, run) for run in parts]).select(*keys, "n")
             counts = counts.unionByName(before).groupBy(*keys).agg(F.sum("n").alias("n"))
-        counts.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        counts.write.mode("overwrite").parquet(_run_path(state, own))
         if after is not None:
-            after(batch.sparkSession, batch_id)
+            after(spark, batch_id)
 
     return sink
 
@@ -94,8 +123,9 @@ def follow_scores(
 
 
 def compact_counts(spark: SparkSession, state: str, out: str, dims: Sequence[Dimension]) -> None:
-    """Keep only the last running counts of a long stream, in another folder."""
-    counts_so_far(spark, state).select(*key_columns(dims), "n").write.mode("overwrite").parquet(f"{out}/batch=0")
+    """All counts of a stream that has ended (or pauses) as a single run in another folder."""
+    last = _stored_runs(spark, state)[-1][1]
+    counts_so_far(spark, state).select(*key_columns(dims), "n").write.mode("overwrite").parquet(_run_path(out, (0, last)))
 
 
 def windowed_cells(table: DataFrame, ts: str, keys: Sequence[str], unit: str = "day") -> DataFrame:
@@ -104,28 +134,41 @@ def windowed_cells(table: DataFrame, ts: str, keys: Sequence[str], unit: str = "
     return table.select(day, *keys).groupBy("window", *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Leading characters of a window's name that slice the calendar: months, for days.
+SLICE_CHARS = 7
+
+
+def numbered_windows(cells: DataFrame) -> DataFrame:
+    """``window, at``: the windows in the order of their names, numbered from 1, one row each.
+
+    They are ranked within slices of the calendar and moved up by the windows of the slices before.
+    """
+    windows = cells.select("window").distinct().withColumn("_slice", F.substring("window", 1, SLICE_CHARS))
+    sizes = windows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))  # one row a slice
+    starts = sizes.select("_slice", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_slice").orderBy("window"))
+    return windows.join(starts, "_slice").select("window", (inside + F.col("_before")).cast("int").alias("at"))
+
+
 def to_date(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cumulative cell counts at the end of every window.
 
-    A stratum's running count holds from its window until its next one, so it is written to just
-    those windows of the calendar: windows are numbered once, and each row's range of numbers is
-    cut out of the calendar, so the work grows with the rows written. The calendar has one entry a
-    window (a day, say), whatever the number of respondents, and travels as one array. The filter is always true and keeps
-    both uses of ``cells`` on one exchange.
+    A stratum's running count holds from its window until its next one. Both are numbers, so what is shuffled for a row is the two
+    ends of its interval, whatever the length of the calendar; the interval is spelled out last, and its numbers
+    get their windows' names back.
     """
-    calendar = cells.where("n > 0").agg(F.sort_array(F.collect_set("window")).alias("calendar")).scalar()
-    place = F.map_from_arrays("calendar", F.sequence(F.lit(1), F.size("calendar")))
-    numbered = cells.withColumn("calendar", calendar).withColumn("_at", F.element_at(place, F.col("window")))
-    order = Window.partitionBy(*keys).orderBy("window")
-    running = numbered.select(
-        "calendar",
-        "_at",
+    numbers = numbered_windows(cells)
+    order = Window.partitionBy(*keys).orderBy("at")
+    running = cells.join(numbers, "window").select(
+        "at",
         *keys,
         F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("n"),
-        F.lead("_at").over(order).alias("_next"),
+        F.lead("at").over(order).alias("_next"),
     )
-    past = F.coalesce("_next", F.size("calendar") + 1)
-    return running.select(F.explode(F.slice("calendar", F.col("_at"), past - F.col("_at"))).alias("window"), *keys, "n")
+    last = numbers.agg(F.max("at")).scalar()
+    held = running.select(F.explode(F.sequence("at", F.coalesce(F.col("_next") - 1, last))).alias("at"), *keys, "n")
+    return held.join(numbers, "at").select("window", *keys, "n")
 
 
 def windowed_scores(cells: DataFrame, benchmark: DataFrame, dims: Sequence[Dimension]) -> DataFrame:
