@@ -92,6 +92,23 @@ def source_titled_texts(t):
     return named.groupBy("country", F.nullif(F.trim("age_group"), F.lit("")).alias("age_group")).agg(total())
 
 
+NOTES = {"What is your\nnote?": "note", "What country or region do you most identify with?": "country"}
+
+
+@query(
+    "source_broken_lines",
+    f"""WITH {q.PEOPLE} SELECT country, 'said "' || segment || '",' || chr(10) || chr(10) || 'then nothing' AS note, count(*) AS n FROM people GROUP BY ALL""",
+)
+def source_broken_lines(t):
+    """An export whose fields hold line breaks, commas and quotes, below a question text with a line break."""
+    note = F.concat(F.lit('said "'), "segment", F.lit('",\n\nthen nothing'))
+    named = dict(zip(NOTES.values(), NOTES))
+    rows = t.population.select("c_custkey", note.alias(named["note"]), F.col("country").alias(named["country"]))
+    path = scratch_path(t.spark, "broken-lines")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return readers.load_question_texts(t.spark, path, NOTES).groupBy("country", "note").agg(total())
+
+
 @query(
     "source_participant_waves",
     """SELECT CASE WHEN c_acctbal < 0 THEN 1 ELSE 2 END AS wave, n_name AS country, count(*) AS n

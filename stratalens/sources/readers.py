@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -18,6 +16,7 @@ from stratalens.operators.harmonize import add_hierarchy, drop_incomplete, map_l
 from stratalens.operators.ordering import first_rows
 from stratalens.operators.strata import join_groups
 from stratalens.session import materialize
+from stratalens.sources.records import fields_of, quoted_records
 
 
 def load_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None, kind: str | None = None, **options) -> DataFrame:
@@ -97,9 +96,11 @@ def load_participants(
     export. With ``wave``, a pattern for the file path such as ``(?i)wave[_ ]?(\\d+)``, the
     survey's number is added as ``wave``.
     """
-    raw = spark.read.text(path) if layout == "words" else load_table(spark, path, kind="csv", header=False, escape='"')
-    if wave is not None:
-        raw = with_wave(raw, wave)
+    if layout == "words":
+        raw = spark.read.text(path)
+        raw = raw if wave is None else with_wave(raw, wave)
+    elif layout == "positions":
+        raw = load_quoted(spark, path, wave=wave)
     if layout == "words":
         frame = by_words(skip_title_line(raw))
     elif layout == "positions":
@@ -113,6 +114,22 @@ def load_participants(
     return drop_incomplete(frame, fixed.CORE_COLUMNS)
 
 
+def load_quoted(spark: SparkSession, path: str, header: bool = False, wave: str | None = None) -> DataFrame:
+    """Quoted csv files of one layout as text columns; fields may hold line breaks, and a file is read by many tasks.
+
+    Columns are named as Spark names those of a csv file: by the first record with ``header`` (which may run over several lines, and is
+    left out of each file), else by place. Short records end in nulls; empty fields are null.
+    """
+    names = load_table(spark, path, kind="csv", header=header, multiLine=header, escape='"').columns
+    records = quoted_records(spark, path)
+    if header:
+        heads = records.groupBy("file").agg(F.min("place").alias("head"))  # one row a file
+        records = join_groups(records, heads, ["file"]).where(F.col("place") > F.col("head"))
+    more = [] if wave is None else [wave_of(F.col("file"), wave).alias("wave")]
+    cells = records.where(F.trim("value") != "").select("file", fields_of("value").alias("cells"))
+    return cells.select(*[F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(names)], *more)
+
+
 def by_question_text(raw: DataFrame, questions: Mapping[str, str] = fixed.QUESTION_COLUMNS) -> DataFrame:
     """Columns named by their question text under their standard names; all others are left out."""
     found = [(text, name) for text, name in questions.items() if text in raw.columns]
@@ -127,18 +144,20 @@ def skip_title_line(lines: DataFrame, value: str = "value") -> DataFrame:
 def load_question_texts(spark: SparkSession, path: str, questions: Mapping[str, str] = fixed.QUESTION_COLUMNS) -> DataFrame:
     """Export with question texts as its header, with or without a line of empty names above it.
 
-    The header is a line with one of the question texts; where several files repeat it, each copy is left out. Fields
-    hold no line breaks.
+    Each file's header is its first record with one of the question texts, and its columns are found by it; a file without one has the
+    header of the first file that has. Copies of a header are left out. A text that the header lacks gives null; fields may hold
+    line breaks.
     """
-    lines = skip_title_line(spark.read.text(path))
-    head = lines.where(reduce(lambda a, b: a | b, [F.contains("value", F.lit(text)) for text in questions])).first()
-    if head is None:
-        return spark.createDataFrame([], text_schema(list(questions.values())))
-    names = next(csv.reader([head["value"]]))
-    columns = text_schema([f"c{i}" for i in range(len(names))])
-    row = F.from_csv("value", F.lit(columns.simpleString()[7:-1].replace(":", " ")), {"quote": '"', "escape": '"'})
-    raw = lines.where(F.col("value") != head["value"]).select(row.alias("row")).select("row.*")
-    return by_question_text(raw.toDF(*names), questions)
+    records = quoted_records(spark, path).where(~F.rlike(F.trim("value"), F.lit(r'^[,"\s]*$')))
+    known = reduce(lambda a, b: a | b, [F.contains("value", F.lit(text)) for text in questions])
+    heads = records.groupBy("file").agg(F.min(F.when(known, F.struct("place", "value"))).alias("head"))  # one row a file
+    common = heads.where("head IS NOT NULL").agg(F.min_by("head.value", "file")).scalar()
+    heads = heads.select("file", F.col("head.place").alias("_place"), F.coalesce("head.value", common).alias("_head"))
+    found = join_groups(records, heads, ["file"]).where("(_place IS NULL OR place > _place) AND value <> _head")
+    found = found.select(fields_of("_head").alias("names"), fields_of("value").alias("cells"))
+    at = {name: F.array_position("names", text) for text, name in questions.items()}
+    cell = {n: F.when(p > 0, F.nullif(F.get("cells", (p - 1).cast("int")), F.lit(""))) for n, p in at.items()}
+    return found.select(*[value.alias(name) for name, value in cell.items()])
 
 
 def by_words(
@@ -151,15 +170,6 @@ def by_words(
     return picked.where(F.col("participant_id") != "Participant")
 
 
-def _cells(line: str, delimiter: str) -> Column:
-    """The fields of a csv line as text, without blanks and quotes around them."""
-    plain = re.escape(delimiter)
-    quoted = F.split(line, plain + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    parts = F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, plain, -1))
-    bare = lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"'))
-    return F.transform(parts, bare)
-
-
 def load_below_marker(
     spark: SparkSession,
     path: str,
@@ -199,15 +209,19 @@ def load_below_marker(
         row = F.from_csv("value", F.lit(schema), {"sep": delimiter, "mode": "PERMISSIVE"})
         return below.select(row.alias("row")).select("row.*").na.drop(how="all")
     fields = T.StructType.fromDDL(schema).fields
-    found = below.select(_cells("head.value", delimiter).alias("names"), _cells("value", delimiter).alias("cells"))
+    found = below.select(fields_of("head.value", delimiter).alias("names"), fields_of("value", delimiter).alias("cells"))
     at = {f.name: F.array_position("names", names.get(f.name, f.name)) for f in fields}
     value = {n: F.when(p > 0, F.nullif(F.get("cells", (p - 1).cast("int")), F.lit(""))) for n, p in at.items()}
     return found.select(*[value[f.name].try_cast(f.dataType).alias(f.name) for f in fields]).na.drop(how="all")
 
 
+def wave_of(path: Column, pattern: str) -> Column:
+    return F.regexp_extract(path, pattern, 1).try_cast("int")
+
+
 def with_wave(frame: DataFrame, pattern: str = r"(?i)wave[_ ]?(\d+)") -> DataFrame:
     """Wave number out of the file path of every row."""
-    return frame.withColumn("wave", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).try_cast("int"))
+    return frame.withColumn("wave", wave_of(F.col("_metadata.file_path"), pattern))
 
 
 def load_coded_surveys(spark: SparkSession, path: str, mappings: DataFrame | None = None) -> DataFrame:
@@ -225,8 +239,8 @@ def load_waves(spark: SparkSession, pattern: str, survey: str = r"([^/]+)/[^/]+$
 
 
 def load_population_tables(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:
-    """Published population tables as text; headers may run over several lines, hence ``multiLine``."""
-    return {name: load_table(spark, path, kind="csv", multiLine=True, escape='"') for name, path in paths.items()}
+    """Published population tables as text; headers and fields may run over several lines."""
+    return {name: load_quoted(spark, path, header=True) for name, path in paths.items()}
 
 
 def load_variances(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
