@@ -44,23 +44,22 @@ def _rest(whole: Column, part: Column, open_strata: Column) -> Column:
 def count_above(values: DataFrame, bars: DataFrame, by: Sequence[str], value: str, bar: str, name: str = "above") -> DataFrame:
     """``by``, ``bar`` and how many ``value`` of the same group lie above it, for every different bar; both are above zero.
 
-    An index of shares: values are counted in buckets of a thousandth of a halving, running counts over the buckets (a
-    bounded number for each group) give what lies above a bar's bucket, and only values in the very bucket of a bar are compared with it.
+    An index of shares: values and bars meet in buckets of a thousandth of a halving, where a bar counts the values before it. Running
+    counts over the buckets (a bounded number for each group) add what lies in higher ones.
     """
-    bucket = lambda c: F.floor(F.log2(F.col(c)) * FINE).cast("int")
-    known = values.where(F.col(value) > 0).groupBy(*by, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-    known = known.withColumn("_bucket", bucket("_value"))
-    asked = bars.where(F.col(bar) > 0).select(*by, F.col(bar).alias("_bar")).distinct().withColumn("_bucket", bucket("_bar"))
     place = [*by, "_bucket"]
-    ladder = known.groupBy(*place).agg(F.sum("_n").alias("_n"))
-    ladder = ladder.unionByName(asked.select(*place, F.lit(0).cast("long").alias("_n")).distinct())
-    ladder = ladder.groupBy(*place).agg(F.sum("_n").alias("_n"))
+    points = values.select(*by, F.col(value).alias("_at"), F.lit(1).alias("_n"))
+    points = points.unionByName(bars.select(*by, F.col(bar).alias("_at"), F.lit(0).alias("_n"))).where("_at > 0")
+    points = points.withColumn("_bucket", F.floor(F.log2("_at") * FINE).cast("int")).repartition(*place)
+    # One row for equal values, and one for equal bars; a bar stands before the values it equals.
+    points = points.groupBy(*place, "_at", (F.col("_n") == 0).alias("_asked")).agg(F.sum("_n").alias("_n"))
+    ladder = points.groupBy(*place).agg(F.sum("_n").alias("_n"))
     higher = Window.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     ladder = ladder.select(*place, F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_above"))
-    near = asked.alias("a").join(known.alias("k"), same_keys("a", "k", place) & (F.col("k._value") > F.col("a._bar")))
-    near = near.groupBy(*[F.col(f"a.{c}").alias(c) for c in by], F.col("a._bar").alias("_bar")).agg(F.sum("k._n").alias("_near"))
-    found = join_groups(join_groups(asked, ladder, place), near, [*by, "_bar"], "left")
-    return found.select(*by, F.col("_bar").alias(bar), (F.col("_above") + F.coalesce("_near", F.lit(0))).cast("long").alias(name))
+    inside = Window.partitionBy(*place).orderBy(F.desc("_at"), F.desc("_asked")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = points.withColumn("_n", F.sum("_n").over(inside)).where("_asked")
+    found = join_groups(asked, ladder, place)
+    return found.select(*by, F.col("_at").alias(bar), (F.col("_n") + F.col("_above")).cast("long").alias(name))
 
 
 def group_scores(
