@@ -105,10 +105,10 @@ class Bands:
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """A signature with about as many bits as the set has hashes: bit number is the hash modulo the size,
+def bitmap(hashes: np.ndarray, per_hash: int = 1) -> bytes:
+    """A signature with at least ``per_hash`` bits for each hash of the set, up to the most: bit number is the hash modulo the size,
     a power of two, so a longer signature can be folded to a shorter one."""
-    bits = min(max(BITS[0], 1 << max(0, len(hashes) - 1).bit_length()), BITS[1])
+    bits = min(max(BITS[0], 1 << max(0, per_hash * len(hashes) - 1).bit_length()), BITS[1])
     on = np.zeros(bits, np.uint8)
     on[(hashes & _U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(on).tobytes()
@@ -133,7 +133,7 @@ def node_of(hashes: np.ndarray, mixed: np.ndarray) -> bytes | None:
     return int(np.add.reduce(mixed)).to_bytes(8, "big") + int(second).to_bytes(8, "big")
 
 
-def _sets(base: DataFrame, size: int, percent: int) -> DataFrame:
+def _sets(base: DataFrame, size: int, percent: int, per_hash: int) -> DataFrame:
     """``doc_id, n_shingles, node, short, bits, keys``: equal sets share the node, a 128-bit hash of the set.
 
     In each task, only the first row of a node carries keys and bits, so copies are combined before the shuffle.
@@ -156,7 +156,7 @@ def _sets(base: DataFrame, size: int, percent: int) -> DataFrame:
                     bits.append(None)
                     continue
                 keys.append(bands.keys(hashes, mixed))
-                bits.append(bitmap(hashes))
+                bits.append(bitmap(hashes, per_hash))
                 seen.add(node)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -249,8 +249,27 @@ def links_of(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return both.select("a", "b", "a_text", "b_text").mapInArrow(verify, "a binary, b binary")
 
 
-def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different labels within each tile that the signatures don't rule out.
+def spanning(left: np.ndarray, right: np.ndarray, order: np.ndarray) -> list[int]:
+    """Places in ``order`` of the pairs that join two parts when pairs of labels are joined one after another."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    for k in order.tolist():
+        a, b = find(int(left[k])), find(int(right[k]))
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+    return kept
+
+
+def _tile_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs of nodes of different labels within each tile that the signatures don't rule out: with ``forest``, the closest ones
+    that join the tile's labels (fewer than there are labels), else all.
 
     ``rows``: ``key, i, j`` (the tile), ``side`` (0 for rows of block i), ``node, label, n, bits``. Tiles
     follow one another in a task; one tile is held at a time.
@@ -267,15 +286,24 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
         sizes = [np.array([r["n"] for r in s], np.int64) for s in (left, right)]
         names: dict[bytes, int] = {}
         labels = [np.array([names.setdefault(r["label"], len(names)) for r in s]) for s in (left, right)]
+        ones, others, apart = [], [], []
         for k in range(len(left)):
-            rest = slice(k + 1, None) if inner else slice(None)
-            total = sizes[1][rest] + sizes[0][k]
-            differ = np.bitwise_count(bits[1][rest] ^ bits[0][k]).sum(axis=1, dtype=np.int64)
-            near = near_enough(total, differ, percent)
-            for m in np.flatnonzero(near & (labels[1][rest] != labels[0][k])):
-                a, b = left[k]["node"], right[m + (k + 1 if inner else 0)]["node"]
-                if a != b:
-                    yield (a, b) if a < b else (b, a)
+            first = k + 1 if inner else 0
+            total = sizes[1][first:] + sizes[0][k]
+            differ = np.bitwise_count(bits[1][first:] ^ bits[0][k]).sum(axis=1, dtype=np.int64)
+            near = near_enough(total, differ, percent) & (labels[1][first:] != labels[0][k])
+            chosen = np.flatnonzero(near)
+            ones.append(np.full(len(chosen), k))
+            others.append(chosen + first)
+            apart.append(differ[chosen] / total[chosen])
+        one, other = np.concatenate(ones), np.concatenate(others)
+        picked = range(len(one))
+        if forest:
+            picked = spanning(labels[0][one], labels[1][other], np.argsort(np.concatenate(apart), kind="stable"))
+        for k in picked:
+            a, b = left[one[k]]["node"], right[other[k]]["node"]
+            if a != b:
+                yield (a, b) if a < b else (b, a)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile: list[dict] = []
@@ -303,6 +331,41 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return tiles.select("key", "i", "j", "side", "node", "label", "n", "bits").mapInArrow(scan, "a binary, b binary").distinct()
 
 
+def _tiles(rows: DataFrame, labels: DataFrame, signed: DataFrame, block: int) -> DataFrame:
+    """Rows of the keys that hold nodes of several labels, once for each tile that they are part of."""
+    labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = materialize(labelled)
+    open_keys = labelled.groupBy("key").agg(
+        F.min("label").alias("one"), F.max("label").alias("other"), F.count(F.lit(1)).alias("members")
+    )
+    open_keys = open_keys.where("one <> other").select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    members = labelled.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.join(signed.select("node", "n", "bits"), "node")
+    spread = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.select(
+        "key",
+        F.least("own", "with").alias("i"),
+        F.greatest("own", "with").alias("j"),
+        (F.col("own") > F.col("with")).cast("int").alias("side"),
+        "node",
+        "label",
+        "n",
+        "bits",
+    )
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, label`` after further links. Labels are joined, not nodes: only links between different labels count."""
+    side = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    between = between.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a <> b")
+    moved = materialize(components(between).select(F.col("node").alias("label"), F.col("label").alias("_to")))
+    known = labels.join(moved, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
+    # Nodes that had no label were labels of their own.
+    new = moved.join(labels.select(F.col("node").alias("label")), "label", "left_anti")
+    return materialize(known.unionByName(new.select(F.col("label").alias("node"), F.col("_to").alias("label"))))
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = 5,
@@ -310,6 +373,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     block: int = BLOCK,
+    bits_per_hash: int = 1,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
@@ -325,16 +389,21 @@ def near_duplicates(
        joined, so a large group of near copies is mostly one component after as many comparisons as
        it has members.
     4. Keys that still hold nodes of several components are cut into blocks of about ``block`` nodes; each
-       pair of blocks is a tile, in which signatures rule out most pairs of different components at once.
-    5. The rest are intersected exactly, and the components of all links are formed. Texts are read again only
-       for nodes that the signatures leave in question.
+       pair of blocks is a tile, in which signatures rule out most pairs of different components at once. A tile first names
+       the closest pairs that would join its components, fewer than it has components; they are intersected exactly and components
+       grow. So a group whose members link with some of the others only, too, is one component before pairs are listed.
+    5. What is still apart is tiled again, and now every pair of different components that the signatures leave in question is
+       intersected exactly: no link is missed. ``bits_per_hash`` makes signatures longer: fewer pairs are left in question,
+       and rows of tiles take more room.
+
+    Texts are read again only for nodes that are left in question.
 
     Edge cases: texts without words have an empty set and are linked with nothing; null ids take part in
     links but name no component; rows that repeat an id are judged each by their own text; an empty table gives
     an empty result; other columns are ignored.
     """
     base = only(docs, doc_id=id_col, text=text_col)
-    sets = materialize(_sets(base, size, percent)).withColumn("row", F.monotonically_increasing_id())
+    sets = materialize(_sets(base, size, percent, bits_per_hash)).withColumn("row", F.monotonically_increasing_id())
     # Tasks have deduplicated their own rows; of the rest, one row stands for each node.
     first = sets.where("bits IS NOT NULL").groupBy("node").agg(F.min("row").alias("row")).select("row")
     carriers = sets.join(bounded(materialize(first)), "row", "left_semi")
@@ -350,30 +419,11 @@ def near_duplicates(
     stars = materialize(_possible(stars, signed, percent))
     links = materialize(links_of(stars, _texts_of(stars, base, carriers, size), size, percent))
 
-    labels = components(links)
-    labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = materialize(labelled)
-    open_keys = labelled.groupBy("key").agg(
-        F.min("label").alias("one"), F.max("label").alias("other"), F.count(F.lit(1)).alias("members")
-    )
-    open_keys = open_keys.where("one <> other").select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    members = labelled.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.join(signed.select("node", "n", "bits"), "node")
-    spread = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = spread.select(
-        "key",
-        F.least("own", "with").alias("i"),
-        F.greatest("own", "with").alias("j"),
-        (F.col("own") > F.col("with")).cast("int").alias("side"),
-        "node",
-        "label",
-        "n",
-        "bits",
-    )
-    pairs = materialize(_tile_pairs(tiles, percent))
-    more = links_of(pairs, _texts_of(pairs, base, carriers, size), size, percent)
-    final = components(links.union(more))
-    named = sets.select("doc_id", "n_shingles", "node").join(final, "node", "left")
+    labels = materialize(components(links))
+    for forest in (True, False):
+        pairs = materialize(_tile_pairs(_tiles(rows, labels, signed, block), percent, forest))
+        labels = _joined(labels, links_of(pairs, _texts_of(pairs, base, carriers, size), size, percent))
+    named = sets.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     found = with_least(named, "label", "doc_id", "component_id")
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

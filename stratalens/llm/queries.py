@@ -154,7 +154,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_ngram_jaccard")
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share nine tenths of their three-word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90, bits_per_hash=8)
 
 
 @query("op11_bpe")

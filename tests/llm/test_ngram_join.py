@@ -6,7 +6,7 @@ from corpus_checks import by_id
 
 from stratalens.llm import ngram_join
 from stratalens.llm.components import components, with_least
-from stratalens.llm.ngram_join import Bands, near_duplicates, shingle_set
+from stratalens.llm.ngram_join import Bands, near_duplicates, shingle_set, spanning
 
 
 def brute(rows, size, percent):
@@ -121,3 +121,42 @@ def test_least_of_large_groups(spark):
     rows = spark.createDataFrame([(i, "g" if i % 3 else None) for i in range(1, 500)], "v int, g string")
     found = with_least(rows, "g", "v", "least", salts=5).collect()
     assert len(found) == 499 and {(r.g, r.least) for r in found} == {("g", 1), (None, None)}
+
+
+def test_spanning_pairs_join_all_that_any_pairs_join():
+    draw = np.random.default_rng(6)
+    for _ in range(30):
+        left, right = draw.integers(0, 12, 40), draw.integers(0, 12, 40)
+        order = draw.permutation(40)
+        kept = spanning(left, right, order)
+        assert len(kept) < 12
+        parts = lambda places: _parts([(left[k], right[k]) for k in places])
+        assert parts(kept) == parts(range(40))
+
+
+def _parts(pairs):
+    group = {x: x for p in pairs for x in p}
+    for _ in group:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    return {x: g for x, g in group.items() if any(x in p for p in pairs)}
+
+
+def test_tiles_of_a_group_name_few_pairs(docs_of, spark, monkeypatch):
+    """Near copies of which few link: pairs named by the tiles grow with the members, not with their square."""
+    counts = []
+    original = ngram_join._tile_pairs
+
+    def counted(rows, percent, forest):
+        pairs = original(rows, percent, forest)
+        counts.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "_tile_pairs", counted)
+    sizes = (100, 200, 400)
+    for members in sizes:
+        rows = list(enumerate(copies(random.Random(9), members, 150, 6)))
+        found = near_duplicates(docs_of(rows), size=3, percent=90, bits_per_hash=8)
+        assert by_id(found, "n_shingles", "component_id") == brute(rows, 3, 90)
+    named = [a + b for a, b in zip(counts[::2], counts[1::2])]
+    assert all(pairs < members for pairs, members in zip(named, sizes))
