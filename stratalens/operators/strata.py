@@ -96,12 +96,26 @@ def stratum_counts(survey: DataFrame, columns: Sequence[str]) -> DataFrame:
     return cell_counts(survey.na.drop(subset=list(columns)), columns)
 
 
+def lattice(dims: Sequence[Dimension]) -> dict[str, list[Dimension]]:
+    """Which dimensions are summed up from which: the name of each dimension that no other contains, and those read off it (itself
+    first). A contained dimension goes to the container with the fewest columns."""
+    sets = {d.name: frozenset(d.columns) for d in dims}
+    roots = [d for d in dims if not any(sets[d.name] < other for other in sets.values())]
+    plan = {d.name: [d] for d in roots}
+    for d in dims:
+        if d.name not in plan:
+            holders = [r for r in roots if sets[d.name] < sets[r.name]]
+            plan[min(holders, key=lambda r: len(r.columns)).name].append(d)
+    return plan
+
+
 def roll_up(cells: DataFrame, dims: Sequence[Dimension], value: str = "n", by: Sequence[str] = ()) -> DataFrame:
-    """Sum ``value`` for every dimension in one pass of grouping sets.
+    """Sum ``value`` for every dimension: grouping sets over the cells for the dimensions that no other contains, and
+    the others from the sums of those (see :func:`lattice`), so a cell is expanded for the former only.
 
     A missing column is an error here, before any job starts. A null in one of a dimension's own
-    keys leaves that dimension only; the bit of ``grouping_id`` tells it from a column that is
-    not part of the dimension.
+    keys leaves that dimension only: sums keep their nulls until all dimensions are read off; the bit of ``grouping_id`` tells
+    a null from a column that is not part of the dimension.
     """
     keys = key_columns(dims)
     missing = [c for c in [*by, *keys] if c not in cells.columns]
@@ -109,18 +123,24 @@ def roll_up(cells: DataFrame, dims: Sequence[Dimension], value: str = "n", by: S
         raise ValueError(f"cannot roll up, missing columns: {missing}")
     if len({frozenset(d.columns) for d in dims}) != len(dims):
         raise ValueError("two dimensions share the same columns")
+    plan = lattice(dims)
+    roots = [d for d in dims if d.name in plan]
     every = [*by, *keys]
-    sets = [[*by, *d.columns] for d in dims]
+    sets = [[*by, *d.columns] for d in roots]
     grouped = cells.groupingSets(sets, *every).agg(F.sum(value).alias(value), F.grouping_id().alias("_set"))
     top = len(every) - 1
-    name, whole = None, None
-    for d, members in zip(dims, sets):
-        code = sum(1 << (top - i) for i, c in enumerate(every) if c not in members)
-        here = F.col("_set") == F.lit(code)
-        name = F.when(here, d.name) if name is None else name.when(here, d.name)
-        full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in d.columns], here)
-        whole = full if whole is None else whole | full
-    return grouped.where(whole).select(*by, name.alias("dimension"), *keys, F.col(value))
+    codes = [sum(1 << (top - i) for i, c in enumerate(every) if c not in members) for members in sets]
+    named = lambda values: reduce(lambda chain, nv: chain.when(F.col("_set") == F.lit(nv[0]), nv[1]), list(zip(codes, values))[1:], F.when(F.col("_set") == F.lit(codes[0]), values[0]))
+    if len(roots) == len(dims):
+        long = grouped.select(*by, named([F.lit(d.name) for d in roots]).alias("dimension"), *keys, F.col(value))
+    else:
+        read_off = named([F.array(*[F.lit(d.name) for d in plan[r.name]]) for r in roots])
+        spread = grouped.select(*by, F.explode(read_off).alias("dimension"), *keys, F.col(value))
+        member = {c: F.col("dimension").isin([d.name for d in dims if c in d.columns]) for c in keys}
+        spread = spread.select(*by, "dimension", *[F.when(member[c], F.col(c)).alias(c) for c in keys], F.col(value))
+        long = spread.groupBy(*by, "dimension", *keys).agg(F.sum(value).alias(value))
+    whole = [reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in d.columns], F.col("dimension") == d.name) for d in dims]
+    return long.where(reduce(lambda a, b: a | b, whole)).select(*by, "dimension", *keys, F.col(value))
 
 
 def sample_sizes(cells: DataFrame, dims: Sequence[Dimension], by: Sequence[str] = ()) -> DataFrame:
