@@ -91,3 +91,16 @@ def test_run_agrees_with_the_stages(spark, results):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.01").select(*columns)
     want = results["packing"].select(*columns)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_near_copies_under_repeated_and_missing_ids(spark):
+    """Rows are judged by their own text, whatever other rows share their id."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(3, " ".join(words)), (5, near), (5, "Another text altogether, under the same number."), (None, near), (None, "x " + " ".join(words)),
+            (None, "Yet another text without a number."), (9, None), (9, None), (8, ""), (5, near)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.near_copy_stage(spark, docs, "")
+    assert kept.columns == COLUMNS
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[5], (9, None), (8, "")], key=str)
