@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stratalens.operators.scores import match_and_coverage
 from stratalens.operators.sparse import group_scores
-from stratalens.operators.strata import Dimension, cell_counts, key_columns, line_up
+from stratalens.operators.strata import Dimension, cell_counts, join_groups, key_columns, line_up
 from stratalens.session import materialize
 
 
@@ -141,14 +141,16 @@ SLICE_CHARS = 7
 def numbered_windows(cells: DataFrame) -> DataFrame:
     """``window, at``: the windows in the order of their names, numbered from 1, one row each.
 
-    They are ranked within slices of the calendar and moved up by the windows of the slices before.
+    They are ranked within slices of the calendar and moved up by the windows of the slices before. Rows without a
+    window have no number. The filter is always true and keeps this and other uses of ``cells`` on one exchange.
     """
-    windows = cells.select("window").distinct().withColumn("_slice", F.substring("window", 1, SLICE_CHARS))
+    windows = cells.where("n > 0").select("window").distinct().withColumn("_slice", F.substring("window", 1, SLICE_CHARS))
     sizes = windows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))  # one row a slice
     starts = sizes.select("_slice", F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_slice").orderBy("window"))
-    return windows.join(starts, "_slice").select("window", (inside + F.col("_before")).cast("int").alias("at"))
+    place = F.when(F.col("window").isNotNull(), inside + F.col("_before")).cast("int")
+    return join_groups(windows, starts, ["_slice"]).select("window", place.alias("at"))
 
 
 def to_date(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -160,7 +162,7 @@ def to_date(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     numbers = numbered_windows(cells)
     order = Window.partitionBy(*keys).orderBy("at")
-    running = cells.join(numbers, "window").select(
+    running = join_groups(cells, numbers, ["window"]).where("at IS NOT NULL").select(
         "at",
         *keys,
         F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("n"),
