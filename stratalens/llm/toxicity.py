@@ -27,6 +27,10 @@ LANDMARKS = 500
 #: one in a million does.
 SURE = 14.0
 CACHE_WORDS = 300_000
+#: Words of more than LONG letters are read in parts of WIDE letters, each starting STRIDE after the one before.
+LONG, WIDE, STRIDE = 24, 12, 2
+#: A word stands for toxic documents only if it is at least this many times more frequent among them than among clean ones.
+ODDS = 5.0
 
 _ALPHABET = 32
 _CODE_OF = np.zeros(0x250, np.int64)
@@ -60,6 +64,13 @@ def plain_word(word: str) -> str:
     return _NOT_LETTER.sub("", word)
 
 
+def windows(word: str) -> list[str]:
+    """A word, or the overlapping parts of a long one: any ``WIDE - STRIDE + 1`` letters in a row lie in one part."""
+    if len(word) <= LONG:
+        return [word]
+    return [word[k : k + WIDE] for k in range(0, len(word) - WIDE + STRIDE, STRIDE)]
+
+
 def units(text: str | None) -> list[str]:
     """What the kernel reads: the words, and rows of lone characters put together."""
     text = (text or "").lower()
@@ -180,9 +191,8 @@ class Scorer:
             values = self.model.decisions(plain)
             # Long chains of characters are read in windows.
             for i, word in enumerate(plain):
-                if len(word) > 24:
-                    pieces = [word[k : k + 16] for k in range(0, len(word) - 8, 8)]
-                    values[i] = self.model.decisions(pieces).max()
+                if len(word) > LONG:
+                    values[i] = self.model.decisions(windows(word)).max()
             self.cache.update(zip(part, values.tolist()))
         get, low = self.cache.__getitem__, self.model.bias
         out = [heapq.nlargest(2, map(get, f)) for f in found]
@@ -218,9 +228,15 @@ def _pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(buckets)
 
 
-def _witnesses(toxic: list[set[str]], clean_words: set[str], clean: list[set[str]], each: int = 3) -> Counter:
+def _witnesses(toxic: list[set[str]], clean_counts: Counter, clean: list[set[str]], each: int = 3) -> Counter:
     """Words that stand for the label of their document: those with a piece that tells toxic documents
-    from clean ones, by the likelihood ratio of its counts in both."""
+    from clean ones, by the likelihood ratio of its counts in both.
+
+    Labels may be wrong and clean documents may quote an insult: a word is ruled out by its odds in the two classes (one clean
+    document added to each count), not by being met in a clean document.
+    """
+    toxic_counts = Counter(w for d in toxic for w in d)
+    quoted = {w for w, n in clean_counts.items() if toxic_counts[w] * len(clean) < ODDS * (n + 1) * len(toxic)}
 
     def presence(docs: list[set[str]]) -> np.ndarray:
         found = np.zeros(PIECE_BUCKETS, np.float32)
@@ -235,7 +251,7 @@ def _witnesses(toxic: list[set[str]], clean_words: set[str], clean: list[set[str
     ratio[(bad / len(toxic) < 5 * good / len(clean)) | (ratio < SURE)] = 0
     chosen: Counter = Counter()
     for words in toxic:
-        known = sorted(words - clean_words)
+        known = sorted(words - quoted)
         if not known:
             continue
         best = np.zeros(len(known))
@@ -283,19 +299,21 @@ def fit(texts: list[str], labels: list[int], prior: float = 0.5, landmarks: int
     the training words, twice. The decision is a sum of kernels with the landmarks, hence linear in the
     subsequences: their weights are added up once into a table. ``prior`` is the share of toxic ones.
     """
-    docs = [{w for u in units(t) if (w := plain_word(u)[:24])} for t in texts]
+    docs = [{w for u in units(t) for w in windows(plain_word(u)) if w} for t in texts]
     toxic, clean = ([d for d, y in zip(docs, labels) if y == k] for k in (1, 0))
     clean_counts = Counter(w for d in clean for w in d)
     empty = Model(np.zeros(_ALPHABET**LENGTH, np.float32), -1.0, 0.0, 1.0, -4.0)
     if not toxic or not clean_counts:
         return empty
-    chosen = _witnesses(toxic, set(clean_counts), clean)
+    chosen = _witnesses(toxic, clean_counts, clean)
     if not chosen:
         return empty
     draw = np.random.default_rng(3)
     positives = [w for w, _ in chosen.most_common(1500)]
     varied = [w for k in range(8) for w in _varied(positives[:150], draw) if w not in clean_counts]
-    all_clean = sorted(clean_counts)
+    all_clean = sorted(w for w in clean_counts if w not in chosen)
+    if not all_clean:
+        return empty
     negatives = [all_clean[i] for i in draw.permutation(len(all_clean))[:3000]]
     model = empty
     for _ in range(3):

@@ -146,6 +146,29 @@ def test_toxicity_learns_the_words_and_tolerates_gaps(insults):
     assert max(scorer.score(["the other thing", "", None, "!!! 12 ###"])) < 0.3
 
 
+@pytest.mark.parametrize("wrong", [0.0, 0.01, 0.05])
+def test_toxicity_learns_from_wrong_labels_and_quotations(insults, wrong):
+    """Every insult is quoted in clean documents, and some labels are wrong."""
+    texts, labels = insults
+    draw = np.random.default_rng(11)
+    flipped = [1 - y if draw.random() < wrong else y for y in labels[:450]]
+    quoting = [f"she said {w} to him and the other one laughed at it" for w in ("blockhead", "numskull", "dimwit") for _ in range(2)]
+    model = toxicity.fit(texts[:450] + quoting, flipped + [0] * len(quoting), prior=1 / 3)
+    scores = np.array(toxicity.Scorer(model).score(texts[450:]))
+    truth = np.array(labels[450:])
+    assert (scores[truth == 1] >= 0.3).mean() >= 0.9
+    assert (scores[truth == 0] >= 0.3).mean() <= 0.05
+
+
+def test_toxicity_of_an_insult_inside_a_long_word(insults):
+    texts, labels = insults
+    scorer = toxicity.Scorer(toxicity.fit(texts[:450], labels[:450], prior=1 / 3))
+    for lead in range(0, 60, 7):
+        assert scorer.score(["the" * (lead // 3) + "e" * (lead % 3) + "numskull" + "en" * 30])[0] >= 0.3, lead
+    assert toxicity.windows("a" * 24) == ["a" * 24]
+    assert all(any("b" * 11 in w for w in toxicity.windows("a" * k + "b" * 11 + "a" * 33)) for k in range(40))
+
+
 def test_table_gives_the_kernel_expansion():
     """The decision from the table is the sum of kernels with the landmarks."""
     marks, weights = ["stupid", "clown", "thering"], np.array([1.0, -0.5, 0.25])
