@@ -1,8 +1,10 @@
-"""Personal data: patterns propose spans, check sums confirm them, words nearby raise or lower the score."""
+"""Personal data and secrets: patterns propose spans, check sums or entropy confirm them, words nearby raise or lower the score."""
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -13,7 +15,7 @@ from stratalens.llm.text import only
 
 #: The base kinds in their order, then those the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 #: Characters looked at on either side of a span for context words.
 NEAR = 60
 
@@ -27,6 +29,20 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
+# A value after the name of a secret, and keys that are known by their form alone. Runs are taken greedily and never given back.
+_NAMED_SECRET = re.compile(
+    r"(?<![A-Za-z])(?:api[_-]?key|(?:secret|access|private)[_-]?key|client[_-]?secret|(?:auth|access|bearer)[_-]?token|token|secret|passw(?:or)?d|pwd)"
+    r"[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?([A-Za-z0-9_+/=.~-]{16,}+)",
+    re.I,
+)
+_KEY = re.compile(
+    r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+"
+    r"|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"
+)
+_PRIVATE = re.compile(r"-----BEGIN (?:[A-Z]{2,9} )?PRIVATE KEY-----")
+#: Least bits a character of a secret: words have fewer, random letters and digits more.
+ENTROPY = 3.0
+
 #: kind -> score of a confirmed span without context, words that raise it, words that lower it.
 PRIORS = {
     "email": (0.9, r"mail|contact|write|schreib|correo|courriel", r"example|noreply"),
@@ -35,6 +51,7 @@ PRIORS = {
     "phone": (0.8, r"phone|call|tel|mobile|fax|anruf|llam|appel", r"isbn|version|score"),
     "iban": (0.9, r"iban|account|bank|konto|cuenta|compte", r"serial|model"),
     "ssn": (0.3, r"\bssn\b|social security|tax id", r"part|serial|order"),
+    "secret": (0.7, r"api|auth|credential|login|secret|key", r"example|placeholder|dummy|sample"),
 }
 _CONTEXT = {k: (base, re.compile(up, re.I), re.compile(down, re.I)) for k, (base, up, down) in PRIORS.items()}
 
@@ -61,6 +78,23 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def random_looking(value: str) -> bool:
+    """Letters and digits mixed, with the entropy of a drawn text."""
+    n = len(value)
+    bits = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
+    return bits >= ENTROPY and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Values of named secrets and keys of known form, each place once."""
+    done = -1
+    found = [m.span(1) for m in _NAMED_SECRET.finditer(text)] + [m.span() for m in _KEY.finditer(text)]
+    for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
+        if start >= done and random_looking(text[start:end]):
+            yield start, end
+            done = end
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """The longest run of name characters before each sign, and the domain after it."""
     done, sign = 0, text.find("@")
@@ -89,6 +123,9 @@ def proposed(text: str) -> Iterator[tuple[str, int, int]]:
     if "@" in text:
         for start, end in _emails(text):
             yield "email", start, end
+    if "PRIVATE KEY" in text:
+        for m in _PRIVATE.finditer(text):
+            yield "secret", *m.span()
     if not _DIGIT.search(text):
         return
     for m in _IP.finditer(text):
@@ -107,6 +144,8 @@ def proposed(text: str) -> Iterator[tuple[str, int, int]]:
             yield "iban", *m.span()
     for m in _SSN.finditer(text):
         yield "ssn", *m.span()
+    for start, end in _secrets(text):
+        yield "secret", start, end
 
 
 def find_spans(text: str | None, min_score: float = 0.5) -> list[Span]:

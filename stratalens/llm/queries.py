@@ -98,12 +98,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_pii")
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of personal data per document; the base kinds are counted and hashed apart."""
+    """Spans of personal data and secrets per document; the base kinds are counted and hashed apart."""
     found = find_pii(table(spark, sf_dir, "documents"))
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(of(*BASE_KINDS)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    more = [F.size(of("secret")).cast("long").alias("n_secret"), F.size("spans").cast("long").alias("n_spans")]
+    return found.select("doc_id", *counts, F.sha2(joined(of(*BASE_KINDS)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), *more)
 
 
 @query("op8_decontamination")
