@@ -268,8 +268,8 @@ def spanning(left: np.ndarray, right: np.ndarray, order: np.ndarray) -> list[int
 
 
 def _tile_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs of nodes of different labels within each tile that the signatures don't rule out: with ``forest``, the closest ones
-    that join the tile's labels (fewer than there are labels), else all.
+    """``a, b, key``: pairs of nodes of different labels within each tile that the signatures don't rule out: with ``forest``, the
+    closest ones that join the tile's labels (fewer than there are labels), else all.
 
     ``rows``: ``key, i, j`` (the tile), ``side`` (0 for rows of block i), ``node, label, n, bits``. Tiles
     follow one another in a task; one tile is held at a time.
@@ -312,29 +312,27 @@ def _tile_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
             for row in batch.to_pylist():
                 here = (row["key"], row["i"], row["j"])
                 if here != at:
-                    found.update(compare(tile))
+                    found.update((*pair, at[0]) for pair in compare(tile))
                     tile, at = [], here
                 tile.append(row)
             if len(found) > 10_000:
                 yield _pairs(found)
                 found = set()
-        found.update(compare(tile))
+        found.update((*pair, at[0]) for pair in compare(tile))
         yield _pairs(found)
 
-    def _pairs(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    def _pairs(found: set[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
         ordered = sorted(found)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([p[k] for p in ordered], pa.binary()) for k in (0, 1)], ["a", "b"]
-        )
+        kinds = (pa.binary(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in ordered], kind) for k, kind in enumerate(kinds)], ["a", "b", "key"])
 
     tiles = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
-    return tiles.select("key", "i", "j", "side", "node", "label", "n", "bits").mapInArrow(scan, "a binary, b binary").distinct()
+    return tiles.select("key", "i", "j", "side", "node", "label", "n", "bits").mapInArrow(scan, "a binary, b binary, key bigint")
 
 
 def _tiles(rows: DataFrame, labels: DataFrame, signed: DataFrame, block: int) -> DataFrame:
     """Rows of the keys that hold nodes of several labels, once for each tile that they are part of."""
-    labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = materialize(labelled)
+    labelled = rows.join(bounded(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_keys = labelled.groupBy("key").agg(
         F.min("label").alias("one"), F.max("label").alias("other"), F.count(F.lit(1)).alias("members")
     )
@@ -421,8 +419,11 @@ def near_duplicates(
 
     labels = materialize(components(links))
     for forest in (True, False):
-        pairs = materialize(_tile_pairs(_tiles(rows, labels, signed, block), percent, forest))
+        found = materialize(_tile_pairs(_tiles(rows, labels, signed, block), percent, forest))
+        pairs = found.select("a", "b").distinct()
         labels = _joined(labels, links_of(pairs, _texts_of(pairs, base, carriers, size), size, percent))
+        # Components only grow, so a key without a pair now has none later.
+        rows = rows.join(bounded(materialize(found.select("key").distinct())), "key", "left_semi")
     named = sets.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     found = with_least(named, "label", "doc_id", "component_id")
