@@ -42,15 +42,6 @@ def banded(value: Column, cuts: Sequence[tuple[float, str]], lowest: str, strict
     return chain.otherwise(F.lit(lowest))
 
 
-def hash_uniform(*parts: Column | str) -> Column:
-    """A repeatable number in [0, 1) drawn from the given values.
-
-    The same row always gets the same number, so retried tasks agree with the first attempt.
-    """
-    text = F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
 def plain_number(text: Column) -> Column:
     """Number out of text with blanks and thousands commas; null when it is none."""
     return F.regexp_replace(text, "[ ,]", "").try_cast("double")

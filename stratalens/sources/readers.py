@@ -35,10 +35,6 @@ def load_table(spark: SparkSession, path: str, schema: str | T.StructType | None
         raise
 
 
-def text_schema(columns: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
-
-
 def load_benchmarks(spark: SparkSession, root: str, dimensions: Sequence[str] | None = None) -> DataFrame:
     """The long benchmark table, written by ``write_by``; a subset reads only its partitions."""
     frame = load_table(spark, root, kind="parquet")

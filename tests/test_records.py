@@ -6,7 +6,6 @@ import random
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from stratalens.sources import readers
 from stratalens.sources.records import fields_of, quoted_records
