@@ -269,7 +269,7 @@ def spanning(left: np.ndarray, right: np.ndarray, order: np.ndarray) -> list[int
 
 def _tile_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     """``a, b, key``: pairs of nodes of different labels within each tile that the signatures don't rule out: with ``forest``, the
-    closest ones that join the tile's labels (fewer than there are labels), else all.
+    closest ones that join the tile's labels (fewer than there are labels), with the tile's key; else all, under key 0.
 
     ``rows``: ``key, i, j`` (the tile), ``side`` (0 for rows of block i), ``node, label, n, bits``. Tiles
     follow one another in a task; one tile is held at a time.
@@ -312,13 +312,13 @@ def _tile_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
             for row in batch.to_pylist():
                 here = (row["key"], row["i"], row["j"])
                 if here != at:
-                    found.update((*pair, at[0]) for pair in compare(tile))
+                    found.update((*pair, at[0] if forest else 0) for pair in compare(tile))
                     tile, at = [], here
                 tile.append(row)
             if len(found) > 10_000:
                 yield _pairs(found)
                 found = set()
-        found.update((*pair, at[0]) for pair in compare(tile))
+        found.update((*pair, at[0] if forest and at else 0) for pair in compare(tile))
         yield _pairs(found)
 
     def _pairs(found: set[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
@@ -372,6 +372,7 @@ def near_duplicates(
     text_col: str = "text",
     block: int = BLOCK,
     bits_per_hash: int = 1,
+    spanning: bool = True,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
@@ -392,7 +393,8 @@ def near_duplicates(
        grow. So a group whose members link with some of the others only, too, is one component before pairs are listed.
     5. What is still apart is tiled again, and now every pair of different components that the signatures leave in question is
        intersected exactly: no link is missed. ``bits_per_hash`` makes signatures longer: fewer pairs are left in question,
-       and rows of tiles take more room.
+       and rows of tiles take more room. Without ``spanning`` this is the only pass over the tiles: the result is the same, with less room
+       for rows of tiles and more for pairs of large groups that stars don't join.
 
     Texts are read again only for nodes that are left in question.
 
@@ -418,12 +420,13 @@ def near_duplicates(
     links = materialize(links_of(stars, _texts_of(stars, base, carriers, size), size, percent))
 
     labels = materialize(components(links))
-    for forest in (True, False):
-        found = materialize(_tile_pairs(_tiles(rows, labels, signed, block), percent, forest))
+    for forest in (True, False) if spanning else (False,):
+        found = _tile_pairs(_tiles(rows, labels, signed, block), percent, forest)
+        found = materialize(found if forest else found.distinct())
         pairs = found.select("a", "b").distinct()
         labels = _joined(labels, links_of(pairs, _texts_of(pairs, base, carriers, size), size, percent))
-        # Components only grow, so a key without a pair now has none later.
-        rows = rows.join(bounded(materialize(found.select("key").distinct())), "key", "left_semi")
+        if forest:  # components only grow, so a key without a pair now has none later
+            rows = rows.join(bounded(materialize(found.select("key").distinct())), "key", "left_semi")
     named = sets.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     found = with_least(named, "label", "doc_id", "component_id")

@@ -61,9 +61,9 @@ def corpus():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("size, percent", [(3, 90), (5, 80)])
-def test_components_against_brute_force(docs_of, corpus, size, percent):
-    found = near_duplicates(docs_of(corpus), size=size, percent=percent, block=7)
+@pytest.mark.parametrize("size, percent, spanning", [(3, 90, True), (5, 80, True), (5, 80, False)])
+def test_components_against_brute_force(docs_of, corpus, size, percent, spanning):
+    found = near_duplicates(docs_of(corpus), size=size, percent=percent, block=7, spanning=spanning)
     assert by_id(found, "n_shingles", "component_id") == brute(corpus, size, percent)
 
 
