@@ -113,8 +113,8 @@ FROM (SELECT c_nationkey, CAST(abs(c_acctbal) / 2500 AS INTEGER) AS c_code FROM
 LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20 GROUP BY 1, 2""",
 )
 def code_labels(t):
-    """Country labels from a code table, sex labels from the fixed codes; unknown codes give null."""
-    coded = t.read("customer").select("c_nationkey", F.round(F.abs("c_acctbal") / 2500).cast("int").alias("c_code"))
+    """Country labels from a code table, sex labels from the fixed codes (halves go to the even code); unknown codes give null."""
+    coded = t.read("customer").select("c_nationkey", F.bround(F.abs("c_acctbal") / 2500).cast("int").alias("c_code"))
     codes = t.read("nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("label"))
     labelled = harmonize.label_codes(coded, "c_nationkey", codes, "country")
     labelled = harmonize.label_codes(labelled, "c_code", fixed.SEX_CODES, "gender")

@@ -94,3 +94,17 @@ def test_scans_read_only_what_they_need(spark):
     text = frame._jdf.queryExecution().executedPlan().toString()
     schemas = set(re.findall(r"orders\.parquet.*?ReadSchema: struct<([^>]*)>", text))
     assert schemas == {"o_custkey:bigint"}
+
+
+def test_codes_halfway_between_two_agree_with_sql(spark, tmp_path):
+    """Balances whose code is halfway: 0.5, 1.5, 2.5 and 3.5 go to 0, 2, 2 and 4, below zero and above."""
+    rows = [(i, 3, balance) for i, balance in enumerate([1250.0, -1250.0, 3750.0, 6250.0, -6250.0, 8750.0, 1250.01, 3749.99, None])]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet/")
+    nation = spark.read.parquet(f"{SMALL}/nation.parquet")
+    nation.write.parquet(f"{tmp_path}/nation.parquet/")
+    duck = check_sql.duckdb.connect()
+    for name in ("customer", "nation"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert check_sql.compare(spark, duck, "code_labels", str(tmp_path))[0] == "ok, 3 rows"
+    got = {r["gender"]: r["n"] for r in QUERIES["code_labels"](spark, str(tmp_path)).collect()}
+    assert got == {"Male": 2, "Female": 3, None: 4}
