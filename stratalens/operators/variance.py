@@ -101,28 +101,40 @@ def long_answers(survey: DataFrame, by: Sequence[str], questions: Sequence[str],
     return cast.unpivot(list(by), [F.col(f"`{q}`") for q in questions], "question", "answer")
 
 
-def within_stratum_variance(numeric: DataFrame, by: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """Mean over the questions of the answers' sample variance, answers above 1 scaled to 0..1 first.
-
-    ``numeric`` has ``by``, ``question`` and a numeric ``answer``. Scaling is algebra: the
-    variance divided by the squared range. A constant answer has no scale and is left out;
-    strata with fewer than two respondents, or without any usable question, get the default.
-    """
+def question_variances(numeric: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Respondents (``_rows``) and the answers' sample variance (``_var``) per stratum and question, answers above 1 scaled to 0..1 first."""
     spread = F.col("_max") - F.col("_min")
-    one = numeric.groupBy(*by, *extra, "question").agg(
+    return numeric.groupBy(*by, "question").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.var_samp("answer").alias("_var"),
         F.min("answer").alias("_min"),
         F.max("answer").alias("_max"),
     ).withColumn("_var", F.when(F.col("_max") > 1, F.try_divide(F.col("_var"), spread * spread)).otherwise(F.col("_var")))
-    return one.groupBy(*extra, *by).agg(
+
+
+def mean_variance(questions: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Mean of ``question_variances`` over the questions of each group, or the default."""
+    return questions.groupBy(*by).agg(
         F.when(F.max("_rows") < 2, F.lit(DEFAULT_VARIANCE)).otherwise(F.coalesce(F.avg("_var"), F.lit(DEFAULT_VARIANCE))).alias("variance")
     )
 
 
+def within_stratum_variance(numeric: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Mean over the questions of the answers' sample variance, answers above 1 scaled to 0..1 first.
+
+    ``numeric`` has ``by``, ``question`` and a numeric ``answer``. Scaling is algebra: the
+    variance divided by the squared range. A constant answer has no scale and is left out;
+    strata with fewer than two respondents, or without any usable question, get the default.
+    """
+    return mean_variance(question_variances(numeric, by), by)
+
+
 def variance_by_category(numeric: DataFrame, codes: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The same, separately for every question category; ``codes`` has ``question, category``."""
-    return within_stratum_variance(numeric.join(codes, "question"), by, ["category"])
+    """The same, separately for every question category; ``codes`` has ``question, category``.
+
+    Questions meet their categories as one row a stratum: answers are never shuffled by the few questions.
+    """
+    return mean_variance(question_variances(numeric, by).join(codes, "question"), ["category", *by])
 
 
 def answer_counts(answers: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 import statistics
 
 import pytest
+from plan_rows import metric_of
 from pyspark.sql import functions as F
 
 from stratalens.operators import variance
@@ -109,3 +110,16 @@ def test_poll_columns(spark):
 
 def test_indicator_columns():
     assert variance.indicator_columns(["ai_use", "age", "trust_ai", "job_loss"]) == ["ai_use", "trust_ai", "job_loss"]
+
+
+def test_answers_are_counted_before_they_meet_their_categories(spark):
+    """The join gets one row a stratum and question, however many answers there are; a question may be in two categories."""
+    answers = spark.range(3000).selectExpr("CAST(id % 2 AS STRING) AS stratum", "CAST(id % 3 AS STRING) AS question", "CAST(id % 5 AS DOUBLE) AS answer")
+    codes = spark.createDataFrame([("0", "a"), ("1", "a"), ("1", "b"), ("9", "b")], "question string, category string")
+    found = variance.variance_by_category(answers, codes, ["stratum"])
+    got = {(r["category"], r["stratum"]): r["variance"] for r in found.collect()}
+    one = {(s, q): statistics.variance([(i % 5) / 4 for i in range(3000) if i % 2 == s and i % 3 == q]) for s in (0, 1) for q in (0, 1)}
+    want = {("a", str(s)): (one[s, 0] + one[s, 1]) / 2 for s in (0, 1)} | {("b", str(s)): one[s, 1] for s in (0, 1)}
+    assert got == {key: pytest.approx(value) for key, value in want.items()}
+    joined = metric_of(found, "Join")
+    assert joined and max(joined) <= 6
