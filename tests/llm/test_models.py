@@ -95,6 +95,41 @@ def test_pairs_order_and_quantile_threshold():
     assert ((z > threshold) == (y == 1)).mean() > 0.95
 
 
+def test_loss_and_gradient_are_those_of_all_pairs(spark):
+    draw = np.random.default_rng(3)
+    y = (np.arange(300) % 3 > 0).astype(int)
+    x = (draw.normal(size=(300, 5)) + y[:, None] * [1.0, 0.5, 0, 0, 0]).astype(np.float32)
+    table = spark.createDataFrame([(int(a), b.tobytes()) for a, b in zip(y, x)], "label int, features binary")
+    good, bad = x[y == 1].astype(float), x[y == 0].astype(float)
+    goal = quality.AllPairs(table, np.zeros(5), np.ones(5), float(len(good) * len(bad)))
+
+    def brute(w):
+        lost = (bad @ w)[None, :] - (good @ w)[:, None]
+        chance = 1 / (1 + np.exp(-lost))
+        gradient = (chance.sum(axis=0) @ bad - chance.sum(axis=1) @ good) / goal.pairs
+        return np.logaddexp(0, lost).mean() + goal.l2 / 2 * w @ w, gradient + goal.l2 * w
+
+    start, way = draw.normal(size=5), draw.normal(size=5)
+    for (loss, w, counts), step in zip(goal.along(start, way, (0.25, 2.0)), (0.25, 2.0)):
+        want, gradient = brute(start + step * way)
+        assert np.allclose(w, start + step * way) and abs(loss - want) < 1e-6
+        assert np.allclose(goal.gradient(w, counts), gradient, atol=1e-6)
+    w = quality.minimise(goal, 5)
+    loss, gradient = brute(w)
+    assert loss <= brute(quality.bradley_terry(good, bad, pairs=2000, epochs=5))[0] and abs(gradient).max() < 0.01
+
+
+def test_quality_learns_from_every_labelled_document(spark, every):
+    """Of 12,000 labelled documents, whose texts do not tell the label, as many as are bad lie below the cut, to the document."""
+    text = "concat_ws(' ', transform(sequence(0, 4 + CAST(abs(xxhash64(id)) % 23 AS INT)), i -> substr(sha2(CAST(id * 31 + i AS STRING), 256), 1, 2 + CAST(abs(xxhash64(id, i)) % 9 AS INT))))"
+    docs = spark.range(12_000).selectExpr("id AS doc_id", f"{text} AS text")
+    labels = spark.range(12_000).selectExpr("id AS doc_id", "CAST(id % 4 = 0 AS INT) AS quality")
+    model = quality.train(docs, labels, every)
+    scores = [r.score for r in quality.score(docs, model).collect()]
+    assert sum(s < 0.5 for s in scores) == 9_000
+    assert len(set(scores)) > 11_000
+
+
 def test_quality_edge_cases(spark, docs_of, every):
     docs = docs_of([(1, "A calm line of words."), (2, "JUNK!! JUNK!! JUNK!!"), (3, None), (4, ""), (4, "two rows"), (None, "x")])
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (4, 1), (4, 0), (None, 1), (9, 1), (5, None)], "doc_id bigint, quality int")
