@@ -23,6 +23,10 @@ BLOCK = 512
 BROADCAST_ROWS = 3_000_000
 #: Words that a worker remembers the hashes of.
 CACHE_WORDS = 150_000
+#: Keys that a task holds before it deals them out, and the bits of a key that name their group.
+HELD_KEYS, GROUP_BITS = 1 << 18, 12
+#: Bits of the tag that stands for a node next to a key.
+TAG_BITS = 32
 
 _U = np.uint64
 
@@ -133,29 +137,31 @@ def node_of(hashes: np.ndarray, mixed: np.ndarray) -> bytes | None:
     return int(np.add.reduce(mixed)).to_bytes(8, "big") + int(second).to_bytes(8, "big")
 
 
-def _sets(base: DataFrame, size: int, percent: int, per_hash: int) -> DataFrame:
-    """``doc_id, n_shingles, node, short, bits, keys``: equal sets share the node, a 128-bit hash of the set.
+def _tag(node: bytes, bits: int) -> int:
+    return int.from_bytes(node[:8], "big") & ((1 << bits) - 1)
 
-    In each task, only the first row of a node carries keys and bits, so copies are combined before the shuffle.
+
+def _sets(base: DataFrame, size: int, per_hash: int) -> DataFrame:
+    """``doc_id, n_shingles, node, tag, bits``: equal sets share the node, a 128-bit hash of the set.
+
+    In each task, only the first row of a node carries bits, so copies are combined before the shuffle.
     """
     kind = base.schema["doc_id"].dataType.simpleString()
+    tag_bits = TAG_BITS
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(percent), set()
+        seen = set()
         for batch in batches:
-            sizes, nodes, shorts, bits, keys = [], [], [], [], []
+            sizes, nodes, tags, bits = [], [], [], []
             for text in batch.column("text"):
                 hashes = shingle_set(text.as_py(), size)
-                mixed = _mix(hashes)
-                node = node_of(hashes, mixed)
+                node = node_of(hashes, _mix(hashes))
                 sizes.append(len(hashes))
                 nodes.append(node)
-                shorts.append(node and int.from_bytes(node[:8], "big", signed=True))
+                tags.append(node and _tag(node, tag_bits))
                 if node is None or node in seen:
-                    keys.append([])
                     bits.append(None)
                     continue
-                keys.append(bands.keys(hashes, mixed))
                 bits.append(bitmap(hashes, per_hash))
                 seen.add(node)
             yield pa.RecordBatch.from_arrays(
@@ -163,17 +169,89 @@ def _sets(base: DataFrame, size: int, percent: int, per_hash: int) -> DataFrame:
                     batch.column("doc_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.binary()),
-                    pa.array(shorts, pa.int64()),
+                    pa.array(tags, pa.int64()),
                     pa.array(bits, pa.binary()),
-                    pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "node", "short", "bits", "keys"],
+                ["doc_id", "n_shingles", "node", "tag", "bits"],
             )
         _hash_of.clear()  # the worker may serve other operators next
 
-    return base.mapInArrow(
-        build, f"doc_id {kind}, n_shingles bigint, node binary, short bigint, bits binary, keys array<bigint>"
-    )
+    return base.mapInArrow(build, f"doc_id {kind}, n_shingles bigint, node binary, tag bigint, bits binary")
+
+
+def _shared_keys(base: DataFrame, size: int, percent: int) -> DataFrame:
+    """``key, tag, hub, members``: the keys that sets of several tags give, with each tag, the least of their tags and how many
+    they have. A key of two tags has one row only, that of the pair, without its number.
+
+    Most keys are of one set only, and there are many, so they are neither written nor rows of their own: a key is cut to 44 bits (different
+    keys that become equal only add candidates), and a task deals its keys out in groups by their upper bits, 8 bytes for
+    the rest of a key and the tag. A group is one 4096th of all keys.
+    """
+    tag_bits = TAG_BITS
+
+    def dealt(held: list[np.ndarray], tags: list[int]) -> pa.RecordBatch:
+        keys = np.concatenate(held).view(_U) >> _U(32 - GROUP_BITS)
+        packed = (keys << _U(32)) | np.repeat(np.array(tags, _U), [len(k) for k in held])
+        group = (keys >> _U(32)).astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        packed, group = packed[order], group[order]
+        at = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+        parts = [packed[i:j].tobytes() for i, j in zip(at, [*at[1:], len(packed)])]
+        return pa.RecordBatch.from_arrays([pa.array(group[at], pa.int32()), pa.array(parts, pa.binary())], ["group", "packed"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(percent), set()
+        held, tags, count = [], [], 0
+        for batch in batches:
+            for text in batch.column("text"):
+                hashes = shingle_set(text.as_py(), size)
+                mixed = _mix(hashes)
+                node = node_of(hashes, mixed)
+                if node is None or node in seen:
+                    continue
+                seen.add(node)
+                held.append(bands.keys(hashes, mixed))
+                tags.append(_tag(node, tag_bits))
+                count += len(held[-1])
+                if count >= HELD_KEYS:
+                    yield dealt(held, tags)
+                    held, tags, count = [], [], 0
+        if count:
+            yield dealt(held, tags)
+        _hash_of.clear()
+
+    def shared(group: int, parts: list[bytes]) -> pa.RecordBatch:
+        packed = np.unique(np.concatenate([np.frombuffer(p, _U) for p in parts]))
+        keys, tags = packed >> _U(32), (packed & _U(0xFFFFFFFF)).view(np.int64)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        counts = np.diff(np.append(first, len(keys)))
+        hubs, members = np.repeat(tags[first], counts), np.repeat(counts, counts)
+        chosen = (members > 2) | ((members == 2) & (tags != hubs))
+        keys = np.where(members > 2, keys | _U(group << 32), _U(0)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x[chosen], pa.int64()) for x in (keys, tags, hubs, members)], ["key", "tag", "hub", "members"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+        for batch in batches:
+            for group, packed in zip(batch.column("group").to_pylist(), batch.column("packed").to_pylist()):
+                if group != at and parts:
+                    yield shared(at, parts)
+                    parts = []
+                at = group
+                parts.append(packed)
+        if parts:
+            yield shared(at, parts)
+
+    groups = base.select("text").mapInArrow(deal, "group int, packed binary").repartition("group").sortWithinPartitions("group")
+    return groups.mapInArrow(gather, "key bigint, tag bigint, hub bigint, members bigint")
+
+
+def _same_tag(carriers: DataFrame) -> DataFrame:
+    """``a, b``: the few pairs of different nodes with one tag, which keys can't tell apart."""
+    several = carriers.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tag")
+    nodes = materialize(carriers.select("tag", "node").join(bounded(materialize(several)), "tag"))
+    other = nodes.select("tag", F.col("node").alias("b"))
+    return materialize(nodes.withColumnRenamed("node", "a").join(other, "tag").where("a < b").select("a", "b"))
 
 
 def _own_texts(known: DataFrame, size: int) -> DataFrame:
@@ -271,7 +349,7 @@ def _tile_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     """``a, b, key``: pairs of nodes of different labels within each tile that the signatures don't rule out: with ``forest``, the
     closest ones that join the tile's labels (fewer than there are labels), with the tile's key; else all, under key 0.
 
-    ``rows``: ``key, i, j`` (the tile), ``side`` (0 for rows of block i), ``node, label, n, bits``. Tiles
+    ``rows``: ``key, i, j`` (the tile), ``side`` (0 for rows of block i), ``node, label`` (null: the node itself), ``n, bits``. Tiles
     follow one another in a task; one tile is held at a time.
     """
 
@@ -285,7 +363,7 @@ def _tile_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
         bits = [np.stack([folded(r["bits"], shortest) for r in s]) for s in (left, right)]
         sizes = [np.array([r["n"] for r in s], np.int64) for s in (left, right)]
         names: dict[bytes, int] = {}
-        labels = [np.array([names.setdefault(r["label"], len(names)) for r in s]) for s in (left, right)]
+        labels = [np.array([names.setdefault(r["label"] or r["node"], len(names)) for r in s]) for s in (left, right)]
         ones, others, apart = [], [], []
         for k in range(len(left)):
             first = k + 1 if inner else 0
@@ -331,13 +409,15 @@ def _tile_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
 
 
 def _tiles(rows: DataFrame, labels: DataFrame, signed: DataFrame, block: int) -> DataFrame:
-    """Rows of the keys that hold nodes of several labels, once for each tile that they are part of."""
-    labelled = rows.join(bounded(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_keys = labelled.groupBy("key").agg(
-        F.min("label").alias("one"), F.max("label").alias("other"), F.count(F.lit(1)).alias("members")
-    )
-    open_keys = open_keys.where("one <> other").select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    members = labelled.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """Rows of the keys that hold nodes of several labels, once for each tile that they are part of. A key of two nodes needs no tile:
+    stars have compared its only pair."""
+    heads = labels.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
+    labelled = rows.join(bounded(labels), "node", "left").join(bounded(heads), "head", "left")
+    labelled = labelled.withColumn("label", F.coalesce("label", "node"))
+    open_keys = labelled.where(F.col("label") != F.coalesce("head_label", "head")).select("key").distinct()
+    members = labelled.join(bounded(materialize(open_keys)), "key", "left_semi")
+    members = members.withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("key", "node", "label", "blocks", "own")
     members = members.join(signed.select("node", "n", "bits"), "node")
     spread = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return spread.select(
@@ -346,7 +426,7 @@ def _tiles(rows: DataFrame, labels: DataFrame, signed: DataFrame, block: int) ->
         F.greatest("own", "with").alias("j"),
         (F.col("own") > F.col("with")).cast("int").alias("side"),
         "node",
-        "label",
+        F.nullif("label", "node").alias("label"),
         "n",
         "bits",
     )
@@ -383,11 +463,12 @@ def near_duplicates(
 
     1. Sets are hashed; equal sets are one node. Each set gives keys for the tiles of two size bands, and a
        bitmap signature.
-    2. Keys of one node only are dropped, by counts that are combined before the shuffle.
+    2. Keys of one node only are dropped: keys are shuffled in groups of 8 bytes each and not written; nodes are known by
+       32-bit tags there, and nodes that share a tag are compared outright.
     3. Each node is compared with the first node of each of its keys, by signatures, then exactly; what links is
        joined, so a large group of near copies is mostly one component after as many comparisons as
        it has members.
-    4. Keys that still hold nodes of several components are cut into blocks of about ``block`` nodes; each
+    4. Keys of more than two nodes that still hold several components are cut into blocks of about ``block`` nodes; each
        pair of blocks is a tile, in which signatures rule out most pairs of different components at once. A tile first names
        the closest pairs that would join its components, fewer than it has components; they are intersected exactly and components
        grow. So a group whose members link with some of the others only, too, is one component before pairs are listed.
@@ -396,26 +477,31 @@ def near_duplicates(
        and rows of tiles take more room. Without ``spanning`` this is the only pass over the tiles: the result is the same, with less room
        for rows of tiles and more for pairs of large groups that stars don't join.
 
-    Texts are read again only for nodes that are left in question.
+    Texts are hashed once for the signatures and once for the keys, which takes less room than to write the keys; they are read
+    again only for nodes that are left in question.
 
     Edge cases: texts without words have an empty set and are linked with nothing; null ids take part in
     links but name no component; rows that repeat an id are judged each by their own text; an empty table gives
     an empty result; other columns are ignored.
     """
     base = only(docs, doc_id=id_col, text=text_col)
-    sets = materialize(_sets(base, size, percent, bits_per_hash)).withColumn("row", F.monotonically_increasing_id())
+    sets = materialize(_sets(base, size, bits_per_hash)).withColumn("row", F.monotonically_increasing_id())
     # Tasks have deduplicated their own rows; of the rest, one row stands for each node.
     first = sets.where("bits IS NOT NULL").groupBy("node").agg(F.min("row").alias("row")).select("row")
     carriers = sets.join(bounded(materialize(first)), "row", "left_semi")
-    keyed = carriers.select("short", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    rows = materialize(keyed.join(bounded(materialize(shared)), "key"))
-
-    signed = carriers.select("node", "short", F.col("n_shingles").alias("n"), "bits")
-    signed = materialize(signed.join(bounded(materialize(rows.select("short").distinct())), "short"))
-    rows = rows.join(signed.select("short", "node"), "short").select("key", "node")
-    hubs = rows.groupBy("key").agg(F.min("node").alias("a"))
-    stars = rows.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    rows = materialize(_shared_keys(base, size, percent))
+    alike = _same_tag(carriers)
+
+    signed = carriers.select("node", "tag", F.col("n_shingles").alias("n"), "bits")
+    wanted = rows.select("tag").union(rows.select("hub")).union(alike.join(carriers, F.col("a") == F.col("node")).select("tag"))
+    signed = materialize(signed.join(bounded(materialize(wanted.distinct())), "tag"))
+    nodes = materialize(signed.select("tag", "node", "n"))
+    heads = bounded(nodes.select(F.col("tag").alias("hub"), F.col("node").alias("head"), F.col("n").alias("head_n")))
+    nodes = bounded(nodes)
+    stars = rows.where("tag <> hub").select("tag", "hub").distinct().join(nodes, "tag").join(heads, "hub")
+    stars = stars.where(100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n"))
+    stars = stars.select(F.col("head").alias("a"), F.col("node").alias("b")).union(alike)
+    rows = rows.where("members > 2").join(nodes, "tag").join(heads, "hub").select("key", "node", "head", "members")
     stars = materialize(_possible(stars, signed, percent))
     links = materialize(links_of(stars, _texts_of(stars, base, carriers, size), size, percent))
 

@@ -160,3 +160,34 @@ def test_tiles_of_a_group_name_few_pairs(docs_of, spark, monkeypatch):
         assert by_id(found, "n_shingles", "component_id") == brute(rows, 3, 90)
     named = [a + b for a, b in zip(counts[::2], counts[1::2])]
     assert all(pairs < members for pairs, members in zip(named, sizes))
+
+
+def test_nodes_that_share_a_tag(docs_of, corpus, monkeypatch):
+    """With tags of four values keys can hardly tell nodes apart, and no link is lost."""
+    monkeypatch.setattr(ngram_join, "TAG_BITS", 2)
+    some = corpus[::2]
+    found = near_duplicates(docs_of(some), size=5, percent=80, block=7, spanning=False)
+    assert by_id(found, "n_shingles", "component_id") == brute(some, 5, 80)
+
+
+def test_keys_are_not_written_and_those_of_two_sets_not_tiled(docs_of, monkeypatch):
+    """Two texts that share keys but don't link: no table holds their keys, and tiles have no row of them."""
+    base = [f"w{i}" for i in range(120)]
+    rows, tiled, written = list(enumerate([" ".join(base), " ".join([*base[:80], *(f"n{i}" for i in range(40))])])), [], []
+    tiles, materialize = ngram_join._tiles, ngram_join.materialize
+
+    def counted(*args):
+        spread = tiles(*args)
+        tiled.append(spread.count())
+        return spread
+
+    def noted(frame):
+        written.append(frame.dtypes)
+        return materialize(frame)
+
+    monkeypatch.setattr(ngram_join, "_tiles", counted)
+    monkeypatch.setattr(ngram_join, "materialize", noted)
+    found = near_duplicates(docs_of(rows), size=5, percent=80, spanning=False)
+    assert by_id(found, "n_shingles", "component_id") == brute(rows, 5, 80)
+    assert tiled == [0]
+    assert not any(kind.startswith("array") for columns in written for _, kind in columns)
