@@ -24,7 +24,7 @@ BROADCAST_ROWS = 3_000_000
 #: Words that a worker remembers the hashes of.
 CACHE_WORDS = 150_000
 #: Keys that a task holds before it deals them out, and the bits of a key that name their group.
-HELD_KEYS, GROUP_BITS = 1 << 18, 12
+HELD_KEYS, GROUP_BITS = 1 << 20, 12
 #: Bits of the tag that stands for a node next to a key.
 TAG_BITS = 32
 
