@@ -110,17 +110,17 @@ class Bands:
 
 
 def bitmap(hashes: np.ndarray, per_hash: int = 1) -> bytes:
-    """A signature with at least ``per_hash`` bits for each hash of the set, up to the most: bit number is the hash modulo the size,
-    a power of two, so a longer signature can be folded to a shorter one."""
+    """A signature with at least ``per_hash`` bits for each hash of the set, up to the most: a hash turns over the bit whose number is the
+    hash modulo the size, a power of two, so a longer signature can be folded to a shorter one. Hashes that two sets share
+    cancel out where signatures are compared, so only those of one set can hide each other."""
     bits = min(max(BITS[0], 1 << max(0, per_hash * len(hashes) - 1).bit_length()), BITS[1])
-    on = np.zeros(bits, np.uint8)
-    on[(hashes & _U(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(on).tobytes()
+    met = np.bincount((hashes & _U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((met & 1).astype(np.uint8)).tobytes()
 
 
 def folded(bits: bytes, size: int) -> np.ndarray:
     """The signature with ``size`` bytes, as 64-bit numbers."""
-    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
 
 
 def near_enough(total: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
