@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from stratalens.llm.components import components, with_least
 from stratalens.llm.text import only, words
-from stratalens.session import materialize
+from stratalens.session import materialize, small_batches
 
 #: Fewest and most bits of the signature of a set, and sets on one side of a tile (in expectation).
 BITS = (256, 8192)
@@ -190,9 +190,11 @@ def _shared_keys(base: DataFrame, size: int, percent: int) -> DataFrame:
     tag_bits = TAG_BITS
 
     def dealt(held: list[np.ndarray], tags: list[int]) -> pa.RecordBatch:
-        keys = np.concatenate(held).view(_U) >> _U(32 - GROUP_BITS)
-        packed = (keys << _U(32)) | np.repeat(np.array(tags, _U), [len(k) for k in held])
-        group = (keys >> _U(32)).astype(np.uint16)
+        packed = np.concatenate(held).view(_U)
+        packed >>= _U(32 - GROUP_BITS)
+        group = (packed >> _U(32)).astype(np.uint16)
+        packed <<= _U(32)
+        packed |= np.repeat(np.array(tags, _U), [len(k) for k in held])
         order = np.argsort(group, kind="stable")
         packed, group = packed[order], group[order]
         at = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
@@ -264,6 +266,7 @@ def _own_texts(known: DataFrame, size: int) -> DataFrame:
                 hashes = shingle_set(text.as_py(), size)
                 same.append(node_of(hashes, _mix(hashes)) == node.as_py())
             yield batch.filter(pa.array(same, pa.bool_()))
+        _hash_of.clear()
 
     return known.select("node", "text").mapInArrow(check, "node binary, text string")
 
@@ -477,6 +480,7 @@ def near_duplicates(
        and rows of tiles take more room. Without ``spanning`` this is the only pass over the tiles: the result is the same, with less room
        for rows of tiles and more for pairs of large groups that stars don't join.
 
+    Rows go to Python workers in small batches, so that texts of two sets side by side take little of an executor's memory.
     Texts are hashed once for the signatures and once for the keys, which takes less room than to write the keys; they are read
     again only for nodes that are left in question.
 
@@ -485,34 +489,35 @@ def near_duplicates(
     an empty result; other columns are ignored.
     """
     base = only(docs, doc_id=id_col, text=text_col)
-    sets = materialize(_sets(base, size, bits_per_hash)).withColumn("row", F.monotonically_increasing_id())
-    # Tasks have deduplicated their own rows; of the rest, one row stands for each node.
-    first = sets.where("bits IS NOT NULL").groupBy("node").agg(F.min("row").alias("row")).select("row")
-    carriers = sets.join(bounded(materialize(first)), "row", "left_semi")
-    rows = materialize(_shared_keys(base, size, percent))
-    alike = _same_tag(carriers)
-
-    signed = carriers.select("node", "tag", F.col("n_shingles").alias("n"), "bits")
-    wanted = rows.select("tag").union(rows.select("hub")).union(alike.join(carriers, F.col("a") == F.col("node")).select("tag"))
-    signed = materialize(signed.join(bounded(materialize(wanted.distinct())), "tag"))
-    nodes = materialize(signed.select("tag", "node", "n"))
-    heads = bounded(nodes.select(F.col("tag").alias("hub"), F.col("node").alias("head"), F.col("n").alias("head_n")))
-    nodes = bounded(nodes)
-    stars = rows.where("tag <> hub").select("tag", "hub").distinct().join(nodes, "tag").join(heads, "hub")
-    stars = stars.where(100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n"))
-    stars = stars.select(F.col("head").alias("a"), F.col("node").alias("b")).union(alike)
-    rows = rows.where("members > 2").join(nodes, "tag").join(heads, "hub").select("key", "node", "head", "members")
-    stars = materialize(_possible(stars, signed, percent))
-    links = materialize(links_of(stars, _texts_of(stars, base, carriers, size), size, percent))
-
-    labels = materialize(components(links))
-    for forest in (True, False) if spanning else (False,):
-        found = _tile_pairs(_tiles(rows, labels, signed, block), percent, forest)
-        found = materialize(found if forest else found.distinct())
-        pairs = found.select("a", "b").distinct()
-        labels = _joined(labels, links_of(pairs, _texts_of(pairs, base, carriers, size), size, percent))
-        if forest:  # components only grow, so a key without a pair now has none later
-            rows = rows.join(bounded(materialize(found.select("key").distinct())), "key", "left_semi")
+    with small_batches(docs.sparkSession):
+        sets = materialize(_sets(base, size, bits_per_hash)).withColumn("row", F.monotonically_increasing_id())
+        # Tasks have deduplicated their own rows; of the rest, one row stands for each node.
+        first = sets.where("bits IS NOT NULL").groupBy("node").agg(F.min("row").alias("row")).select("row")
+        carriers = sets.join(bounded(materialize(first)), "row", "left_semi")
+        rows = materialize(_shared_keys(base, size, percent))
+        alike = _same_tag(carriers)
+
+        signed = carriers.select("node", "tag", F.col("n_shingles").alias("n"), "bits")
+        wanted = rows.select("tag").union(rows.select("hub")).union(alike.join(carriers, F.col("a") == F.col("node")).select("tag"))
+        signed = materialize(signed.join(bounded(materialize(wanted.distinct())), "tag"))
+        nodes = materialize(signed.select("tag", "node", "n"))
+        heads = bounded(nodes.select(F.col("tag").alias("hub"), F.col("node").alias("head"), F.col("n").alias("head_n")))
+        nodes = bounded(nodes)
+        stars = rows.where("tag <> hub").select("tag", "hub").distinct().join(nodes, "tag").join(heads, "hub")
+        stars = stars.where(100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n"))
+        stars = stars.select(F.col("head").alias("a"), F.col("node").alias("b")).union(alike)
+        rows = rows.where("members > 2").join(nodes, "tag").join(heads, "hub").select("key", "node", "head", "members")
+        stars = materialize(_possible(stars, signed, percent))
+        links = materialize(links_of(stars, _texts_of(stars, base, carriers, size), size, percent))
+
+        labels = materialize(components(links))
+        for forest in (True, False) if spanning else (False,):
+            found = _tile_pairs(_tiles(rows, labels, signed, block), percent, forest)
+            found = materialize(found if forest else found.distinct())
+            pairs = found.select("a", "b").distinct()
+            labels = _joined(labels, links_of(pairs, _texts_of(pairs, base, carriers, size), size, percent))
+            if forest:  # components only grow, so a key without a pair now has none later
+                rows = rows.join(bounded(materialize(found.select("key").distinct())), "key", "left_semi")
     named = sets.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     found = with_least(named, "label", "doc_id", "component_id")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,19 @@ def materialize(frame: DataFrame) -> DataFrame:
     """
     shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """What runs inside hands rows to Python workers in Arrow batches of about ``size``.
+
+    Spark's default of 64 MB stands in an executor's memory several times for each task: in vectors that double as they grow,
+    and in the worker. Only jobs that end inside are affected, so results are to be written there.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

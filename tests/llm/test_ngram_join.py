@@ -1,12 +1,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus_checks import by_id
 
 from stratalens.llm import ngram_join
 from stratalens.llm.components import components, with_least
 from stratalens.llm.ngram_join import Bands, near_duplicates, shingle_set, spanning
+from stratalens.session import small_batches
 
 
 def brute(rows, size, percent):
@@ -213,3 +215,27 @@ def test_keys_are_not_written_and_those_of_two_sets_not_tiled(docs_of, monkeypat
     assert by_id(found, "n_shingles", "component_id") == brute(rows, 5, 80)
     assert tiled == [0]
     assert not any(kind.startswith("array") for columns in written for _, kind in columns)
+
+
+def test_rows_reach_the_workers_in_small_batches(docs_of, spark, monkeypatch):
+    """All that is written runs with batches of 4 MB, whatever their number of rows; the session's own limit holds afterwards."""
+    limit, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    materialize, before = ngram_join.materialize, spark.conf.get(limit)
+
+    def noted(frame):
+        seen.append(spark.conf.get(limit))
+        return materialize(frame)
+
+    monkeypatch.setattr(ngram_join, "materialize", noted)
+    rows = list(enumerate(["a b c d", "a b c d", "e f g"]))
+    found = near_duplicates(docs_of(rows), size=3, percent=90)
+    assert by_id(found, "n_shingles", "component_id") == brute(rows, 3, 90)
+    assert seen and set(seen) == {"4m"} and spark.conf.get(limit) == before
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    with small_batches(spark, "200000b"):
+        long = spark.range(0, 2000, 1, 1).selectExpr("repeat('x', 2000) AS text").mapInArrow(sizes, "n bigint").collect()
+    assert sum(r.n for r in long) == 2000 and max(r.n for r in long) <= 110
