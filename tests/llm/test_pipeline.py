@@ -104,3 +104,11 @@ def test_near_copies_under_repeated_and_missing_ids(spark):
     assert kept.columns == COLUMNS
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     assert got == sorted([rows[0], rows[2], rows[5], (9, None), (8, "")], key=str)
+
+
+def test_packing_tokenises_in_small_batches(spark, monkeypatch):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    monkeypatch.setattr(corpus_pipeline, "pack", lambda docs, *_, **__: spark.conf.get(limit))
+    assert corpus_pipeline.packing_stage(spark, spark.range(1), "") == "4m"
+    assert spark.conf.get(limit) == before
