@@ -25,6 +25,8 @@ BROADCAST_ROWS = 3_000_000
 CACHE_WORDS = 150_000
 #: Keys that a task holds before it deals them out, and the bits of a key that name their group.
 HELD_KEYS, GROUP_BITS = 1 << 20, 12
+#: Parts of a set, as a multiple of the fewest that lose no pair; small sets would take more to have hardly any empty ones.
+MOST_PARTS = 2
 #: Bits of the tag that stands for a node next to a key.
 TAG_BITS = 32
 
@@ -64,46 +66,62 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(_mix(mixed))
 
 
+def empty_parts(size: int, parts: int) -> float:
+    """Empty parts that hardly any set of ``size`` hashes exceeds: their mean and four standard deviations."""
+    one, two = (1 - 1 / parts) ** size, (1 - 2 / parts) ** size
+    mean = parts * one
+    return mean + 4 * math.sqrt(max(0.0, parts * (parts - 1) * two + mean - mean * mean))
+
+
 class Bands:
     """Sizes in bands so narrow that linked sets lie in one band or in neighbours, and how finely
     the sets of a tile are cut.
 
     Sets of sizes a <= c with a Jaccard similarity of ``percent`` or more differ in at most
-    (a + c)(100 - percent) / (100 + percent) hashes, d at most in a tile. Cut into d + 2 parts by
-    ranges of the hash, they agree in two parts at least. Parts empty on both sides prove nothing, so a set
-    with two or more empty parts gives keys for those too; every other set needs keys of its non-empty
-    parts only.
+    (a + c)(100 - percent) / (100 + percent) hashes, d at most in a tile. Cut into more than d parts by ranges of
+    the hash, they agree in all parts but d. So if one of the two has more than d parts that are not empty, they agree in one of those; else both
+    have empty parts, and agree in some part, empty or not. A set with more than d such parts gives keys of these
+    only, any other of all its parts, and no pair is lost. A key of an empty part is shared by all sets that give it, whatever
+    they hold, so sets are cut so finely that few have to.
     """
 
     def __init__(self, percent: int) -> None:
         self.percent = percent
         self.ratio = 100 / percent
-        self._parts: dict[int, int] = {}
+        self._parts: dict[int, tuple[int, int]] = {}
 
     def band(self, size: int) -> int:
         return math.floor(math.log(size) / math.log(self.ratio) + 1e-9)
 
-    def parts(self, tile: int) -> int:
-        """Number of parts for pairs whose smaller set lies in band ``tile``; 0 if only equal sets link."""
+    def parts(self, tile: int) -> tuple[int, int]:
+        """Number of parts for pairs whose smaller set lies in band ``tile``, and in how many they differ at most; 0 and 0 if only equal
+        sets link."""
         if tile not in self._parts:
+            low = math.ceil(self.ratio**tile - 1e-9)
+            while self.band(low) < tile:
+                low += 1
             top = math.ceil(self.ratio ** (tile + 1)) + 1
             while top > 1 and self.band(top) > tile:
                 top -= 1
             differ = (top + top * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
-            self._parts[tile] = differ + 2 if differ else 0
+            least = parts = differ + 2
+            while parts < MOST_PARTS * least and empty_parts(low, parts) > parts - differ - 1:
+                parts += 1
+            self._parts[tile] = (parts, differ) if differ else (0, 0)
         return self._parts[tile]
 
     def keys(self, hashes: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-        """One key for each part of the set in the tile of its own band and in the one below."""
+        """Keys for parts of the set in the tile of its own band and in the one below."""
         own, out = self.band(len(hashes)), []
         sums = np.concatenate((np.zeros(1, _U), np.cumsum(mixed, dtype=_U)))
         for tile in (own, own - 1):
-            parts = self.parts(tile) if tile >= 0 else 0
+            parts, differ = self.parts(tile) if tile >= 0 else (0, 0)
             if parts:
                 place = ((hashes >> _U(32)) * _U(parts)) >> _U(32)
                 cut = np.searchsorted(place, np.arange(parts + 1, dtype=_U))
-                empty = cut[1:] == cut[:-1]
-                chosen = np.arange(parts) if empty.sum() >= 2 else np.flatnonzero(~empty)
+                chosen = np.flatnonzero(cut[1:] != cut[:-1])
+                if len(chosen) <= differ:
+                    chosen = np.arange(parts)
                 content = sums[cut[chosen + 1]] - sums[cut[chosen]]
                 out.append(_mix(content + _mix(chosen.astype(_U) + _U((tile + 1) << 32))))
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
